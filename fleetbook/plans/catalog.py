@@ -37,5 +37,5 @@ def query(name: str):
 def queries() -> dict[str, QueryFn]:
     # importing the modules registers their queries
     from fleetbook.plans import q_report, q_panel, q_rosters  # noqa: F401
-    from fleetbook.plans import q_scalar, q_changes, q_audit  # noqa: F401
+    from fleetbook.plans import q_scalar, q_loads, q_changes, q_audit  # noqa: F401
     return dict(REGISTRY)

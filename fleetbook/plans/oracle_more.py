@@ -1,3 +1,274 @@
-"""Oracle SQL of the scalar-function, change, audit, backfill and token queries."""
+"""Oracle SQL of the scalar-function, load, change, audit, backfill and token queries."""
 
-from fleetbook.plans.oracle import oracle  # noqa: F401
+from __future__ import annotations
+
+from fleetbook.functions.amounts import LEGACY_HASH_RE, NUMERIC_PREFIX_RE, TOKEN_RE
+from fleetbook.functions.periods import DATE_RE, MONTH_NAMES, MONTH_RE, WEEK_RE
+from fleetbook.plans.oracle import ENTRY_LIST, FALLBACK, LABEL, S, Z, oracle  # noqa: F401
+from fleetbook.plans.params import OWNER, SQL_DRIVER, SQL_MONTH
+
+AS_OF_DAY, AS_OF_WEEK, AS_OF_MONTH = "1997-03-05", "1997-W10", "1997-03"
+
+
+# --- SQL macros (DuckDB) -------------------------------------------------------
+
+def PARSE(t: str) -> str:
+    tt = f"trim({t})"
+    x = f"(CASE WHEN contains({tt}, ',') THEN replace(replace({tt}, '.', ''), ',', '.') ELSE {tt} END)"
+    return (f"CAST(ROUND(COALESCE(TRY_CAST(NULLIF(regexp_extract({x}, '{NUMERIC_PREFIX_RE}', 1), '') "
+            f"AS DECIMAL(38,18)), 0), 2) AS DECIMAL(12,2))")
+
+
+def PINT(t: str) -> str:
+    return f"COALESCE(TRY_CAST(regexp_extract(trim({t}), '^[+-]?[0-9]+', 0) AS BIGINT), 0)"
+
+
+def VALID(t: str, pattern: str, default: str) -> str:
+    return f"(CASE WHEN {t} IS NOT NULL AND regexp_matches({t}, '{pattern}') THEN {t} ELSE '{default}' END)"
+
+
+def ENUM(t: str, allowed: tuple[str, ...], default: str) -> str:
+    lst = ", ".join(f"'{a}'" for a in allowed)
+    return f"(CASE WHEN {t} IN ({lst}) THEN {t} ELSE '{default}' END)"
+
+
+def WS(w: str) -> str:
+    """Monday of ISO week text ``YYYY-Www`` (weeks roll over)."""
+    return (f"(CAST(date_trunc('week', make_date(CAST(substr({w}, 1, 4) AS INT), 1, 4)) AS DATE)"
+            f" + (CAST(substr({w}, 7, 2) AS INT) - 1) * 7)")
+
+
+def MONTH_LABEL(d: str) -> str:
+    names = ", ".join(f"'{n}'" for n in MONTH_NAMES)
+    return f"([{names}][month({d})] || ' ' || CAST(year({d}) AS VARCHAR))"
+
+
+def NUM(x: str, decimals: int) -> str:
+    if decimals == 0:
+        return f"translate(format('{{:,}}', CAST(ROUND({x}, 0) AS BIGINT)), ',', '.')"
+    return f"translate(format('{{:,.{decimals}f}}', CAST(ROUND({x}, {decimals}) AS DOUBLE)), ',.', '.,')"
+
+
+# --- stand-in batches (same derivations as fleetbook.sources.standins) ---------
+
+ENTRY_FORMS = """
+SELECT l_orderkey * 10 + l_linenumber AS form_seq,
+  CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE CAST(l_orderkey % (SELECT COUNT(*) FROM customer) + 1 AS BIGINT) END AS posted_by,
+  CASE WHEN l_returnflag = 'R' THEN 'week' WHEN l_returnflag = 'A' THEN 'day' ELSE 'daily' END AS period_type_text,
+  CASE WHEN l_linenumber = 7 THEN substr(CAST(CAST(l_shipdate AS DATE) AS VARCHAR), 1, 8) || '31'
+       WHEN l_linenumber = 6 THEN 'ayer' ELSE CAST(CAST(l_shipdate AS DATE) AS VARCHAR) END AS entry_date_text,
+  CAST(YEAR(l_shipdate) AS VARCHAR) || '-W' || lpad(CAST(l_linenumber * 8 AS VARCHAR), 2, '0') AS entry_week_text,
+  CAST(l_suppkey + 1 AS VARCHAR) AS driver_id_text,
+  CASE WHEN l_linenumber = 5 THEN '' ELSE CAST(l_partkey + 2 AS VARCHAR) END AS car_id_text,
+  ' ' || CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS VARCHAR) AS gross_text,
+  replace(CAST(CAST(ROUND(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_discount AS DECIMAL(4,2)), 2) AS DECIMAL(12,2)) AS VARCHAR), '.', ',') AS app_text,
+  '' AS cash_text,
+  CAST(CAST(l_quantity * 1000 AS BIGINT) AS VARCHAR) AS rental_text,
+  CAST(CAST(l_quantity * 10 AS BIGINT) AS VARCHAR) || 'abc' AS fuel_text,
+  CAST(l_quantity AS VARCHAR) AS km_text,
+  CASE WHEN l_linestatus = 'F' THEN 'invoiced' ELSE 'facturado' END AS status_text,
+  '  ' || l_returnflag || ' ' AS observations_text
+FROM lineitem"""
+
+EXPENSE_FORMS = """
+SELECT o_orderkey + 1 AS form_seq, o_custkey + 1 AS posted_by,
+  CASE WHEN o_orderstatus = 'P' THEN '01/02/1997' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS expense_date_text,
+  CASE WHEN o_orderpriority = '5-LOW' THEN '0'
+       WHEN o_orderpriority = '3-MEDIUM' THEN replace(CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS VARCHAR), '.', ',')
+       ELSE CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS VARCHAR) END AS amount_text,
+  ' ' || o_orderpriority || ' ' AS observations_text
+FROM orders"""
+
+DRIVER_FORMS = """
+SELECT c_custkey + 1 AS form_seq, c_custkey + 1 AS posted_by, '  ' || c_name || ' ' AS full_name_text,
+  CASE WHEN c_custkey % 4 = 0 THEN '' ELSE CAST(30000000 + c_custkey % 97 AS VARCHAR) END AS dni_text,
+  CASE WHEN c_acctbal < 100 THEN 'inactive' ELSE 'activo' END AS status_text
+FROM customer"""
+
+CAR_FORMS = """
+SELECT p_partkey + 1 AS form_seq, ' ' || p_brand AS brand_text,
+  CASE WHEN p_size = 1 THEN ' ' ELSE p_type END AS model_text,
+  ' p' || CAST(p_partkey AS VARCHAR) || ' ' AS plate_text,
+  CASE WHEN p_size > 40 THEN '' ELSE CAST(1990 + p_size AS VARCHAR) END AS year_text,
+  CASE WHEN p_size % 3 = 0 THEN 'inactive' ELSE 'active' END AS status_text
+FROM part"""
+
+TOKEN_DETAILS = """
+SELECT event_id AS id,
+  CASE WHEN event_type = 'error' THEN upper(substr(sha256(CAST(event_id AS VARCHAR)), 1, 24))
+       ELSE substr(sha256(CAST(event_id AS VARCHAR)), 1, 24) END AS selector,
+  CASE WHEN event_type = 'view' THEN props ELSE sha256(CAST(event_id AS VARCHAR)) END AS token_hash,
+  repeat(event_type || ' ', 40) AS user_agent,
+  repeat(props, 5) AS ip_address
+FROM events"""
+
+# --- scalar functions, filters, display ---------------------------------------
+
+DATES = "SELECT DISTINCT entry_date FROM daily_entries"
+oracle("period_columns", f"""
+SELECT entry_date, CAST(WEEKOFYEAR(entry_date) AS INT) AS week_number, CAST(MONTH(entry_date) AS INT) AS month_number,
+       CAST(YEAR(entry_date) AS INT) AS year_number, CAST(isoyear(entry_date) AS INT) AS iso_year,
+       CAST(DATE_TRUNC('week', entry_date) AS DATE) AS week_start
+FROM ({DATES}) d""")
+oracle("iso_week_text", f"""
+SELECT entry_date, strftime(entry_date, '%G-W%V') AS week_text,
+       'Semana ' || substr(strftime(entry_date, '%G-W%V'), 7, 2) || ', ' || substr(strftime(entry_date, '%G-W%V'), 1, 4) AS week_label
+FROM ({DATES}) d""")
+oracle("week_bounds", f"""
+SELECT week_text, {WS('week_text')} AS week_start, {WS('week_text')} + 6 AS week_end
+FROM (SELECT DISTINCT entry_week_text AS week_text FROM entry_forms) w""", entry_forms=ENTRY_FORMS)
+oracle("month_bounds", f"""
+SELECT month_text, month_start, last_day(month_start) AS month_end, {MONTH_LABEL('month_start')} AS month_label
+FROM (SELECT month_text, CAST(month_text || '-01' AS DATE) AS month_start
+      FROM (SELECT DISTINCT strftime(expense_date, '%Y-%m') AS month_text FROM general_expenses) m) t""")
+oracle("clean_periods", f"""
+SELECT form_seq, {VALID('entry_date_text', DATE_RE, AS_OF_DAY)} AS day,
+       {VALID('entry_week_text', WEEK_RE, AS_OF_WEEK)} AS week,
+       {VALID('substr(entry_date_text, 1, 7)', MONTH_RE, AS_OF_MONTH)} AS month
+FROM entry_forms""", entry_forms=ENTRY_FORMS)
+oracle("format_money", f"""
+SELECT period_type, entry_date, driver_id, car_id, gross_income, created_by,
+       '$ ' || {NUM('net_total', 0)} AS net_text, '$ ' || {NUM('total_expenses', 0)} AS expenses_text,
+       '$ ' || {NUM('gross_income', 2)} AS gross_text, {NUM('distance_km', 2)} AS km_text
+FROM daily_entries""")
+oracle("format_dates", f"""
+SELECT id, COALESCE(strftime(expense_date, '%d/%m/%Y'), '-') AS date_text,
+       {MONTH_LABEL('expense_date')} AS month_label, strftime(expense_date, '%Y-%m') AS month_key
+FROM general_expenses""")
+oracle("car_labels", f"SELECT id, {LABEL('label')} FROM cars")
+oracle("parse_amounts", f"SELECT l_orderkey, l_linenumber, amount_text, {PARSE('amount_text')} AS amount FROM raw_amounts")
+oracle("clean_enums", f"""
+SELECT form_seq, period_type_text, status_text,
+       {ENUM('period_type_text', ('day', 'week'), 'day')} AS period_type,
+       {ENUM('status_text', ('pending', 'invoiced'), 'pending')} AS rental_billing_status
+FROM entry_forms""", entry_forms=ENTRY_FORMS)
+oracle("pattern_flags", f"""
+SELECT id, COALESCE(regexp_matches(selector, '{TOKEN_RE}'), FALSE) AS selector_ok,
+       COALESCE(regexp_matches(token_hash, '{LEGACY_HASH_RE}'), FALSE) AS hash_is_legacy
+FROM token_details""", token_details=TOKEN_DETAILS)
+oracle("hash_column", "SELECT id, username, sha256(username) AS username_sha256 FROM users")
+oracle("access_audit", """
+SELECT id, substr(user_agent, 1, 255) AS user_agent, substr(ip_address, 1, 45) AS ip_address,
+       CAST(length(substr(user_agent, 1, 255)) AS INTEGER) AS user_agent_len,
+       CAST(length(substr(ip_address, 1, 45)) AS INTEGER) AS ip_address_len
+FROM token_details""", token_details=TOKEN_DETAILS)
+oracle("scope_owner", f"SELECT * FROM cars WHERE owner_user_id = {OWNER}")
+oracle("scope_driver", f"SELECT * FROM daily_entries WHERE driver_id = {SQL_DRIVER}")
+oracle("scope_entry", f"SELECT * FROM daily_entries WHERE owner_user_id = {OWNER} AND driver_id = {SQL_DRIVER}")
+oracle("scope_empty", "SELECT * FROM daily_entries WHERE 1 = 0")
+oracle("entries_by_status", f"""
+SELECT * FROM daily_entries WHERE owner_user_id = {OWNER} AND entry_date BETWEEN {SQL_MONTH}
+  AND rental_billing_status = 'invoiced'""")
+oracle("active_drivers", f"""
+SELECT id, full_name FROM drivers WHERE status = 'active' AND owner_user_id = {OWNER} ORDER BY full_name""")
+oracle("billable_entries", "SELECT * FROM listed WHERE rental_amount > 0", listed=ENTRY_LIST)
+oracle("lookup_by_key", f"SELECT * FROM drivers WHERE owner_user_id = {OWNER} AND id = {SQL_DRIVER}")
+
+# --- loads -----------------------------------------------------------------------
+
+EF1 = f"""
+SELECT f.*, u.role AS p_role, COALESCE(u.owner_user_id, u.id) AS p_tenant, u.driver_id AS p_driver,
+       {ENUM('f.period_type_text', ('day', 'week'), 'day')} AS period_type,
+       {VALID('f.entry_date_text', DATE_RE, AS_OF_DAY)} AS date_txt,
+       {VALID('f.entry_week_text', WEEK_RE, AS_OF_WEEK)} AS week_txt
+FROM entry_forms f LEFT JOIN users u ON u.id = f.posted_by"""
+EF2 = f"""
+SELECT form_seq, posted_by, p_role, p_tenant, p_driver, period_type,
+  CASE WHEN period_type = 'week' THEN {WS('week_txt')} ELSE TRY_CAST(date_txt AS DATE) END AS entry_date,
+  CASE WHEN period_type = 'week' THEN week_txt ELSE strftime(TRY_CAST(date_txt AS DATE), '%G-W%V') END AS entry_week,
+  CASE WHEN p_role = 'driver' THEN COALESCE(p_driver, 0) ELSE {PINT('driver_id_text')} END AS driver_id,
+  {PINT('car_id_text')} AS car_id,
+  {PARSE('gross_text')} AS gross_income, {PARSE('app_text')} AS app_expenses,
+  {PARSE('cash_text')} AS cash_collected, {PARSE('rental_text')} AS rental_amount,
+  CASE WHEN p_role = 'admin' THEN {ENUM('status_text', ('pending', 'invoiced'), 'pending')} ELSE 'pending' END
+    AS rental_billing_status,
+  {PARSE('fuel_text')} AS fuel_cost, CAST({PARSE('km_text')} AS DECIMAL(10,2)) AS distance_km,
+  trim(observations_text) AS observations
+FROM ef1"""
+EV = """
+SELECT e.*, concat_ws(',',
+  CASE WHEN e.p_role IS NULL THEN 'no_session' END,
+  CASE WHEN e.driver_id <= 0 THEN 'no_driver' END,
+  CASE WHEN e.car_id <= 0 THEN 'no_car' END,
+  CASE WHEN e.p_role = 'driver' AND e.driver_id <> COALESCE(e.p_driver, 0) THEN 'other_driver' END,
+  CASE WHEN e.p_role = 'admin' AND e.driver_id > 0 AND e.car_id > 0
+        AND (SELECT COUNT(*) FROM drivers d WHERE d.id = e.driver_id AND d.owner_user_id = e.p_tenant
+                                           AND d.status = 'active') = 0 THEN 'driver_not_in_owner' END,
+  CASE WHEN e.p_role = 'admin' AND e.driver_id > 0 AND e.car_id > 0
+        AND (SELECT COUNT(*) FROM cars c WHERE c.id = e.car_id AND c.owner_user_id = e.p_tenant
+                                        AND c.status = 'active') = 0 THEN 'car_not_in_owner' END,
+  CASE WHEN e.p_role = 'driver' AND e.driver_id > 0 AND e.car_id > 0 AND e.driver_id = COALESCE(e.p_driver, 0)
+        AND (SELECT COUNT(*) FROM cars c WHERE c.id = e.car_id AND c.current_driver_id = e.driver_id
+                                        AND c.status = 'active') = 0 THEN 'car_not_assigned' END,
+  CASE WHEN e.entry_date IS NULL THEN 'bad_date' END) AS reasons
+FROM ef2 e"""
+OKC = """
+SELECT ok.*, CASE
+  WHEN EXISTS (SELECT 1 FROM entries_unique x WHERE x.period_type = ok.period_type AND x.entry_date = ok.entry_date
+                  AND x.driver_id = ok.driver_id AND x.car_id = ok.car_id) THEN 'duplicate'
+  WHEN (SELECT COUNT(*) FROM ev o2 WHERE o2.reasons = '' AND o2.period_type = ok.period_type
+          AND o2.entry_date = ok.entry_date AND o2.driver_id = ok.driver_id AND o2.car_id = ok.car_id) > 1
+       THEN 'duplicate_in_batch' END AS conflict
+FROM ev ok WHERE ok.reasons = ''"""
+ACCEPTED = """
+SELECT form_seq, posted_by, period_type, entry_date, driver_id, car_id, gross_income, app_expenses, cash_collected,
+  rental_amount, rental_billing_status, fuel_cost, distance_km, observations,
+  p_tenant AS owner_user_id, posted_by AS created_by, posted_by AS updated_by,
+  CAST(ROUND(app_expenses + cash_collected + rental_amount, 2) AS DECIMAL(12,2)) AS total_expenses,
+  CAST(ROUND(gross_income - (app_expenses + cash_collected + rental_amount), 2) AS DECIMAL(12,2)) AS net_total,
+  CAST(WEEKOFYEAR(entry_date) AS INT) AS week_number, CAST(MONTH(entry_date) AS INT) AS month_number,
+  CAST(YEAR(entry_date) AS INT) AS year_number
+FROM okc WHERE conflict IS NULL"""
+LOADS = dict(entry_forms=ENTRY_FORMS, ef1=EF1, ef2=EF2, ev=EV, okc=OKC, accepted=ACCEPTED)
+ENTRY_COLS = ("owner_user_id, period_type, entry_date, driver_id, car_id, gross_income, app_expenses, cash_collected, "
+              "rental_amount, rental_billing_status, fuel_cost, distance_km, created_by, total_expenses, net_total, "
+              "week_number, month_number, year_number")
+
+oracle("entry_math", "SELECT * FROM daily_entries")
+oracle("normalize_entry_date", "SELECT form_seq, period_type, entry_date, entry_week FROM ef2",
+       entry_forms=ENTRY_FORMS, ef1=EF1, ef2=EF2)
+oracle("entry_rejects", """
+SELECT form_seq, posted_by, reasons FROM ev WHERE reasons <> ''
+UNION ALL SELECT form_seq, posted_by, conflict AS reasons FROM okc WHERE conflict IS NOT NULL""", **LOADS)
+oracle("entry_accepted", "SELECT * FROM accepted", **LOADS)
+oracle("append_entries", f"""
+SELECT {ENTRY_COLS} FROM entries_unique UNION ALL SELECT {ENTRY_COLS} FROM accepted""", **LOADS)
+
+EXC = f"""
+SELECT f.form_seq, f.posted_by, COALESCE(u.owner_user_id, u.id) AS owner_user_id,
+  TRY_CAST({VALID('f.expense_date_text', DATE_RE, AS_OF_DAY)} AS DATE) AS expense_date,
+  {PARSE('f.amount_text')} AS amount, trim(f.observations_text) AS observations,
+  concat_ws(',', CASE WHEN u.role IS NULL THEN 'no_session' END, CASE WHEN u.role = 'driver' THEN 'not_admin' END,
+            CASE WHEN {PARSE('f.amount_text')} <= 0 THEN 'no_amount' END) AS reasons
+FROM expense_forms f LEFT JOIN users u ON u.id = f.posted_by"""
+oracle("append_expenses", """
+SELECT id, owner_user_id, expense_date, amount, observations, created_by FROM general_expenses
+UNION ALL
+SELECT (SELECT COALESCE(MAX(id), 0) FROM general_expenses) + form_seq, owner_user_id, expense_date, amount,
+       observations, posted_by FROM exc WHERE reasons = ''""", expense_forms=EXPENSE_FORMS, exc=EXC)
+
+DRC = """
+SELECT f.form_seq, f.posted_by, COALESCE(u.owner_user_id, u.id) AS owner_user_id, trim(f.full_name_text) AS full_name,
+  NULLIF(trim(f.dni_text), '') AS dni,
+  CASE WHEN f.status_text IN ('active', 'inactive') THEN f.status_text ELSE 'active' END AS status,
+  concat_ws(',', CASE WHEN u.role IS NULL THEN 'no_session' END, CASE WHEN u.role = 'driver' THEN 'not_admin' END,
+            CASE WHEN trim(f.full_name_text) = '' THEN 'no_name' END) AS reasons
+FROM driver_forms f LEFT JOIN users u ON u.id = f.posted_by"""
+oracle("append_dimension", """
+SELECT id, owner_user_id, full_name, dni, status FROM drivers
+UNION ALL
+SELECT (SELECT COALESCE(MAX(id), 0) FROM drivers) + ok.form_seq, ok.owner_user_id, ok.full_name, ok.dni, ok.status
+FROM drc ok
+WHERE ok.reasons = '' AND (ok.dni IS NULL OR (
+  (SELECT COUNT(*) FROM drc o2 WHERE o2.reasons = '' AND o2.owner_user_id = ok.owner_user_id AND o2.dni = ok.dni) = 1
+  AND NOT EXISTS (SELECT 1 FROM drivers d WHERE d.owner_user_id = ok.owner_user_id AND d.dni = ok.dni)))""",
+       driver_forms=DRIVER_FORMS, drc=DRC)
+oracle("clean_drivers", "SELECT form_seq, owner_user_id, full_name, dni, status, reasons FROM drc",
+       driver_forms=DRIVER_FORMS, drc=DRC)
+oracle("clean_dimension", f"""
+SELECT form_seq, trim(brand_text) AS brand, trim(model_text) AS model, upper(trim(plate_text)) AS plate,
+  CASE WHEN trim(year_text) = '' THEN NULL ELSE CAST({PINT('year_text')} AS INT) END AS year,
+  CASE WHEN status_text IN ('active', 'inactive') THEN status_text ELSE 'active' END AS status,
+  concat_ws(',', CASE WHEN trim(brand_text) = '' OR trim(model_text) = '' OR upper(trim(plate_text)) = ''
+                      THEN 'missing_fields' END) AS reasons
+FROM car_forms""", car_forms=CAR_FORMS)
