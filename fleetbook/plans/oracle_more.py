@@ -272,3 +272,356 @@ SELECT form_seq, trim(brand_text) AS brand, trim(model_text) AS model, upper(tri
   concat_ws(',', CASE WHEN trim(brand_text) = '' OR trim(model_text) = '' OR upper(trim(plate_text)) = ''
                       THEN 'missing_fields' END) AS reasons
 FROM car_forms""", car_forms=CAR_FORMS)
+
+# --- change batches (same derivations as fleetbook.sources.standins) --------------
+
+NCUST = "(SELECT COUNT(*) FROM customer)"
+NSUP = "(SELECT COUNT(*) FROM supplier)"
+KEY = ("period_type", "entry_date", "driver_id", "car_id")
+
+
+def KEYMATCH(a: str, b: str) -> str:
+    return " AND ".join(f"{a}.{k} = {b}.{k}" for k in KEY)
+
+
+ENTRY_UPDATES = f"""
+SELECT 'day' AS period_type, CAST(l_shipdate AS DATE) AS entry_date, l_suppkey + 1 AS driver_id, l_partkey + 1 AS car_id,
+  CAST(ROUND(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(1.1 AS DECIMAL(2,1)), 2) AS DECIMAL(12,2)) AS gross_income,
+  CAST(ROUND(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_discount AS DECIMAL(4,2)), 2) AS DECIMAL(12,2)) AS app_expenses,
+  CAST(0 AS DECIMAL(12,2)) AS cash_collected,
+  CAST(l_quantity * 900 AS DECIMAL(12,2)) AS rental_amount,
+  CAST(l_quantity * 12 AS DECIMAL(12,2)) AS fuel_cost,
+  CAST(l_quantity AS DECIMAL(10,2)) AS distance_km,
+  l_returnflag AS observations,
+  l_orderkey * 10 + l_linenumber AS change_seq,
+  l_orderkey % {NCUST} + 1 AS posted_by
+FROM lineitem WHERE l_returnflag = 'A' AND YEAR(l_shipdate) = 1997"""
+BILLING_CHANGES = f"""
+SELECT period_type, entry_date, driver_id, car_id,
+  CASE WHEN rental_billing_status = 'pending' THEN 'invoiced' ELSE 'facturado' END AS status_text,
+  car_id % {NCUST} + 1 AS posted_by
+FROM entries_unique WHERE year_number = 1996"""
+ENTRY_DELETES = f"""
+SELECT period_type, entry_date, driver_id, car_id, driver_id * 7 % {NCUST} + 1 AS posted_by
+FROM entries_unique WHERE year_number = 1998 AND period_type = 'week'"""
+STATUS_CHANGES = f"""
+SELECT id, CASE WHEN status = 'active' THEN 'inactivo' ELSE 'active' END AS status_text,
+  id * 3 % {NCUST} + 1 AS posted_by
+FROM drivers"""
+NOTE_POSTS = """
+SELECT o_orderkey + 1 AS change_seq, o_custkey + 1 AS posted_by,
+  CAST(isoyear(CAST(o_orderdate AS DATE)) AS VARCHAR) || '-W' || lpad(CAST(weekofyear(o_orderdate) AS VARCHAR), 2, '0') AS week_text,
+  CASE WHEN o_orderstatus = 'F' THEN '  ' ELSE ' posted ' || CAST(o_orderkey AS VARCHAR) END AS notes_text
+FROM orders WHERE o_orderpriority = '2-HIGH'"""
+ASSIGNMENTS = f"""
+SELECT l_orderkey AS change_seq, l_orderkey % {NCUST} + 1 AS posted_by, l_suppkey + 1 AS driver_id,
+  CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_partkey + 1 END AS car_id
+FROM lineitem WHERE l_linenumber = 1"""
+USER_EDITS = f"""
+SELECT id, id + CASE WHEN id % 5 = 0 THEN 0 ELSE 1 END AS posted_by, upper(full_name) AS full_name_text,
+  username AS username_text, CASE WHEN role = 'admin' THEN 'driver' ELSE 'admin' END AS role_text,
+  CASE WHEN role = 'admin' THEN id % {NSUP} + 1 END AS driver_id,
+  CASE WHEN id % 4 = 0 THEN 0 ELSE 1 END AS is_active
+FROM users"""
+DRIVER_EDITS = f"""
+SELECT s_suppkey + 1 AS id, s_suppkey * 11 % {NCUST} + 1 AS posted_by,
+  CASE WHEN s_suppkey % 9 = 0 THEN ' ' ELSE upper(s_name) END AS full_name_text,
+  CASE WHEN s_suppkey % 6 = 0 THEN '' ELSE CAST(30000000 + s_suppkey * 7 % 90 AS VARCHAR) END AS dni_text,
+  CASE WHEN s_acctbal > 5000 THEN 'inactive' ELSE 'active' END AS status_text
+FROM supplier"""
+LEGACY_USERS = """
+SELECT id, full_name, username, role, driver_id,
+  CASE WHEN is_active = 0 THEN NULL ELSE owner_user_id END AS owner_user_id, is_active
+FROM users"""
+TOKEN_REQUESTS = "SELECT user_id + 1 AS user_id FROM events WHERE event_type = 'signup' AND value > 200"
+TOKEN_RESETS = "SELECT user_id + 1 AS user_id FROM events WHERE event_type = 'purchase' AND value > 250"
+
+
+def JUDGED(batch: str, admin_only: bool) -> str:
+    not_admin = "CASE WHEN p.role = 'driver' THEN 'not_admin' END," if admin_only else ""
+    return f"""
+SELECT b.*, p.role AS p_role, COALESCE(p.owner_user_id, p.id) AS p_tenant, p.driver_id AS p_driver,
+  t.owner_user_id AS t_owner, t.driver_id AS t_driver,
+  concat_ws(',', CASE WHEN p.role IS NULL THEN 'no_session' END, {not_admin}
+    CASE WHEN p.role IS NOT NULL AND t.owner_user_id IS NULL THEN 'not_found' END,
+    CASE WHEN t.owner_user_id IS NOT NULL AND t.owner_user_id <> COALESCE(p.owner_user_id, p.id) THEN 'other_owner' END,
+    CASE WHEN t.owner_user_id IS NOT NULL AND p.role = 'driver' AND t.driver_id <> COALESCE(p.driver_id, 0)
+         THEN 'other_driver' END) AS reasons
+FROM {batch} b LEFT JOIN users p ON p.id = b.posted_by
+LEFT JOIN entries_unique t ON {KEYMATCH('t', 'b')}"""
+
+
+AMTS = ("gross_income", "app_expenses", "cash_collected", "rental_amount", "fuel_cost", "distance_km")
+ORDER_UPD = ", ".join(f"{c} DESC NULLS LAST" for c in AMTS + ("observations", "posted_by"))
+HIT = "n.change_seq IS NOT NULL"
+oracle("apply_entry_updates", f"""
+SELECT e.owner_user_id, e.period_type, e.entry_date, e.driver_id, e.car_id,
+  {', '.join(f'CASE WHEN {HIT} THEN n.{c} ELSE e.{c} END AS {c}' for c in AMTS[:4])},
+  e.rental_billing_status,
+  {', '.join(f'CASE WHEN {HIT} THEN n.{c} ELSE e.{c} END AS {c}' for c in AMTS[4:])},
+  e.created_by,
+  CASE WHEN {HIT} THEN CAST(ROUND(n.app_expenses + n.cash_collected + n.rental_amount, 2) AS DECIMAL(12,2))
+       ELSE e.total_expenses END AS total_expenses,
+  CASE WHEN {HIT} THEN CAST(ROUND(n.gross_income - (n.app_expenses + n.cash_collected + n.rental_amount), 2) AS DECIMAL(12,2))
+       ELSE e.net_total END AS net_total,
+  CAST(WEEKOFYEAR(e.entry_date) AS INT) AS week_number, CAST(MONTH(e.entry_date) AS INT) AS month_number,
+  CAST(YEAR(e.entry_date) AS INT) AS year_number,
+  CASE WHEN {HIT} THEN n.observations END AS observations,
+  CASE WHEN {HIT} THEN n.posted_by END AS updated_by
+FROM entries_unique e LEFT JOIN newest n ON {KEYMATCH('n', 'e')}""",
+       upd=ENTRY_UPDATES, judged=JUDGED("upd", False),
+       newest=f"""SELECT * FROM (SELECT j.*, ROW_NUMBER() OVER (PARTITION BY {', '.join(KEY)}
+                  ORDER BY change_seq DESC, {ORDER_UPD}) AS rn FROM judged j WHERE reasons = '') x WHERE rn = 1""")
+oracle("apply_billing_status", f"""
+SELECT e.owner_user_id, e.period_type, e.entry_date, e.driver_id, e.car_id, e.gross_income, e.app_expenses,
+  e.cash_collected, e.rental_amount,
+  CASE WHEN n.n_by IS NOT NULL THEN n.n_status ELSE e.rental_billing_status END AS rental_billing_status,
+  e.fuel_cost, e.distance_km, e.created_by, e.total_expenses, e.net_total, e.week_number, e.month_number,
+  e.year_number, n.n_by AS updated_by
+FROM entries_unique e LEFT JOIN newest n ON {KEYMATCH('n', 'e')}""",
+       bc=BILLING_CHANGES, judged=JUDGED("bc", True),
+       newest=f"""SELECT * FROM (SELECT {', '.join(KEY)}, {ENUM('status_text', ('pending', 'invoiced'), 'pending')} AS n_status,
+                  posted_by AS n_by, ROW_NUMBER() OVER (PARTITION BY {', '.join(KEY)} ORDER BY
+                  {ENUM('status_text', ('pending', 'invoiced'), 'pending')} DESC, posted_by DESC) AS rn
+                  FROM judged WHERE reasons = '') x WHERE rn = 1""")
+oracle("apply_deletes", f"""
+SELECT e.* FROM entries_unique e
+WHERE NOT EXISTS (SELECT 1 FROM judged j WHERE j.reasons = '' AND {KEYMATCH('j', 'e')})""",
+       ed=ENTRY_DELETES, judged=JUDGED("ed", False))
+oracle("change_rejects", f"""
+SELECT 'update' AS change, {', '.join(KEY)}, posted_by, reasons FROM ju WHERE reasons <> ''
+UNION ALL
+SELECT 'delete' AS change, {', '.join(KEY)}, posted_by, reasons FROM jd WHERE reasons <> ''""",
+       upd=ENTRY_UPDATES, ed=ENTRY_DELETES, ju=JUDGED("upd", False), jd=JUDGED("ed", False))
+oracle("apply_status", """
+SELECT d.id, d.owner_user_id, d.full_name, d.dni,
+  CASE WHEN ok.id IS NOT NULL THEN ok.n_status ELSE d.status END AS status
+FROM drivers d LEFT JOIN ok ON ok.id = d.id AND ok.n_owner = d.owner_user_id""",
+       sc=STATUS_CHANGES,
+       ok="""SELECT s.id, COALESCE(u.owner_user_id, u.id) AS n_owner,
+             MAX(CASE WHEN s.status_text = 'active' THEN 'active' ELSE 'inactive' END) AS n_status
+             FROM sc s JOIN users u ON u.id = s.posted_by WHERE u.role = 'admin' GROUP BY 1, 2""")
+oracle("upsert_notes", """
+SELECT COALESCE(w.owner_user_id, n.owner_user_id) AS owner_user_id, COALESCE(w.week_start, n.week_start) AS week_start,
+  CASE WHEN n.owner_user_id IS NOT NULL THEN n.n_end ELSE w.week_end END AS week_end,
+  CASE WHEN n.owner_user_id IS NOT NULL THEN n.n_notes ELSE w.notes END AS notes,
+  CASE WHEN w.owner_user_id IS NOT NULL THEN CAST(NULL AS BIGINT) ELSE n.n_by END AS created_by,
+  CASE WHEN n.owner_user_id IS NOT NULL THEN n.n_by ELSE w.updated_by END AS updated_by
+FROM weekly_money_notes w FULL OUTER JOIN newest n ON n.owner_user_id = w.owner_user_id AND n.week_start = w.week_start""",
+       np=NOTE_POSTS,
+       ok=f"""SELECT COALESCE(u.owner_user_id, u.id) AS owner_user_id,
+              {WS(VALID('p.week_text', WEEK_RE, AS_OF_WEEK))} AS week_start,
+              {WS(VALID('p.week_text', WEEK_RE, AS_OF_WEEK))} + 6 AS n_end,
+              trim(p.notes_text) AS n_notes, p.posted_by AS n_by, p.change_seq
+              FROM np p LEFT JOIN users u ON u.id = p.posted_by
+              WHERE u.role = 'admin' AND trim(p.notes_text) <> ''""",
+       newest="""SELECT * FROM (SELECT ok.*, ROW_NUMBER() OVER (PARTITION BY owner_user_id, week_start
+                 ORDER BY change_seq DESC, n_end DESC, n_notes DESC, n_by DESC) AS rn FROM ok) x WHERE rn = 1""")
+ASG_P = """SELECT a.*, u.role AS p_role, COALESCE(u.owner_user_id, u.id) AS p_tenant,
+  (a.car_id IS NULL OR EXISTS (SELECT 1 FROM cars c WHERE c.id = a.car_id
+      AND c.owner_user_id = COALESCE(u.owner_user_id, u.id) AND c.status = 'active')) AS car_ok
+FROM asg a LEFT JOIN users u ON u.id = a.posted_by"""
+oracle("apply_assignments", """
+SELECT c1.id, c1.owner_user_id, c1.brand, c1.model, c1.plate, c1.status,
+  CASE WHEN lp.lp_seq IS NOT NULL AND (c1.since IS NULL OR lp.lp_seq > c1.since) THEN NULL ELSE c1.holder END
+    AS current_driver_id
+FROM c1 LEFT JOIN last_post lp ON lp.lp_owner = c1.owner_user_id AND lp.lp_driver = c1.holder""",
+       asg=ASSIGNMENTS, ap=ASG_P,
+       valid="SELECT * FROM ap WHERE p_role = 'admin' AND car_ok",
+       last_post="SELECT p_tenant AS lp_owner, driver_id AS lp_driver, MAX(change_seq) AS lp_seq FROM valid GROUP BY 1, 2",
+       last_set="""SELECT car_id AS ls_car, driver_id AS ls_driver, change_seq AS ls_seq FROM (
+                   SELECT v.*, ROW_NUMBER() OVER (PARTITION BY car_id ORDER BY change_seq DESC, driver_id DESC) AS rn
+                   FROM valid v WHERE car_id IS NOT NULL) x WHERE rn = 1""",
+       c1="""SELECT c.*, CASE WHEN ls.ls_car IS NOT NULL THEN ls.ls_driver ELSE c.current_driver_id END AS holder,
+             ls.ls_seq AS since FROM cars c LEFT JOIN last_set ls ON ls.ls_car = c.id""")
+oracle("assignment_rejects", """
+SELECT change_seq, posted_by, driver_id, car_id, reasons FROM (
+  SELECT ap.*, concat_ws(',', CASE WHEN p_role IS NULL THEN 'no_session' END,
+                              CASE WHEN p_role = 'driver' THEN 'not_admin' END,
+                              CASE WHEN NOT car_ok THEN 'car_unavailable' END) AS reasons FROM ap) x
+WHERE reasons <> ''""", asg=ASSIGNMENTS, ap=ASG_P)
+DE_J = f"""
+SELECT e.id, e.posted_by, u.role AS p_role, COALESCE(u.owner_user_id, u.id) AS p_tenant, t.id AS t_id,
+  trim(e.full_name_text) AS full_name, NULLIF(trim(e.dni_text), '') AS dni,
+  {ENUM('e.status_text', ('active', 'inactive'), 'active')} AS status,
+  COALESCE(h.n > 1 OR h.mn <> e.id, FALSE) AS taken
+FROM de e LEFT JOIN users u ON u.id = e.posted_by
+LEFT JOIN drivers t ON t.id = e.id AND t.owner_user_id = COALESCE(u.owner_user_id, u.id)
+LEFT JOIN (SELECT owner_user_id, dni, COUNT(*) AS n, MIN(id) AS mn FROM drivers WHERE dni IS NOT NULL GROUP BY 1, 2) h
+  ON h.owner_user_id = COALESCE(u.owner_user_id, u.id) AND h.dni = NULLIF(trim(e.dni_text), '')"""
+DE_JUDGED = """
+SELECT j.id, j.posted_by, j.full_name, j.dni, j.status, concat_ws(',',
+  CASE WHEN j.p_role IS NULL THEN 'no_session' END, CASE WHEN j.p_role = 'driver' THEN 'not_admin' END,
+  CASE WHEN j.p_role IS NOT NULL AND j.t_id IS NULL THEN 'other_owner' END,
+  CASE WHEN j.full_name = '' THEN 'no_name' END,
+  CASE WHEN j.taken OR COALESCE(r.n, 0) > 1 THEN 'duplicate_dni' END) AS reasons
+FROM dej j LEFT JOIN (SELECT p_tenant, dni, COUNT(DISTINCT id) AS n FROM dej
+                      WHERE p_role = 'admin' AND t_id IS NOT NULL AND full_name <> '' AND dni IS NOT NULL
+                      GROUP BY 1, 2) r ON r.p_tenant = j.p_tenant AND r.dni = j.dni"""
+oracle("apply_dimension_updates", """
+SELECT d.id, d.owner_user_id,
+  CASE WHEN n.id IS NOT NULL THEN n.full_name ELSE d.full_name END AS full_name,
+  CASE WHEN n.id IS NOT NULL THEN n.dni ELSE d.dni END AS dni,
+  CASE WHEN n.id IS NOT NULL THEN n.status ELSE d.status END AS status
+FROM drivers d LEFT JOIN newest n ON n.id = d.id""",
+       de=DRIVER_EDITS, dej=DE_J, judged=DE_JUDGED,
+       newest="""SELECT * FROM (SELECT j.*, ROW_NUMBER() OVER (PARTITION BY id ORDER BY full_name DESC NULLS LAST,
+                 dni DESC NULLS LAST, status DESC NULLS LAST) AS rn FROM judged j WHERE reasons = '') x WHERE rn = 1""")
+oracle("driver_edit_rejects", "SELECT * FROM judged WHERE reasons <> ''", de=DRIVER_EDITS, dej=DE_J, judged=DE_JUDGED)
+oracle("user_rejects", """
+SELECT * FROM (
+SELECT j.id, j.posted_by, trim(j.full_name_text) AS full_name, trim(j.username_text) AS username, j.role,
+  j.linked_driver AS driver_id, j.is_active, concat_ws(',',
+  CASE WHEN NOT COALESCE(j.p_role = 'admin' AND j.m_username IN ('personal'), FALSE) THEN 'not_user_manager' END,
+  CASE WHEN trim(j.full_name_text) = '' OR trim(j.username_text) = '' THEN 'missing_fields' END,
+  CASE WHEN j.linked_driver IS NOT NULL AND NOT EXISTS (SELECT 1 FROM drivers d WHERE d.id = j.linked_driver
+       AND d.owner_user_id = j.p_tenant) THEN 'driver_not_in_owner' END,
+  CASE WHEN j.id = j.posted_by AND (j.role <> 'admin' OR j.is_active <> 1) THEN 'self_lock' END,
+  CASE WHEN NOT EXISTS (SELECT 1 FROM users t WHERE t.id = j.id AND t.owner_user_id = j.p_tenant)
+       THEN 'user_not_in_owner' END) AS reasons
+FROM uj j) x WHERE reasons <> ''""",
+       ue=USER_EDITS,
+       uj=f"""SELECT e.*, p.role AS p_role, COALESCE(p.owner_user_id, p.id) AS p_tenant, p.username AS m_username,
+              {ENUM('e.role_text', ('admin', 'driver'), 'driver')} AS role,
+              CASE WHEN {ENUM('e.role_text', ('admin', 'driver'), 'driver')} = 'admin' THEN NULL ELSE e.driver_id END
+                AS linked_driver
+              FROM ue e LEFT JOIN users p ON p.id = e.posted_by""")
+
+# --- audits ----------------------------------------------------------------------
+
+oracle("duplicate_entries", f"""
+SELECT {', '.join(KEY)}, COUNT(*) AS rows FROM daily_entries
+WHERE {' AND '.join(f'{k} IS NOT NULL' for k in KEY)}
+GROUP BY {', '.join(KEY)} HAVING COUNT(*) > 1""")
+oracle("duplicate_dni", """
+SELECT owner_user_id, dni, COUNT(*) AS rows FROM drivers
+WHERE owner_user_id IS NOT NULL AND dni IS NOT NULL GROUP BY 1, 2 HAVING COUNT(*) > 1""")
+FKS = [("daily_entries", "driver_id", "drivers"), ("daily_entries", "car_id", "cars"),
+       ("daily_entries", "created_by", "users"), ("cars", "current_driver_id", "drivers"),
+       ("users", "driver_id", "drivers"), ("general_expenses", "created_by", "users"),
+       ("weekly_money_notes", "updated_by", "users"), ("access_tokens", "user_id", "users")]
+oracle("orphan_entries", "\nUNION ALL\n".join(
+    f"""SELECT '{c}' AS child_table, '{fk}' AS fk_column, '{p}' AS parent_table, x.{fk} AS value, COUNT(*) AS rows
+        FROM {c} x WHERE x.{fk} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {p} q WHERE q.id = x.{fk})
+        GROUP BY x.{fk}""" for c, fk, p in FKS))
+oracle("delete_effects", """
+SELECT r.id, COALESCE(e.n, 0) AS entries_count, COALESCE(c.n, 0) AS cars_unlinked, COALESCE(u.n, 0) AS users_unlinked,
+  COALESCE(e.n, 0) > 0 AS blocked
+FROM (SELECT id FROM drivers WHERE status = 'inactive') r
+LEFT JOIN (SELECT driver_id, COUNT(*) AS n FROM daily_entries GROUP BY 1) e ON e.driver_id = r.id
+LEFT JOIN (SELECT current_driver_id, COUNT(*) AS n FROM cars GROUP BY 1) c ON c.current_driver_id = r.id
+LEFT JOIN (SELECT driver_id, COUNT(*) AS n FROM users GROUP BY 1) u ON u.driver_id = r.id""")
+
+# --- backfills ---------------------------------------------------------------------
+
+EVOLVED = """
+SELECT *, CAST(0 AS DECIMAL(12,2)) AS cash_collected, CAST(0 AS DECIMAL(12,2)) AS rental_amount,
+  'pending' AS rental_billing_status, CAST(0 AS DECIMAL(12,2)) AS fuel_cost, CAST(0 AS DECIMAL(10,2)) AS distance_km
+FROM legacy_entries"""
+LEG = ("(COALESCE(wash_cost, 0) + COALESCE(tolls_cost, 0) + COALESCE(maintenance_cost, 0)"
+       " + COALESCE(other_expenses, 0))")
+CLEAN_COMMON = """
+  CAST(COALESCE(cash_collected, 0) AS DECIMAL(12,2)) AS cash_collected,
+  CAST(COALESCE(rental_amount, 0) AS DECIMAL(12,2)) AS rental_amount,
+  CASE WHEN rental_billing_status = 'invoiced' THEN 'invoiced' ELSE 'pending' END AS rental_billing_status,
+  fuel_cost, CAST(COALESCE(distance_km, 0) AS DECIMAL(10,2)) AS distance_km"""
+oracle("evolve_schema", "SELECT * FROM evolved", evolved=EVOLVED)
+oracle("fold_legacy_costs", f"""
+SELECT owner_user_id, CASE WHEN period_type = 'week' THEN 'week' ELSE 'day' END AS period_type, entry_date,
+  driver_id, car_id, gross_income,
+  CAST(CASE WHEN app_expenses = 0 THEN {LEG} ELSE app_expenses END AS DECIMAL(12,2)) AS app_expenses,
+  wash_cost, tolls_cost, maintenance_cost, other_expenses,
+  CAST(CASE WHEN total_expenses = 0 THEN {LEG} ELSE total_expenses END AS DECIMAL(12,2)) AS total_expenses,
+  CAST(CASE WHEN net_total = 0 THEN gross_income - {LEG} ELSE net_total END AS DECIMAL(12,2)) AS net_total,
+  {CLEAN_COMMON}
+FROM evolved""", evolved=EVOLVED)
+oracle("clean_entries", f"""
+SELECT owner_user_id, CASE WHEN period_type = 'week' THEN 'week' ELSE 'day' END AS period_type, entry_date,
+  driver_id, car_id, gross_income,
+  CAST(COALESCE(app_expenses, 0) AS DECIMAL(12,2)) AS app_expenses,
+  CAST(COALESCE(total_expenses, 0) AS DECIMAL(12,2)) AS total_expenses,
+  CAST(CASE WHEN net_total = 0 THEN gross_income - CAST(COALESCE(total_expenses, 0) AS DECIMAL(12,2))
+            ELSE net_total END AS DECIMAL(12,2)) AS net_total,
+  {CLEAN_COMMON}
+FROM evolved""", evolved=EVOLVED.replace("SELECT *,", "SELECT * EXCLUDE (wash_cost, tolls_cost, maintenance_cost, other_expenses),"))
+
+
+def ADM(users: str) -> str:
+    return f"COALESCE((SELECT MIN(id) FROM {users} WHERE username = 'admin'), 1)"
+
+
+U1 = f"""
+SELECT id, full_name, username, role, driver_id,
+  CAST(CASE WHEN username IN ('admin', 'chofer') THEN {ADM('legacy_users')}
+            WHEN username = 'personal' AND (SELECT MIN(id) FROM legacy_users WHERE username = 'personal') IS NOT NULL
+              THEN (SELECT MIN(id) FROM legacy_users WHERE username = 'personal')
+            ELSE COALESCE(owner_user_id, id) END AS BIGINT) AS owner_user_id,
+  is_active
+FROM legacy_users"""
+
+
+def OWNERS(key: str) -> str:
+    return f"""SELECT e.{key} AS k, MIN(COALESCE(u.owner_user_id, e.created_by, {ADM('u1')})) AS o
+               FROM daily_entries e LEFT JOIN u1 u ON u.id = e.created_by
+               WHERE e.created_by IS NOT NULL GROUP BY e.{key}"""
+
+
+D1 = f"""
+SELECT d.id, CAST(CASE WHEN d.full_name = 'Chofer Demo' THEN {ADM('u1')} ELSE COALESCE(o.o, {ADM('u1')}) END AS BIGINT)
+  AS owner_user_id, d.full_name, d.dni, d.status
+FROM drivers d LEFT JOIN ({OWNERS('driver_id')}) o ON o.k = d.id"""
+C1 = f"""
+SELECT c.id, CAST(CASE WHEN c.plate = 'AA000AA' THEN {ADM('u1')} ELSE COALESCE(o.o, {ADM('u1')}) END AS BIGINT)
+  AS owner_user_id, c.brand, c.model, c.plate, c.status, c.current_driver_id
+FROM cars c LEFT JOIN ({OWNERS('car_id')}) o ON o.k = c.id"""
+E1 = f"""
+SELECT CAST(COALESCE(u.owner_user_id, d.owner_user_id, {ADM('u1')}) AS BIGINT) AS owner_user_id,
+  e.* EXCLUDE (owner_user_id)
+FROM daily_entries e LEFT JOIN u1 u ON u.id = e.created_by LEFT JOIN d1 d ON d.id = e.driver_id"""
+U2 = """
+SELECT u.id, u.full_name, u.username, u.role, u.driver_id,
+  CAST(CASE WHEN u.role = 'driver' AND d.id IS NOT NULL THEN d.owner_user_id ELSE u.owner_user_id END AS BIGINT)
+    AS owner_user_id, u.is_active
+FROM u1 u LEFT JOIN d1 d ON d.id = u.driver_id"""
+X1 = f"""
+SELECT ge.id, CAST(COALESCE(u.owner_user_id, {ADM('u2')}) AS BIGINT) AS owner_user_id, ge.expense_date, ge.amount,
+  ge.observations, ge.created_by
+FROM general_expenses ge LEFT JOIN u2 u ON u.id = ge.created_by"""
+MIG = dict(legacy_users=LEGACY_USERS, u1=U1, d1=D1, c1=C1, e1=E1, u2=U2, x1=X1)
+oracle("backfill_users", "SELECT * FROM u1", legacy_users=LEGACY_USERS, u1=U1)
+oracle("backfill_drivers", "SELECT * FROM d1", **MIG)
+oracle("backfill_cars", "SELECT * FROM c1", **MIG)
+oracle("backfill_entries", "SELECT * FROM e1", **MIG)
+oracle("backfill_driver_users", "SELECT * FROM u2", **MIG)
+oracle("backfill_expenses", "SELECT * FROM x1", **MIG)
+
+# --- access tokens -------------------------------------------------------------------
+
+oracle("valid_tokens", """
+SELECT t.*, u.username, u.role FROM access_tokens t JOIN users u ON u.id = t.user_id
+WHERE u.is_active = 1 AND t.expires_at > TIMESTAMP '2024-02-15 00:00:00' AND t.used_at IS NULL""")
+oracle("purge_tokens", """
+SELECT t.* FROM access_tokens t
+WHERE t.user_id NOT IN (SELECT user_id FROM token_resets)
+  AND NOT (t.used_at IS NULL AND t.user_id IN (SELECT user_id FROM token_requests))""",
+       token_requests=TOKEN_REQUESTS, token_resets=TOKEN_RESETS)
+oracle("last_access", """
+SELECT u.*, l.last_used AS last_login_at FROM users u
+LEFT JOIN (SELECT user_id, MAX(used_at) AS last_used FROM access_tokens WHERE used_at IS NOT NULL GROUP BY 1) l
+  ON l.user_id = u.id""")
+oracle("token_expiry", """
+SELECT id, user_id, created_at, created_at + INTERVAL 30 DAY AS remember_expires_at,
+  created_at + INTERVAL 1 HOUR AS reset_expires_at
+FROM access_tokens""")
+
+# --- list counts -----------------------------------------------------------------------
+
+oracle("list_counts", f"""
+SELECT 'entries' AS list, COUNT(*) AS rows FROM listed
+UNION ALL SELECT 'expenses', COUNT(*) FROM general_expenses
+  WHERE owner_user_id = {OWNER} AND expense_date BETWEEN {SQL_MONTH}
+UNION ALL SELECT 'days', COUNT(DISTINCT entry_date) FROM daily_entries
+  WHERE owner_user_id = {OWNER} AND entry_date BETWEEN {SQL_MONTH}
+UNION ALL SELECT 'drivers', COUNT(*) FROM drivers WHERE owner_user_id = {OWNER}
+UNION ALL SELECT 'cars', COUNT(*) FROM cars WHERE owner_user_id = {OWNER}
+UNION ALL SELECT 'users', COUNT(*) FROM users WHERE owner_user_id = {OWNER}""", listed=ENTRY_LIST)

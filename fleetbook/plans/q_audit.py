@@ -1,3 +1,157 @@
-"""Queries (filled in below)."""
+"""Audit, backfill, access-token and list-count queries."""
 
-from fleetbook.plans.catalog import query  # noqa: F401
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fleetbook.operators import access as W
+from fleetbook.operators import audits as Q
+from fleetbook.operators import backfill as B
+from fleetbook.operators import entries as E
+from fleetbook.operators import rollups, rosters
+from fleetbook.plans.catalog import query
+from fleetbook.plans.params import MONTH_RANGE, OWNER, TOKENS_AS_OF
+from fleetbook.scope import Scope
+from fleetbook.sources.standins import StandinBatches
+
+ADMIN = Scope.admin(OWNER)
+
+
+@query("duplicate_entries")
+def duplicate_entries(t):
+    """Entry unique-key groups holding more than one row."""
+    return Q.duplicate_entries(t.daily_entries)
+
+
+@query("duplicate_dni")
+def duplicate_dni(t):
+    """(tenant, dni) groups holding more than one driver."""
+    return Q.duplicate_dni(t.drivers)
+
+
+@query("orphan_entries")
+def orphan_entries(t):
+    """Foreign-key values without a parent row, over every foreign key."""
+    return Q.orphan_report({
+        "daily_entries": t.daily_entries, "drivers": t.drivers, "cars": t.cars, "users": t.users,
+        "general_expenses": t.general_expenses, "weekly_money_notes": t.weekly_money_notes,
+        "access_tokens": t.access_tokens})
+
+
+@query("delete_effects")
+def delete_effects(t):
+    """Effects of deleting every inactive driver (restricting entries, unlinked cars and users)."""
+    req = t.drivers.where(F.col("status") == "inactive").select("id")
+    return Q.driver_delete_effects(t.drivers, req, t.daily_entries, t.cars, t.users)
+
+
+# --- backfills -------------------------------------------------------------------
+
+LEGACY_COLS = list(B.LEGACY_COSTS)
+
+
+@query("evolve_schema")
+def evolve_schema(t):
+    """Legacy entries with the missing columns added at their defaults."""
+    return B.evolve_schema(t.legacy_entries)
+
+
+@query("fold_legacy_costs")
+def fold_legacy_costs(t):
+    """Legacy entries evolved, normalised, and legacy costs folded into the amounts."""
+    return B.fold_legacy_costs(B.evolve_schema(t.legacy_entries))
+
+
+@query("clean_entries")
+def clean_entries(t):
+    """Entries without legacy columns evolved and cleaned (zero net = gross - total)."""
+    return B.fold_legacy_costs(B.evolve_schema(t.legacy_entries.drop(*LEGACY_COLS)))
+
+
+def _migration(t):
+    s = StandinBatches(t)
+    return B.workspace_migration(s.legacy_users, t.drivers, t.cars, t.daily_entries, t.general_expenses)
+
+
+@query("backfill_users")
+def backfill_users(t):
+    """Users given an owner (own id when missing; named accounts fixed)."""
+    return B.backfill_users(StandinBatches(t).legacy_users)
+
+
+@query("backfill_drivers")
+def backfill_drivers(t):
+    """Drivers with owners inferred from their entries' creators."""
+    return _migration(t)["drivers"]
+
+
+@query("backfill_cars")
+def backfill_cars(t):
+    """Cars with owners inferred from their entries' creators."""
+    return _migration(t)["cars"]
+
+
+@query("backfill_entries")
+def backfill_entries(t):
+    """Entries owned by their creator's, else their driver's, owner."""
+    return _migration(t)["daily_entries"]
+
+
+@query("backfill_driver_users")
+def backfill_driver_users(t):
+    """Users after driver users take their driver's owner."""
+    return _migration(t)["users"]
+
+
+@query("backfill_expenses")
+def backfill_expenses(t):
+    """Fleet expenses owned by their creator's owner."""
+    return _migration(t)["general_expenses"]
+
+
+# --- access tokens -----------------------------------------------------------------
+
+@query("valid_tokens")
+def valid_tokens(t):
+    """Tokens usable at 2024-02-15 00:00 (unexpired, unused, active user)."""
+    return W.valid_tokens(t.access_tokens, t.users, TOKENS_AS_OF)
+
+
+@query("purge_tokens")
+def purge_tokens(t):
+    """Tokens left after the purges of new requests and completed resets."""
+    s = StandinBatches(t)
+    return W.purge_tokens(t.access_tokens, s.token_requests, s.token_resets)
+
+
+@query("last_access")
+def last_access(t):
+    """Users with their last access stamped from token use."""
+    return W.last_access(t.users, t.access_tokens)
+
+
+@query("token_expiry")
+def token_expiry(t):
+    """Remember-me and reset expiry of every token from its creation time."""
+    return W.token_expiry(t.access_tokens)
+
+
+# --- list counts -------------------------------------------------------------------
+
+@query("list_counts")
+def list_counts(t):
+    """Row counts of the lists a tenant-1 admin sees for March 1997."""
+    lists: dict[str, DataFrame] = {
+        "entries": E.entry_list(t.daily_entries, t.drivers, t.cars, ADMIN, MONTH_RANGE),
+        "expenses": E.expense_list(t.general_expenses, t.users, OWNER, MONTH_RANGE),
+        "days": rollups.daily_rollup(t.daily_entries, ADMIN, MONTH_RANGE),
+        "drivers": rosters.driver_roster(t.drivers, t.cars, t.daily_entries, ADMIN, MONTH_RANGE),
+        "cars": rosters.car_roster(t.cars, t.drivers, t.daily_entries, ADMIN),
+        "users": rosters.user_roster(t.users, t.drivers, OWNER),
+    }
+    parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("list"), "rows")
+             for name, df in lists.items()]
+    return reduce(DataFrame.unionByName, parts)

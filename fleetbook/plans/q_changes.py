@@ -1,3 +1,88 @@
-"""Queries (filled in below)."""
+"""Change-application queries (C-rows) and their reject reports (Q6, Q7)."""
 
-from fleetbook.plans.catalog import query  # noqa: F401
+from __future__ import annotations
+
+from fleetbook.operators import changes as C
+from fleetbook.plans.catalog import query
+from fleetbook.plans.params import AS_OF
+from fleetbook.sources.standins import StandinBatches
+
+
+@query("apply_entry_updates")
+def apply_entry_updates(t):
+    """Entries after the posted amount edits (tenant / own-driver checks, newest wins)."""
+    s = StandinBatches(t)
+    return C.apply_entry_updates(t.entries_unique, s.entry_updates, t.users)
+
+
+@query("apply_billing_status")
+def apply_billing_status(t):
+    """Entries after billing-status changes by admins of the entry's tenant."""
+    s = StandinBatches(t)
+    return C.apply_billing_status(t.entries_unique, s.billing_changes, t.users)
+
+
+@query("apply_status")
+def apply_status(t):
+    """Drivers after activate / deactivate requests by admins of their tenant."""
+    s = StandinBatches(t)
+    return C.apply_status(t.drivers, s.status_changes, t.users)
+
+
+@query("apply_deletes")
+def apply_deletes(t):
+    """Entries after the allowed delete requests."""
+    s = StandinBatches(t)
+    return C.apply_deletes(t.entries_unique, s.entry_deletes, t.users)
+
+
+@query("upsert_notes")
+def upsert_notes(t):
+    """Week notes after posted notes (insert or overwrite; creator kept)."""
+    s = StandinBatches(t)
+    return C.upsert_notes(t.weekly_money_notes, s.note_posts, t.users, AS_OF)
+
+
+@query("apply_assignments")
+def apply_assignments(t):
+    """Cars after the car-assignment posts, as if applied in posting order."""
+    s = StandinBatches(t)
+    return C.apply_assignments(t.cars, s.assignments, t.users)
+
+
+@query("assignment_rejects")
+def assignment_rejects(t):
+    """Car-assignment posts that are rejected, with reasons."""
+    s = StandinBatches(t)
+    return C.assignment_rejects(t.cars, s.assignments, t.users)
+
+
+@query("apply_dimension_updates")
+def apply_dimension_updates(t):
+    """Drivers after the accepted driver edits (name, dni, status)."""
+    s = StandinBatches(t)
+    return C.apply_driver_edits(t.drivers, s.driver_edits, t.users)
+
+
+@query("driver_edit_rejects")
+def driver_edit_rejects(t):
+    """Driver edits that are rejected, with reasons."""
+    s = StandinBatches(t)
+    j = C.judge_driver_edits(s.driver_edits, t.drivers, t.users)
+    return j.where(j.reasons != "")
+
+
+@query("change_rejects")
+def change_rejects(t):
+    """Entry edits and deletes rejected for session, ownership or driver reasons."""
+    s = StandinBatches(t)
+    return C.entry_change_rejects(t.entries_unique, t.users, s.entry_updates, s.entry_deletes)
+
+
+@query("user_rejects")
+def user_rejects(t):
+    """User edits rejected, with every failed rule (manager, fields, driver,
+    self-lock, tenant)."""
+    s = StandinBatches(t)
+    j = C.judge_user_edits(s.user_edits, t.users, t.drivers)
+    return j.where(j.reasons != "")

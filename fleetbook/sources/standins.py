@@ -218,3 +218,37 @@ class StandinBatches:
             .alias("driver_id"),
             F.when(F.col("id") % 4 == 0, F.lit(0)).otherwise(F.lit(1)).alias("is_active"),
         )
+
+    @cached_property
+    def driver_edits(self) -> DataFrame:
+        """Driver edit posts: one per supplier, posted by a user each."""
+        s = self.t.raw("supplier")
+        k = F.col("s_suppkey")
+        return s.select(
+            (k + 1).alias("id"),
+            (k * 11 % self.t.customer_count + 1).alias("posted_by"),
+            F.when(k % 9 == 0, F.lit(" ")).otherwise(F.upper("s_name")).alias("full_name_text"),
+            F.when(k % 6 == 0, F.lit("")).otherwise((F.lit(30000000) + k * 7 % 90).cast("string"))
+            .alias("dni_text"),
+            F.when(F.col("s_acctbal") > 5000, F.lit("inactive")).otherwise(F.lit("active"))
+            .alias("status_text"),
+        )
+
+    @cached_property
+    def legacy_users(self) -> DataFrame:
+        """Users as before the workspace migration: inactive ones have no owner yet."""
+        u = self.t.users
+        return u.withColumn("owner_user_id", F.when(F.col("is_active") == 0, F.lit(None).cast("bigint"))
+                            .otherwise(F.col("owner_user_id")))
+
+    @cached_property
+    def token_requests(self) -> DataFrame:
+        """New reset requests: users of sign-up events with value above 200."""
+        ev = self.t.raw("events").where((F.col("event_type") == "signup") & (F.col("value") > 200))
+        return ev.select((F.col("user_id") + 1).alias("user_id"))
+
+    @cached_property
+    def token_resets(self) -> DataFrame:
+        """Completed resets: users of purchase events with value above 250."""
+        ev = self.t.raw("events").where((F.col("event_type") == "purchase") & (F.col("value") > 250))
+        return ev.select((F.col("user_id") + 1).alias("user_id"))
