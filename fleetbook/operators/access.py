@@ -31,7 +31,7 @@ def purge_tokens(tokens: DataFrame, requests: DataFrame, resets: DataFrame) -> D
     rst = resets.select(F.col("user_id")).distinct()
     unused_of_requesters = tokens.where(F.col("used_at").isNull()).join(req, "user_id", "left_semi")
     kept = tokens.join(rst, "user_id", "left_anti")
-    return kept.join(unused_of_requesters.select("id"), "id", "left_anti")
+    return kept.join(unused_of_requesters.select("id"), "id", "left_anti").select(*tokens.columns)
 
 
 def last_access(users: DataFrame, tokens: DataFrame) -> DataFrame:

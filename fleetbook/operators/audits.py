@@ -81,4 +81,4 @@ def apply_driver_deletes(drivers: DataFrame, requests: DataFrame, entries: DataF
     """Drivers after the deletes that no entry restricts."""
     used = entries.select(F.col("driver_id").alias("id")).join(requests.select("id"), "id", "left_semi")
     gone = requests.select("id").join(used, "id", "left_anti")
-    return drivers.join(gone, "id", "left_anti")
+    return drivers.join(gone, "id", "left_anti").select(*drivers.columns)

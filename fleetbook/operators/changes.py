@@ -132,7 +132,7 @@ def apply_deletes(entries: DataFrame, deletes: DataFrame, users: DataFrame) -> D
     """Entries after allowed delete requests (tenant's admins; driver users own entries)."""
     judged = entry_change_targets(deletes, entries, users)
     gone = judged.where(F.col("reasons") == "").select(*ENTRY_KEY).distinct()
-    return entries.join(gone, ENTRY_KEY, "left_anti")
+    return entries.join(gone, ENTRY_KEY, "left_anti").select(*entries.columns)
 
 
 def entry_change_rejects(entries: DataFrame, users: DataFrame, updates: DataFrame,
