@@ -57,8 +57,19 @@ def entry_scope(df: DataFrame, scope: Scope) -> DataFrame:
 
 
 def in_period(df: DataFrame, rng: PeriodRange, col: str = "entry_date") -> DataFrame:
-    """Inclusive date range (``BETWEEN start AND end``)."""
-    return df.where(F.col(col).between(F.lit(rng.start), F.lit(rng.end)))
+    """Inclusive date range (``BETWEEN start AND end``).
+
+    On entries, ``year_number`` / ``month_number`` are the calendar year and
+    month of ``entry_date`` by construction, so the range also implies a
+    month range; stating it lets Spark skip whole (year, month) partitions
+    of a stored entry table instead of only filtering rows.
+    """
+    out = df.where(F.col(col).between(F.lit(rng.start), F.lit(rng.end)))
+    if col == "entry_date" and {"year_number", "month_number"} <= set(df.columns):
+        ym = F.col("year_number") * 100 + F.col("month_number")
+        out = out.where(ym.between(rng.start.year * 100 + rng.start.month,
+                                   rng.end.year * 100 + rng.end.month))
+    return out
 
 
 def by_billing_status(df: DataFrame, status: str) -> DataFrame:

@@ -22,6 +22,7 @@ from fleetbook.functions import periods as P
 from fleetbook.functions.amounts import clean_enum, empty_to_null, parse_amount, upper_trim
 from fleetbook.operators.entries import entry_math
 from fleetbook.schemas import UNIQUE_KEYS
+from fleetbook.session import materialize, spread
 
 ENTRY_KEY = list(UNIQUE_KEYS["daily_entries"])
 
@@ -69,9 +70,10 @@ def clean_entry_forms(forms: DataFrame, users: DataFrame, as_of: dt.date) -> Dat
     for syntax with ``as_of`` as "today"; a weekly load is dated on the Monday
     of its week, a daily load gets the ISO week of its date. A driver user
     always loads for its own driver and its status is always pending.
-    Amounts are es-AR texts.
+    Amounts are es-AR texts. The batch is spread over the cluster first, as
+    the cleaning is the CPU-heavy step of the job.
     """
-    f = with_poster(forms, users)
+    f = with_poster(spread(forms), users)
     is_driver = F.col("_p_role") == "driver"
     is_admin = F.col("_p_role") == "admin"
     weekly = clean_enum("period_type_text", "period_type") == "week"
@@ -163,8 +165,16 @@ def batch_key_conflicts(batch: DataFrame, existing: DataFrame, key: list[str]) -
         .when(F.col("_n") > 1, F.lit(R_DUPLICATE_IN_BATCH))).drop("_taken", "_n")
 
 
-def split_loads(validated: DataFrame, existing: DataFrame, key: list[str] = ENTRY_KEY):
-    """(accepted, rejected) of a validated entry batch, duplicates included."""
+def split_loads(validated: DataFrame, existing: DataFrame, key: list[str] = ENTRY_KEY,
+                checkpoint: bool = True):
+    """(accepted, rejected) of a validated entry batch, duplicates included.
+
+    The validated batch feeds four branches (rejects, accepted rows, key
+    lookup in the table, in-batch key counts); it is checkpointed once so
+    the cleaning joins run once and the append's lineage starts there.
+    """
+    if checkpoint:
+        validated = materialize(validated)
     ok = validated.where(F.col("reasons") == "")
     checked = batch_key_conflicts(ok, existing, key)
     accepted = checked.where(F.col("_conflict").isNull()).drop("_conflict")

@@ -15,11 +15,16 @@ from fleetbook.sources.fixtures import TestdataTables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
+BODIES: dict[str, Callable] = {}
 DOCS: dict[str, str] = {}
 
 
 def query(name: str):
-    """Register ``fn(tables) -> DataFrame`` under ``name``."""
+    """Register ``fn(tables) -> DataFrame`` under ``name``.
+
+    ``tables`` is any provider of the fleet tables (``TestdataTables`` for
+    the registered form, ``StagedTables`` for stored tables).
+    """
 
     def deco(fn: Callable[[TestdataTables], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,14 +33,25 @@ def query(name: str):
         run.__name__ = name
         run.__doc__ = fn.__doc__
         REGISTRY[name] = run
+        BODIES[name] = fn
         DOCS[name] = (fn.__doc__ or "").strip()
         return fn
 
     return deco
 
 
-def queries() -> dict[str, QueryFn]:
+def _load():
     # importing the modules registers their queries
     from fleetbook.plans import q_report, q_panel, q_rosters  # noqa: F401
     from fleetbook.plans import q_scalar, q_loads, q_changes, q_audit  # noqa: F401
+
+
+def queries() -> dict[str, QueryFn]:
+    _load()
     return dict(REGISTRY)
+
+
+def query_bodies() -> dict[str, Callable]:
+    """Query bodies taking a table provider instead of a folder."""
+    _load()
+    return dict(BODIES)

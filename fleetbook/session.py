@@ -78,3 +78,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
     return local
+
+
+def materialize(df):
+    """Reliably checkpoint ``df`` into the shared checkpoint folder and return
+    the checkpointed DataFrame (lineage cut; survives executor loss, unlike a
+    local checkpoint or a cache)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def spread(df):
+    """Spread rows evenly (round robin) over the session's shuffle partitions.
+
+    Used before CPU-heavy per-row work on a batch whose input may come in
+    few splits; round robin cannot be skewed by a hot key, and an explicit
+    partition count is kept as is by adaptive execution.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n)
