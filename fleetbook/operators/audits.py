@@ -82,3 +82,17 @@ def apply_driver_deletes(drivers: DataFrame, requests: DataFrame, entries: DataF
     used = entries.select(F.col("driver_id").alias("id")).join(requests.select("id"), "id", "left_semi")
     gone = requests.select("id").join(used, "id", "left_anti")
     return drivers.join(gone, "id", "left_anti").select(*drivers.columns)
+
+
+def unique_violations(tables: dict[str, DataFrame]) -> DataFrame:
+    """Every unique key of the data model with its violating groups, the key
+    values joined into one text (``|``-separated)."""
+    parts = []
+    for name, key in UNIQUE_KEYS.items():
+        if name not in tables:
+            continue
+        dup = duplicate_keys(tables[name], key)
+        parts.append(dup.select(F.lit(name).alias("table_name"), F.lit(",".join(key)).alias("key_columns"),
+                                F.concat_ws("|", *[F.col(k).cast("string") for k in key]).alias("key_value"),
+                                "rows"))
+    return reduce(DataFrame.unionByName, parts)

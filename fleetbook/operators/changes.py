@@ -347,3 +347,65 @@ def apply_driver_edits(drivers: DataFrame, edits: DataFrame, users: DataFrame) -
     changed = {"full_name", "dni", "status"}
     return j.select(*[F.when(hit, F.col(f"_n_{x}")).otherwise(drivers[x]).alias(x) if x in changed
                       else drivers[x] for x in drivers.columns])
+
+
+# --- expenses, notes, cars ----------------------------------------------------------
+
+def apply_expense_deletes(expenses: DataFrame, deletes: DataFrame, users: DataFrame) -> DataFrame:
+    """Fleet expenses after delete requests by admins of the expense's tenant."""
+    p = with_poster(deletes, users).where(F.col("_p_role") == "admin")
+    gone = p.select(F.col("id").alias("_g_id"), F.col("_p_tenant").alias("_g_owner")).distinct()
+    out = expenses.join(gone, (expenses.id == gone._g_id) & (expenses.owner_user_id == gone._g_owner), "left_anti")
+    return out.select(*expenses.columns)
+
+
+def apply_note_deletes(notes: DataFrame, deletes: DataFrame, users: DataFrame, as_of: dt.date) -> DataFrame:
+    """Week notes after delete posts (admins; the note of the poster's tenant and week)."""
+    p = with_poster(deletes, users).where(F.col("_p_role") == "admin")
+    week = P.valid_or_default("week_text", P.WEEK_RE, P.valid_week_or_current(None, as_of))
+    start, _ = P.week_bounds_of_text(week)
+    gone = p.select(F.col("_p_tenant").alias("owner_user_id"), start.alias("week_start")).distinct()
+    return notes.join(gone, ["owner_user_id", "week_start"], "left_anti").select(*notes.columns)
+
+
+R_MISSING_FIELDS = "missing_fields"
+R_DUPLICATE_PLATE = "duplicate_plate"
+
+
+def judge_car_edits(cleaned_forms: DataFrame, cars: DataFrame, users: DataFrame) -> DataFrame:
+    """Cleaned car edit forms (``form_seq`` is the car id) with reasons: admins
+    of the car's tenant only, brand / model / plate required, and the plate
+    must not belong to another car of the tenant nor repeat in the batch."""
+    p = with_poster(cleaned_forms.withColumnRenamed("form_seq", "id"), users)
+    tgt = cars.select(F.col("id").alias("_t_id"), F.col("owner_user_id").alias("_t_owner"))
+    p = p.join(tgt, (p.id == tgt._t_id) & (p._p_tenant == tgt._t_owner), "left")
+    held = (cars.groupBy(F.col("owner_user_id").alias("_x_owner"), F.col("plate").alias("_x_plate"))
+                .agg(F.count(F.lit(1)).alias("_x_n"), F.min("id").alias("_x_min")))
+    p = p.join(held, (p._p_tenant == held._x_owner) & (p.plate == held._x_plate), "left")
+    taken = F.coalesce((F.col("_x_n") > 1) | (F.col("_x_min") != F.col("id")), F.lit(False))
+    base_ok = (F.col("_p_role") == "admin") & F.col("_t_id").isNotNull() & (F.col("reasons") == "")
+    okp = p.where(base_ok)
+    rep = okp.groupBy(F.col("_p_tenant").alias("_r_owner"), F.col("plate").alias("_r_plate")).agg(
+        F.countDistinct("id").alias("_r_n"))
+    p = p.join(rep, (p._p_tenant == rep._r_owner) & (p.plate == rep._r_plate), "left")
+    reasons = reasons_of(
+        (F.col("_p_role").isNull(), R_NO_SESSION),
+        (F.col("_p_role") == "driver", R_NOT_ADMIN),
+        (F.col("_p_role").isNotNull() & F.col("_t_id").isNull(), R_OTHER_OWNER),
+        (F.col("reasons") != "", R_MISSING_FIELDS),
+        (taken | (F.coalesce(F.col("_r_n"), F.lit(0)) > 1), R_DUPLICATE_PLATE),
+    )
+    return p.select("id", "posted_by", "brand", "model", "plate", "year", "status",
+                    reasons.alias("reasons"))
+
+
+def apply_car_edits(cars: DataFrame, cleaned_forms: DataFrame, users: DataFrame) -> DataFrame:
+    """Cars after the accepted edits (brand, model, plate, year, status)."""
+    ok = judge_car_edits(cleaned_forms, cars, users).where(F.col("reasons") == "")
+    ok = newest_per_key(ok.drop("posted_by", "reasons"), ["id"], None)
+    changed = ("brand", "model", "plate", "year", "status")
+    n = ok.select(F.col("id").alias("_n_id"), *[F.col(c).alias(f"_n_{c}") for c in changed])
+    j = cars.join(n, cars.id == n._n_id, "left")
+    hit = F.col("_n_id").isNotNull()
+    return j.select(*[F.when(hit, F.col(f"_n_{x}")).otherwise(cars[x]).alias(x) if x in changed
+                      else cars[x] for x in cars.columns])

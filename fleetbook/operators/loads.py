@@ -255,8 +255,9 @@ def clean_car_forms(forms: DataFrame) -> DataFrame:
     """Parse car edit forms: trimmed brand / model, upper-case plate, year or
     NULL, allow-listed status; brand, model and plate are required."""
     brand, model, plate = F.trim("brand_text"), F.trim("model_text"), upper_trim("plate_text")
+    poster = ["posted_by"] if "posted_by" in forms.columns else []
     return forms.select(
-        "form_seq", brand.alias("brand"), model.alias("model"), plate.alias("plate"),
+        "form_seq", *poster, brand.alias("brand"), model.alias("model"), plate.alias("plate"),
         F.when(F.trim("year_text") == "", F.lit(None).cast("int"))
         .otherwise(parse_int("year_text").cast("int")).alias("year"),
         clean_enum("status_text", "status").alias("status"),

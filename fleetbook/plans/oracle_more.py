@@ -86,7 +86,8 @@ SELECT c_custkey + 1 AS form_seq, c_custkey + 1 AS posted_by, '  ' || c_name ||
 FROM customer"""
 
 CAR_FORMS = """
-SELECT p_partkey + 1 AS form_seq, ' ' || p_brand AS brand_text,
+SELECT p_partkey + 1 AS form_seq, p_partkey * 13 % (SELECT COUNT(*) FROM customer) + 1 AS posted_by,
+  ' ' || p_brand AS brand_text,
   CASE WHEN p_size = 1 THEN ' ' ELSE p_type END AS model_text,
   ' p' || CAST(p_partkey AS VARCHAR) || ' ' AS plate_text,
   CASE WHEN p_size > 40 THEN '' ELSE CAST(1990 + p_size AS VARCHAR) END AS year_text,
@@ -625,3 +626,72 @@ UNION ALL SELECT 'days', COUNT(DISTINCT entry_date) FROM daily_entries
 UNION ALL SELECT 'drivers', COUNT(*) FROM drivers WHERE owner_user_id = {OWNER}
 UNION ALL SELECT 'cars', COUNT(*) FROM cars WHERE owner_user_id = {OWNER}
 UNION ALL SELECT 'users', COUNT(*) FROM users WHERE owner_user_id = {OWNER}""", listed=ENTRY_LIST)
+
+
+# --- more changes, unique keys, driver-user rosters ----------------------------------------
+
+oracle("apply_status_cars", """
+SELECT c.id, c.owner_user_id, c.brand, c.model, c.plate,
+  CASE WHEN ok.id IS NOT NULL THEN ok.n_status ELSE c.status END AS status, c.current_driver_id
+FROM cars c LEFT JOIN ok ON ok.id = c.id AND ok.n_owner = c.owner_user_id""",
+       sc=f"""SELECT id, CASE WHEN status = 'active' THEN 'inactive' ELSE 'active' END AS status_text,
+              id * 5 % {NCUST} + 1 AS posted_by FROM cars""",
+       ok="""SELECT s.id, COALESCE(u.owner_user_id, u.id) AS n_owner,
+             MAX(CASE WHEN s.status_text = 'active' THEN 'active' ELSE 'inactive' END) AS n_status
+             FROM sc s JOIN users u ON u.id = s.posted_by WHERE u.role = 'admin' GROUP BY 1, 2""")
+oracle("apply_expense_deletes", """
+SELECT ge.* FROM general_expenses ge
+WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.id = ge.id AND g.owner = ge.owner_user_id)""",
+       xd="SELECT id, created_by AS posted_by FROM general_expenses WHERE observations = ''",
+       gone="""SELECT DISTINCT x.id, COALESCE(u.owner_user_id, u.id) AS owner FROM xd x
+               JOIN users u ON u.id = x.posted_by WHERE u.role = 'admin'""")
+oracle("apply_note_deletes", """
+SELECT w.* FROM weekly_money_notes w
+WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.owner_user_id = w.owner_user_id AND g.week_start = w.week_start)""",
+       nd="""SELECT o_custkey + 1 AS posted_by,
+             CAST(isoyear(CAST(o_orderdate AS DATE)) AS VARCHAR) || '-W' || lpad(CAST(weekofyear(o_orderdate) AS VARCHAR), 2, '0') AS week_text
+             FROM orders WHERE o_orderpriority = '4-NOT SPECIFIED'""",
+       gone=f"""SELECT DISTINCT COALESCE(u.owner_user_id, u.id) AS owner_user_id,
+                {WS(VALID('nd.week_text', WEEK_RE, AS_OF_WEEK))} AS week_start
+                FROM nd JOIN users u ON u.id = nd.posted_by WHERE u.role = 'admin'""")
+CC = f"""
+SELECT form_seq AS id, posted_by, trim(brand_text) AS brand, trim(model_text) AS model, upper(trim(plate_text)) AS plate,
+  CASE WHEN trim(year_text) = '' THEN NULL ELSE CAST({PINT('year_text')} AS INT) END AS year,
+  CASE WHEN status_text IN ('active', 'inactive') THEN status_text ELSE 'active' END AS status,
+  concat_ws(',', CASE WHEN trim(brand_text) = '' OR trim(model_text) = '' OR upper(trim(plate_text)) = ''
+                      THEN 'missing_fields' END) AS reasons
+FROM car_forms"""
+CJ = """
+SELECT c.*, u.role AS p_role, COALESCE(u.owner_user_id, u.id) AS p_tenant, t.id AS t_id,
+  COALESCE(h.n > 1 OR h.mn <> c.id, FALSE) AS taken
+FROM cc c LEFT JOIN users u ON u.id = c.posted_by
+LEFT JOIN cars t ON t.id = c.id AND t.owner_user_id = COALESCE(u.owner_user_id, u.id)
+LEFT JOIN (SELECT owner_user_id, plate, COUNT(*) AS n, MIN(id) AS mn FROM cars GROUP BY 1, 2) h
+  ON h.owner_user_id = COALESCE(u.owner_user_id, u.id) AND h.plate = c.plate"""
+CJUDGED = """
+SELECT j.id, j.posted_by, j.brand, j.model, j.plate, j.year, j.status, concat_ws(',',
+  CASE WHEN j.p_role IS NULL THEN 'no_session' END, CASE WHEN j.p_role = 'driver' THEN 'not_admin' END,
+  CASE WHEN j.p_role IS NOT NULL AND j.t_id IS NULL THEN 'other_owner' END,
+  CASE WHEN j.reasons <> '' THEN 'missing_fields' END,
+  CASE WHEN j.taken OR COALESCE(r.n, 0) > 1 THEN 'duplicate_plate' END) AS reasons
+FROM cj j LEFT JOIN (SELECT p_tenant, plate, COUNT(DISTINCT id) AS n FROM cj
+                     WHERE p_role = 'admin' AND t_id IS NOT NULL AND reasons = '' GROUP BY 1, 2) r
+  ON r.p_tenant = j.p_tenant AND r.plate = j.plate"""
+CARS_EDIT = dict(car_forms=CAR_FORMS, cc=CC, cj=CJ, cjudged=CJUDGED)
+oracle("apply_car_edits", """
+SELECT c.id, c.owner_user_id,
+  CASE WHEN n.id IS NOT NULL THEN n.brand ELSE c.brand END AS brand,
+  CASE WHEN n.id IS NOT NULL THEN n.model ELSE c.model END AS model,
+  CASE WHEN n.id IS NOT NULL THEN n.plate ELSE c.plate END AS plate,
+  CASE WHEN n.id IS NOT NULL THEN n.status ELSE c.status END AS status,
+  c.current_driver_id
+FROM cars c LEFT JOIN (SELECT * FROM cjudged WHERE reasons = '') n ON n.id = c.id""", **CARS_EDIT)
+oracle("car_edit_rejects", "SELECT * FROM cjudged WHERE reasons <> ''", **CARS_EDIT)
+
+UKEYS = [("daily_entries", KEY), ("drivers", ("owner_user_id", "dni")), ("cars", ("owner_user_id", "plate")),
+         ("users", ("username",)), ("weekly_money_notes", ("owner_user_id", "week_start"))]
+oracle("unique_violations", "\nUNION ALL\n".join(
+    f"""SELECT '{t}' AS table_name, '{",".join(k)}' AS key_columns,
+        concat_ws('|', {", ".join(f"CAST({c} AS VARCHAR)" for c in k)}) AS key_value, COUNT(*) AS rows
+        FROM {t} WHERE {" AND ".join(f"{c} IS NOT NULL" for c in k)}
+        GROUP BY {", ".join(k)} HAVING COUNT(*) > 1""" for t, k in UKEYS))

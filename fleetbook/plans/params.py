@@ -31,8 +31,17 @@ def first_driver_of_owner(drivers, owner: int = OWNER) -> Column:
     return drivers.where(F.col("owner_user_id") == owner).select(F.min("id")).scalar()
 
 
+def first_holder_of_owner(drivers, cars, owner: int = OWNER) -> Column:
+    """Smallest id of an owner's drivers that currently hold a car (scalar subquery)."""
+    mine = drivers.where(F.col("owner_user_id") == owner).select(F.col("id").alias("_h_id"))
+    held = cars.join(mine, cars.current_driver_id == mine._h_id, "left_semi")
+    return held.select(F.min("current_driver_id")).scalar()
+
+
 # SQL text of the same parameters for the DuckDB oracle.
 SQL_DRIVER = f"(SELECT MIN(id) FROM drivers WHERE owner_user_id = {OWNER})"
 SQL_MONTH = f"DATE '{MONTH_RANGE.start_s}' AND DATE '{MONTH_RANGE.end_s}'"
 SQL_WEEK = f"DATE '{WEEK_RANGE.start_s}' AND DATE '{WEEK_RANGE.end_s}'"
 SQL_DAY = f"DATE '{DAY_RANGE.start_s}' AND DATE '{DAY_RANGE.end_s}'"
+SQL_HOLDER = (f"(SELECT MIN(c.current_driver_id) FROM cars c JOIN drivers d ON d.id = c.current_driver_id "
+              f"WHERE d.owner_user_id = {OWNER})")

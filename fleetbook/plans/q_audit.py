@@ -155,3 +155,10 @@ def list_counts(t):
     parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("list"), "rows")
              for name, df in lists.items()]
     return reduce(DataFrame.unionByName, parts)
+
+
+@query("unique_violations")
+def unique_violations(t):
+    """Violating groups of every unique key (entries, dni, plate, username, week note)."""
+    return Q.unique_violations({"daily_entries": t.daily_entries, "drivers": t.drivers, "cars": t.cars,
+                                "users": t.users, "weekly_money_notes": t.weekly_money_notes})

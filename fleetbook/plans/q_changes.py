@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from fleetbook.operators import changes as C
+from fleetbook.operators import loads as L
 from fleetbook.plans.catalog import query
 from fleetbook.plans.params import AS_OF
 from fleetbook.sources.standins import StandinBatches
@@ -86,3 +87,39 @@ def user_rejects(t):
     s = StandinBatches(t)
     j = C.judge_user_edits(s.user_edits, t.users, t.drivers)
     return j.where(j.reasons != "")
+
+
+@query("apply_status_cars")
+def apply_status_cars(t):
+    """Cars after activate / deactivate requests by admins of their tenant."""
+    s = StandinBatches(t)
+    return C.apply_status(t.cars, s.car_status_changes, t.users)
+
+
+@query("apply_expense_deletes")
+def apply_expense_deletes(t):
+    """Fleet expenses after delete requests by admins of their tenant."""
+    s = StandinBatches(t)
+    return C.apply_expense_deletes(t.general_expenses, s.expense_deletes, t.users)
+
+
+@query("apply_note_deletes")
+def apply_note_deletes(t):
+    """Week notes after delete posts by admins of their tenant."""
+    s = StandinBatches(t)
+    return C.apply_note_deletes(t.weekly_money_notes, s.note_deletes, t.users, AS_OF)
+
+
+@query("apply_car_edits")
+def apply_car_edits(t):
+    """Cars after the accepted car edit forms (cleaned, tenant-checked, plate unique)."""
+    s = StandinBatches(t)
+    return C.apply_car_edits(t.cars, L.clean_car_forms(s.car_forms), t.users)
+
+
+@query("car_edit_rejects")
+def car_edit_rejects(t):
+    """Car edit forms that are rejected, with reasons."""
+    s = StandinBatches(t)
+    j = C.judge_car_edits(L.clean_car_forms(s.car_forms), t.cars, t.users)
+    return j.where(j.reasons != "")

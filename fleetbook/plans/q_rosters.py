@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from fleetbook.operators import ranking, rosters as R
 from fleetbook.plans.catalog import query
-from fleetbook.plans.params import MONTH_RANGE, OWNER, first_driver_of_owner
+from fleetbook.plans.params import MONTH_RANGE, OWNER, first_driver_of_owner, first_holder_of_owner
 from fleetbook.scope import Scope
 
 ADMIN = Scope.admin(OWNER)
@@ -76,6 +76,21 @@ def pick_drivers(t):
 
 @query("pick_cars")
 def pick_cars(t):
-    """Load-form car pick list of a driver user: active cars assigned to it."""
-    drv = first_driver_of_owner(t.drivers)
+    """Load-form car pick list of a driver user (holding cars): active cars assigned to it."""
+    drv = first_holder_of_owner(t.drivers, t.cars)
     return R.pick_cars(t.cars, t.daily_entries, Scope.driver_user(drv, OWNER), for_form=True)
+
+
+@query("car_roster_driver")
+def car_roster_driver(t):
+    """Car roster of a driver user (holding cars): the cars currently assigned to its driver."""
+    drv = first_holder_of_owner(t.drivers, t.cars)
+    return R.car_roster(t.cars, t.drivers, t.daily_entries, Scope.driver_user(drv, OWNER))
+
+
+@query("driver_roster_driver")
+def driver_roster_driver(t):
+    """Driver roster of a driver user (holding cars): its own driver row with stats and billing."""
+    drv = first_holder_of_owner(t.drivers, t.cars)
+    return R.driver_roster(t.drivers, t.cars, t.daily_entries, Scope.driver_user(drv, OWNER),
+                           MONTH_RANGE, "pending")

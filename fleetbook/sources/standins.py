@@ -96,11 +96,12 @@ class StandinBatches:
 
     @cached_property
     def car_forms(self) -> DataFrame:
-        """Posted car edit forms, one per part."""
+        """Posted car edit forms, one per part (the form edits the car of that part)."""
         p = self.t.raw("part")
         k = F.col("p_partkey")
         return p.select(
             (k + 1).alias("form_seq"),
+            (k * 13 % self.t.customer_count + 1).alias("posted_by"),
             F.concat(F.lit(" "), F.col("p_brand")).alias("brand_text"),
             F.when(F.col("p_size") == 1, F.lit(" ")).otherwise(F.col("p_type")).alias("model_text"),
             F.concat(F.lit(" p"), k.cast("string"), F.lit(" ")).alias("plate_text"),
@@ -252,3 +253,31 @@ class StandinBatches:
         """Completed resets: users of purchase events with value above 250."""
         ev = self.t.raw("events").where((F.col("event_type") == "purchase") & (F.col("value") > 250))
         return ev.select((F.col("user_id") + 1).alias("user_id"))
+
+    @cached_property
+    def car_status_changes(self) -> DataFrame:
+        """Activate / deactivate requests for every car, posted by a user each."""
+        c = self.t.cars
+        return c.select(
+            F.col("id"),
+            F.when(F.col("status") == "active", F.lit("inactive")).otherwise(F.lit("active"))
+            .alias("status_text"),
+            (F.col("id") * 5 % self.t.customer_count + 1).alias("posted_by"),
+        )
+
+    @cached_property
+    def expense_deletes(self) -> DataFrame:
+        """Delete requests for the fleet expenses without observations, posted by their creator."""
+        ge = self.t.general_expenses.where(F.col("observations") == "")
+        return ge.select("id", F.col("created_by").alias("posted_by"))
+
+    @cached_property
+    def note_deletes(self) -> DataFrame:
+        """Week-note delete posts: one per order with priority 4-NOT SPECIFIED."""
+        o = self.t.raw("orders").where(F.col("o_orderpriority") == "4-NOT SPECIFIED")
+        return o.select(
+            (F.col("o_custkey") + 1).alias("posted_by"),
+            F.concat(F.extract(F.lit("YEAROFWEEK"), F.to_date("o_orderdate")).cast("string"),
+                     F.lit("-W"), F.lpad(F.weekofyear("o_orderdate").cast("string"), 2, "0"))
+            .alias("week_text"),
+        )
