@@ -30,6 +30,8 @@ def _money(c: Column) -> Column:
 class TestdataTables:
     """Lazily built fleet tables over ``{sf_dir}/{table}.parquet``."""
 
+    __test__ = False  # not a pytest test class
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")

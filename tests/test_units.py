@@ -286,3 +286,25 @@ def test_fold_needs_all_four_legacy_columns(spark):
                               for c in ("tolls_cost", "maintenance_cost", "other_expenses")])
     r = one(B.fold_legacy_costs(B.evolve_schema(full)))
     assert (r.app_expenses, r.total_expenses, r.net_total) == (Decimal("5.00"), Decimal("5.00"), Decimal("95.00"))
+
+
+# --- seed rows ---------------------------------------------------------------------------------
+
+def test_seed_installation(spark):
+    from fleetbook.operators import rosters
+    from fleetbook.sources.seed import seed_tables
+
+    s = seed_tables(spark, d(2026, 12, 2))
+    e = s["daily_entries"]
+    stored = one(e)
+    recomputed = one(entry_math(e))
+    assert (recomputed.total_expenses, recomputed.net_total) == (stored.total_expenses, stored.net_total)
+    assert (stored.week_number, stored.month_number, stored.year_number) == (49, 12, 2026)
+    note = one(s["weekly_money_notes"])
+    assert (note.week_start, note.week_end) == (d(2026, 11, 30), d(2026, 12, 6))
+    rng = P.period_range("week", week="2026-W49")
+    r = one(rosters.driver_roster(s["drivers"], s["cars"], e, Scope.admin(1), rng, "pending"))
+    assert r.car_labels == "Toyota Etios - AA000AA" and r.cars_count == 1
+    assert r.rental_selected_total == Decimal("7000.00") and r.net_total == Decimal("57000.00")
+    fleet = one(rollups.fleet_net_report(e, s["general_expenses"], Scope.admin(1), rng))
+    assert fleet.fleet_net == Decimal("-5000.00")   # 7000 rental - 12000 fleet expenses
