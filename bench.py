@@ -18,7 +18,6 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
 
 from pathlib import Path
@@ -26,7 +25,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from fleetbook.plans.catalog import query_bodies  # noqa: E402
-from fleetbook.session import build_session  # noqa: E402
+from fleetbook.session import build_session, checkpoint_dir  # noqa: E402
 from fleetbook.sources.fixtures import TestdataTables  # noqa: E402
 from fleetbook.sources.tables import StagedTables, stage_fleet_tables  # noqa: E402
 
@@ -45,11 +44,12 @@ def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     mode = os.environ.get("BENCH_MODE", "staged")
-    scratch = tempfile.mkdtemp(prefix="fleetbook-bench-")
     spark = build_session(
         master=f"local[{cpus}]", shuffle_partitions=max(8, 2 * cpus),
-        extra={"spark.driver.memory": "16g", "spark.checkpoint.dir": f"{scratch}/ckpt",
+        extra={"spark.driver.memory": "16g",
                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32m"})
+    # the cluster's shared checkpoint folder when configured; a scratch folder otherwise
+    checkpoint_dir(spark)
     bodies = query_bodies()
     derived = TestdataTables(spark, sf_dir)
 

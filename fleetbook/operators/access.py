@@ -20,7 +20,9 @@ def valid_tokens(tokens: DataFrame, users: DataFrame, as_of: dt.datetime) -> Dat
     """Tokens usable at ``as_of``: not expired, never used, of an active user."""
     u = users.where(F.col("is_active") == 1).select(F.col("id").alias("_u_id"),
                                                       F.col("username"), F.col("role"))
-    t = tokens.where((F.col("expires_at") > F.lit(as_of).cast("timestamp_ntz")) & F.col("used_at").isNull())
+    # wall-clock literal: built from text, so no session or process time zone applies
+    at = F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz")
+    t = tokens.where((F.col("expires_at") > at) & F.col("used_at").isNull())
     return t.join(u, t.user_id == u._u_id).drop("_u_id")
 
 

@@ -7,7 +7,6 @@ measured sizes), UTC session clock, ANSI arithmetic, and no web UI.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -43,12 +42,12 @@ def build_session(
 ) -> SparkSession:
     """Build (or reuse) a session with fleetbook's settings.
 
-    ``master`` defaults to ``local[cpus]`` only when no master is configured
-    by the environment (spark-submit sets it on a cluster).
+    A master is set only when given (``master``, or ``cpus`` for a local
+    session); otherwise the one configured by spark-submit is used.
     """
     builder = SparkSession.builder.appName(app_name)
-    if master is None and "SPARK_MASTER" not in os.environ:
-        master = f"local[{cpus or '*'}]"
+    if master is None and cpus is not None:
+        master = f"local[{cpus}]"
     if master:
         builder = builder.master(master)
     conf = dict(BASE_CONF)
