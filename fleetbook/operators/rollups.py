@@ -65,10 +65,10 @@ def period_totals(daily: DataFrame) -> DataFrame:
     days = F.count(F.lit(1))
     net = F.coalesce(F.sum("net"), z)
     return daily.agg(
-        F.coalesce(F.sum("income"), z).alias("income"),
-        F.coalesce(F.sum("expenses"), z).alias("expenses"),
-        net.alias("net"),
-        F.coalesce(F.sum("rental"), z).alias("rental"),
+        F.coalesce(F.sum("income"), z).cast(MONEY_SUM).alias("income"),
+        F.coalesce(F.sum("expenses"), z).cast(MONEY_SUM).alias("expenses"),
+        net.cast(MONEY_SUM).alias("net"),
+        F.coalesce(F.sum("rental"), z).cast(MONEY_SUM).alias("rental"),
         days.alias("active_days"),
         F.when(days > 0, F.round(net / days, 2)).otherwise(F.lit(0)).cast(MONEY_SUM)
         .alias("average_daily"),
