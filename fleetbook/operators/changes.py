@@ -7,12 +7,13 @@ only touch their own driver's entries, and admin-only changes from other
 users are ignored. When a key receives several allowed changes, the newest
 (largest ``change_seq``) wins, as if they had been applied in order.
 
-Scale: the change batch is the small side. Targets are looked up by joining
-the batch with the base on the key (Spark broadcasts the batch when AQE
-measures it small), the surviving change per key is reduced by a grouped
-``max_by`` (partial aggregation, safe under hot keys), and the base is then
-left-joined once with that per-key result. The base is never grouped or
-shuffled as a whole for a small batch.
+Scale: the change batch is the small side. It is first written once as a
+table in the shared checkpoint folder (``session.as_table``), so the planner
+knows its real size; targets are found by semi-joining the base with the
+batch's keys (batch as the broadcast build side), the surviving change per
+key is reduced by a grouped ``max`` of a struct (partial aggregation, safe
+under hot keys), and the base is then left-joined once with that per-key
+result. For a small batch the base is never shuffled or grouped.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from fleetbook.functions.amounts import clean_enum
 from fleetbook.operators.entries import entry_math_columns
 from fleetbook.operators.loads import reasons_of, with_poster
 from fleetbook.schemas import ENTRY_AMOUNTS, MONEY, UNIQUE_KEYS
+from fleetbook.session import as_table
 
 ENTRY_KEY = list(UNIQUE_KEYS["daily_entries"])
 
@@ -58,9 +60,13 @@ def entry_change_targets(changes: DataFrame, entries: DataFrame, users: DataFram
 
     Allowed: an admin of the entry's tenant; a driver user of the entry's
     tenant whose driver is the entry's driver (unless ``admin_only``).
+    Targets are found by semi-joining the entries with the batch's keys (the
+    batch is the build side), so only matching entry keys leave their tasks.
     """
-    tgt = entries.select(*ENTRY_KEY, F.col("owner_user_id").alias("_t_owner"),
-                         F.col("driver_id").alias("_t_driver"))
+    keys = changes.select(*ENTRY_KEY).distinct()
+    tgt = (entries.select(*ENTRY_KEY, F.col("owner_user_id").alias("_t_owner"),
+                          F.col("driver_id").alias("_t_driver"))
+                  .join(keys, ENTRY_KEY, "left_semi"))
     c = with_poster(changes, users).join(tgt, ENTRY_KEY, "left")
     role = F.col("_p_role")
     found = F.col("_t_owner").isNotNull()
@@ -86,9 +92,10 @@ def apply_entry_updates(entries: DataFrame, updates: DataFrame, users: DataFrame
     Edited rows take the new amounts and observations, get their deductions
     and net recomputed and ``updated_by`` set to the poster; other rows stay.
     """
+    updates = as_table(updates, "apply_entry_updates")
     judged = entry_change_targets(updates, entries, users)
     ok = judged.where(F.col("reasons") == "").drop("reasons", *_private(judged))
-    newest = newest_per_key(ok, ENTRY_KEY, seq_col)
+    newest = as_table(newest_per_key(ok, ENTRY_KEY, seq_col), "entry_updates_newest")
     new_cols = [c for c in ENTRY_AMOUNTS + ("observations",) if c in newest.columns]
     n = newest.select(*ENTRY_KEY, *[F.col(c).alias(f"_n_{c}") for c in new_cols],
                       F.col("posted_by").alias("_n_by"), F.lit(True).alias("_n_hit"))
@@ -114,11 +121,12 @@ def apply_billing_status(entries: DataFrame, changes: DataFrame, users: DataFram
 
     A status outside (pending, invoiced) is stored as pending.
     """
+    changes = as_table(changes, "apply_billing_status")
     judged = entry_change_targets(changes, entries, users, admin_only=True)
     ok = (judged.where(F.col("reasons") == "")
                 .select(*ENTRY_KEY, clean_enum("status_text", "rental_billing_status").alias("_n_status"),
                         F.col("posted_by").alias("_n_by"), *([seq_col] if seq_col else [])))
-    newest = newest_per_key(ok, ENTRY_KEY, seq_col)
+    newest = as_table(newest_per_key(ok, ENTRY_KEY, seq_col), "billing_newest")
     j = entries.join(newest.withColumn("_n_hit", F.lit(True)), ENTRY_KEY, "left")
     hit = F.col("_n_hit").isNotNull()
     prev_by = F.col("updated_by") if "updated_by" in entries.columns else F.lit(None).cast("bigint")
@@ -130,8 +138,9 @@ def apply_billing_status(entries: DataFrame, changes: DataFrame, users: DataFram
 
 def apply_deletes(entries: DataFrame, deletes: DataFrame, users: DataFrame) -> DataFrame:
     """Entries after allowed delete requests (tenant's admins; driver users own entries)."""
+    deletes = as_table(deletes, "apply_deletes")
     judged = entry_change_targets(deletes, entries, users)
-    gone = judged.where(F.col("reasons") == "").select(*ENTRY_KEY).distinct()
+    gone = as_table(judged.where(F.col("reasons") == "").select(*ENTRY_KEY).distinct(), "deleted_keys")
     return entries.join(gone, ENTRY_KEY, "left_anti").select(*entries.columns)
 
 
@@ -353,8 +362,10 @@ def apply_driver_edits(drivers: DataFrame, edits: DataFrame, users: DataFrame) -
 
 def apply_expense_deletes(expenses: DataFrame, deletes: DataFrame, users: DataFrame) -> DataFrame:
     """Fleet expenses after delete requests by admins of the expense's tenant."""
+    deletes = as_table(deletes, "apply_expense_deletes")
     p = with_poster(deletes, users).where(F.col("_p_role") == "admin")
-    gone = p.select(F.col("id").alias("_g_id"), F.col("_p_tenant").alias("_g_owner")).distinct()
+    gone = as_table(p.select(F.col("id").alias("_g_id"), F.col("_p_tenant").alias("_g_owner")).distinct(),
+                    "deleted_expenses")
     out = expenses.join(gone, (expenses.id == gone._g_id) & (expenses.owner_user_id == gone._g_owner), "left_anti")
     return out.select(*expenses.columns)
 

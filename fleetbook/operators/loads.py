@@ -22,7 +22,7 @@ from fleetbook.functions import periods as P
 from fleetbook.functions.amounts import clean_enum, empty_to_null, parse_amount, upper_trim
 from fleetbook.operators.entries import entry_math
 from fleetbook.schemas import UNIQUE_KEYS
-from fleetbook.session import materialize, spread
+from fleetbook.session import as_table, spread
 
 ENTRY_KEY = list(UNIQUE_KEYS["daily_entries"])
 
@@ -170,11 +170,13 @@ def split_loads(validated: DataFrame, existing: DataFrame, key: list[str] = ENTR
     """(accepted, rejected) of a validated entry batch, duplicates included.
 
     The validated batch feeds four branches (rejects, accepted rows, key
-    lookup in the table, in-batch key counts); it is checkpointed once so
-    the cleaning joins run once and the append's lineage starts there.
+    lookup in the table, in-batch key counts); it is written once as a table
+    in the shared checkpoint folder, so the cleaning joins run once, the
+    append's lineage starts there, and the planner sees the batch's real size
+    when it joins the batch keys with the table.
     """
     if checkpoint:
-        validated = materialize(validated)
+        validated = as_table(validated, "validated_loads")
     ok = validated.where(F.col("reasons") == "")
     checked = batch_key_conflicts(ok, existing, key)
     accepted = checked.where(F.col("_conflict").isNull()).drop("_conflict")

@@ -8,6 +8,7 @@ measured sizes), UTC session clock, ANSI arithmetic, and no web UI.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -96,3 +97,17 @@ def spread(df):
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n)
+
+
+def as_table(df, name: str = "batch"):
+    """Write ``df`` once as parquet into the shared checkpoint folder and read it back.
+
+    Besides cutting the lineage (like ``materialize``), the planner then sees
+    the batch's real size from its files instead of an estimate compounded
+    through joins, so a small batch is broadcast from the start and the large
+    table it is joined with is never shuffled for it.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
