@@ -29,10 +29,18 @@ def duplicate_dni(drivers: DataFrame) -> DataFrame:
 def orphans(child: DataFrame, fk: str, parent: DataFrame, child_name: str,
             parent_name: str, parent_key: str = "id") -> DataFrame:
     """Distinct non-NULL foreign-key values with no parent row, and how many
-    child rows carry each."""
+    child rows carry each.
+
+    The child is first reduced to its distinct values (partial aggregation),
+    then matched with the parent keys by a left join and a NULL test. Unlike
+    an anti-join, the optimizer does not push this below the aggregation, so
+    for a parent too large to broadcast only distinct values are shuffled,
+    never every child row.
+    """
     vals = child.where(F.col(fk).isNotNull()).groupBy(F.col(fk).alias("value")).agg(
         F.count(F.lit(1)).alias("rows"))
-    missing = vals.join(parent.select(F.col(parent_key).alias("value")), "value", "left_anti")
+    keys = parent.select(F.col(parent_key).alias("_pk")).distinct()
+    missing = vals.join(keys, vals.value == keys._pk, "left").where(F.col("_pk").isNull())
     return missing.select(F.lit(child_name).alias("child_table"), F.lit(fk).alias("fk_column"),
                           F.lit(parent_name).alias("parent_table"), "value", "rows")
 

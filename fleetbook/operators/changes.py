@@ -215,7 +215,9 @@ def apply_assignments(cars: DataFrame, assignments: DataFrame, users: DataFrame,
     avail = cars.where(F.col("status") == "active").select(
         F.col("id").alias("_a_id"), F.col("owner_user_id").alias("_a_owner"))
     p = p.join(avail, (p.car_id == avail._a_id) & (p._p_tenant == avail._a_owner), "left")
-    valid = p.where(F.col("car_id").isNull() | F.col("_a_id").isNotNull())
+    # the valid posts feed two aggregates: computed once
+    valid = as_table(p.where(F.col("car_id").isNull() | F.col("_a_id").isNotNull())
+                      .select("driver_id", "car_id", "_p_tenant", seq_col), "valid_assignments")
     last_post = (valid.groupBy(F.col("_p_tenant").alias("_lp_owner"), F.col("driver_id").alias("_lp_driver"))
                       .agg(F.max(seq_col).alias("_lp_seq")))
     # posts with equal sequence numbers are ordered by driver id

@@ -308,3 +308,16 @@ def test_seed_installation(spark):
     assert r.rental_selected_total == Decimal("7000.00") and r.net_total == Decimal("57000.00")
     fleet = one(rollups.fleet_net_report(e, s["general_expenses"], Scope.admin(1), rng))
     assert fleet.fleet_net == Decimal("-5000.00")   # 7000 rental - 12000 fleet expenses
+
+
+def test_orphans_and_unique_keys(spark):
+    from fleetbook.operators import audits as Q
+
+    child = spark.createDataFrame([(1, 10), (2, 10), (3, 11), (4, None), (5, 12)], "id long, driver_id long")
+    parent = spark.createDataFrame([(10,), (12,)], "id long")
+    got = [(r.value, r.rows) for r in Q.orphans(child, "driver_id", parent, "c", "p").collect()]
+    assert got == [(11, 1)]
+    drivers = spark.createDataFrame([(1, 1, "7"), (2, 1, "7"), (3, 2, "7"), (4, 1, None), (5, 1, None)],
+                                    "id long, owner_user_id long, dni string")
+    dup = Q.unique_violations({"drivers": drivers}).collect()
+    assert [(r.key_value, r.rows) for r in dup] == [("1|7", 2)]   # NULL dni never collide

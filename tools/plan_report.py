@@ -26,10 +26,22 @@ KEY_QUERIES = ["daily_rollup", "weekly_comparison", "entry_list", "driver_roster
 
 
 def summarize(plan: str) -> dict:
-    plan = plan.split("== Initial Plan ==")[0]  # adaptive plans print both
+    # formatted explain: the final tree, the initial tree, then numbered node details;
+    # keep the details of the nodes that appear in the final tree
+    if "== Final Plan ==" in plan:
+        tree = plan.split("== Final Plan ==")[1].split("== Initial Plan ==")[0]
+    else:
+        tree = plan.split("\n\n(1) ")[0]
+    ids = set(re.findall(r"\((\d+)\)", tree))
+    details = {}
+    for block in re.split(r"\n(?=\(\d+\) )", plan):
+        m = re.match(r"\((\d+)\) (.*)", block)
+        if m and m.group(1) in ids:
+            details[m.group(1)] = block
     scans = []
-    for block in re.split(r"\n\(\d+\) ", plan):
-        if block.startswith("Scan parquet"):
+    for block in details.values():
+        head = block.split("\n")[0]
+        if "Scan parquet" in head:
             loc = re.search(r"Location: \w+ \[([^\]]*)\]", block)
             table = loc.group(1).rstrip("/").split("/")[-1] if loc else "?"
             pf = re.search(r"PartitionFilters: \[([^\]]*)\]", block)
@@ -37,15 +49,20 @@ def summarize(plan: str) -> dict:
             schema = re.search(r"ReadSchema: struct<([^>]*)>", block)
             cols = [c.split(":")[0] for c in schema.group(1).split(",")] if schema else []
             scans.append((table, (pf.group(1) if pf else ""), (pushed.group(1) if pushed else ""), cols))
-    joins = re.findall(r"\) (BroadcastHashJoin|SortMergeJoin|ShuffledHashJoin|BroadcastNestedLoopJoin)"
-                       r"(?: (\w+))?", plan)
+    heads = [b.split("\n")[0] for b in details.values()]
+    joins = [re.sub(r"^\(\d+\) ", "", h) for h in heads if "Join" in h]
+    join_types = []
+    for b in details.values():
+        h = b.split("\n")[0]
+        if "Join" in h:
+            jt = re.search(r"Join type: (\w+)", b)
+            join_types.append(re.sub(r"^\(\d+\) ", "", h) + (f" {jt.group(1)}" if jt else ""))
     return {
         "scans": scans,
-        "joins": [" ".join(j).strip() for j in joins],
-        "shuffles": len(re.findall(r"\) (?:Exchange|ShuffleQueryStage)\b", plan)),
-        "broadcasts": len(re.findall(r"\) (?:BroadcastExchange|BroadcastQueryStage)\b", plan)),
-        "python": bool(re.search(r"Python|ArrowEval|BatchEval", plan)),
-        "final": "isFinalPlan=true" in plan,
+        "joins": join_types,
+        "shuffles": sum(1 for h in heads if re.search(r"\) (Exchange|ShuffleQueryStage)", h)),
+        "broadcasts": sum(1 for h in heads if re.search(r"\) BroadcastExchange", h)),
+        "python": bool(re.search(r"Python|ArrowEval|BatchEval", tree)),
     }
 
 
@@ -69,6 +86,8 @@ def main():
         plan = df._jdf.queryExecution().explainString(mode)
         s = summarize(plan)
         print(f"## {name}\n")
+        if "EmptyRelation" in plan.split("== Initial Plan ==")[0]:
+            print("- adaptive execution found an empty input and replaced (part of) the plan by an empty relation")
         print(f"- joins: {', '.join(s['joins']) or 'none'}; shuffles: {s['shuffles']}; "
               f"broadcasts: {s['broadcasts']}; Python in plan: {'yes' if s['python'] else 'no'}")
         for table, pf, pushed, cols in s["scans"]:
