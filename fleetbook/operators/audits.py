@@ -10,11 +10,20 @@ from pyspark.sql import functions as F
 from fleetbook.schemas import UNIQUE_KEYS
 
 
-def duplicate_keys(df: DataFrame, key: list[str] | tuple[str, ...]) -> DataFrame:
+# The source database compares text case-, accent- and trailing-space-
+# insensitively; pass this as ``collation`` to judge keys the same way.
+SOURCE_COLLATION = "UNICODE_CI_AI_RTRIM"
+
+
+def duplicate_keys(df: DataFrame, key: list[str] | tuple[str, ...], collation: str | None = None) -> DataFrame:
     """Groups of a unique key holding more than one row (NULL key parts never
-    collide, as in a SQL unique index)."""
+    collide, as in a SQL unique index). With ``collation``, text key parts
+    are compared under it (e.g. ``'Jose '`` equals ``'JOSÉ'``)."""
     key = list(key)
     nn = df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key]))
+    if collation:
+        text = {f.name for f in df.schema.fields if f.dataType.typeName() == "string"}
+        nn = nn.select(*[F.collate(k, collation).alias(k) if k in text else F.col(k) for k in key])
     return nn.groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
 
 
@@ -92,15 +101,16 @@ def apply_driver_deletes(drivers: DataFrame, requests: DataFrame, entries: DataF
     return drivers.join(gone, "id", "left_anti").select(*drivers.columns)
 
 
-def unique_violations(tables: dict[str, DataFrame]) -> DataFrame:
+def unique_violations(tables: dict[str, DataFrame], collation: str | None = None) -> DataFrame:
     """Every unique key of the data model with its violating groups, the key
     values joined into one text (``|``-separated)."""
     parts = []
     for name, key in UNIQUE_KEYS.items():
         if name not in tables:
             continue
-        dup = duplicate_keys(tables[name], key)
+        dup = duplicate_keys(tables[name], key, collation)
         parts.append(dup.select(F.lit(name).alias("table_name"), F.lit(",".join(key)).alias("key_columns"),
-                                F.concat_ws("|", *[F.col(k).cast("string") for k in key]).alias("key_value"),
+                                F.concat_ws("|", *[F.col(k).cast("string").cast("string collate UTF8_BINARY")
+                                                   for k in key]).alias("key_value"),
                                 "rows"))
     return reduce(DataFrame.unionByName, parts)

@@ -321,3 +321,14 @@ def test_orphans_and_unique_keys(spark):
                                     "id long, owner_user_id long, dni string")
     dup = Q.unique_violations({"drivers": drivers}).collect()
     assert [(r.key_value, r.rows) for r in dup] == [("1|7", 2)]   # NULL dni never collide
+
+
+def test_unique_keys_under_source_collation(spark):
+    from fleetbook.operators import audits as Q
+
+    users = spark.createDataFrame([(1, "Jose  "), (2, "JOSÉ"), (3, "ana"), (4, "Ana")], "id long, username string")
+    assert Q.duplicate_keys(users, ["username"]).count() == 0            # binary: all distinct
+    got = sorted(r.rows for r in Q.duplicate_keys(users, ["username"], Q.SOURCE_COLLATION).collect())
+    assert got == [2, 2]
+    v = Q.unique_violations({"users": users}, Q.SOURCE_COLLATION).collect()
+    assert sorted(r.rows for r in v) == [2, 2]
