@@ -71,13 +71,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     scratch folder is created and registered.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    local = tempfile.mkdtemp(prefix="fleetbook-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    folder = configured or tempfile.mkdtemp(prefix="fleetbook-ckpt-")
+    if not configured:
+        try:
+            spark.conf.set("spark.checkpoint.dir", folder)
+        except Exception:  # a session that refuses core settings at runtime
+            pass
+    try:
+        spark.sparkContext.setCheckpointDir(folder)
+    except Exception:  # Spark Connect: no context here, the server owns checkpoints
+        pass
+    return folder
 
 
 def materialize(df):
