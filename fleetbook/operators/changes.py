@@ -20,14 +20,14 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetbook.functions import periods as P
 from fleetbook.functions.amounts import clean_enum
 from fleetbook.operators.entries import entry_math_columns
 from fleetbook.operators.loads import reasons_of, with_poster
-from fleetbook.schemas import ENTRY_AMOUNTS, MONEY, UNIQUE_KEYS
+from fleetbook.schemas import ENTRY_AMOUNTS, UNIQUE_KEYS
 from fleetbook.session import as_table
 
 ENTRY_KEY = list(UNIQUE_KEYS["daily_entries"])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from fleetbook.functions import display as D
 from fleetbook.operators import rollups, ranking
 from fleetbook.operators.filters import entry_scope, in_period
