@@ -56,7 +56,12 @@ def main():
     # warm-up (JVM, codegen caches): one small query, not timed
     bodies["car_labels"](derived).write.format("noop").mode("overwrite").save()
 
-    out = {"metric": "total_query_seconds", "unit": "sec", "sf": Path(sf_dir).name.replace("sf", ""),
+    sf_name = Path(sf_dir).name.replace("sf", "")
+    try:
+        sf = float(sf_name)
+    except ValueError:
+        sf = sf_name
+    out = {"metric": "total_query_seconds", "unit": "sec", "sf": sf,
            "cpus": cpus, "mode": mode, "n_queries": len(bodies)}
     if mode in ("derived", "both"):
         times = run_all(bodies, derived, "derived")
