@@ -70,28 +70,12 @@ def orphan_report(tables: dict[str, DataFrame]) -> DataFrame:
 def driver_delete_effects(drivers: DataFrame, requests: DataFrame, entries: DataFrame,
                           cars: DataFrame, users: DataFrame) -> DataFrame:
     """Effects of deleting drivers: entries RESTRICT the delete; cars and users
-    linked to the driver would have their link set to NULL.
-
-    Requests are reduced to existing drivers first, and each child table is
-    semi-joined with them before its grouped count.
-    """
-    req = drivers.join(requests.select(F.col("id")).distinct(), "id", "left_semi").select("id")
-
-    def count_by(df: DataFrame, col: str, name: str) -> DataFrame:
-        hit = df.join(req.withColumnRenamed("id", col), col, "left_semi")
-        return hit.groupBy(F.col(col).alias("id")).agg(F.count(F.lit(1)).alias(name))
-
-    e = count_by(entries, "driver_id", "entries_count")
-    c = count_by(cars, "current_driver_id", "cars_unlinked")
-    u = count_by(users, "driver_id", "users_unlinked")
-    out = req.join(e, "id", "left").join(c, "id", "left").join(u, "id", "left")
-    z = F.lit(0).cast("bigint")
-    return out.select(
-        "id",
-        F.coalesce("entries_count", z).alias("entries_count"),
-        F.coalesce("cars_unlinked", z).alias("cars_unlinked"),
-        F.coalesce("users_unlinked", z).alias("users_unlinked"),
-        (F.coalesce("entries_count", z) > 0).alias("blocked"))
+    linked to the driver would have their link set to NULL."""
+    return delete_effects(drivers, requests, [
+        ("entries_count", entries, "driver_id", "restrict"),
+        ("cars_unlinked", cars, "current_driver_id", "set_null"),
+        ("users_unlinked", users, "driver_id", "set_null"),
+    ])
 
 
 def apply_driver_deletes(drivers: DataFrame, requests: DataFrame, entries: DataFrame) -> DataFrame:
@@ -114,3 +98,42 @@ def unique_violations(tables: dict[str, DataFrame], collation: str | None = None
                                                    for k in key]).alias("key_value"),
                                 "rows"))
     return reduce(DataFrame.unionByName, parts)
+
+
+def delete_effects(parent: DataFrame, requests: DataFrame,
+                   effects: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
+    """Effects of deleting parent rows, per requested existing id.
+
+    ``effects`` lists ``(column name, child table, foreign key, action)`` with
+    action ``restrict`` (the delete is blocked while such rows exist),
+    ``set_null`` or ``cascade``; each column counts the child rows affected.
+    Each child is semi-joined with the (small) requested ids before counting.
+    """
+    req = parent.join(requests.select("id").distinct(), "id", "left_semi").select("id")
+    out = req
+    z = F.lit(0).cast("bigint")
+    for name, child, fk, _ in effects:
+        hit = child.join(req.withColumnRenamed("id", fk), fk, "left_semi")
+        counts = hit.groupBy(F.col(fk).alias("id")).agg(F.count(F.lit(1)).alias(name))
+        out = out.join(counts, "id", "left")
+    cols = [F.coalesce(name, z).alias(name) for name, *_ in effects]
+    restricting = [F.coalesce(name, z) > 0 for name, _, _, action in effects if action == "restrict"]
+    blocked = reduce(lambda a, b: a | b, restricting) if restricting else F.lit(False)
+    return out.select("id", *cols, blocked.alias("blocked"))
+
+
+def car_delete_effects(cars: DataFrame, requests: DataFrame, entries: DataFrame) -> DataFrame:
+    """Deleting cars: entries restrict the delete."""
+    return delete_effects(cars, requests, [("entries_count", entries, "car_id", "restrict")])
+
+
+def user_delete_effects(users: DataFrame, requests: DataFrame, tokens: DataFrame, entries: DataFrame,
+                        expenses: DataFrame, notes: DataFrame) -> DataFrame:
+    """Deleting users: their tokens are deleted with them; entries, expenses
+    and notes they created or edited keep existing with the link set to NULL."""
+    return delete_effects(users, requests, [
+        ("tokens_deleted", tokens, "user_id", "cascade"),
+        ("entries_unlinked", entries, "created_by", "set_null"),
+        ("expenses_unlinked", expenses, "created_by", "set_null"),
+        ("notes_unlinked", notes, "updated_by", "set_null"),
+    ])

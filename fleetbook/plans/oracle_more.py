@@ -695,3 +695,16 @@ oracle("unique_violations", "\nUNION ALL\n".join(
         concat_ws('|', {", ".join(f"CAST({c} AS VARCHAR)" for c in k)}) AS key_value, COUNT(*) AS rows
         FROM {t} WHERE {" AND ".join(f"{c} IS NOT NULL" for c in k)}
         GROUP BY {", ".join(k)} HAVING COUNT(*) > 1""" for t, k in UKEYS))
+
+oracle("delete_effects_cars", """
+SELECT r.id, COALESCE(e.n, 0) AS entries_count, COALESCE(e.n, 0) > 0 AS blocked
+FROM (SELECT id FROM cars WHERE status = 'inactive') r
+LEFT JOIN (SELECT car_id, COUNT(*) AS n FROM daily_entries GROUP BY 1) e ON e.car_id = r.id""")
+oracle("delete_effects_users", """
+SELECT r.id, COALESCE(t.n, 0) AS tokens_deleted, COALESCE(e.n, 0) AS entries_unlinked,
+  COALESCE(x.n, 0) AS expenses_unlinked, COALESCE(w.n, 0) AS notes_unlinked, FALSE AS blocked
+FROM (SELECT id FROM users WHERE is_active = 0) r
+LEFT JOIN (SELECT user_id, COUNT(*) AS n FROM access_tokens GROUP BY 1) t ON t.user_id = r.id
+LEFT JOIN (SELECT created_by, COUNT(*) AS n FROM daily_entries GROUP BY 1) e ON e.created_by = r.id
+LEFT JOIN (SELECT created_by, COUNT(*) AS n FROM general_expenses GROUP BY 1) x ON x.created_by = r.id
+LEFT JOIN (SELECT updated_by, COUNT(*) AS n FROM weekly_money_notes GROUP BY 1) w ON w.updated_by = r.id""")

@@ -162,3 +162,18 @@ def unique_violations(t):
     """Violating groups of every unique key (entries, dni, plate, username, week note)."""
     return Q.unique_violations({"daily_entries": t.daily_entries, "drivers": t.drivers, "cars": t.cars,
                                 "users": t.users, "weekly_money_notes": t.weekly_money_notes})
+
+
+@query("delete_effects_cars")
+def delete_effects_cars(t):
+    """Effects of deleting every inactive car (entries restrict the delete)."""
+    req = t.cars.where(F.col("status") == "inactive").select("id")
+    return Q.car_delete_effects(t.cars, req, t.daily_entries)
+
+
+@query("delete_effects_users")
+def delete_effects_users(t):
+    """Effects of deleting every inactive user (tokens cascade; created / edited rows unlinked)."""
+    req = t.users.where(F.col("is_active") == 0).select("id")
+    return Q.user_delete_effects(t.users, req, t.access_tokens, t.daily_entries, t.general_expenses,
+                                 t.weekly_money_notes)
