@@ -197,6 +197,15 @@ def upsert_notes(notes: DataFrame, posts: DataFrame, users: DataFrame, as_of: dt
     )
 
 
+def note_post_rejects(posts: DataFrame, users: DataFrame) -> DataFrame:
+    """Week-note posts that ``upsert_notes`` does not apply, with reasons."""
+    p = with_poster(posts, users)
+    reasons = reasons_of((F.col("_p_role").isNull(), R_NO_SESSION),
+                         (F.col("_p_role") == "driver", R_NOT_ADMIN),
+                         (F.trim("notes_text") == "", R_EMPTY_NOTE))
+    return p.select(*posts.columns, reasons.alias("reasons")).where(F.col("reasons") != "")
+
+
 def apply_assignments(cars: DataFrame, assignments: DataFrame, users: DataFrame,
                       seq_col: str = "change_seq") -> DataFrame:
     """Cars after car-assignment posts, with the result of applying them in order.

@@ -708,3 +708,11 @@ LEFT JOIN (SELECT user_id, COUNT(*) AS n FROM access_tokens GROUP BY 1) t ON t.u
 LEFT JOIN (SELECT created_by, COUNT(*) AS n FROM daily_entries GROUP BY 1) e ON e.created_by = r.id
 LEFT JOIN (SELECT created_by, COUNT(*) AS n FROM general_expenses GROUP BY 1) x ON x.created_by = r.id
 LEFT JOIN (SELECT updated_by, COUNT(*) AS n FROM weekly_money_notes GROUP BY 1) w ON w.updated_by = r.id""")
+
+oracle("note_rejects", """
+SELECT * FROM (
+  SELECT p.*, concat_ws(',', CASE WHEN u.role IS NULL THEN 'no_session' END,
+                             CASE WHEN u.role = 'driver' THEN 'not_admin' END,
+                             CASE WHEN trim(p.notes_text) = '' THEN 'empty_note' END) AS reasons
+  FROM np p LEFT JOIN users u ON u.id = p.posted_by) x
+WHERE reasons <> ''""", np=NOTE_POSTS)

@@ -123,3 +123,10 @@ def car_edit_rejects(t):
     s = StandinBatches(t)
     j = C.judge_car_edits(L.clean_car_forms(s.car_forms), t.cars, t.users)
     return j.where(j.reasons != "")
+
+
+@query("note_rejects")
+def note_rejects(t):
+    """Week-note posts that are rejected (no session, not admin, empty note)."""
+    s = StandinBatches(t)
+    return C.note_post_rejects(s.note_posts, t.users)
