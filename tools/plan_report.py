@@ -22,7 +22,7 @@ from fleetbook.sources.tables import StagedTables, stage_fleet_tables  # noqa: E
 
 KEY_QUERIES = ["daily_rollup", "weekly_comparison", "entry_list", "driver_roster", "car_roster",
                "fleet_net_panel", "driver_cars", "apply_entry_updates", "apply_assignments", "entry_accepted",
-               "backfill_entries", "orphan_entries", "unique_violations"]
+               "backfill_entries", "orphan_entries", "unique_violations", "delete_effects_users"]
 
 
 def summarize(plan: str) -> dict:
