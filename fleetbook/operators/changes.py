@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from fleetbook.functions import periods as P
 from fleetbook.functions.amounts import clean_enum
 from fleetbook.operators.entries import entry_math_columns
-from fleetbook.operators.loads import reasons_of, with_poster
+from fleetbook.operators.loads import USER_MANAGERS, reasons_of, with_poster
 from fleetbook.schemas import ENTRY_AMOUNTS, UNIQUE_KEYS
 from fleetbook.session import as_table
 
@@ -258,8 +258,6 @@ def assignment_rejects(cars: DataFrame, assignments: DataFrame, users: DataFrame
 
 # --- users ---------------------------------------------------------------------
 
-# Only an admin with this username may manage users.
-USER_MANAGERS = ("personal",)
 R_NOT_MANAGER = "not_user_manager"
 R_MISSING = "missing_fields"
 R_DRIVER_NOT_IN_OWNER = "driver_not_in_owner"

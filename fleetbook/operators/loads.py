@@ -264,3 +264,79 @@ def clean_car_forms(forms: DataFrame) -> DataFrame:
         .otherwise(parse_int("year_text").cast("int")).alias("year"),
         clean_enum("status_text", "status").alias("status"),
         reasons_of(((brand == "") | (model == "") | (plate == ""), R_MISSING_FIELDS)).alias("reasons"))
+
+
+def judge_car_forms(forms: DataFrame, cars: DataFrame, users: DataFrame) -> DataFrame:
+    """New-car forms in the poster's session, with reasons: admins only,
+    brand / model / plate required, plate free in the tenant and not repeated
+    in the batch."""
+    c = with_poster(clean_car_forms(forms), users)
+    c = c.withColumn("owner_user_id", F.col("_p_tenant"))
+    base = reasons_of((F.col("_p_role").isNull(), R_NO_SESSION), (F.col("_p_role") == "driver", R_NOT_ADMIN),
+                      (F.col("reasons") != "", R_MISSING_FIELDS))
+    c = c.withColumn("reasons", base)
+    ok = c.where(F.col("reasons") == "")
+    checked = batch_key_conflicts(ok, cars, ["owner_user_id", "plate"])
+    dup = checked.where(F.col("_conflict").isNotNull()).select("form_seq", F.col("_conflict").alias("_dup"))
+    return (c.join(dup, "form_seq", "left")
+             .withColumn("reasons", F.concat_ws(",", F.when(F.col("reasons") != "", F.col("reasons")),
+                                                F.col("_dup")))
+             .select("form_seq", "posted_by", "owner_user_id", "brand", "model", "plate", "year", "status",
+                     "reasons"))
+
+
+def append_cars(cars: DataFrame, forms: DataFrame, users: DataFrame) -> DataFrame:
+    """Car table after appending the accepted new cars (no current driver yet)."""
+    ok = judge_car_forms(forms, cars, users).where(F.col("reasons") == "")
+    new = ok.select(new_ids(ok, cars).alias("id"), "*", F.lit(None).cast("bigint").alias("current_driver_id"))
+    return append_rows(cars, new)
+
+
+# Only an admin with this username may manage users.
+USER_MANAGERS = ("personal",)
+R_NOT_MANAGER = "not_user_manager"
+R_NO_PASSWORD = "no_password"
+R_DRIVER_NOT_IN_TENANT = "driver_not_in_owner"
+R_DUPLICATE_USERNAME = "duplicate_username"
+
+
+def judge_user_forms(forms: DataFrame, users: DataFrame, drivers: DataFrame,
+                     managers: tuple[str, ...] = USER_MANAGERS) -> DataFrame:
+    """New-user forms with reasons: the poster must be a user manager; name,
+    username and password are required; the role is allow-listed (default
+    driver) and an admin gets no driver; a linked driver must belong to the
+    tenant; the username must be free and not repeated in the batch. The
+    password itself is never stored here."""
+    mgr = users.select(F.col("id").alias("_m_id"), F.col("username").alias("_m_username"))
+    p = with_poster(forms, users).join(mgr, F.col("posted_by") == F.col("_m_id"), "left")
+    role = clean_enum("role_text", "role")
+    driver = F.when(role == "admin", F.lit(None).cast("bigint")).otherwise(
+        F.when(F.trim("driver_id_text") == "", F.lit(None).cast("bigint")).otherwise(parse_int("driver_id_text")))
+    d = drivers.select(F.col("id").alias("_d_id"), F.col("owner_user_id").alias("_d_owner"))
+    p = (p.select("*", role.alias("role"), driver.alias("driver_id"),
+                  F.trim("full_name_text").alias("full_name"), F.trim("username_text").alias("username"),
+                  F.col("_p_tenant").alias("owner_user_id"))
+          .join(d, (F.col("driver_id") == d._d_id) & (F.col("_p_tenant") == d._d_owner), "left"))
+    is_manager = F.coalesce((F.col("_p_role") == "admin") & F.col("_m_username").isin(*managers), F.lit(False))
+    p = p.withColumn("reasons", reasons_of(
+        (~is_manager, R_NOT_MANAGER),
+        ((F.col("full_name") == "") | (F.col("username") == ""), R_MISSING_FIELDS),
+        (F.coalesce(F.col("password_text"), F.lit("")) == "", R_NO_PASSWORD),
+        (F.col("driver_id").isNotNull() & F.col("_d_id").isNull(), R_DRIVER_NOT_IN_TENANT)))
+    ok = p.where(F.col("reasons") == "")
+    checked = batch_key_conflicts(ok, users, ["username"])
+    dup = (checked.where(F.col("_conflict").isNotNull())
+                  .select("form_seq", F.lit(R_DUPLICATE_USERNAME).alias("_dup")))
+    return (p.join(dup, "form_seq", "left")
+             .withColumn("reasons", F.concat_ws(",", F.when(F.col("reasons") != "", F.col("reasons")),
+                                                F.col("_dup")))
+             .select("form_seq", "posted_by", "full_name", "username", "role", "driver_id", "owner_user_id",
+                     "is_active", "reasons"))
+
+
+def append_users(users: DataFrame, forms: DataFrame, drivers: DataFrame,
+                 managers: tuple[str, ...] = USER_MANAGERS) -> DataFrame:
+    """User table after appending the accepted new users."""
+    ok = judge_user_forms(forms, users, drivers, managers).where(F.col("reasons") == "")
+    new = ok.select(new_ids(ok, users).alias("id"), "*")
+    return append_rows(users, new)

@@ -716,3 +716,70 @@ SELECT * FROM (
                              CASE WHEN trim(p.notes_text) = '' THEN 'empty_note' END) AS reasons
   FROM np p LEFT JOIN users u ON u.id = p.posted_by) x
 WHERE reasons <> ''""", np=NOTE_POSTS)
+
+# --- appended cars and users ------------------------------------------------------------
+
+NCF = f"""
+SELECT f.form_seq, f.posted_by, COALESCE(u.owner_user_id, u.id) AS owner_user_id, trim(f.brand_text) AS brand,
+  trim(f.model_text) AS model, upper(trim(f.plate_text)) AS plate,
+  CASE WHEN trim(f.year_text) = '' THEN NULL ELSE CAST({PINT('f.year_text')} AS INT) END AS year,
+  CASE WHEN f.status_text IN ('active', 'inactive') THEN f.status_text ELSE 'active' END AS status,
+  concat_ws(',', CASE WHEN u.role IS NULL THEN 'no_session' END, CASE WHEN u.role = 'driver' THEN 'not_admin' END,
+            CASE WHEN trim(f.brand_text) = '' OR trim(f.model_text) = '' OR upper(trim(f.plate_text)) = ''
+                 THEN 'missing_fields' END) AS base_reasons
+FROM car_forms f LEFT JOIN users u ON u.id = f.posted_by"""
+NCJ = """
+SELECT n.form_seq, n.posted_by, n.owner_user_id, n.brand, n.model, n.plate, n.year, n.status,
+  concat_ws(',', CASE WHEN n.base_reasons <> '' THEN n.base_reasons END,
+    CASE WHEN n.base_reasons = '' AND EXISTS (SELECT 1 FROM cars c WHERE c.owner_user_id = n.owner_user_id
+                                              AND c.plate = n.plate) THEN 'duplicate'
+         WHEN n.base_reasons = '' AND (SELECT COUNT(*) FROM ncf o WHERE o.base_reasons = ''
+                                       AND o.owner_user_id = n.owner_user_id AND o.plate = n.plate) > 1
+         THEN 'duplicate_in_batch' END) AS reasons
+FROM ncf n"""
+NEW_CARS = dict(car_forms=CAR_FORMS, ncf=NCF, ncj=NCJ)
+oracle("append_cars", """
+SELECT id, owner_user_id, brand, model, plate, status, current_driver_id FROM cars
+UNION ALL
+SELECT (SELECT COALESCE(MAX(id), 0) FROM cars) + form_seq, owner_user_id, brand, model, plate, status,
+       CAST(NULL AS BIGINT) FROM ncj WHERE reasons = ''""", **NEW_CARS)
+oracle("new_car_rejects", "SELECT * FROM ncj WHERE reasons <> ''", **NEW_CARS)
+
+USER_FORMS = f"""
+SELECT c_custkey + 1 AS form_seq, c_custkey + 1 AS posted_by, ' ' || c_name || ' Jr' AS full_name_text,
+  CASE WHEN c_custkey % 2 = 0 THEN lower(c_name) || '.jr' ELSE lower(c_name) END AS username_text,
+  CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'secret' END AS password_text,
+  CASE WHEN c_mktsegment = 'MACHINERY' THEN 'admin' ELSE 'chofer' END AS role_text,
+  CASE WHEN c_custkey % 3 = 0 THEN '' ELSE CAST(c_custkey % {NSUP} + 1 AS VARCHAR) END AS driver_id_text,
+  CASE WHEN c_acctbal < 0 THEN 0 ELSE 1 END AS is_active
+FROM customer"""
+ROLE = ENUM('f.role_text', ('admin', 'driver'), 'driver')
+NUJ = f"""
+SELECT f.*, p.role AS p_role, COALESCE(p.owner_user_id, p.id) AS owner_user_id, p.username AS m_username,
+  {ROLE} AS role,
+  CASE WHEN {ROLE} = 'admin' THEN NULL WHEN trim(f.driver_id_text) = '' THEN NULL
+       ELSE {PINT('f.driver_id_text')} END AS driver_id,
+  trim(f.full_name_text) AS full_name, trim(f.username_text) AS username
+FROM uf f LEFT JOIN users p ON p.id = f.posted_by"""
+NUB = """
+SELECT u.*, concat_ws(',',
+  CASE WHEN NOT COALESCE(u.p_role = 'admin' AND u.m_username IN ('personal'), FALSE) THEN 'not_user_manager' END,
+  CASE WHEN u.full_name = '' OR u.username = '' THEN 'missing_fields' END,
+  CASE WHEN COALESCE(u.password_text, '') = '' THEN 'no_password' END,
+  CASE WHEN u.driver_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM drivers d WHERE d.id = u.driver_id
+       AND d.owner_user_id = u.owner_user_id) THEN 'driver_not_in_owner' END) AS base_reasons
+FROM nuj u"""
+NUR = """
+SELECT n.form_seq, n.posted_by, n.full_name, n.username, n.role, n.driver_id, n.owner_user_id, n.is_active,
+  concat_ws(',', CASE WHEN n.base_reasons <> '' THEN n.base_reasons END,
+    CASE WHEN n.base_reasons = '' AND (EXISTS (SELECT 1 FROM users x WHERE x.username = n.username)
+         OR (SELECT COUNT(*) FROM nub o WHERE o.base_reasons = '' AND o.username = n.username) > 1)
+         THEN 'duplicate_username' END) AS reasons
+FROM nub n"""
+NEW_USERS = dict(uf=USER_FORMS, nuj=NUJ, nub=NUB, nur=NUR)
+oracle("append_users", """
+SELECT id, full_name, username, role, driver_id, owner_user_id, is_active FROM users
+UNION ALL
+SELECT (SELECT COALESCE(MAX(id), 0) FROM users) + form_seq, full_name, username, role, driver_id, owner_user_id,
+       is_active FROM nur WHERE reasons = ''""", **NEW_USERS)
+oracle("new_user_rejects", "SELECT * FROM nur WHERE reasons <> ''", **NEW_USERS)

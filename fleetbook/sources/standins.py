@@ -281,3 +281,22 @@ class StandinBatches:
                      F.lit("-W"), F.lpad(F.weekofyear("o_orderdate").cast("string"), 2, "0"))
             .alias("week_text"),
         )
+
+    @cached_property
+    def user_forms(self) -> DataFrame:
+        """Posted new-user forms: one per customer, posted by the customer's own user."""
+        c = self.t.raw("customer")
+        k = F.col("c_custkey")
+        return c.select(
+            (k + 1).alias("form_seq"),
+            (k + 1).alias("posted_by"),
+            F.concat(F.lit(" "), F.col("c_name"), F.lit(" Jr")).alias("full_name_text"),
+            F.when(k % 2 == 0, F.concat(F.lower("c_name"), F.lit(".jr"))).otherwise(F.lower("c_name"))
+            .alias("username_text"),
+            F.when(k % 5 == 0, F.lit("")).otherwise(F.lit("secret")).alias("password_text"),
+            F.when(F.col("c_mktsegment") == "MACHINERY", F.lit("admin")).otherwise(F.lit("chofer"))
+            .alias("role_text"),
+            F.when(k % 3 == 0, F.lit("")).otherwise((k % self.t.supplier_count + 1).cast("string"))
+            .alias("driver_id_text"),
+            F.when(F.col("c_acctbal") < 0, F.lit(0)).otherwise(F.lit(1)).alias("is_active"),
+        )
