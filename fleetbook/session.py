@@ -84,14 +84,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(df):
-    """Reliably checkpoint ``df`` into the shared checkpoint folder and return
-    the checkpointed DataFrame (lineage cut; survives executor loss, unlike a
-    local checkpoint or a cache)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def spread(df):
     """Spread rows evenly (round robin) over the session's shuffle partitions.
 
@@ -106,10 +98,12 @@ def spread(df):
 def as_table(df, name: str = "batch"):
     """Write ``df`` once as parquet into the shared checkpoint folder and read it back.
 
-    Besides cutting the lineage (like ``materialize``), the planner then sees
-    the batch's real size from its files instead of an estimate compounded
-    through joins, so a small batch is broadcast from the start and the large
-    table it is joined with is never shuffled for it.
+    This cuts the lineage (the files live in the shared folder, so a lost
+    executor costs no recomputation), and the planner then sees the batch's
+    real size from its files instead of an estimate compounded through joins
+    (a plain ``checkpoint()`` keeps the estimate), so a small batch is
+    broadcast from the start and the large table it is joined with is never
+    shuffled for it.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
