@@ -3,7 +3,8 @@
 Statistics are aggregated before they are joined (one row per driver / car),
 so the joins that follow are dimension-sized. Lifetime statistics cover all
 entries of a driver or car, whatever the owner; the outer dimension decides
-which rows are shown.
+which rows are shown. When the shown ids fit a checked broadcast bound, the
+entries are first reduced to them inside each scan task (``entries_of``).
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from fleetbook.operators.filters import active_only, in_period, owner_scope, ros
 from fleetbook.operators.ranking import first_car
 from fleetbook.schemas import MONEY_SUM
 from fleetbook.scope import IntLike, Scope
+from fleetbook.session import broadcast_if_small
 
 
 def _z(c: str) -> Column:
@@ -63,14 +65,29 @@ def driver_billing(entries: DataFrame, rng: PeriodRange, status: str = "pending"
     )
 
 
+def entries_of(entries: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Entries of the given dimension rows, when that filter pays.
+
+    Lifetime statistics cover all owners, so only the shown drivers / cars
+    matter. When their ids fit a checked broadcast bound, entries are
+    semi-joined with the broadcast ids inside each scan task (less to
+    aggregate, nothing extra to shuffle); beyond the bound the entries are
+    aggregated first and joined afterwards, as a shuffle of every entry for a
+    sort-merge semi-join would cost more than it saves.
+    """
+    keys, small = broadcast_if_small(ids.select(F.col("id").alias(key)).distinct())
+    return entries.join(keys, key, "left_semi") if small else entries
+
+
 def driver_roster(drivers: DataFrame, cars: DataFrame, entries: DataFrame, scope: Scope,
                   rng: PeriodRange, status: str = "pending") -> DataFrame:
     """Driver roster: scoped drivers with lifetime stats, assigned cars and
     billing of the selected period (default status: pending)."""
     d = roster_scope(drivers, scope, "drivers")
-    stats = lifetime_stats(entries, "driver_id").withColumnRenamed("driver_id", "_s_id")
+    mine = entries_of(entries, d, "driver_id")
+    stats = lifetime_stats(mine, "driver_id").withColumnRenamed("driver_id", "_s_id")
     cpd = cars_per_driver(cars).withColumnRenamed("current_driver_id", "_c_id")
-    bill = driver_billing(entries, rng, status).withColumnRenamed("driver_id", "_b_id")
+    bill = driver_billing(mine, rng, status).withColumnRenamed("driver_id", "_b_id")
     out = (d.join(stats, d.id == stats._s_id, "left")
             .join(cpd, d.id == cpd._c_id, "left")
             .join(bill, d.id == bill._b_id, "left"))
@@ -96,7 +113,7 @@ def car_roster(cars: DataFrame, drivers: DataFrame, entries: DataFrame, scope: S
     c = roster_scope(cars, scope, "cars")
     d = drivers.select(F.col("id").alias("_d_id"), F.col("owner_user_id").alias("_d_owner"),
                        F.col("full_name").alias("driver_name"))
-    stats = (lifetime_stats(entries, "car_id").drop("last_entry_date")
+    stats = (lifetime_stats(entries_of(entries, c, "car_id"), "car_id").drop("last_entry_date")
              .withColumnRenamed("car_id", "_s_id"))
     out = (c.join(d, (d._d_id == c.current_driver_id) & (d._d_owner == c.owner_user_id), "left")
             .join(stats, c.id == stats._s_id, "left"))

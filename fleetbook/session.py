@@ -109,3 +109,17 @@ def as_table(df, name: str = "batch"):
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+# Largest key list broadcast by ``broadcast_if_small`` (8-byte ids: ~16 MB).
+BROADCAST_MAX_ROWS = 2_000_000
+
+
+def broadcast_if_small(df, max_rows: int = BROADCAST_MAX_ROWS):
+    """``(broadcast(df), True)`` when ``df`` has at most ``max_rows`` rows,
+    else ``(df, False)``: a broadcast whose size is checked first, so the
+    caller can choose another plan beyond the bound."""
+    from pyspark.sql import functions as F
+
+    n = df.count()
+    return (F.broadcast(df), True) if n <= max_rows else (df, False)
