@@ -230,8 +230,8 @@ def append_expenses(expenses: DataFrame, forms: DataFrame, users: DataFrame, as_
 # --- dimensions -------------------------------------------------------------
 
 def clean_driver_forms(forms: DataFrame, users: DataFrame) -> DataFrame:
-    """Parse posted new-driver forms: trimmed name (required), empty dni / phone
-    to NULL, allow-listed status; only admins may post."""
+    """Parse posted new-driver forms: trimmed name (required), empty dni to
+    NULL, allow-listed status; only admins may post."""
     f = with_poster(forms, users)
     name = F.trim("full_name_text")
     return f.select(

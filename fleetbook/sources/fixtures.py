@@ -4,8 +4,10 @@ The test data is a TPC-H-like star schema; these derivations map it onto the
 fleet data model (suppliers are drivers, parts are cars, customers are
 users, line items are entry loads, orders are fleet expenses, events are
 access tokens). Ids are shifted by +1 because 0 means "all" in request
-parameters. The derivations are input construction only: they fix rows in
-the schema the operators expect and compute nothing an operator computes.
+parameters. The derivations follow the view definitions that come with the
+test data; like stored rows, entries carry their derived columns (deductions,
+net, week / month / year), which the operators that derive them
+(``entry_math``, ``with_period_columns``) are checked against.
 
 Joins here are left to Spark's planner: ``nation`` and ``region`` have a
 fixed size (25 and 5 rows by the TPC-H definition) and are the only tables
