@@ -55,7 +55,7 @@ def test_entry_math_missing_amounts_count_as_zero(spark):
     (" 7000 ", "7000.00"), ("-3,555", "-3.56"), ("2.675", "2.68"), (".5", "0.50"), ("+4", "4.00"),
     ("1e3", "1000.00"), ("1.117,00", "1117.00"), (None, "0.00"),
     ("1,2,3", "1.20"), ("1.234.567,89", "1234567.89"), ("0x1A", "0.00"), ("-", "0.00"), (" .5e-3", "0.00"),
-    ("-2.675", "-2.68"),
+    ("-2.675", "-2.68"), ("5.", "5.00"), ("1e", "1.00"), ("+.5", "0.50"),
 ])
 def test_parse_amount(spark, text, value):
     df = spark.createDataFrame([(text,)], "t string")
