@@ -34,12 +34,36 @@ BASE_CONF = {
 }
 
 
+def sizing_conf(input_bytes: int, total_cores: int, split_bytes: int = 256 * 1024 * 1024,
+                shuffle_bytes: int = 128 * 1024 * 1024) -> dict[str, str]:
+    """Partition sizing for a job reading ``input_bytes`` on ``total_cores``.
+
+    Scan splits of ``split_bytes`` keep each task's input bounded. The
+    initial shuffle partition count aims at ``shuffle_bytes`` per reduce task
+    for a shuffle as large as the input, between 3 and 20 waves of tasks (map
+    output bookkeeping grows with mappers x reducers, so it is capped; a
+    larger reducer spills). Adaptive execution coalesces small shuffles back
+    to the advisory size, so one setting serves a month report and a full
+    backfill.
+    """
+    by_size = -(-input_bytes // shuffle_bytes)
+    partitions = max(3 * total_cores, min(by_size, 20 * total_cores))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(split_bytes),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(shuffle_bytes),
+    }
+
+
 def build_session(
     master: str | None = None,
     cpus: int | None = None,
     app_name: str = "fleetbook",
     shuffle_partitions: int | None = None,
     extra: dict[str, str] | None = None,
+    input_bytes: int | None = None,
+    total_cores: int | None = None,
 ) -> SparkSession:
     """Build (or reuse) a session with fleetbook's settings.
 
@@ -52,6 +76,8 @@ def build_session(
     if master:
         builder = builder.master(master)
     conf = dict(BASE_CONF)
+    if input_bytes is not None:
+        conf.update(sizing_conf(input_bytes, total_cores or cpus or 8))
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     if extra:

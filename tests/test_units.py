@@ -334,3 +334,12 @@ def test_unique_keys_under_source_collation(spark):
     assert got == [2, 2]
     v = Q.unique_violations({"users": users}, Q.SOURCE_COLLATION).collect()
     assert sorted(r.rows for r in v) == [2, 2]
+
+
+def test_sizing_conf():
+    from fleetbook.session import sizing_conf
+
+    big = sizing_conf(100 * 1024 ** 4, 4000)
+    assert int(big["spark.sql.shuffle.partitions"]) == 80_000          # capped at 20 waves
+    assert int(big["spark.sql.files.maxPartitionBytes"]) == 256 * 1024 ** 2
+    assert int(sizing_conf(60 * 1024 ** 2, 8)["spark.sql.shuffle.partitions"]) == 24   # 3 waves minimum
