@@ -30,11 +30,16 @@ from fleetbook.sources.fixtures import TestdataTables  # noqa: E402
 from fleetbook.sources.tables import StagedTables, stage_fleet_tables  # noqa: E402
 
 
-def run_all(bodies, tables, label):
+def run_all(bodies, tables, label, errors):
     times = {}
     for name in sorted(bodies):
         t0 = time.perf_counter()
-        bodies[name](tables).write.format("noop").mode("overwrite").save()
+        try:
+            bodies[name](tables).write.format("noop").mode("overwrite").save()
+        except Exception as ex:  # keep going; the failure is reported in the JSON line
+            errors[f"{label}:{name}"] = str(ex).splitlines()[0][:300]
+            print(f"[{label}] {name}: FAILED {errors[f'{label}:{name}']}", file=sys.stderr, flush=True)
+            continue
         times[name] = round(time.perf_counter() - t0, 3)
         print(f"[{label}] {name}: {times[name]:.2f}s", file=sys.stderr, flush=True)
     return times
@@ -61,22 +66,25 @@ def main():
         sf = float(sf_name)
     except ValueError:
         sf = sf_name
+    errors: dict[str, str] = {}
     out = {"metric": "total_query_seconds", "unit": "sec", "sf": sf,
            "cpus": cpus, "mode": mode, "n_queries": len(bodies)}
     if mode in ("derived", "both"):
-        times = run_all(bodies, derived, "derived")
+        times = run_all(bodies, derived, "derived", errors)
         out["derived_total"] = round(sum(times.values()), 3)
         out["derived_queries"] = times
     if mode in ("staged", "both"):
         t0 = time.perf_counter()
         path = stage_fleet_tables(derived)
         out["stage_seconds"] = round(time.perf_counter() - t0, 3)
-        times = run_all(bodies, StagedTables(spark, sf_dir, path), "staged")
+        times = run_all(bodies, StagedTables(spark, sf_dir, path), "staged", errors)
         out["staged_total"] = round(sum(times.values()), 3)
         out["queries"] = times
     else:
         out["queries"] = out["derived_queries"]
     out["value"] = out.get("staged_total", out.get("derived_total"))
+    if errors:
+        out["errors"] = errors
     print(json.dumps(out))
     spark.stop()
 
