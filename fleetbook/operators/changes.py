@@ -263,6 +263,7 @@ R_MISSING = "missing_fields"
 R_DRIVER_NOT_IN_OWNER = "driver_not_in_owner"
 R_SELF_LOCK = "self_lock"
 R_USER_NOT_IN_OWNER = "user_not_in_owner"
+R_DUPLICATE_USERNAME = "duplicate_username"
 
 
 def judge_user_edits(edits: DataFrame, users: DataFrame, drivers: DataFrame,
@@ -273,7 +274,8 @@ def judge_user_edits(edits: DataFrame, users: DataFrame, drivers: DataFrame,
     username are required; the role is allow-listed (default driver) and an
     admin loses its driver link; a linked driver must belong to the tenant;
     a poster may not demote or deactivate itself; the edited user must belong
-    to the tenant.
+    to the tenant; the new username must not belong to another user nor
+    repeat in the batch.
     """
     mgr = users.select(F.col("id").alias("_m_id"), F.col("username").alias("_m_username"))
     p = with_poster(edits, users).join(mgr, F.col("posted_by") == F.col("_m_id"), "left")
@@ -285,6 +287,14 @@ def judge_user_edits(edits: DataFrame, users: DataFrame, drivers: DataFrame,
     p = (p.join(d, (p.linked_driver == d._d_id) & (p._p_tenant == d._d_owner), "left")
           .join(t, (p.id == t._u_id) & (p._p_tenant == t._u_owner), "left"))
     is_manager = (F.col("_p_role") == "admin") & F.col("_m_username").isin(*managers)
+    # usernames are unique over all users: taken by another user, or repeated in the batch
+    name = F.trim("username_text")
+    holders = users.groupBy(F.col("username").alias("_h_name")).agg(
+        F.count(F.lit(1)).alias("_h_n"), F.min("id").alias("_h_min"))
+    repeats = edits.groupBy(F.trim("username_text").alias("_r_name")).agg(F.countDistinct("id").alias("_r_n"))
+    p = (p.join(holders, name == holders._h_name, "left")
+          .join(repeats, name == repeats._r_name, "left"))
+    taken = F.coalesce((F.col("_h_n") > 1) | (F.col("_h_min") != F.col("id")), F.lit(False)) | (F.col("_r_n") > 1)
     reasons = reasons_of(
         (~F.coalesce(is_manager, F.lit(False)), R_NOT_MANAGER),
         ((F.trim("full_name_text") == "") | (F.trim("username_text") == ""), R_MISSING),
@@ -292,6 +302,7 @@ def judge_user_edits(edits: DataFrame, users: DataFrame, drivers: DataFrame,
         ((F.col("id") == F.col("posted_by")) & ((F.col("role") != "admin") | (F.col("is_active") != 1)),
          R_SELF_LOCK),
         (F.col("_u_id").isNull(), R_USER_NOT_IN_OWNER),
+        (taken, R_DUPLICATE_USERNAME),
     )
     return p.select("id", "posted_by", F.trim("full_name_text").alias("full_name"),
                     F.trim("username_text").alias("username"), "role",

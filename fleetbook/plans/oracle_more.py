@@ -479,7 +479,10 @@ SELECT j.id, j.posted_by, trim(j.full_name_text) AS full_name, trim(j.username_t
        AND d.owner_user_id = j.p_tenant) THEN 'driver_not_in_owner' END,
   CASE WHEN j.id = j.posted_by AND (j.role <> 'admin' OR j.is_active <> 1) THEN 'self_lock' END,
   CASE WHEN NOT EXISTS (SELECT 1 FROM users t WHERE t.id = j.id AND t.owner_user_id = j.p_tenant)
-       THEN 'user_not_in_owner' END) AS reasons
+       THEN 'user_not_in_owner' END,
+  CASE WHEN EXISTS (SELECT 1 FROM users h WHERE h.username = trim(j.username_text) AND h.id <> j.id)
+         OR (SELECT COUNT(DISTINCT e.id) FROM ue e WHERE trim(e.username_text) = trim(j.username_text)) > 1
+       THEN 'duplicate_username' END) AS reasons
 FROM uj j) x WHERE reasons <> ''""",
        ue=USER_EDITS,
        uj=f"""SELECT e.*, p.role AS p_role, COALESCE(p.owner_user_id, p.id) AS p_tenant, p.username AS m_username,

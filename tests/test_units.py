@@ -343,3 +343,28 @@ def test_sizing_conf():
     assert int(big["spark.sql.shuffle.partitions"]) == 80_000          # capped at 20 waves
     assert int(big["spark.sql.files.maxPartitionBytes"]) == 256 * 1024 ** 2
     assert int(sizing_conf(60 * 1024 ** 2, 8)["spark.sql.shuffle.partitions"]) == 24   # 3 waves minimum
+
+
+def test_user_edit_rules(spark):
+    users = spark.createDataFrame(
+        [(1, "Per", "personal", "admin", None, 1, 1), (2, "Ana", "ana", "driver", None, 1, 1),
+         (3, "Bob", "bob", "driver", None, 1, 1), (4, "Eve", "eve", "driver", None, 2, 1)],
+        "id long, full_name string, username string, role string, driver_id long, owner_user_id long, "
+        "is_active int")
+    drivers = spark.createDataFrame([(10, 1), (11, 2)], "id long, owner_user_id long")
+    edits = spark.createDataFrame([
+        (3, 1, "Bob", "ana", "driver", None, 1),     # username of another user
+        (2, 1, "Ana", "ann", "admin", 10, 1),        # admin: driver link dropped; fine
+        (1, 1, "Per", "personal", "driver", None, 1),  # demotes itself
+        (4, 1, "Eve", "eve", "driver", 11, 1),       # user and driver of another tenant
+        (3, 2, "Bob", "bobby", "driver", None, 1),   # posted by a non-manager
+    ], "id long, posted_by long, full_name_text string, username_text string, role_text string, "
+       "driver_id long, is_active int")
+    got = {(r.id, r.posted_by): r for r in C.judge_user_edits(edits, users, drivers).collect()}
+    assert got[(3, 1)].reasons == "duplicate_username"
+    assert got[(2, 1)].reasons == "" and got[(2, 1)].driver_id is None and got[(2, 1)].role == "admin"
+    assert got[(1, 1)].reasons == "self_lock"
+    assert got[(4, 1)].reasons == "driver_not_in_owner,user_not_in_owner"
+    assert got[(3, 2)].reasons == "not_user_manager"
+    applied = {r.id: r for r in C.apply_user_edits(users, edits, drivers).collect()}
+    assert applied[2].username == "ann" and applied[2].role == "admin" and applied[3].username == "bob"
