@@ -440,3 +440,85 @@ def apply_car_edits(cars: DataFrame, cleaned_forms: DataFrame, users: DataFrame)
     hit = F.col("_n_id").isNotNull()
     return j.select(*[F.when(hit, F.col(f"_n_{x}")).otherwise(cars[x]).alias(x) if x in changed
                       else cars[x] for x in cars.columns])
+
+
+# --- the driver form: driver fields and car assignment in one save ------------------------
+
+R_NO_NAME_SAVE = "no_name"
+
+
+def judge_driver_saves(posts: DataFrame, drivers: DataFrame, cars: DataFrame, users: DataFrame) -> DataFrame:
+    """Driver form posts with reasons; a post is one save that succeeds or fails whole.
+
+    ``id`` 0 creates a driver, otherwise it edits driver ``id`` (an edit of a
+    driver of another tenant changes no driver row, but its car assignment
+    still runs, as in the original form). Rules in order: admins only; name
+    required; a chosen car must be an active car of the tenant; the dni must
+    stay unique in the tenant (not held by another driver, not repeated among
+    the batch's saves).
+    """
+    p = with_poster(posts, users)
+    name = F.trim("full_name_text")
+    dni = F.nullif(F.trim("dni_text"), F.lit(""))
+    car = F.when(F.trim("assigned_car_text") == "", F.lit(None).cast("bigint")).otherwise(
+        F.trim("assigned_car_text").try_cast("bigint"))
+    p = p.select("*", name.alias("full_name"), dni.alias("dni"), car.alias("car_id"),
+                 clean_enum("status_text", "status").alias("status"))
+    avail = cars.where(F.col("status") == "active").select(F.col("id").alias("_a_id"),
+                                                          F.col("owner_user_id").alias("_a_owner"))
+    p = p.join(avail, (p.car_id == avail._a_id) & (p._p_tenant == avail._a_owner), "left")
+    tgt = drivers.select(F.col("id").alias("_t_id"), F.col("owner_user_id").alias("_t_owner"))
+    p = p.join(tgt, (p.id == tgt._t_id) & (p._p_tenant == tgt._t_owner), "left")
+    base_ok = ((F.col("_p_role") == "admin") & (F.col("full_name") != "")
+               & (F.col("car_id").isNull() | F.col("_a_id").isNotNull()))
+    writes = (F.col("id") == 0) | F.col("_t_id").isNotNull()
+    held = (drivers.where(F.col("dni").isNotNull())
+                   .groupBy(F.col("owner_user_id").alias("_x_owner"), F.col("dni").alias("_x_dni"))
+                   .agg(F.count(F.lit(1)).alias("_x_n"), F.min("id").alias("_x_min")))
+    p = p.join(held, (p._p_tenant == held._x_owner) & (p.dni == held._x_dni), "left")
+    taken = F.coalesce((F.col("id") == 0) | (F.col("_x_n") > 1) | (F.col("_x_min") != F.col("id")),
+                       F.lit(False)) & F.col("_x_n").isNotNull()
+    identity = F.when(F.col("id") > 0, F.col("id")).otherwise(-F.col("change_seq"))
+    p = p.withColumn("_identity", identity).withColumn("_writes_dni", base_ok & writes & F.col("dni").isNotNull())
+    rep = (p.where(F.col("_writes_dni"))
+            .groupBy(F.col("_p_tenant").alias("_r_owner"), F.col("dni").alias("_r_dni"))
+            .agg(F.countDistinct("_identity").alias("_r_n")))
+    p = p.join(rep, (p._p_tenant == rep._r_owner) & (p.dni == rep._r_dni), "left")
+    # checked in the form's order: each rule only when the earlier ones passed
+    admin = F.col("_p_role") == "admin"
+    named = admin & (F.col("full_name") != "")
+    reasons = reasons_of(
+        (F.col("_p_role").isNull(), R_NO_SESSION),
+        (F.col("_p_role") == "driver", R_NOT_ADMIN),
+        (admin & (F.col("full_name") == ""), R_NO_NAME_SAVE),
+        (named & F.col("car_id").isNotNull() & F.col("_a_id").isNull(), R_CAR_UNAVAILABLE),
+        (F.col("_writes_dni") & (taken | (F.coalesce(F.col("_r_n"), F.lit(0)) > 1)), R_DUPLICATE_DNI),
+    )
+    return p.select("change_seq", "posted_by", "id", F.col("_p_tenant").alias("owner_user_id"), "full_name",
+                    "dni", "status", "car_id", writes.alias("writes_driver"), reasons.alias("reasons"))
+
+
+def apply_driver_saves(drivers: DataFrame, cars: DataFrame, posts: DataFrame, users: DataFrame) -> dict:
+    """Drivers and cars after the accepted driver form saves.
+
+    Edits of the tenant's drivers take the newest save per driver; creations
+    get ids above the current maximum in posting order; then every accepted
+    save runs its car assignment (clear the driver's cars in the tenant, give
+    the chosen car), applied as in ``apply_assignments``.
+    """
+    ok = as_table(judge_driver_saves(posts, drivers, cars, users).where(F.col("reasons") == ""),
+                  "accepted_driver_saves")
+    top = drivers.select(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    saved_id = F.when(F.col("id") > 0, F.col("id")).otherwise(top + F.col("change_seq")).cast("bigint")
+    edits = newest_per_key(ok.where((F.col("id") > 0) & F.col("writes_driver"))
+                             .select("id", "change_seq", "full_name", "dni", "status"), ["id"], "change_seq")
+    n = edits.select(F.col("id").alias("_n_id"), *[F.col(c).alias(f"_n_{c}") for c in ("full_name", "dni", "status")])
+    j = drivers.join(n, drivers.id == n._n_id, "left")
+    hit = F.col("_n_id").isNotNull()
+    changed = {"full_name", "dni", "status"}
+    edited = j.select(*[F.when(hit, F.col(f"_n_{x}")).otherwise(drivers[x]).alias(x) if x in changed
+                        else drivers[x] for x in drivers.columns])
+    created = ok.where(F.col("id") == 0).select(saved_id.alias("id"), "owner_user_id", "full_name", "dni", "status")
+    new_drivers = edited.unionByName(created.select(*drivers.columns))
+    assignments = ok.select("change_seq", "posted_by", saved_id.alias("driver_id"), "car_id")
+    return {"drivers": new_drivers, "cars": apply_assignments(cars, assignments, users)}

@@ -786,3 +786,80 @@ UNION ALL
 SELECT (SELECT COALESCE(MAX(id), 0) FROM users) + form_seq, full_name, username, role, driver_id, owner_user_id,
        is_active FROM nur WHERE reasons = ''""", **NEW_USERS)
 oracle("new_user_rejects", "SELECT * FROM nur WHERE reasons <> ''", **NEW_USERS)
+
+# --- driver form saves --------------------------------------------------------------------
+
+NPART = "(SELECT COUNT(*) FROM part)"
+DRIVER_SAVES = f"""
+SELECT s_suppkey + 1 AS change_seq, s_suppkey * 11 % {NCUST} + 1 AS posted_by,
+  CASE WHEN s_suppkey % 4 = 0 THEN CAST(0 AS BIGINT) ELSE s_suppkey + 1 END AS id,
+  CASE WHEN s_suppkey % 9 = 0 THEN ' ' ELSE s_name || ' ' END AS full_name_text,
+  CASE WHEN s_suppkey % 6 = 0 THEN '' ELSE CAST(30000000 + s_suppkey * 7 % 90 AS VARCHAR) END AS dni_text,
+  CASE WHEN s_acctbal > 5000 THEN 'inactive' ELSE 'active' END AS status_text,
+  CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE CAST(s_suppkey * 17 % {NPART} + 1 AS VARCHAR) END AS assigned_car_text
+FROM supplier"""
+DSP = f"""
+SELECT s.*, u.role AS p_role, COALESCE(u.owner_user_id, u.id) AS p_tenant,
+  trim(s.full_name_text) AS full_name, NULLIF(trim(s.dni_text), '') AS dni,
+  CASE WHEN trim(s.assigned_car_text) = '' THEN NULL ELSE TRY_CAST(trim(s.assigned_car_text) AS BIGINT) END AS car_id,
+  {ENUM('s.status_text', ('active', 'inactive'), 'active')} AS status
+FROM ds s LEFT JOIN users u ON u.id = s.posted_by"""
+DSQ = """
+SELECT d.*,
+  (d.car_id IS NULL OR EXISTS (SELECT 1 FROM cars c WHERE c.id = d.car_id AND c.owner_user_id = d.p_tenant
+                                AND c.status = 'active')) AS car_ok,
+  (d.id = 0 OR EXISTS (SELECT 1 FROM drivers x WHERE x.id = d.id AND x.owner_user_id = d.p_tenant)) AS writes_driver
+FROM dsp d"""
+DSW = """
+SELECT d.*, COALESCE(d.p_role = 'admin' AND d.full_name <> '' AND d.car_ok AND d.writes_driver
+                     AND d.dni IS NOT NULL, FALSE) AS writes_dni,
+  CASE WHEN d.id > 0 THEN d.id ELSE -d.change_seq END AS identity
+FROM dsq d"""
+DSJ = """
+SELECT d.change_seq, d.posted_by, d.id, d.p_tenant AS owner_user_id, d.full_name, d.dni, d.status, d.car_id,
+  d.writes_driver, concat_ws(',',
+    CASE WHEN d.p_role IS NULL THEN 'no_session' END,
+    CASE WHEN d.p_role = 'driver' THEN 'not_admin' END,
+    CASE WHEN d.p_role = 'admin' AND d.full_name = '' THEN 'no_name' END,
+    CASE WHEN d.p_role = 'admin' AND d.full_name <> '' AND NOT d.car_ok THEN 'car_unavailable' END,
+    CASE WHEN d.writes_dni AND (
+        EXISTS (SELECT 1 FROM drivers x WHERE x.owner_user_id = d.p_tenant AND x.dni = d.dni
+                AND (d.id = 0 OR x.id <> d.id))
+        OR (SELECT COUNT(DISTINCT o.identity) FROM dsw o
+            WHERE o.writes_dni AND o.p_tenant = d.p_tenant AND o.dni = d.dni) > 1)
+      THEN 'duplicate_dni' END) AS reasons
+FROM dsw d"""
+SAVES = dict(ds=DRIVER_SAVES, dsp=DSP, dsq=DSQ, dsw=DSW, dsj=DSJ,
+             ok="SELECT * FROM dsj WHERE reasons = ''",
+             top="SELECT COALESCE(MAX(id), 0) AS top FROM drivers")
+oracle("driver_save_rejects", """
+SELECT change_seq, posted_by, id, owner_user_id, full_name, dni, status, car_id, reasons FROM dsj
+WHERE reasons <> ''""", **SAVES)
+oracle("driver_saves", """
+SELECT d.id, d.owner_user_id,
+  CASE WHEN e.id IS NOT NULL THEN e.full_name ELSE d.full_name END AS full_name,
+  CASE WHEN e.id IS NOT NULL THEN e.dni ELSE d.dni END AS dni,
+  CASE WHEN e.id IS NOT NULL THEN e.status ELSE d.status END AS status
+FROM drivers d LEFT JOIN edits e ON e.id = d.id
+UNION ALL
+SELECT (SELECT top FROM top) + change_seq, owner_user_id, full_name, dni, status FROM ok WHERE id = 0""",
+       **SAVES,
+       edits="""SELECT * FROM (SELECT o.*, ROW_NUMBER() OVER (PARTITION BY id ORDER BY change_seq DESC,
+                full_name DESC NULLS LAST, dni DESC NULLS LAST, status DESC NULLS LAST) AS rn
+                FROM ok o WHERE o.id > 0 AND o.writes_driver) x WHERE rn = 1""")
+oracle("driver_save_cars", """
+SELECT c1.id, c1.owner_user_id, c1.brand, c1.model, c1.plate, c1.status,
+  CASE WHEN lp.lp_seq IS NOT NULL AND (c1.since IS NULL OR lp.lp_seq > c1.since) THEN NULL ELSE c1.holder END
+    AS current_driver_id
+FROM c1 LEFT JOIN last_post lp ON lp.lp_owner = c1.owner_user_id AND lp.lp_driver = c1.holder""",
+       **SAVES,
+       asg="""SELECT change_seq, posted_by, CASE WHEN id > 0 THEN id ELSE (SELECT top FROM top) + change_seq END
+              AS driver_id, car_id FROM ok""",
+       ap=ASG_P,
+       valid="SELECT * FROM ap WHERE p_role = 'admin' AND car_ok",
+       last_post="SELECT p_tenant AS lp_owner, driver_id AS lp_driver, MAX(change_seq) AS lp_seq FROM valid GROUP BY 1, 2",
+       last_set="""SELECT car_id AS ls_car, driver_id AS ls_driver, change_seq AS ls_seq FROM (
+                   SELECT v.*, ROW_NUMBER() OVER (PARTITION BY car_id ORDER BY change_seq DESC, driver_id DESC) AS rn
+                   FROM valid v WHERE car_id IS NOT NULL) x WHERE rn = 1""",
+       c1="""SELECT c.*, CASE WHEN ls.ls_car IS NOT NULL THEN ls.ls_driver ELSE c.current_driver_id END AS holder,
+             ls.ls_seq AS since FROM cars c LEFT JOIN last_set ls ON ls.ls_car = c.id""")

@@ -130,3 +130,25 @@ def note_rejects(t):
     """Week-note posts that are rejected (no session, not admin, empty note)."""
     s = StandinBatches(t)
     return C.note_post_rejects(s.note_posts, t.users)
+
+
+@query("driver_saves")
+def driver_saves(t):
+    """Drivers after the driver form saves (edits and creations, whole-save rules)."""
+    s = StandinBatches(t)
+    return C.apply_driver_saves(t.drivers, t.cars, s.driver_saves, t.users)["drivers"]
+
+
+@query("driver_save_cars")
+def driver_save_cars(t):
+    """Cars after the car assignments of the accepted driver form saves."""
+    s = StandinBatches(t)
+    return C.apply_driver_saves(t.drivers, t.cars, s.driver_saves, t.users)["cars"]
+
+
+@query("driver_save_rejects")
+def driver_save_rejects(t):
+    """Driver form saves that fail as a whole, with reasons."""
+    s = StandinBatches(t)
+    j = C.judge_driver_saves(s.driver_saves, t.drivers, t.cars, t.users)
+    return j.where(j.reasons != "").drop("writes_driver")

@@ -50,6 +50,10 @@ class TestdataTables:
     def customer_count(self) -> Column:
         return self.raw("customer").select(F.count(F.lit(1))).scalar()
 
+    @cached_property
+    def part_count(self) -> Column:
+        return self.raw("part").select(F.count(F.lit(1))).scalar()
+
     @cached_property
     def nation(self) -> DataFrame:
         # fixed-size dimension (25 rows by definition): safe to broadcast

@@ -300,3 +300,21 @@ class StandinBatches:
             .alias("driver_id_text"),
             F.when(F.col("c_acctbal") < 0, F.lit(0)).otherwise(F.lit(1)).alias("is_active"),
         )
+
+    @cached_property
+    def driver_saves(self) -> DataFrame:
+        """Driver form saves, one per supplier: every fourth creates a driver, the
+        others edit the supplier's driver; most choose a car."""
+        s = self.t.raw("supplier")
+        k = F.col("s_suppkey")
+        return s.select(
+            (k + 1).alias("change_seq"),
+            (k * 11 % self.t.customer_count + 1).alias("posted_by"),
+            F.when(k % 4 == 0, F.lit(0).cast("bigint")).otherwise(k + 1).alias("id"),
+            F.when(k % 9 == 0, F.lit(" ")).otherwise(F.concat(F.col("s_name"), F.lit(" "))).alias("full_name_text"),
+            F.when(k % 6 == 0, F.lit("")).otherwise((F.lit(30000000) + k * 7 % 90).cast("string"))
+            .alias("dni_text"),
+            F.when(F.col("s_acctbal") > 5000, F.lit("inactive")).otherwise(F.lit("active")).alias("status_text"),
+            F.when(k % 5 == 0, F.lit("")).otherwise((k * 17 % self.t.part_count + 1).cast("string"))
+            .alias("assigned_car_text"),
+        )

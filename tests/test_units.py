@@ -368,3 +368,29 @@ def test_user_edit_rules(spark):
     assert got[(3, 2)].reasons == "not_user_manager"
     applied = {r.id: r for r in C.apply_user_edits(users, edits, drivers).collect()}
     assert applied[2].username == "ann" and applied[2].role == "admin" and applied[3].username == "bob"
+
+
+def test_driver_form_saves_are_whole(spark):
+    drivers = spark.createDataFrame([(1, 1, "Ana", "7", "active"), (2, 2, "Bob", None, "active")],
+                                    "id long, owner_user_id long, full_name string, dni string, status string")
+    cars = spark.createDataFrame([(10, 1, "B", "M", "P10", "active", None), (11, 1, "B", "M", "P11", "inactive", None),
+                                  (12, 1, "B", "M", "P12", "active", 2)],
+                                 "id long, owner_user_id long, brand string, model string, plate string, "
+                                 "status string, current_driver_id long")
+    users = spark.createDataFrame([(100, "admin", 1, None)], "id long, role string, owner_user_id long, driver_id long")
+    posts = spark.createDataFrame([
+        (1, 100, 1, "Ana B", "8", "active", "11"),    # car 11 inactive: whole save fails
+        (2, 100, 2, "Bob X", "", "active", "12"),     # driver of tenant 2: no driver edit, car 12 still given
+        (3, 100, 0, "Cid", "7", "activo", "10"),      # new driver, dni 7 taken by Ana
+        (4, 100, 0, "Dan", "", "activo", "10"),       # new driver gets car 10
+    ], "change_seq long, posted_by long, id long, full_name_text string, dni_text string, status_text string, "
+       "assigned_car_text string")
+    j = {r.change_seq: r.reasons for r in C.judge_driver_saves(posts, drivers, cars, users).collect()}
+    assert j == {1: "car_unavailable", 2: "", 3: "duplicate_dni", 4: ""}
+    out = C.apply_driver_saves(drivers, cars, posts, users)
+    d = {r.id: r for r in out["drivers"].collect()}
+    assert d[1].full_name == "Ana" and d[2].full_name == "Bob"          # unchanged
+    assert sorted(d) == [1, 2, 6]                                         # Cid rejected
+    assert d[6].full_name == "Dan" and d[6].owner_user_id == 1 and d[6].status == "active"  # id = max 2 + seq 4
+    c = {r.id: r.current_driver_id for r in out["cars"].collect()}
+    assert c == {10: 6, 11: None, 12: 2}
