@@ -11,6 +11,8 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetbook.functions.display import datetime_ar
+
 # Token lifetimes.
 REMEMBER_DAYS = 30
 RESET_HOURS = 1
@@ -37,14 +39,16 @@ def purge_tokens(tokens: DataFrame, requests: DataFrame, resets: DataFrame) -> D
 
 
 def last_access(users: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Users with ``last_login_at`` stamped from their latest token use."""
+    """Users with ``last_login_at`` stamped from their latest token use, and
+    its display text (``dd/mm/yyyy HH:mm``, ``-`` when never)."""
     last = (tokens.where(F.col("used_at").isNotNull()).groupBy("user_id")
                   .agg(F.max("used_at").alias("_last")))
     j = users.join(last, users.id == last.user_id, "left")
     prev = F.col("last_login_at") if "last_login_at" in users.columns else F.lit(None).cast("timestamp_ntz")
     stamped = F.greatest(prev, F.col("_last"))
     cols = [c for c in users.columns if c != "last_login_at"]
-    return j.select(*[users[c] for c in cols], stamped.alias("last_login_at"))
+    return j.select(*[users[c] for c in cols], stamped.alias("last_login_at"),
+                    datetime_ar(stamped).alias("last_login_text"))
 
 
 def token_expiry(tokens: DataFrame) -> DataFrame:

@@ -610,7 +610,8 @@ WHERE t.user_id NOT IN (SELECT user_id FROM token_resets)
   AND NOT (t.used_at IS NULL AND t.user_id IN (SELECT user_id FROM token_requests))""",
        token_requests=TOKEN_REQUESTS, token_resets=TOKEN_RESETS)
 oracle("last_access", """
-SELECT u.*, l.last_used AS last_login_at FROM users u
+SELECT u.*, l.last_used AS last_login_at,
+  COALESCE(strftime(l.last_used, '%d/%m/%Y %H:%M'), '-') AS last_login_text FROM users u
 LEFT JOIN (SELECT user_id, MAX(used_at) AS last_used FROM access_tokens WHERE used_at IS NOT NULL GROUP BY 1) l
   ON l.user_id = u.id""")
 oracle("token_expiry", """
