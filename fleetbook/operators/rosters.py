@@ -97,7 +97,11 @@ def driver_roster(drivers: DataFrame, cars: DataFrame, entries: DataFrame, scope
         _z("income_total"), _z("expenses_total"), _z("net_total"), "last_entry_date",
         F.coalesce("cars_count", F.lit(0)).cast("bigint").alias("cars_count"), "car_labels",
         _z("rental_selected_total"), _z("rental_pending_total"),
-        _z("rental_invoiced_total"), _z("rental_total"))
+        _z("rental_invoiced_total"), _z("rental_total"),
+        D.label_of("status", D.ACTIVE_LABELS).alias("status_label"),
+        *([D.fallback("phone", D.EMPTY_DASH).alias("phone_label")] if "phone" in d.columns else []),
+        D.fallback("dni", D.EMPTY_DASH).alias("dni_label"),
+        D.fallback("car_labels", D.EMPTY_DASH).alias("car_labels_label"))
         .orderBy("status", "full_name"))
 
 
@@ -121,6 +125,8 @@ def car_roster(cars: DataFrame, drivers: DataFrame, entries: DataFrame, scope: S
         *[c[x] for x in c.columns], "driver_name",
         F.coalesce("entries_count", F.lit(0)).cast("bigint").alias("entries_count"),
         _z("income_total"), _z("expenses_total"), _z("net_total"),
+        D.label_of("status", D.ACTIVE_LABELS).alias("status_label"),
+        *([D.fallback("year", D.EMPTY_DASH).alias("year_label")] if "year" in c.columns else []),
         D.fallback("driver_name", D.NO_DRIVER).alias("driver_label"))
         .orderBy("status", "brand", "model", "plate"))
 
