@@ -73,7 +73,7 @@ def clean_entry_forms(forms: DataFrame, users: DataFrame, as_of: dt.date) -> Dat
     Amounts are es-AR texts. The batch is spread over the cluster first, as
     the cleaning is the CPU-heavy step of the job.
     """
-    f = with_poster(spread(forms), users)
+    f = with_poster(spread(forms, "form_seq") if "form_seq" in forms.columns else spread(forms), users)
     is_driver = F.col("_p_role") == "driver"
     is_admin = F.col("_p_role") == "admin"
     weekly = clean_enum("period_type_text", "period_type") == "week"

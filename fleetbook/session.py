@@ -110,15 +110,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def spread(df):
-    """Spread rows evenly (round robin) over the session's shuffle partitions.
+def spread(df, *row_keys: str):
+    """Spread rows evenly over the session's shuffle partitions.
 
     Used before CPU-heavy per-row work on a batch whose input may come in
-    few splits; round robin cannot be skewed by a hot key, and an explicit
-    partition count is kept as is by adaptive execution.
+    few splits. With ``row_keys`` (a per-row key such as a form's sequence
+    number, never a shared key like the poster) rows are hashed on it, which
+    is deterministic on retries and cannot be skewed; without, round robin
+    (which sorts each input partition first to stay deterministic). An
+    explicit partition count is kept as is by adaptive execution.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n)
+    return df.repartition(n, *row_keys) if row_keys else df.repartition(n)
 
 
 def as_table(df, name: str = "batch"):
