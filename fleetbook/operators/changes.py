@@ -40,6 +40,9 @@ R_OTHER_OWNER = "other_owner"
 R_OTHER_DRIVER = "other_driver"
 R_EMPTY_NOTE = "empty_note"
 R_CAR_UNAVAILABLE = "car_unavailable"
+R_DRIVER_NOT_IN_OWNER_EDIT = "driver_not_in_owner"
+R_CAR_NOT_IN_OWNER_EDIT = "car_not_in_owner"
+R_CAR_NOT_ASSIGNED_EDIT = "car_not_assigned"
 
 
 def newest_per_key(changes: DataFrame, key: list[str], seq_col: str | None) -> DataFrame:
@@ -55,11 +58,16 @@ def newest_per_key(changes: DataFrame, key: list[str], seq_col: str | None) -> D
 
 
 def entry_change_targets(changes: DataFrame, entries: DataFrame, users: DataFrame,
-                         admin_only: bool = False) -> DataFrame:
+                         admin_only: bool = False, drivers: DataFrame | None = None,
+                         cars: DataFrame | None = None) -> DataFrame:
     """Changes with their target entry's owner / driver and a rejection reason.
 
     Allowed: an admin of the entry's tenant; a driver user of the entry's
     tenant whose driver is the entry's driver (unless ``admin_only``).
+    With ``drivers`` and ``cars`` (edits), changes that pass those checks
+    are then held to the load form's rules, as an edit posts the whole form:
+    for admins the entry's driver and car must be active rows of the
+    tenant, for driver users the car must be active and assigned to them.
     Targets are found by semi-joining the entries with the batch's keys (the
     batch is the build side), so only matching entry keys leave their tasks.
     """
@@ -70,15 +78,34 @@ def entry_change_targets(changes: DataFrame, entries: DataFrame, users: DataFram
     c = with_poster(changes, users).join(tgt, ENTRY_KEY, "left")
     role = F.col("_p_role")
     found = F.col("_t_owner").isNotNull()
-    reasons = reasons_of(
+    other_owner = found & (F.col("_t_owner") != F.col("_p_tenant"))
+    other_driver = found & (role == "driver") & (F.col("_t_driver") != F.coalesce(F.col("_p_driver"), F.lit(0)))
+    checks = [
         (role.isNull(), R_NO_SESSION),
         (F.lit(admin_only) & (role == "driver"), R_NOT_ADMIN),
         (role.isNotNull() & ~found, R_NOT_FOUND),
-        (found & (F.col("_t_owner") != F.col("_p_tenant")), R_OTHER_OWNER),
-        (found & (role == "driver") & (F.col("_t_driver") != F.coalesce(F.col("_p_driver"), F.lit(0))),
-         R_OTHER_DRIVER),
-    )
-    return c.withColumn("reasons", reasons)
+        (other_owner, R_OTHER_OWNER),
+        (other_driver, R_OTHER_DRIVER),
+    ]
+    if drivers is not None and cars is not None:
+        d = drivers.select(F.col("id").alias("_vd_id"), F.col("owner_user_id").alias("_vd_owner"),
+                           F.col("status").alias("_vd_status"))
+        v = cars.select(F.col("id").alias("_vc_id"), F.col("owner_user_id").alias("_vc_owner"),
+                        F.col("status").alias("_vc_status"), F.col("current_driver_id").alias("_vc_driver"))
+        c = c.join(d, c.driver_id == d._vd_id, "left").join(v, c.car_id == v._vc_id, "left")
+        passed = found & ~F.coalesce(other_owner, F.lit(False)) & ~F.coalesce(other_driver, F.lit(False))
+        admin_ok = passed & (role == "admin")
+        driver_ok = passed & (role == "driver")
+        tenant = F.col("_p_tenant")
+        checks += [
+            (admin_ok & ~F.coalesce((F.col("_vd_owner") == tenant) & (F.col("_vd_status") == "active"),
+                                    F.lit(False)), R_DRIVER_NOT_IN_OWNER_EDIT),
+            (admin_ok & ~F.coalesce((F.col("_vc_owner") == tenant) & (F.col("_vc_status") == "active"),
+                                    F.lit(False)), R_CAR_NOT_IN_OWNER_EDIT),
+            (driver_ok & ~F.coalesce((F.col("_vc_driver") == F.col("driver_id")) & (F.col("_vc_status") == "active"),
+                                     F.lit(False)), R_CAR_NOT_ASSIGNED_EDIT),
+        ]
+    return c.withColumn("reasons", reasons_of(*checks))
 
 
 def _private(df: DataFrame) -> list[str]:
@@ -86,14 +113,17 @@ def _private(df: DataFrame) -> list[str]:
 
 
 def apply_entry_updates(entries: DataFrame, updates: DataFrame, users: DataFrame,
-                        seq_col: str = "change_seq") -> DataFrame:
+                        seq_col: str = "change_seq", drivers: DataFrame | None = None,
+                        cars: DataFrame | None = None) -> DataFrame:
     """Entries after applying posted amount edits (keyed by the entry key).
 
     Edited rows take the new amounts and observations, get their deductions
     and net recomputed and ``updated_by`` set to the poster; other rows stay.
+    With ``drivers`` and ``cars`` an edit is also held to the load form's
+    driver / car rules (see ``entry_change_targets``).
     """
     updates = as_table(updates, "apply_entry_updates")
-    judged = entry_change_targets(updates, entries, users)
+    judged = entry_change_targets(updates, entries, users, drivers=drivers, cars=cars)
     ok = judged.where(F.col("reasons") == "").drop("reasons", *_private(judged))
     newest = as_table(newest_per_key(ok, ENTRY_KEY, seq_col), "entry_updates_newest")
     new_cols = [c for c in ENTRY_AMOUNTS + ("observations",) if c in newest.columns]
@@ -145,9 +175,10 @@ def apply_deletes(entries: DataFrame, deletes: DataFrame, users: DataFrame) -> D
 
 
 def entry_change_rejects(entries: DataFrame, users: DataFrame, updates: DataFrame,
-                         deletes: DataFrame) -> DataFrame:
+                         deletes: DataFrame, drivers: DataFrame | None = None,
+                         cars: DataFrame | None = None) -> DataFrame:
     """Rejected entry edits and deletes with their reasons."""
-    u = entry_change_targets(updates, entries, users).where(F.col("reasons") != "")
+    u = entry_change_targets(updates, entries, users, drivers=drivers, cars=cars).where(F.col("reasons") != "")
     d = entry_change_targets(deletes, entries, users).where(F.col("reasons") != "")
     cols = [*ENTRY_KEY, "posted_by", "reasons"]
     return (u.select(F.lit("update").alias("change"), *cols)

@@ -338,16 +338,27 @@ TOKEN_REQUESTS = "SELECT user_id + 1 AS user_id FROM events WHERE event_type = '
 TOKEN_RESETS = "SELECT user_id + 1 AS user_id FROM events WHERE event_type = 'purchase' AND value > 250"
 
 
-def JUDGED(batch: str, admin_only: bool) -> str:
+def JUDGED(batch: str, admin_only: bool, form_rules: bool = False) -> str:
     not_admin = "CASE WHEN p.role = 'driver' THEN 'not_admin' END," if admin_only else ""
+    tenant = "COALESCE(p.owner_user_id, p.id)"
+    passed = (f"(t.owner_user_id IS NOT NULL AND t.owner_user_id = {tenant} "
+              f"AND NOT (p.role = 'driver' AND t.driver_id <> COALESCE(p.driver_id, 0)))")
+    rules = f""",
+    CASE WHEN {passed} AND p.role = 'admin' AND NOT EXISTS (SELECT 1 FROM drivers x WHERE x.id = b.driver_id
+         AND x.owner_user_id = {tenant} AND x.status = 'active') THEN 'driver_not_in_owner' END,
+    CASE WHEN {passed} AND p.role = 'admin' AND NOT EXISTS (SELECT 1 FROM cars x WHERE x.id = b.car_id
+         AND x.owner_user_id = {tenant} AND x.status = 'active') THEN 'car_not_in_owner' END,
+    CASE WHEN {passed} AND p.role = 'driver' AND NOT EXISTS (SELECT 1 FROM cars x WHERE x.id = b.car_id
+         AND x.current_driver_id = b.driver_id AND x.status = 'active') THEN 'car_not_assigned' END""" \
+        if form_rules else ""
     return f"""
-SELECT b.*, p.role AS p_role, COALESCE(p.owner_user_id, p.id) AS p_tenant, p.driver_id AS p_driver,
+SELECT b.*, p.role AS p_role, {tenant} AS p_tenant, p.driver_id AS p_driver,
   t.owner_user_id AS t_owner, t.driver_id AS t_driver,
   concat_ws(',', CASE WHEN p.role IS NULL THEN 'no_session' END, {not_admin}
     CASE WHEN p.role IS NOT NULL AND t.owner_user_id IS NULL THEN 'not_found' END,
-    CASE WHEN t.owner_user_id IS NOT NULL AND t.owner_user_id <> COALESCE(p.owner_user_id, p.id) THEN 'other_owner' END,
+    CASE WHEN t.owner_user_id IS NOT NULL AND t.owner_user_id <> {tenant} THEN 'other_owner' END,
     CASE WHEN t.owner_user_id IS NOT NULL AND p.role = 'driver' AND t.driver_id <> COALESCE(p.driver_id, 0)
-         THEN 'other_driver' END) AS reasons
+         THEN 'other_driver' END{rules}) AS reasons
 FROM {batch} b LEFT JOIN users p ON p.id = b.posted_by
 LEFT JOIN entries_unique t ON {KEYMATCH('t', 'b')}"""
 
@@ -370,7 +381,7 @@ SELECT e.owner_user_id, e.period_type, e.entry_date, e.driver_id, e.car_id,
   CASE WHEN {HIT} THEN n.observations END AS observations,
   CASE WHEN {HIT} THEN n.posted_by END AS updated_by
 FROM entries_unique e LEFT JOIN newest n ON {KEYMATCH('n', 'e')}""",
-       upd=ENTRY_UPDATES, judged=JUDGED("upd", False),
+       upd=ENTRY_UPDATES, judged=JUDGED("upd", False, form_rules=True),
        newest=f"""SELECT * FROM (SELECT j.*, ROW_NUMBER() OVER (PARTITION BY {', '.join(KEY)}
                   ORDER BY change_seq DESC, {ORDER_UPD}) AS rn FROM judged j WHERE reasons = '') x WHERE rn = 1""")
 oracle("apply_billing_status", f"""
@@ -393,7 +404,7 @@ oracle("change_rejects", f"""
 SELECT 'update' AS change, {', '.join(KEY)}, posted_by, reasons FROM ju WHERE reasons <> ''
 UNION ALL
 SELECT 'delete' AS change, {', '.join(KEY)}, posted_by, reasons FROM jd WHERE reasons <> ''""",
-       upd=ENTRY_UPDATES, ed=ENTRY_DELETES, ju=JUDGED("upd", False), jd=JUDGED("ed", False))
+       upd=ENTRY_UPDATES, ed=ENTRY_DELETES, ju=JUDGED("upd", False, form_rules=True), jd=JUDGED("ed", False))
 oracle("apply_status", """
 SELECT d.id, d.owner_user_id, d.full_name, d.dni,
   CASE WHEN ok.id IS NOT NULL THEN ok.n_status ELSE d.status END AS status

@@ -11,9 +11,9 @@ from fleetbook.sources.standins import StandinBatches
 
 @query("apply_entry_updates")
 def apply_entry_updates(t):
-    """Entries after the posted amount edits (tenant / own-driver checks, newest wins)."""
+    """Entries after the posted amount edits (tenant / own-driver checks, form rules, newest wins)."""
     s = StandinBatches(t)
-    return C.apply_entry_updates(t.entries_unique, s.entry_updates, t.users)
+    return C.apply_entry_updates(t.entries_unique, s.entry_updates, t.users, drivers=t.drivers, cars=t.cars)
 
 
 @query("apply_billing_status")
@@ -75,9 +75,10 @@ def driver_edit_rejects(t):
 
 @query("change_rejects")
 def change_rejects(t):
-    """Entry edits and deletes rejected for session, ownership or driver reasons."""
+    """Entry edits and deletes rejected for session, ownership, driver or form-rule reasons."""
     s = StandinBatches(t)
-    return C.entry_change_rejects(t.entries_unique, t.users, s.entry_updates, s.entry_deletes)
+    return C.entry_change_rejects(t.entries_unique, t.users, s.entry_updates, s.entry_deletes,
+                                  drivers=t.drivers, cars=t.cars)
 
 
 @query("user_rejects")
