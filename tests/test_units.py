@@ -394,3 +394,24 @@ def test_driver_form_saves_are_whole(spark):
     assert d[6].full_name == "Dan" and d[6].owner_user_id == 1 and d[6].status == "active"  # id = max 2 + seq 4
     c = {r.id: r.current_driver_id for r in out["cars"].collect()}
     assert c == {10: 6, 11: None, 12: 2}
+
+
+def test_entry_edits_follow_form_rules(spark):
+    key = "period_type string, entry_date date, driver_id long, car_id long"
+    entries = spark.createDataFrame(
+        [("day", d(1997, 3, 3), 10, 100, 1, Decimal("5.00")), ("day", d(1997, 3, 3), 11, 100, 1, Decimal("5.00")),
+         ("day", d(1997, 3, 4), 10, 101, 1, Decimal("5.00"))],
+        key + ", owner_user_id long, gross_income decimal(12,2)")
+    drivers = spark.createDataFrame([(10, 1, "active"), (11, 1, "inactive")], "id long, owner_user_id long, status string")
+    cars = spark.createDataFrame([(100, 1, "active", 10), (101, 1, "active", 12)],
+                                 "id long, owner_user_id long, status string, current_driver_id long")
+    users = spark.createDataFrame([(1, "admin", 1, None), (2, "driver", 1, 10)],
+                                  "id long, role string, owner_user_id long, driver_id long")
+    edits = spark.createDataFrame(
+        [("day", d(1997, 3, 3), 10, 100, 1), ("day", d(1997, 3, 3), 11, 100, 1),   # admin: ok; inactive driver
+         ("day", d(1997, 3, 3), 10, 100, 2), ("day", d(1997, 3, 4), 10, 101, 2)],  # driver: assigned car; not assigned
+        key + ", posted_by long")
+    got = {(r.driver_id, r.car_id, r.posted_by): r.reasons
+           for r in C.entry_change_targets(edits, entries, users, drivers=drivers, cars=cars).collect()}
+    assert got == {(10, 100, 1): "", (11, 100, 1): "driver_not_in_owner",
+                   (10, 100, 2): "", (10, 101, 2): "car_not_assigned"}
