@@ -3,7 +3,8 @@
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS
 (default 8), BENCH_MODE (``staged`` default, ``derived``, or ``both``),
 BENCH_SHUFFLE (initial shuffle partitions, default twice the cores; at sf0.1
-8 was slower and 32 no faster).
+8 was slower and 32 no faster), BENCH_EVENTLOG (a folder: write Spark's event
+log there for stage and task times).
 
 * derived: each query as registered, deriving the fleet tables from the
   TPC-H-like parquet inside the query (what the correctness check runs).
@@ -51,10 +52,12 @@ def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     mode = os.environ.get("BENCH_MODE", "staged")
+    extra = {"spark.driver.memory": "16g", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32m"}
+    if os.environ.get("BENCH_EVENTLOG"):  # stage / task times for later reading, in a scratch folder
+        extra.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": os.environ["BENCH_EVENTLOG"]})
     spark = build_session(
         master=f"local[{cpus}]", shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE", max(8, 2 * cpus))),
-        extra={"spark.driver.memory": "16g",
-               "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32m"})
+        extra=extra)
     # the cluster's shared checkpoint folder when configured; a scratch folder otherwise
     checkpoint_dir(spark)
     bodies = query_bodies()
