@@ -529,17 +529,20 @@ def judge_driver_saves(posts: DataFrame, drivers: DataFrame, cars: DataFrame, us
                     "dni", "status", "car_id", writes.alias("writes_driver"), reasons.alias("reasons"))
 
 
-def apply_driver_saves(drivers: DataFrame, cars: DataFrame, posts: DataFrame, users: DataFrame) -> dict:
+def apply_driver_saves(drivers: DataFrame, cars: DataFrame, posts: DataFrame, users: DataFrame,
+                       id_base: int | None = None) -> dict:
     """Drivers and cars after the accepted driver form saves.
 
     Edits of the tenant's drivers take the newest save per driver; creations
     get ids above the current maximum in posting order; then every accepted
     save runs its car assignment (clear the driver's cars in the tenant, give
-    the chosen car), applied as in ``apply_assignments``.
+    the chosen car), applied as in ``apply_assignments``. ``id_base`` (the
+    largest id taken, when the deployment keeps it) saves a scan for it.
     """
     ok = as_table(judge_driver_saves(posts, drivers, cars, users).where(F.col("reasons") == ""),
                   "accepted_driver_saves")
-    top = drivers.select(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    top = (drivers.select(F.coalesce(F.max("id"), F.lit(0))).scalar() if id_base is None
+           else F.lit(id_base).cast("bigint"))
     saved_id = F.when(F.col("id") > 0, F.col("id")).otherwise(top + F.col("change_seq")).cast("bigint")
     edits = newest_per_key(ok.where((F.col("id") > 0) & F.col("writes_driver"))
                              .select("id", "change_seq", "full_name", "dni", "status"), ["id"], "change_seq")

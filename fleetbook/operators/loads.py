@@ -211,18 +211,28 @@ def clean_expense_forms(forms: DataFrame, users: DataFrame, as_of: dt.date) -> D
         reasons.alias("reasons"))
 
 
-def new_ids(rows: DataFrame, existing: DataFrame, seq_col: str = "form_seq") -> Column:
+def new_ids(rows: DataFrame, existing: DataFrame, seq_col: str = "form_seq",
+            id_base: int | Column | None = None) -> Column:
     """Ids for appended rows: above every existing id, in the batch's own
-    sequence (the posting order carried by each form); no global ranking."""
-    top = existing.select(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    sequence (the posting order carried by each form); no global ranking.
+
+    ``id_base`` is the largest id already taken, when the deployment keeps it
+    (e.g. the previous batch's last id); only without it is the existing
+    table's id column scanned for its maximum.
+    """
+    if id_base is None:
+        top = existing.select(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    else:
+        top = id_base if isinstance(id_base, Column) else F.lit(id_base)
     return (top + F.col(seq_col)).cast("bigint")
 
 
-def append_expenses(expenses: DataFrame, forms: DataFrame, users: DataFrame, as_of: dt.date) -> DataFrame:
+def append_expenses(expenses: DataFrame, forms: DataFrame, users: DataFrame, as_of: dt.date,
+                    id_base: int | Column | None = None) -> DataFrame:
     """Expense table after appending the valid posted expenses."""
     cleaned = clean_expense_forms(forms, users, as_of)
     ok = cleaned.where(F.col("reasons") == "")
-    new = ok.select(new_ids(ok, expenses).alias("id"), "owner_user_id", "expense_date", "amount",
+    new = ok.select(new_ids(ok, expenses, id_base=id_base).alias("id"), "owner_user_id", "expense_date", "amount",
                     "observations", F.col("posted_by").alias("created_by"))
     return append_rows(expenses, new)
 
@@ -244,12 +254,13 @@ def clean_driver_forms(forms: DataFrame, users: DataFrame) -> DataFrame:
                    (name == "", R_NO_NAME)).alias("reasons"))
 
 
-def append_drivers(drivers: DataFrame, forms: DataFrame, users: DataFrame) -> DataFrame:
+def append_drivers(drivers: DataFrame, forms: DataFrame, users: DataFrame,
+                   id_base: int | Column | None = None) -> DataFrame:
     """Driver table after appending valid new drivers whose dni is free in the tenant."""
     cleaned = clean_driver_forms(forms, users).where(F.col("reasons") == "")
     checked = batch_key_conflicts(cleaned, drivers, ["owner_user_id", "dni"])
     ok = checked.where(F.col("_conflict").isNull() | F.col("dni").isNull())
-    new = ok.select(new_ids(ok, drivers).alias("id"), "owner_user_id", "full_name", "dni", "status")
+    new = ok.select(new_ids(ok, drivers, id_base=id_base).alias("id"), "owner_user_id", "full_name", "dni", "status")
     return append_rows(drivers, new)
 
 
@@ -285,10 +296,12 @@ def judge_car_forms(forms: DataFrame, cars: DataFrame, users: DataFrame) -> Data
                      "reasons"))
 
 
-def append_cars(cars: DataFrame, forms: DataFrame, users: DataFrame) -> DataFrame:
+def append_cars(cars: DataFrame, forms: DataFrame, users: DataFrame,
+                id_base: int | Column | None = None) -> DataFrame:
     """Car table after appending the accepted new cars (no current driver yet)."""
     ok = judge_car_forms(forms, cars, users).where(F.col("reasons") == "")
-    new = ok.select(new_ids(ok, cars).alias("id"), "*", F.lit(None).cast("bigint").alias("current_driver_id"))
+    new = ok.select(new_ids(ok, cars, id_base=id_base).alias("id"), "*",
+                    F.lit(None).cast("bigint").alias("current_driver_id"))
     return append_rows(cars, new)
 
 
@@ -335,8 +348,8 @@ def judge_user_forms(forms: DataFrame, users: DataFrame, drivers: DataFrame,
 
 
 def append_users(users: DataFrame, forms: DataFrame, drivers: DataFrame,
-                 managers: tuple[str, ...] = USER_MANAGERS) -> DataFrame:
+                 managers: tuple[str, ...] = USER_MANAGERS, id_base: int | Column | None = None) -> DataFrame:
     """User table after appending the accepted new users."""
     ok = judge_user_forms(forms, users, drivers, managers).where(F.col("reasons") == "")
-    new = ok.select(new_ids(ok, users).alias("id"), "*")
+    new = ok.select(new_ids(ok, users, id_base=id_base).alias("id"), "*")
     return append_rows(users, new)

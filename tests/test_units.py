@@ -415,3 +415,12 @@ def test_entry_edits_follow_form_rules(spark):
            for r in C.entry_change_targets(edits, entries, users, drivers=drivers, cars=cars).collect()}
     assert got == {(10, 100, 1): "", (11, 100, 1): "driver_not_in_owner",
                    (10, 100, 2): "", (10, 101, 2): "car_not_assigned"}
+
+
+def test_new_ids_from_given_base(spark):
+    from fleetbook.operators import loads as L
+
+    rows = spark.createDataFrame([(3,), (5,)], "form_seq long")
+    existing = spark.createDataFrame([(7,)], "id long")
+    assert sorted(r.i for r in rows.select(L.new_ids(rows, existing).alias("i")).collect()) == [10, 12]
+    assert sorted(r.i for r in rows.select(L.new_ids(rows, existing, id_base=100).alias("i")).collect()) == [103, 105]
