@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from fleetbook.functions import periods as P
 from fleetbook.functions.amounts import clean_enum
 from fleetbook.operators.entries import entry_math_columns
-from fleetbook.operators.loads import USER_MANAGERS, reasons_of, with_poster
+from fleetbook.operators.loads import (USER_MANAGERS, month_keys, reasons_of, with_month_keys, with_poster,
+                                      within_batch_months)
 from fleetbook.schemas import ENTRY_AMOUNTS, UNIQUE_KEYS
 from fleetbook.session import as_table
 
@@ -71,10 +72,13 @@ def entry_change_targets(changes: DataFrame, entries: DataFrame, users: DataFram
     Targets are found by semi-joining the entries with the batch's keys (the
     batch is the build side), so only matching entry keys leave their tasks.
     """
-    keys = changes.select(*ENTRY_KEY).distinct()
-    tgt = (entries.select(*ENTRY_KEY, F.col("owner_user_id").alias("_t_owner"),
-                          F.col("driver_id").alias("_t_driver"))
-                  .join(keys, ENTRY_KEY, "left_semi"))
+    months = month_keys(entries, ENTRY_KEY)
+    keys = with_month_keys(changes.select(*ENTRY_KEY).distinct(), months)
+    tgt = (within_batch_months(entries, keys, months)
+           .select(*ENTRY_KEY, *months, F.col("owner_user_id").alias("_t_owner"),
+                   F.col("driver_id").alias("_t_driver"))
+                  .join(keys, ENTRY_KEY + months, "left_semi")
+                  .drop(*months))
     c = with_poster(changes, users).join(tgt, ENTRY_KEY, "left")
     role = F.col("_p_role")
     found = F.col("_t_owner").isNotNull()

@@ -151,10 +151,48 @@ def derive_entries(accepted: DataFrame) -> DataFrame:
     return e.drop("_p_role", "_p_tenant", "_p_driver", "reasons", "entry_week")
 
 
+def month_keys(existing: DataFrame, key: list[str]) -> list[str]:
+    """Partition columns that can join along an entry key.
+
+    Stored entries are partitioned by (year_number, month_number), which are
+    the calendar year and month of ``entry_date``; joining on them as well
+    lets dynamic partition pruning limit the scan of the stored entries to
+    the months a (broadcast) batch touches.
+    """
+    if "entry_date" in key and {"year_number", "month_number"} <= set(existing.columns):
+        return ["year_number", "month_number"]
+    return []
+
+
+def with_month_keys(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Add year_number / month_number derived from entry_date (when asked)."""
+    for c in cols:
+        df = df.withColumn(c, (F.year("entry_date") if c == "year_number" else F.month("entry_date")).cast("int"))
+    return df
+
+
+def within_batch_months(existing: DataFrame, keys: DataFrame, months: list[str]) -> DataFrame:
+    """Stored entries restricted to the month range of a batch's keys.
+
+    The bounds are scalar subqueries over the (small) keys, so the filter on
+    the partition columns prunes month folders at run time whatever the
+    batch holds, also where dynamic partition pruning does not apply.
+    """
+    if not months:
+        return existing
+    ym = F.col("year_number") * 100 + F.col("month_number")
+    lo = keys.select(F.min(ym)).scalar()
+    hi = keys.select(F.max(ym)).scalar()
+    return existing.where(ym.between(lo, hi))
+
+
 def batch_key_conflicts(batch: DataFrame, existing: DataFrame, key: list[str]) -> DataFrame:
     """Batch rows with a reason when their key exists already or repeats in the batch."""
-    keys = batch.select(*key).distinct()
-    taken = existing.select(*key).join(keys, key, "left_semi").distinct().withColumn("_taken", F.lit(True))
+    months = month_keys(existing, key)
+    keys = with_month_keys(batch.select(*key).distinct(), months)
+    taken = (within_batch_months(existing, keys, months).select(*key, *months)
+             .join(keys, key + months, "left_semi").select(*key).distinct()
+             .withColumn("_taken", F.lit(True)))
     counts = batch.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
     # null-safe key equality: NULL key parts (e.g. no dni) never collide,
     # so rows with a NULL key part simply find no match

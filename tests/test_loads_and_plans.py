@@ -101,3 +101,22 @@ def test_stored_entries_are_pruned_by_month(spark):
     pushed = plan.split("PushedFilters: [")[1].split("]")[0]
     assert "EqualTo(owner_user_id,1)" in pushed
     assert [r.entry_date for r in q.collect()] == [d(1997, 3, 3)]
+
+
+def test_change_targets_read_only_batch_months(spark):
+    from test_comparisons import _files_read
+    from fleetbook.operators import changes as C
+
+    path = tempfile.mkdtemp(prefix="fleetbook-tgt-")
+    rows = [(1, "day", d(1997, m, 3), 10, 100, Decimal("10.00"), m, 1997) for m in range(1, 13)]
+    e = spark.createDataFrame(rows, "owner_user_id long, period_type string, entry_date date, driver_id long, "
+                                    "car_id long, gross_income decimal(12,2), month_number int, year_number int")
+    write_table(e, path, "entries_unique")
+    stored = read_table(spark, path, "entries_unique")
+    users = spark.createDataFrame([(1, "admin", 1, None)], "id long, role string, owner_user_id long, driver_id long")
+    ch = spark.createDataFrame([("day", d(1997, 3, 3), 10, 100, 1), ("day", d(1997, 4, 3), 10, 100, 1)],
+                               "period_type string, entry_date date, driver_id long, car_id long, posted_by long")
+    tgt = C.entry_change_targets(ch, stored, users)
+    files = _files_read(tgt)
+    assert max(files) <= 2 < len(stored.inputFiles())          # March and April only
+    assert sorted(r.reasons for r in tgt.collect()) == ["", ""]
