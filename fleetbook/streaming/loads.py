@@ -34,7 +34,8 @@ def _read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame
 def ingest_entry_forms(spark: SparkSession, forms_path: str, forms_schema: T.StructType,
                        base_entries: DataFrame, users: DataFrame, drivers: DataFrame,
                        cars: DataFrame, out_path: str, checkpoint_location: str,
-                       as_of: dt.date, available_now: bool = True) -> StreamingQuery:
+                       as_of: dt.date, available_now: bool = True,
+                       max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Start the ingest stream; accepted rows go to ``{out_path}/entries``,
     rejects (with reasons) to ``{out_path}/rejects``."""
     key = L.ENTRY_KEY
@@ -52,7 +53,10 @@ def ingest_entry_forms(spark: SparkSession, forms_path: str, forms_schema: T.Str
         (rejected.select("form_seq", "posted_by", "reasons")
                  .write.mode("overwrite").parquet(f"{rejects_path}/ingest_batch={batch_id}"))
 
-    stream = spark.readStream.schema(forms_schema).parquet(forms_path)
+    reader = spark.readStream.schema(forms_schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    stream = reader.parquet(forms_path)
     writer = (stream.writeStream.foreachBatch(process)
               .option("checkpointLocation", checkpoint_location))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")

@@ -43,3 +43,23 @@ def test_stream_matches_batch_job(spark):
 
     run()  # nothing new: the checkpoint records the done batches
     assert spark.read.parquet(f"{scratch}/out/entries").count() == got.count()
+
+
+def test_later_batches_see_earlier_ones(spark):
+    t = TestdataTables(spark, SF_SMALL)
+    forms = StandinBatches(t).entry_forms
+    scratch = tempfile.mkdtemp(prefix="fleetbook-stream2-")
+    # the same forms land twice, as two files: the second batch repeats the first
+    forms.coalesce(1).write.parquet(f"{scratch}/landing/a")
+    forms.withColumn("form_seq", F.col("form_seq") + 10**9).coalesce(1).write.parquet(f"{scratch}/landing/b")
+    q = ingest_entry_forms(spark, f"{scratch}/landing/*", forms.schema, t.entries_unique, t.users, t.drivers,
+                           t.cars, f"{scratch}/out", f"{scratch}/ckpt", AS_OF, max_files_per_trigger=1)
+    q.awaitTermination()
+    got = spark.read.parquet(f"{scratch}/out/entries")
+    rej = spark.read.parquet(f"{scratch}/out/rejects")
+    assert rej.select("ingest_batch").distinct().count() == 2           # two micro-batches ran
+    first = got.where(F.col("form_seq") < 10**9).count()
+    assert first > 0 and got.where(F.col("form_seq") >= 10**9).count() == 0   # all repeats rejected
+    again = rej.where((F.col("form_seq") >= 10**9) & (F.col("reasons") == "duplicate")).count()
+    assert again == first
+    assert got.count() + rej.count() == 2 * forms.count()
