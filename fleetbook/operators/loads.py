@@ -181,9 +181,8 @@ def within_batch_months(existing: DataFrame, keys: DataFrame, months: list[str])
     if not months:
         return existing
     ym = F.col("year_number") * 100 + F.col("month_number")
-    lo = keys.select(F.min(ym)).scalar()
-    hi = keys.select(F.max(ym)).scalar()
-    return existing.where(ym.between(lo, hi))
+    bounds = keys.select(F.struct(F.min(ym).alias("lo"), F.max(ym).alias("hi"))).scalar()  # one job
+    return existing.where(ym.between(bounds.getField("lo"), bounds.getField("hi")))
 
 
 def batch_key_conflicts(batch: DataFrame, existing: DataFrame, key: list[str]) -> DataFrame:
