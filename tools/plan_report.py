@@ -77,6 +77,11 @@ def main():
     print(f"Final adaptive plans of key queries on stored tables derived from `{sf_dir}` "
           "(entries partitioned by year/month), `local[8]`, 16 shuffle partitions. "
           "Generated by `tools/plan_report.py`.\n")
+    print("Per query: the joins Spark chose after adaptive re-planning, the number of shuffles and "
+          "broadcasts, and for each scan the columns read, the partition filters (folders skipped; a "
+          "`Subquery` or `dynamicpruning` filter prunes at run time) and the filters pushed into the "
+          "parquet reader (row groups skipped). Scalar subqueries run as separate small jobs and are "
+          "not listed.\n")
     for name in KEY_QUERIES:
         df = bodies[name](tables)
         df.write.format("noop").mode("overwrite").save()
