@@ -34,3 +34,14 @@ def test_queries_run_on_smallest_scale(spark):
     # every query plans and runs on sf0.001 as well
     for name, fn in QUERIES.items():
         fn(spark, SF_SMALL).write.format("noop").mode("overwrite").save()
+
+
+FORBIDDEN = ("PythonUDF", "BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas",
+             "CartesianProduct", "BroadcastNestedLoopJoin")
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_plan_has_no_python_and_no_cross_join(spark, name):
+    df = QUERIES[name](spark, SF_SMALL)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not [f for f in FORBIDDEN if f in plan]
