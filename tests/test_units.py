@@ -424,3 +424,16 @@ def test_new_ids_from_given_base(spark):
     existing = spark.createDataFrame([(7,)], "id long")
     assert sorted(r.i for r in rows.select(L.new_ids(rows, existing).alias("i")).collect()) == [10, 12]
     assert sorted(r.i for r in rows.select(L.new_ids(rows, existing, id_base=100).alias("i")).collect()) == [103, 105]
+
+
+def test_car_label_list_per_driver(spark):
+    from fleetbook.operators import rosters as R
+
+    cars = spark.createDataFrame([
+        (1, "Toyota", "Etios", "BB2", "active", 7), (2, "Fiat", "Uno", "ZZ9", "active", 7),
+        (3, "Toyota", "Etios", "AA1", "active", 7), (4, "Ford", None, "CC3", "active", 7),
+        (5, "Audi", "A1", "DD4", "inactive", 7), (6, "Kia", "Rio", "EE5", "active", None)],
+        "id long, brand string, model string, plate string, status string, current_driver_id long")
+    r = one(R.cars_per_driver(cars))
+    assert r.current_driver_id == 7 and r.cars_count == 4          # inactive and unassigned cars excluded
+    assert r.car_labels == "Fiat Uno - ZZ9, Toyota Etios - AA1, Toyota Etios - BB2"   # NULL label skipped
