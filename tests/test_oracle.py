@@ -6,10 +6,16 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_CHECK, SF_SMALL
+from fleetbook.plans.catalog import queries
+from fleetbook.plans.oracle import oracle_sql
 from oracle_harness import compare
 
-QUERIES = E.queries()
-ORACLES = E.oracle_sql()
+QUERIES = queries()
+ORACLES = oracle_sql()
+
+
+def test_entry_file_registers_every_query():
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLES) <= set(E.oracle_sql())
 
 
 def test_every_query_has_an_oracle():
