@@ -58,8 +58,8 @@ def id_text(col: str | Column) -> Column:
 
 
 def id_crc(col: str) -> Column:
-    """crc32 of the id as text (null for a null id)."""
-    return F.crc32(F.col(col).cast("string").cast("binary"))
+    """crc32 of the id as text (a null id as empty text)."""
+    return F.crc32(id_text(col).cast("binary"))
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, license_scan, mixing, warc
+from . import chat, exact_dedup, langid, license_scan, lm_score, mixing, warc
 from .common import id_crc
 
 
@@ -17,11 +17,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    held_out = F.coalesce(id_crc("doc_id") % 4 == 2, F.lit(False))
+    held_out = id_crc("doc_id") % 4 == 2
     models = langid.train(docs, ~held_out)
     return langid.predict(docs, models).withColumn("held_out", held_out).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_table(spark, sf_dir, "documents"), id_crc("doc_id") % 7 != 2)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_language_id": op2_language_id,
+        "op3_lm_score": op3_lm_score,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_mixing": op5_mixing,
         "op6_chat_format": op6_chat_format,
