@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, license_scan, lm_score, mixing, ngram_join, warc
+from . import chat, exact_dedup, hnsw, langid, license_scan, lm_score, mixing, ngram_join, warc
 from .common import id_crc
 
 
@@ -49,6 +49,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+def op9_hnsw_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(_table(spark, sf_dir, "pages"))
 
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_mixing": op5_mixing,
         "op6_chat_format": op6_chat_format,
         "op8_license_scan": op8_license_scan,
+        "op9_hnsw_dedup": op9_hnsw_dedup,
         "op10_warc": op10_warc,
     }
 
