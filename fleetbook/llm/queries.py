@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, hnsw, langid, license_scan, lm_score, mixing, ngram_join, warc
+from . import chat, exact_dedup, hnsw, langid, license_scan, lm_score, mixing, ngram_join, packing, warc
 from .common import id_crc
 
 
@@ -45,6 +45,10 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_and_read(rows.unionByName(extra))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_exact_dedup": op4_exact_dedup,
         "op5_mixing": op5_mixing,
         "op6_chat_format": op6_chat_format,
+        "op7_packing": op7_packing,
         "op8_license_scan": op8_license_scan,
         "op9_hnsw_dedup": op9_hnsw_dedup,
         "op10_warc": op10_warc,
