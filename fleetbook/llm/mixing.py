@@ -137,3 +137,17 @@ def mix(docs: DataFrame, max_epochs: int = 3, seed: int = 0) -> DataFrame:
     return used.groupBy("row").agg(F.sum("got").alias("taken"), F.sum(F.when(F.col("row.size") == 0, 1).otherwise(0)).alias("empty")).select(
         "row.doc_id", "row.size", "row.source_size", "row.target", F.col("taken").cast("long").alias("taken"), F.explode(F.sequence(F.lit(1), F.greatest(F.col("empty"), F.lit(1)))).alias("copy")
     ).drop("copy")
+
+
+def mixed_rows(docs: DataFrame, max_epochs: int = 3, seed: int = 0) -> DataFrame:
+    """The mix as whole rows: each id's rows are repeated as often as the mix
+    takes the id's words, rounded half up; ids taken by less than half go.
+
+    Rows that share an id share its words and so its number of copies.
+    """
+    taken = mix(docs, max_epochs, seed).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("words"))
+    copies = F.floor(F.col("taken") / F.col("words") + 0.5).cast("int")
+    plan = taken.filter("words > 0").select(F.struct("doc_id", copies.alias("copies")).alias("mix_plan")).filter("mix_plan.copies > 0")
+    rows = docs.select(F.struct("*").alias("mix_row"))
+    joined = rows.join(plan, F.col("mix_row.doc_id").eqNullSafe(F.col("mix_plan.doc_id")))
+    return joined.select("mix_row", F.explode(F.sequence(F.lit(1), F.col("mix_plan.copies")))).select("mix_row.*")
