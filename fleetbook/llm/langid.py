@@ -5,8 +5,8 @@ characters being one space. Counts come from whole texts of labelled documents;
 the model keeps, for each order, a sorted array of n-gram keys (four 16-bit
 symbols in 64 bits) with discounted probabilities, and a sorted array of
 context keys with interpolation weights. A text goes to the language of the
-lowest cross-entropy per symbol; it is rejected when that exceeds what held
-back training texts of the language show, by a margin.
+lowest cross-entropy per symbol; it is rejected when that exceeds both the highest
+of the language's held back training texts by a margin and twice their mean.
 
 Sampling: the models are fitted on at most about ``docs_per_lang`` labelled
 documents of each language (a hash threshold on the id chosen from the
@@ -224,8 +224,8 @@ def train(docs: DataFrame, learn: Column, docs_per_lang: int = 2000, margin: flo
                 ok = has & (size >= 32)
                 yield pa.RecordBatch.from_arrays([pa.array([langs[o] for o in own[ok]], pa.string()), pa.array(entropy[np.arange(len(own)), own][ok])], ["lang", "entropy"])
 
-    high = sample.filter("part = 1").select("lang", "text").mapInArrow(calibrate, "lang string, entropy double").groupBy("lang").agg(F.max("entropy").alias("high")).collect()
-    return Models(langs, models, {r["lang"]: r["high"] * margin for r in high})
+    high = sample.filter("part = 1").select("lang", "text").mapInArrow(calibrate, "lang string, entropy double").groupBy("lang").agg(F.max("entropy").alias("high"), F.avg("entropy").alias("mean")).collect()
+    return Models(langs, models, {r["lang"]: max(r["high"] * margin, 2 * r["mean"]) for r in high})
 
 
 def predict(docs: DataFrame, models: Models) -> DataFrame:
