@@ -14,8 +14,11 @@ from fleetbook.schemas import ENUMS, MONEY
 # The numeric prefix PHP's float cast accepts (sign, digits,
 # optional fraction, optional exponent) and the token / legacy-hash formats.
 NUMERIC_PREFIX_RE = r"^([+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?)"
-TOKEN_RE = r"^[a-f0-9]{24}$"
-LEGACY_HASH_RE = r"^[a-f0-9]{64}$"
+# Token formats ignore letter case.
+TOKEN_RE = r"(?i)^[a-f0-9]{24}$"
+LEGACY_HASH_RE = r"(?i)^[a-f0-9]{64}$"
+# Fixed value: the characters that trimming removes.
+TRIM_CHARS = " \t\n\r\0\x0b"
 # Text clip lengths for user agent and ip address columns.
 USER_AGENT_LEN = 255
 IP_ADDRESS_LEN = 45
@@ -25,6 +28,11 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def trim(value) -> Column:
+    """Text without space, tab, line feed, return, NUL and vertical tab at its ends."""
+    return F.btrim(_c(value), F.lit(TRIM_CHARS))
+
+
 def parse_amount(text) -> Column:
     """es-AR amount text to decimal(12,2).
 
@@ -32,13 +40,16 @@ def parse_amount(text) -> Column:
     and the comma is the decimal mark. Only the numeric prefix counts
     (``'12abc'`` is 12, ``'abc'`` is 0), and the value is rounded to cents,
     halves away from zero (decimal rounding, not binary floating point).
+    NULL when the number is out of the column's range: the row is the one
+    that fails (``bad_amount``), not the job.
     """
-    t = F.trim(_c(text).cast("string"))
+    t = trim(_c(text).cast("string"))
     swapped = F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
     x = F.when(F.contains(t, F.lit(",")), swapped).otherwise(t)
     prefix = F.nullif(F.regexp_extract(x, NUMERIC_PREFIX_RE, 1), F.lit(""))
-    value = F.coalesce(prefix.try_cast("decimal(38,18)"), F.lit(0).cast("decimal(38,18)"))
-    return F.round(value, 2).cast(MONEY)
+    number = prefix.try_cast("double")
+    exact = F.when(F.abs(number) < 1e12, prefix.try_cast("decimal(38,18)"))
+    return F.when(prefix.isNull(), F.lit(0).cast(MONEY)).otherwise(F.round(exact, 2).try_cast(MONEY))
 
 
 def clean_enum(value, enum: str) -> Column:
@@ -50,11 +61,11 @@ def clean_enum(value, enum: str) -> Column:
 
 def empty_to_null(value) -> Column:
     """Trimmed text, NULL when empty."""
-    return F.nullif(F.trim(_c(value)), F.lit(""))
+    return F.nullif(trim(value), F.lit(""))
 
 
 def upper_trim(value) -> Column:
-    return F.upper(F.trim(_c(value)))
+    return F.upper(trim(value))
 
 
 def clip(value, length: int) -> Column:

@@ -185,16 +185,26 @@ def date_text(d: dt.date) -> str:
 
 
 def period_range(period: str, date: str | None = None, week: str | None = None,
-                 month: str | None = None, as_of: dt.date | None = None) -> PeriodRange:
-    """Resolve a (day | week | month) selection to an inclusive date range."""
+                 month: str | None = None, as_of: dt.date | None = None,
+                 week_dates: bool = False) -> PeriodRange:
+    """Resolve a (day | week | month) selection to an inclusive date range.
+
+    ``week_dates``: label a week by its first and last day (the report)
+    instead of its number (panel and rosters). A date that passes the syntax
+    check but does not exist gives an empty range, labelled by its text.
+    """
     period = period if period in ("day", "week", "month") else "week"
-    if period == "day":
-        d = dt.date.fromisoformat(valid_date_or_today(date, as_of))
-        return PeriodRange(d, d, date_text(d))
-    if period == "week":
-        w = valid_week_or_current(week, as_of)
-        s, e = week_range(w, as_of)
-        return PeriodRange(s, e, f"{WEEK_LABEL} {w[6:]}, {w[:4]}")
-    m = valid_month_or_current(month, as_of)
-    s, e = month_range(m, as_of)
-    return PeriodRange(s, e, f"{MONTH_NAMES[s.month - 1]} {s.year}")
+    text = {"day": valid_date_or_today(date, as_of), "week": valid_week_or_current(week, as_of),
+            "month": valid_month_or_current(month, as_of)}[period]
+    try:
+        if period == "day":
+            d = dt.date.fromisoformat(text)
+            return PeriodRange(d, d, date_text(d))
+        if period == "week":
+            s, e = week_range(text, as_of)
+            label = f"{date_text(s)} - {date_text(e)}" if week_dates else f"{WEEK_LABEL} {text[6:]}, {text[:4]}"
+            return PeriodRange(s, e, label)
+        s, e = month_range(text, as_of)
+        return PeriodRange(s, e, f"{MONTH_NAMES[s.month - 1]} {s.year}")
+    except (ValueError, OverflowError):
+        return PeriodRange(dt.date.max, dt.date.min, text)

@@ -1,7 +1,8 @@
 """Access-token audits: validity, purges, last access and expiry.
 
-Tokens are audit rows (remember-me and password-reset share one shape);
-no secret is ever read.
+Tokens are audit rows of two kinds, ``remember`` (remember-me) and ``reset``
+(password reset), which share one shape but not their rules; no secret is
+ever read.
 """
 
 from __future__ import annotations
@@ -19,23 +20,28 @@ RESET_HOURS = 1
 
 
 def valid_tokens(tokens: DataFrame, users: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """Tokens usable at ``as_of``: not expired, never used, of an active user."""
+    """Tokens usable at ``as_of``: not expired, of an active user; a reset
+    token works once, a remember token again and again."""
     u = users.where(F.col("is_active") == 1).select(F.col("id").alias("_u_id"),
                                                       F.col("username"), F.col("role"))
     # wall-clock literal: built from text, so no session or process time zone applies
     at = F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz")
-    t = tokens.where((F.col("expires_at") > at) & F.col("used_at").isNull())
+    t = tokens.where((F.col("expires_at") > at) & ((F.col("kind") == "remember") | F.col("used_at").isNull()))
     return t.join(u, t.user_id == u._u_id).drop("_u_id")
 
 
 def purge_tokens(tokens: DataFrame, requests: DataFrame, resets: DataFrame) -> DataFrame:
-    """Tokens left after purges: a new request drops the user's unused tokens;
-    a completed reset drops all of the user's tokens."""
-    req = requests.select(F.col("user_id")).distinct()
-    rst = resets.select(F.col("user_id")).distinct()
-    unused_of_requesters = tokens.where(F.col("used_at").isNull()).join(req, "user_id", "left_semi")
-    kept = tokens.join(rst, "user_id", "left_anti")
-    return kept.join(unused_of_requesters.select("id"), "id", "left_anti").select(*tokens.columns)
+    """Tokens left after purges: a new request drops the user's unused reset
+    tokens; a completed reset drops the user's remember tokens.
+
+    Users of either event are joined to the tokens once, as two flags.
+    """
+    events = (requests.select("user_id", F.lit(True).alias("_asked"), F.lit(False).alias("_done"))
+              .unionByName(resets.select("user_id", F.lit(False).alias("_asked"), F.lit(True).alias("_done"))))
+    flags = events.groupBy("user_id").agg(F.max("_asked").alias("_asked"), F.max("_done").alias("_done"))
+    drop = (((F.col("kind") == "reset") & F.col("used_at").isNull() & F.col("_asked"))
+            | ((F.col("kind") == "remember") & F.col("_done")))
+    return tokens.join(flags, "user_id", "left").where(~F.coalesce(drop, F.lit(False))).select(*tokens.columns)
 
 
 def last_access(users: DataFrame, tokens: DataFrame) -> DataFrame:

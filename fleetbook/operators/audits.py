@@ -137,3 +137,13 @@ def user_delete_effects(users: DataFrame, requests: DataFrame, tokens: DataFrame
         ("expenses_unlinked", expenses, "created_by", "set_null"),
         ("notes_unlinked", notes, "updated_by", "set_null"),
     ])
+
+
+def period_mismatches(entries: DataFrame) -> DataFrame:
+    """Rows whose stored period columns disagree with their date (year and
+    month of the calendar, ISO week): reports by date and by stored period
+    differ on them."""
+    d = F.col("entry_date")
+    same = (F.col("year_number").eqNullSafe(F.year(d)) & F.col("month_number").eqNullSafe(F.month(d))
+            & F.col("week_number").eqNullSafe(F.weekofyear(d)))
+    return entries.where(~same)

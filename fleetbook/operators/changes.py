@@ -7,9 +7,8 @@ only touch their own driver's entries, and admin-only changes from other
 users are ignored. When a key receives several allowed changes, the newest
 (largest ``change_seq``) wins, as if they had been applied in order.
 
-Scale: the change batch is the small side. It is first written once as a
-table in the shared checkpoint folder (``session.as_table``), so the planner
-knows its real size; targets are found by semi-joining the base with the
+Scale: the change batch is the small side, and every function is one lazy
+plan. Targets are found by semi-joining the base with the
 batch's keys (batch as the broadcast build side), the surviving change per
 key is reduced by a grouped ``max`` of a struct (partial aggregation, safe
 under hot keys), and the base is then left-joined once with that per-key
@@ -24,12 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetbook.functions import periods as P
-from fleetbook.functions.amounts import clean_enum
+from fleetbook.functions.amounts import clean_enum, trim
 from fleetbook.operators.entries import entry_math_columns
-from fleetbook.operators.loads import (USER_MANAGERS, month_keys, reasons_of, with_month_keys, with_poster,
-                                      within_batch_months)
+from fleetbook.operators.loads import USER_MANAGERS, reasons_of, with_poster, within_batch_dates
 from fleetbook.schemas import ENTRY_AMOUNTS, UNIQUE_KEYS
-from fleetbook.session import as_table
 
 ENTRY_KEY = list(UNIQUE_KEYS["daily_entries"])
 
@@ -72,13 +69,10 @@ def entry_change_targets(changes: DataFrame, entries: DataFrame, users: DataFram
     Targets are found by semi-joining the entries with the batch's keys (the
     batch is the build side), so only matching entry keys leave their tasks.
     """
-    months = month_keys(entries, ENTRY_KEY)
-    keys = with_month_keys(changes.select(*ENTRY_KEY).distinct(), months)
-    tgt = (within_batch_months(entries, keys, months)
-           .select(*ENTRY_KEY, *months, F.col("owner_user_id").alias("_t_owner"),
-                   F.col("driver_id").alias("_t_driver"))
-                  .join(keys, ENTRY_KEY + months, "left_semi")
-                  .drop(*months))
+    keys = changes.select(*ENTRY_KEY).distinct()
+    tgt = (within_batch_dates(entries, keys)
+           .select(*ENTRY_KEY, F.col("owner_user_id").alias("_t_owner"), F.col("driver_id").alias("_t_driver"))
+           .join(keys, ENTRY_KEY, "left_semi"))
     c = with_poster(changes, users).join(tgt, ENTRY_KEY, "left")
     role = F.col("_p_role")
     found = F.col("_t_owner").isNotNull()
@@ -126,10 +120,9 @@ def apply_entry_updates(entries: DataFrame, updates: DataFrame, users: DataFrame
     With ``drivers`` and ``cars`` an edit is also held to the load form's
     driver / car rules (see ``entry_change_targets``).
     """
-    updates = as_table(updates, "apply_entry_updates")
     judged = entry_change_targets(updates, entries, users, drivers=drivers, cars=cars)
     ok = judged.where(F.col("reasons") == "").drop("reasons", *_private(judged))
-    newest = as_table(newest_per_key(ok, ENTRY_KEY, seq_col), "entry_updates_newest")
+    newest = newest_per_key(ok, ENTRY_KEY, seq_col)
     new_cols = [c for c in ENTRY_AMOUNTS + ("observations",) if c in newest.columns]
     n = newest.select(*ENTRY_KEY, *[F.col(c).alias(f"_n_{c}") for c in new_cols],
                       F.col("posted_by").alias("_n_by"), F.lit(True).alias("_n_hit"))
@@ -155,12 +148,11 @@ def apply_billing_status(entries: DataFrame, changes: DataFrame, users: DataFram
 
     A status outside (pending, invoiced) is stored as pending.
     """
-    changes = as_table(changes, "apply_billing_status")
     judged = entry_change_targets(changes, entries, users, admin_only=True)
     ok = (judged.where(F.col("reasons") == "")
                 .select(*ENTRY_KEY, clean_enum("status_text", "rental_billing_status").alias("_n_status"),
                         F.col("posted_by").alias("_n_by"), *([seq_col] if seq_col else [])))
-    newest = as_table(newest_per_key(ok, ENTRY_KEY, seq_col), "billing_newest")
+    newest = newest_per_key(ok, ENTRY_KEY, seq_col)
     j = entries.join(newest.withColumn("_n_hit", F.lit(True)), ENTRY_KEY, "left")
     hit = F.col("_n_hit").isNotNull()
     prev_by = F.col("updated_by") if "updated_by" in entries.columns else F.lit(None).cast("bigint")
@@ -172,9 +164,8 @@ def apply_billing_status(entries: DataFrame, changes: DataFrame, users: DataFram
 
 def apply_deletes(entries: DataFrame, deletes: DataFrame, users: DataFrame) -> DataFrame:
     """Entries after allowed delete requests (tenant's admins; driver users own entries)."""
-    deletes = as_table(deletes, "apply_deletes")
     judged = entry_change_targets(deletes, entries, users)
-    gone = as_table(judged.where(F.col("reasons") == "").select(*ENTRY_KEY).distinct(), "deleted_keys")
+    gone = judged.where(F.col("reasons") == "").select(*ENTRY_KEY).distinct()
     return entries.join(gone, ENTRY_KEY, "left_anti").select(*entries.columns)
 
 
@@ -214,7 +205,7 @@ def upsert_notes(notes: DataFrame, posts: DataFrame, users: DataFrame, as_of: dt
     p = with_poster(posts, users)
     week = P.valid_or_default("week_text", P.WEEK_RE, P.valid_week_or_current(None, as_of))
     start, end = P.week_bounds_of_text(week)
-    text = F.trim("notes_text")
+    text = trim("notes_text")
     ok = (p.where((F.col("_p_role") == "admin") & (text != ""))
            .select(F.col("_p_tenant").alias("owner_user_id"), start.alias("week_start"),
                    end.alias("_n_end"), text.alias("_n_notes"), F.col("posted_by").alias("_n_by"), seq_col))
@@ -237,7 +228,7 @@ def note_post_rejects(posts: DataFrame, users: DataFrame) -> DataFrame:
     p = with_poster(posts, users)
     reasons = reasons_of((F.col("_p_role").isNull(), R_NO_SESSION),
                          (F.col("_p_role") == "driver", R_NOT_ADMIN),
-                         (F.trim("notes_text") == "", R_EMPTY_NOTE))
+                         (trim("notes_text") == "", R_EMPTY_NOTE))
     return p.select(*posts.columns, reasons.alias("reasons")).where(F.col("reasons") != "")
 
 
@@ -260,8 +251,8 @@ def apply_assignments(cars: DataFrame, assignments: DataFrame, users: DataFrame,
         F.col("id").alias("_a_id"), F.col("owner_user_id").alias("_a_owner"))
     p = p.join(avail, (p.car_id == avail._a_id) & (p._p_tenant == avail._a_owner), "left")
     # the valid posts feed two aggregates: computed once
-    valid = as_table(p.where(F.col("car_id").isNull() | F.col("_a_id").isNotNull())
-                      .select("driver_id", "car_id", "_p_tenant", seq_col), "valid_assignments")
+    valid = (p.where(F.col("car_id").isNull() | F.col("_a_id").isNotNull())
+                      .select("driver_id", "car_id", "_p_tenant", seq_col))
     last_post = (valid.groupBy(F.col("_p_tenant").alias("_lp_owner"), F.col("driver_id").alias("_lp_driver"))
                       .agg(F.max(seq_col).alias("_lp_seq")))
     # posts with equal sequence numbers are ordered by driver id
@@ -323,24 +314,24 @@ def judge_user_edits(edits: DataFrame, users: DataFrame, drivers: DataFrame,
           .join(t, (p.id == t._u_id) & (p._p_tenant == t._u_owner), "left"))
     is_manager = (F.col("_p_role") == "admin") & F.col("_m_username").isin(*managers)
     # usernames are unique over all users: taken by another user, or repeated in the batch
-    name = F.trim("username_text")
+    name = trim("username_text")
     holders = users.groupBy(F.col("username").alias("_h_name")).agg(
         F.count(F.lit(1)).alias("_h_n"), F.min("id").alias("_h_min"))
-    repeats = edits.groupBy(F.trim("username_text").alias("_r_name")).agg(F.countDistinct("id").alias("_r_n"))
+    repeats = edits.groupBy(trim("username_text").alias("_r_name")).agg(F.countDistinct("id").alias("_r_n"))
     p = (p.join(holders, name == holders._h_name, "left")
           .join(repeats, name == repeats._r_name, "left"))
     taken = F.coalesce((F.col("_h_n") > 1) | (F.col("_h_min") != F.col("id")), F.lit(False)) | (F.col("_r_n") > 1)
     reasons = reasons_of(
         (~F.coalesce(is_manager, F.lit(False)), R_NOT_MANAGER),
-        ((F.trim("full_name_text") == "") | (F.trim("username_text") == ""), R_MISSING),
+        ((trim("full_name_text") == "") | (trim("username_text") == ""), R_MISSING),
         (F.col("linked_driver").isNotNull() & F.col("_d_id").isNull(), R_DRIVER_NOT_IN_OWNER),
         ((F.col("id") == F.col("posted_by")) & ((F.col("role") != "admin") | (F.col("is_active") != 1)),
          R_SELF_LOCK),
         (F.col("_u_id").isNull(), R_USER_NOT_IN_OWNER),
         (taken, R_DUPLICATE_USERNAME),
     )
-    return p.select("id", "posted_by", F.trim("full_name_text").alias("full_name"),
-                    F.trim("username_text").alias("username"), "role",
+    return p.select("id", "posted_by", trim("full_name_text").alias("full_name"),
+                    trim("username_text").alias("username"), "role",
                     F.col("linked_driver").alias("driver_id"), "is_active", reasons.alias("reasons"))
 
 
@@ -373,8 +364,8 @@ def judge_driver_edits(edits: DataFrame, drivers: DataFrame, users: DataFrame) -
     p = with_poster(edits, users)
     tgt = drivers.select(F.col("id").alias("_t_id"), F.col("owner_user_id").alias("_t_owner"))
     p = p.join(tgt, (p.id == tgt._t_id) & (p._p_tenant == tgt._t_owner), "left")
-    name = F.trim("full_name_text")
-    dni = F.nullif(F.trim("dni_text"), F.lit(""))
+    name = trim("full_name_text")
+    dni = F.nullif(trim("dni_text"), F.lit(""))
     p = p.select("*", name.alias("full_name"), dni.alias("dni"),
                  clean_enum("status_text", "status").alias("status"))
     base_ok = (F.col("_p_role") == "admin") & F.col("_t_id").isNotNull() & (F.col("full_name") != "")
@@ -417,10 +408,8 @@ def apply_driver_edits(drivers: DataFrame, edits: DataFrame, users: DataFrame) -
 
 def apply_expense_deletes(expenses: DataFrame, deletes: DataFrame, users: DataFrame) -> DataFrame:
     """Fleet expenses after delete requests by admins of the expense's tenant."""
-    deletes = as_table(deletes, "apply_expense_deletes")
     p = with_poster(deletes, users).where(F.col("_p_role") == "admin")
-    gone = as_table(p.select(F.col("id").alias("_g_id"), F.col("_p_tenant").alias("_g_owner")).distinct(),
-                    "deleted_expenses")
+    gone = (p.select(F.col("id").alias("_g_id"), F.col("_p_tenant").alias("_g_owner")).distinct())
     out = expenses.join(gone, (expenses.id == gone._g_id) & (expenses.owner_user_id == gone._g_owner), "left_anti")
     return out.select(*expenses.columns)
 
@@ -493,10 +482,10 @@ def judge_driver_saves(posts: DataFrame, drivers: DataFrame, cars: DataFrame, us
     the batch's saves).
     """
     p = with_poster(posts, users)
-    name = F.trim("full_name_text")
-    dni = F.nullif(F.trim("dni_text"), F.lit(""))
-    car = F.when(F.trim("assigned_car_text") == "", F.lit(None).cast("bigint")).otherwise(
-        F.trim("assigned_car_text").try_cast("bigint"))
+    name = trim("full_name_text")
+    dni = F.nullif(trim("dni_text"), F.lit(""))
+    car = F.when(trim("assigned_car_text") == "", F.lit(None).cast("bigint")).otherwise(
+        trim("assigned_car_text").try_cast("bigint"))
     p = p.select("*", name.alias("full_name"), dni.alias("dni"), car.alias("car_id"),
                  clean_enum("status_text", "status").alias("status"))
     avail = cars.where(F.col("status") == "active").select(F.col("id").alias("_a_id"),
@@ -543,8 +532,7 @@ def apply_driver_saves(drivers: DataFrame, cars: DataFrame, posts: DataFrame, us
     the chosen car), applied as in ``apply_assignments``. ``id_base`` (the
     largest id taken, when the deployment keeps it) saves a scan for it.
     """
-    ok = as_table(judge_driver_saves(posts, drivers, cars, users).where(F.col("reasons") == ""),
-                  "accepted_driver_saves")
+    ok = (judge_driver_saves(posts, drivers, cars, users).where(F.col("reasons") == ""))
     top = (drivers.select(F.coalesce(F.max("id"), F.lit(0))).scalar() if id_base is None
            else F.lit(id_base).cast("bigint"))
     saved_id = F.when(F.col("id") > 0, F.col("id")).otherwise(top + F.col("change_seq")).cast("bigint")

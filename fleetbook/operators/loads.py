@@ -14,15 +14,15 @@ matching existing keys travel on; the batch is then anti-joined with those.
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetbook.functions import periods as P
-from fleetbook.functions.amounts import clean_enum, empty_to_null, parse_amount, upper_trim
+from fleetbook.functions.amounts import clean_enum, empty_to_null, parse_amount, trim, upper_trim
 from fleetbook.operators.entries import entry_math
-from fleetbook.schemas import UNIQUE_KEYS
-from fleetbook.session import as_table, spread
+from fleetbook.schemas import ENTRY_AMOUNTS, UNIQUE_KEYS
 
 ENTRY_KEY = list(UNIQUE_KEYS["daily_entries"])
 
@@ -37,7 +37,8 @@ R_CAR_NOT_IN_OWNER = "car_not_in_owner"
 R_CAR_NOT_ASSIGNED = "car_not_assigned"
 R_BAD_DATE = "bad_date"
 R_DUPLICATE = "duplicate"
-R_DUPLICATE_IN_BATCH = "duplicate_in_batch"
+R_BAD_AMOUNT = "bad_amount"
+R_BAD_YEAR = "bad_year"
 R_NO_AMOUNT = "no_amount"
 R_NO_NAME = "no_name"
 R_MISSING_FIELDS = "missing_fields"
@@ -45,7 +46,7 @@ R_MISSING_FIELDS = "missing_fields"
 
 def parse_int(text) -> Column:
     """Integer prefix of a text, 0 when there is none (PHP ``(int)`` cast)."""
-    t = F.trim(F.col(text) if isinstance(text, str) else text)
+    t = trim(text)
     return F.coalesce(F.regexp_extract(t, r"^[+-]?[0-9]+", 0).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
@@ -70,10 +71,10 @@ def clean_entry_forms(forms: DataFrame, users: DataFrame, as_of: dt.date) -> Dat
     for syntax with ``as_of`` as "today"; a weekly load is dated on the Monday
     of its week, a daily load gets the ISO week of its date. A driver user
     always loads for its own driver and its status is always pending.
-    Amounts are es-AR texts. The batch is spread over the cluster first, as
-    the cleaning is the CPU-heavy step of the job.
+    Amounts are es-AR texts; one out of range is NULL (``bad_amount``). A job
+    whose source has few splits may rebalance the forms first.
     """
-    f = with_poster(spread(forms, "form_seq") if "form_seq" in forms.columns else spread(forms), users)
+    f = with_poster(forms, users)
     is_driver = F.col("_p_role") == "driver"
     is_admin = F.col("_p_role") == "admin"
     weekly = clean_enum("period_type_text", "period_type") == "week"
@@ -97,8 +98,8 @@ def clean_entry_forms(forms: DataFrame, users: DataFrame, as_of: dt.date) -> Dat
         F.when(is_admin, clean_enum("status_text", "rental_billing_status"))
         .otherwise(F.lit("pending")).alias("rental_billing_status"),
         parse_amount("fuel_text").alias("fuel_cost"),
-        parse_amount("km_text").cast("decimal(10,2)").alias("distance_km"),
-        F.trim("observations_text").alias("observations"),
+        parse_amount("km_text").try_cast("decimal(10,2)").alias("distance_km"),
+        trim("observations_text").alias("observations"),
     )
 
 
@@ -138,6 +139,7 @@ def validate_entry_loads(cleaned: DataFrame, drivers: DataFrame, cars: DataFrame
         (admin_ok & ~car_in_owner, R_CAR_NOT_IN_OWNER),
         (driver_ok & ~car_assigned, R_CAR_NOT_ASSIGNED),
         (F.col("entry_date").isNull(), R_BAD_DATE),
+        (reduce(lambda a, b: a | b, [F.col(c).isNull() for c in ENTRY_AMOUNTS if c in cleaned.columns]), R_BAD_AMOUNT),
     )
     return x.select(*cleaned.columns, reasons.alias("reasons"))
 
@@ -151,76 +153,52 @@ def derive_entries(accepted: DataFrame) -> DataFrame:
     return e.drop("_p_role", "_p_tenant", "_p_driver", "reasons", "entry_week")
 
 
-def month_keys(existing: DataFrame, key: list[str]) -> list[str]:
-    """Partition columns that can join along an entry key.
-
-    Stored entries are partitioned by (year_number, month_number), which are
-    the calendar year and month of ``entry_date``; joining on them as well
-    lets dynamic partition pruning limit the scan of the stored entries to
-    the months a (broadcast) batch touches.
-    """
-    if "entry_date" in key and {"year_number", "month_number"} <= set(existing.columns):
-        return ["year_number", "month_number"]
-    return []
-
-
-def with_month_keys(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Add year_number / month_number derived from entry_date (when asked)."""
-    for c in cols:
-        df = df.withColumn(c, (F.year("entry_date") if c == "year_number" else F.month("entry_date")).cast("int"))
-    return df
+def within_batch_dates(existing: DataFrame, keys: DataFrame) -> DataFrame:
+    """Stored entries restricted to the date range of a batch's keys.
 
-
-def within_batch_months(existing: DataFrame, keys: DataFrame, months: list[str]) -> DataFrame:
-    """Stored entries restricted to the month range of a batch's keys.
-
-    The bounds are scalar subqueries over the (small) keys, so the filter on
-    the partition columns prunes month folders at run time whatever the
-    batch holds, also where dynamic partition pruning does not apply.
+    ``entry_date`` is part of the key, so the bounds (scalar subqueries over
+    the small batch) lose nothing, and row groups outside them are skipped.
     """
-    if not months:
+    if "entry_date" not in keys.columns:
         return existing
-    ym = F.col("year_number") * 100 + F.col("month_number")
-    bounds = keys.select(F.struct(F.min(ym).alias("lo"), F.max(ym).alias("hi"))).scalar()  # one job
-    return existing.where(ym.between(bounds.getField("lo"), bounds.getField("hi")))
+    # the other column is kept in the aggregate, so the subquery shares the keys' shuffle
+    rest = [F.count(c).alias(c) for c in keys.columns if c.startswith("_")]
+    bounds = keys.select(F.struct(F.min("entry_date").alias("lo"), F.max("entry_date").alias("hi"), *rest)).scalar()
+    return existing.where(F.col("entry_date").between(bounds.getField("lo"), bounds.getField("hi")))
+
+
+def batch_key_conflicts(batch: DataFrame, existing: DataFrame, key: list[str],
+                        seq_col: str = "form_seq", eligible: Column | None = None) -> DataFrame:
+    """The batch with ``_conflict`` set where a row's key is taken: by a stored
+    row or by an earlier row of the batch (the first row of a key stays).
+
+    Only ``eligible`` rows take keys. One grouped minimum per key, aggregated
+    partially, so a hot key is combined inside each task; stored keys are
+    matched with these minima, and the batch is joined once with the result.
+    Rows that are not eligible or have a NULL key part never collide; in the
+    join they are spread by their sequence instead of meeting under one key.
+    """
+    counts = F.lit(True) if eligible is None else eligible
+    for c in key:
+        counts = counts & F.col(c).isNotNull()
+    first = batch.where(counts).groupBy(*key).agg(F.min(seq_col).alias("_first"))
+    taken = (within_batch_dates(existing.select(*key), first).join(first, key).select(*key, "_first").distinct()
+             .withColumn("_taken", F.lit(True)))
+    slot = F.when(counts, F.lit(0).cast("bigint")).otherwise(F.col(seq_col).cast("bigint") + 1)
+    marked = first.join(taken, [*key, "_first"], "left").withColumn("_slot", F.lit(0).cast("bigint"))
+    taken_or_later = F.col("_taken").isNotNull() | (F.col(seq_col) > F.col("_first"))
+    return (batch.withColumn("_slot", slot).join(marked, [*key, "_slot"], "left")
+            .select(*batch.columns, F.when(taken_or_later, F.lit(R_DUPLICATE)).alias("_conflict")))
 
 
-def batch_key_conflicts(batch: DataFrame, existing: DataFrame, key: list[str]) -> DataFrame:
-    """Batch rows with a reason when their key exists already or repeats in the batch."""
-    months = month_keys(existing, key)
-    keys = with_month_keys(batch.select(*key).distinct(), months)
-    taken = (within_batch_months(existing, keys, months).select(*key, *months)
-             .join(keys, key + months, "left_semi").select(*key).distinct()
-             .withColumn("_taken", F.lit(True)))
-    counts = batch.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    # null-safe key equality: NULL key parts (e.g. no dni) never collide,
-    # so rows with a NULL key part simply find no match
-    x = batch.join(taken, key, "left").join(counts, key, "left")
-    return x.withColumn(
-        "_conflict",
-        F.when(F.col("_taken").isNotNull(), F.lit(R_DUPLICATE))
-        .when(F.col("_n") > 1, F.lit(R_DUPLICATE_IN_BATCH))).drop("_taken", "_n")
-
-
-def split_loads(validated: DataFrame, existing: DataFrame, key: list[str] = ENTRY_KEY,
-                checkpoint: bool = True):
+def split_loads(validated: DataFrame, existing: DataFrame, key: list[str] = ENTRY_KEY):
     """(accepted, rejected) of a validated entry batch, duplicates included.
 
-    The validated batch feeds four branches (rejects, accepted rows, key
-    lookup in the table, in-batch key counts); it is written once as a table
-    in the shared checkpoint folder, so the cleaning joins run once, the
-    append's lineage starts there, and the planner sees the batch's real size
-    when it joins the batch keys with the table.
+    Both are filters of one lazy plan over the batch.
     """
-    if checkpoint:
-        validated = as_table(validated, "validated_loads")
-    ok = validated.where(F.col("reasons") == "")
-    checked = batch_key_conflicts(ok, existing, key)
-    accepted = checked.where(F.col("_conflict").isNull()).drop("_conflict")
-    rejected = (validated.where(F.col("reasons") != "")
-                .unionByName(checked.where(F.col("_conflict").isNotNull())
-                             .withColumn("reasons", F.col("_conflict")).drop("_conflict")))
-    return accepted, rejected
+    judged = batch_key_conflicts(validated, existing, key, eligible=F.col("reasons") == "")
+    judged = judged.withColumn("reasons", F.coalesce("_conflict", "reasons")).drop("_conflict")
+    return judged.where(F.col("reasons") == ""), judged.where(F.col("reasons") != "")
 
 
 def append_rows(base: DataFrame, new_rows: DataFrame) -> DataFrame:
@@ -237,14 +215,14 @@ def clean_expense_forms(forms: DataFrame, users: DataFrame, as_of: dt.date) -> D
     reasons = reasons_of(
         (F.col("_p_role").isNull(), R_NO_SESSION),
         (F.col("_p_role") == "driver", R_NOT_ADMIN),
-        (amount <= 0, R_NO_AMOUNT))
+        (amount <= 0, R_NO_AMOUNT), (amount.isNull(), R_BAD_AMOUNT))
     date_txt = P.valid_or_default("expense_date_text", P.DATE_RE, P.valid_date_or_today(None, as_of))
     return f.select(
         "form_seq", "posted_by",
         F.col("_p_tenant").alias("owner_user_id"),
         F.try_to_date(date_txt, "yyyy-MM-dd").alias("expense_date"),
         amount.alias("amount"),
-        F.trim("observations_text").alias("observations"),
+        trim("observations_text").alias("observations"),
         reasons.alias("reasons"))
 
 
@@ -280,7 +258,7 @@ def clean_driver_forms(forms: DataFrame, users: DataFrame) -> DataFrame:
     """Parse posted new-driver forms: trimmed name (required), empty dni to
     NULL, allow-listed status; only admins may post."""
     f = with_poster(forms, users)
-    name = F.trim("full_name_text")
+    name = trim("full_name_text")
     return f.select(
         "form_seq", "posted_by", F.col("_p_tenant").alias("owner_user_id"),
         name.alias("full_name"),
@@ -296,7 +274,7 @@ def append_drivers(drivers: DataFrame, forms: DataFrame, users: DataFrame,
     """Driver table after appending valid new drivers whose dni is free in the tenant."""
     cleaned = clean_driver_forms(forms, users).where(F.col("reasons") == "")
     checked = batch_key_conflicts(cleaned, drivers, ["owner_user_id", "dni"])
-    ok = checked.where(F.col("_conflict").isNull() | F.col("dni").isNull())
+    ok = checked.where(F.col("_conflict").isNull())
     new = ok.select(new_ids(ok, drivers, id_base=id_base).alias("id"), "owner_user_id", "full_name", "dni", "status")
     return append_rows(drivers, new)
 
@@ -304,24 +282,27 @@ def append_drivers(drivers: DataFrame, forms: DataFrame, users: DataFrame,
 def clean_car_forms(forms: DataFrame) -> DataFrame:
     """Parse car edit forms: trimmed brand / model, upper-case plate, year or
     NULL, allow-listed status; brand, model and plate are required."""
-    brand, model, plate = F.trim("brand_text"), F.trim("model_text"), upper_trim("plate_text")
+    brand, model, plate = trim("brand_text"), trim("model_text"), upper_trim("plate_text")
+    year = F.when(trim("year_text") == "", F.lit(None).cast("bigint")).otherwise(parse_int("year_text"))
+    bad_year = year.isNotNull() & year.try_cast("int").isNull()
     poster = ["posted_by"] if "posted_by" in forms.columns else []
     return forms.select(
         "form_seq", *poster, brand.alias("brand"), model.alias("model"), plate.alias("plate"),
-        F.when(F.trim("year_text") == "", F.lit(None).cast("int"))
-        .otherwise(parse_int("year_text").cast("int")).alias("year"),
+        year.try_cast("int").alias("year"),
         clean_enum("status_text", "status").alias("status"),
-        reasons_of(((brand == "") | (model == "") | (plate == ""), R_MISSING_FIELDS)).alias("reasons"))
+        reasons_of(((brand == "") | (model == "") | (plate == ""), R_MISSING_FIELDS),
+                   (bad_year, R_BAD_YEAR)).alias("reasons"))
 
 
 def judge_car_forms(forms: DataFrame, cars: DataFrame, users: DataFrame) -> DataFrame:
     """New-car forms in the poster's session, with reasons: admins only,
-    brand / model / plate required, plate free in the tenant and not repeated
-    in the batch."""
+    brand / model / plate required, plate free in the tenant; of forms with
+    one plate the first stays."""
     c = with_poster(clean_car_forms(forms), users)
     c = c.withColumn("owner_user_id", F.col("_p_tenant"))
     base = reasons_of((F.col("_p_role").isNull(), R_NO_SESSION), (F.col("_p_role") == "driver", R_NOT_ADMIN),
-                      (F.col("reasons") != "", R_MISSING_FIELDS))
+                      (F.col("reasons").contains(R_MISSING_FIELDS), R_MISSING_FIELDS),
+                      (F.col("reasons").contains(R_BAD_YEAR), R_BAD_YEAR))
     c = c.withColumn("reasons", base)
     ok = c.where(F.col("reasons") == "")
     checked = batch_key_conflicts(ok, cars, ["owner_user_id", "plate"])
@@ -355,16 +336,16 @@ def judge_user_forms(forms: DataFrame, users: DataFrame, drivers: DataFrame,
     """New-user forms with reasons: the poster must be a user manager; name,
     username and password are required; the role is allow-listed (default
     driver) and an admin gets no driver; a linked driver must belong to the
-    tenant; the username must be free and not repeated in the batch. The
-    password itself is never stored here."""
+    tenant; the username must be free, and of forms with one username the
+    first stays. The password itself is never stored here."""
     mgr = users.select(F.col("id").alias("_m_id"), F.col("username").alias("_m_username"))
     p = with_poster(forms, users).join(mgr, F.col("posted_by") == F.col("_m_id"), "left")
     role = clean_enum("role_text", "role")
     driver = F.when(role == "admin", F.lit(None).cast("bigint")).otherwise(
-        F.when(F.trim("driver_id_text") == "", F.lit(None).cast("bigint")).otherwise(parse_int("driver_id_text")))
+        F.when(trim("driver_id_text") == "", F.lit(None).cast("bigint")).otherwise(parse_int("driver_id_text")))
     d = drivers.select(F.col("id").alias("_d_id"), F.col("owner_user_id").alias("_d_owner"))
     p = (p.select("*", role.alias("role"), driver.alias("driver_id"),
-                  F.trim("full_name_text").alias("full_name"), F.trim("username_text").alias("username"),
+                  trim("full_name_text").alias("full_name"), trim("username_text").alias("username"),
                   F.col("_p_tenant").alias("owner_user_id"))
           .join(d, (F.col("driver_id") == d._d_id) & (F.col("_p_tenant") == d._d_owner), "left"))
     is_manager = F.coalesce((F.col("_p_role") == "admin") & F.col("_m_username").isin(*managers), F.lit(False))

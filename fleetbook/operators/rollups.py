@@ -30,34 +30,14 @@ def daily_rollup(entries: DataFrame, scope: Scope, rng: PeriodRange) -> DataFram
              .orderBy("entry_date"))
 
 
-def _latest_months_cutoff(e: DataFrame, n: int):
-    """The n-th latest (year*100 + month) holding rows of ``e`` (scalar subquery),
-    or the earliest one when there are fewer. Reads the month columns only."""
-    return (e.select(_year_month(e).alias("_ym")).distinct().orderBy(F.col("_ym").desc()).limit(n)
-             .select(F.min("_ym")).scalar())
-
-
-def _year_month(e: DataFrame):
-    """year*100 + month, from the stored columns (partition values) when present."""
-    month = F.col("month_number") if "month_number" in e.columns else F.month("entry_date")
-    return F.col("year_number") * 100 + month
-
-
 def weekly_comparison(entries: DataFrame, scope: Scope, limit: int = 8) -> DataFrame:
     """Latest ``limit`` (calendar year, ISO week) groups of the whole scope.
 
     The period selection does not apply. The year is the calendar year, so
     a late-December date in ISO week 1 merges with January of that year.
-
-    Only the latest years are read: a group never leaves its calendar year,
-    groups of a later year always sort first, and a group spans at most two
-    months, so the years from the ``2 * limit``-th latest month with rows on
-    hold at least ``limit`` complete groups. On stored entries (partitioned
-    by year and month) the cutoff prunes folders at run time.
+    Groups are those of the stored period columns.
     """
     e = entry_scope(entries, scope)
-    cutoff_year = F.floor(_latest_months_cutoff(e, 2 * limit) / 100)
-    e = e.where(F.col("year_number") >= cutoff_year)
     return (e.groupBy("year_number", "week_number")
              .agg(F.min("entry_date").alias("start_date"), F.max("entry_date").alias("end_date"),
                   *_sums(("gross_income", "income"), ("total_expenses", "expenses"),
@@ -67,13 +47,8 @@ def weekly_comparison(entries: DataFrame, scope: Scope, limit: int = 8) -> DataF
 
 
 def monthly_comparison(entries: DataFrame, scope: Scope, limit: int = 8) -> DataFrame:
-    """Latest ``limit`` (year, month) groups of the whole scope.
-
-    The months are the stored partitions: the latest ``limit`` months with
-    rows are found first (month columns only), and only those are read.
-    """
+    """Latest ``limit`` (year, month) groups of the whole scope."""
     e = entry_scope(entries, scope)
-    e = e.where(_year_month(e) >= _latest_months_cutoff(e, limit))
     return (e.groupBy("year_number", "month_number")
              .agg(*_sums(("gross_income", "income"), ("total_expenses", "expenses"),
                          ("net_total", "net")))

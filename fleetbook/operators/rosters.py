@@ -3,8 +3,8 @@
 Statistics are aggregated before they are joined (one row per driver / car),
 so the joins that follow are dimension-sized. Lifetime statistics cover all
 entries of a driver or car, whatever the owner; the outer dimension decides
-which rows are shown. When the shown ids fit a checked broadcast bound, the
-entries are first reduced to them inside each scan task (``entries_of``).
+which rows are shown. A roster reads the entries once: lifetime and period
+sums are conditional sums of the same grouped aggregate.
 """
 
 from __future__ import annotations
@@ -19,21 +19,22 @@ from fleetbook.operators.filters import active_only, in_period, owner_scope, ros
 from fleetbook.operators.ranking import first_car
 from fleetbook.schemas import MONEY_SUM
 from fleetbook.scope import IntLike, Scope
-from fleetbook.session import broadcast_if_small
 
 
 def _z(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(0).cast(MONEY_SUM)).alias(c)
 
 
-def lifetime_stats(entries: DataFrame, key: str) -> DataFrame:
-    """Entry count, sums and last date per driver or car (all owners, all time)."""
+def lifetime_stats(entries: DataFrame, key: str, *more: Column) -> DataFrame:
+    """Entry count, sums and last date per driver or car (all owners, all
+    time), and any ``more`` aggregates of the same groups."""
     return entries.groupBy(key).agg(
         F.count(F.lit(1)).alias("entries_count"),
         F.sum("gross_income").alias("income_total"),
         F.sum("total_expenses").alias("expenses_total"),
         F.sum("net_total").alias("net_total"),
         F.max("entry_date").alias("last_entry_date"),
+        *more,
     )
 
 
@@ -52,31 +53,21 @@ def cars_per_driver(cars: DataFrame) -> DataFrame:
 
 def driver_billing(entries: DataFrame, rng: PeriodRange, status: str = "pending") -> DataFrame:
     """Rental per driver in the period: selected status, pending, invoiced, total."""
-    e = in_period(entries, rng)
+    return in_period(entries, rng).groupBy("driver_id").agg(*billing_sums(F.lit(True), status))
+
+
+def billing_sums(inside: Column, status: str) -> list[Column]:
+    """The rental sums of the rows for which ``inside`` holds, by billing status."""
     st = F.col("rental_billing_status")
-    r = F.col("rental_amount")
+    r = F.when(inside, F.col("rental_amount"))
     selected = st == status if status in ("pending", "invoiced") else F.lit(True)
     zero = F.lit(0).cast("decimal(12,2)")
-    return e.groupBy("driver_id").agg(
+    return [
         F.sum(F.when(selected, r).otherwise(zero)).alias("rental_selected_total"),
         F.sum(F.when(st == "pending", r).otherwise(zero)).alias("rental_pending_total"),
         F.sum(F.when(st == "invoiced", r).otherwise(zero)).alias("rental_invoiced_total"),
         F.sum(r).alias("rental_total"),
-    )
-
-
-def entries_of(entries: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Entries of the given dimension rows, when that filter pays.
-
-    Lifetime statistics cover all owners, so only the shown drivers / cars
-    matter. When their ids fit a checked broadcast bound, entries are
-    semi-joined with the broadcast ids inside each scan task (less to
-    aggregate, nothing extra to shuffle); beyond the bound the entries are
-    aggregated first and joined afterwards, as a shuffle of every entry for a
-    sort-merge semi-join would cost more than it saves.
-    """
-    keys, small = broadcast_if_small(ids.select(F.col("id").alias(key)).distinct())
-    return entries.join(keys, key, "left_semi") if small else entries
+    ]
 
 
 def driver_roster(drivers: DataFrame, cars: DataFrame, entries: DataFrame, scope: Scope,
@@ -84,13 +75,11 @@ def driver_roster(drivers: DataFrame, cars: DataFrame, entries: DataFrame, scope
     """Driver roster: scoped drivers with lifetime stats, assigned cars and
     billing of the selected period (default status: pending)."""
     d = roster_scope(drivers, scope, "drivers")
-    mine = entries_of(entries, d, "driver_id")
-    stats = lifetime_stats(mine, "driver_id").withColumnRenamed("driver_id", "_s_id")
+    inside = F.col("entry_date").between(F.lit(rng.start), F.lit(rng.end))
+    stats = lifetime_stats(entries, "driver_id", *billing_sums(inside, status)).withColumnRenamed("driver_id", "_s_id")
     cpd = cars_per_driver(cars).withColumnRenamed("current_driver_id", "_c_id")
-    bill = driver_billing(mine, rng, status).withColumnRenamed("driver_id", "_b_id")
     out = (d.join(stats, d.id == stats._s_id, "left")
-            .join(cpd, d.id == cpd._c_id, "left")
-            .join(bill, d.id == bill._b_id, "left"))
+            .join(cpd, d.id == cpd._c_id, "left"))
     return (out.select(
         *[d[x] for x in d.columns],
         F.coalesce("entries_count", F.lit(0)).cast("bigint").alias("entries_count"),
@@ -117,7 +106,7 @@ def car_roster(cars: DataFrame, drivers: DataFrame, entries: DataFrame, scope: S
     c = roster_scope(cars, scope, "cars")
     d = drivers.select(F.col("id").alias("_d_id"), F.col("owner_user_id").alias("_d_owner"),
                        F.col("full_name").alias("driver_name"))
-    stats = (lifetime_stats(entries_of(entries, c, "car_id"), "car_id").drop("last_entry_date")
+    stats = (lifetime_stats(entries, "car_id").drop("last_entry_date")
              .withColumnRenamed("car_id", "_s_id"))
     out = (c.join(d, (d._d_id == c.current_driver_id) & (d._d_owner == c.owner_user_id), "left")
             .join(stats, c.id == stats._s_id, "left"))

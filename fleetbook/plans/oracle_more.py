@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from fleetbook.functions.amounts import LEGACY_HASH_RE, NUMERIC_PREFIX_RE, TOKEN_RE
 from fleetbook.functions.periods import DATE_RE, MONTH_NAMES, MONTH_RE, WEEK_RE
 from fleetbook.plans.oracle import ENTRY_LIST, FALLBACK, LABEL, S, Z, oracle  # noqa: F401
 from fleetbook.plans.params import OWNER, SQL_DRIVER, SQL_MONTH
@@ -12,15 +11,25 @@ AS_OF_DAY, AS_OF_WEEK, AS_OF_MONTH = "1997-03-05", "1997-W10", "1997-03"
 
 # --- SQL macros (DuckDB) -------------------------------------------------------
 
+# Stated here, not imported: the number a text begins with, and the blanks that trimming removes.
+NUMBER = r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+BLANKS = "' ' || chr(9) || chr(10) || chr(13) || chr(0) || chr(11)"
+
+
+def TRIM(t: str) -> str:
+    return f"trim({t}, {BLANKS})"
+
+
 def PARSE(t: str) -> str:
-    tt = f"trim({t})"
+    tt = TRIM(t)
     x = f"(CASE WHEN contains({tt}, ',') THEN replace(replace({tt}, '.', ''), ',', '.') ELSE {tt} END)"
-    return (f"CAST(ROUND(COALESCE(TRY_CAST(NULLIF(regexp_extract({x}, '{NUMERIC_PREFIX_RE}', 1), '') "
-            f"AS DECIMAL(38,18)), 0), 2) AS DECIMAL(12,2))")
+    number = f"NULLIF(regexp_extract({x}, '{NUMBER}', 0), '')"
+    return (f"(CASE WHEN {number} IS NULL THEN CAST(0 AS DECIMAL(12,2)) "
+            f"ELSE TRY_CAST(ROUND(TRY_CAST({number} AS DECIMAL(38,18)), 2) AS DECIMAL(12,2)) END)")
 
 
 def PINT(t: str) -> str:
-    return f"COALESCE(TRY_CAST(regexp_extract(trim({t}), '^[+-]?[0-9]+', 0) AS BIGINT), 0)"
+    return f"COALESCE(TRY_CAST(regexp_extract({TRIM(t)}, '^[+-]?[0-9]+', 0) AS BIGINT), 0)"
 
 
 def VALID(t: str, pattern: str, default: str) -> str:
@@ -144,8 +153,8 @@ SELECT form_seq, period_type_text, status_text,
        {ENUM('status_text', ('pending', 'invoiced'), 'pending')} AS rental_billing_status
 FROM entry_forms""", entry_forms=ENTRY_FORMS)
 oracle("pattern_flags", f"""
-SELECT id, COALESCE(regexp_matches(selector, '{TOKEN_RE}'), FALSE) AS selector_ok,
-       COALESCE(regexp_matches(token_hash, '{LEGACY_HASH_RE}'), FALSE) AS hash_is_legacy
+SELECT id, COALESCE(regexp_matches(selector, '^[0-9A-Fa-f]{{24}}$'), FALSE) AS selector_ok,
+       COALESCE(regexp_matches(token_hash, '^[0-9A-Fa-f]{{64}}$'), FALSE) AS hash_is_legacy
 FROM token_details""", token_details=TOKEN_DETAILS)
 oracle("hash_column", "SELECT id, username, sha256(username) AS username_sha256 FROM users")
 oracle("access_audit", """
@@ -156,7 +165,17 @@ FROM token_details""", token_details=TOKEN_DETAILS)
 oracle("scope_owner", f"SELECT * FROM cars WHERE owner_user_id = {OWNER}")
 oracle("scope_driver", f"SELECT * FROM daily_entries WHERE driver_id = {SQL_DRIVER}")
 oracle("scope_entry", f"SELECT * FROM daily_entries WHERE owner_user_id = {OWNER} AND driver_id = {SQL_DRIVER}")
-oracle("scope_empty", "SELECT * FROM daily_entries WHERE 1 = 0")
+oracle("scope_cases", f"""
+SELECT 'admin' AS scope, COUNT(*) FILTER (WHERE owner_user_id = {OWNER}) AS entries FROM daily_entries
+UNION ALL SELECT 'admin without a tenant', 0
+UNION ALL SELECT 'admin, negative driver', 0
+UNION ALL SELECT 'admin, one driver', COUNT(*) FROM daily_entries WHERE owner_user_id = {OWNER} AND driver_id = {SQL_DRIVER}
+UNION ALL SELECT 'driver user', COUNT(*) FROM daily_entries WHERE driver_id = {SQL_DRIVER}
+UNION ALL SELECT 'unlinked driver user', 0""")
+oracle("period_column_mismatches", """
+SELECT * FROM daily_entries WHERE year_number IS DISTINCT FROM CAST(strftime(entry_date, '%Y') AS INT)
+  OR month_number IS DISTINCT FROM CAST(strftime(entry_date, '%m') AS INT)
+  OR week_number IS DISTINCT FROM CAST(strftime(entry_date, '%V') AS INT)""")
 oracle("entries_by_status", f"""
 SELECT * FROM daily_entries WHERE owner_user_id = {OWNER} AND entry_date BETWEEN {SQL_MONTH}
   AND rental_billing_status = 'invoiced'""")
@@ -183,8 +202,8 @@ SELECT form_seq, posted_by, p_role, p_tenant, p_driver, period_type,
   {PARSE('cash_text')} AS cash_collected, {PARSE('rental_text')} AS rental_amount,
   CASE WHEN p_role = 'admin' THEN {ENUM('status_text', ('pending', 'invoiced'), 'pending')} ELSE 'pending' END
     AS rental_billing_status,
-  {PARSE('fuel_text')} AS fuel_cost, CAST({PARSE('km_text')} AS DECIMAL(10,2)) AS distance_km,
-  trim(observations_text) AS observations
+  {PARSE('fuel_text')} AS fuel_cost, TRY_CAST({PARSE('km_text')} AS DECIMAL(10,2)) AS distance_km,
+  {TRIM('observations_text')} AS observations
 FROM ef1"""
 EV = """
 SELECT e.*, concat_ws(',',
@@ -201,15 +220,16 @@ SELECT e.*, concat_ws(',',
   CASE WHEN e.p_role = 'driver' AND e.driver_id > 0 AND e.car_id > 0 AND e.driver_id = COALESCE(e.p_driver, 0)
         AND (SELECT COUNT(*) FROM cars c WHERE c.id = e.car_id AND c.current_driver_id = e.driver_id
                                         AND c.status = 'active') = 0 THEN 'car_not_assigned' END,
-  CASE WHEN e.entry_date IS NULL THEN 'bad_date' END) AS reasons
+  CASE WHEN e.entry_date IS NULL THEN 'bad_date' END,
+  CASE WHEN e.gross_income IS NULL OR e.app_expenses IS NULL OR e.cash_collected IS NULL OR e.rental_amount IS NULL
+        OR e.fuel_cost IS NULL OR e.distance_km IS NULL THEN 'bad_amount' END) AS reasons
 FROM ef2 e"""
 OKC = """
 SELECT ok.*, CASE
   WHEN EXISTS (SELECT 1 FROM entries_unique x WHERE x.period_type = ok.period_type AND x.entry_date = ok.entry_date
                   AND x.driver_id = ok.driver_id AND x.car_id = ok.car_id) THEN 'duplicate'
-  WHEN (SELECT COUNT(*) FROM ev o2 WHERE o2.reasons = '' AND o2.period_type = ok.period_type
-          AND o2.entry_date = ok.entry_date AND o2.driver_id = ok.driver_id AND o2.car_id = ok.car_id) > 1
-       THEN 'duplicate_in_batch' END AS conflict
+  WHEN ROW_NUMBER() OVER (PARTITION BY ok.period_type, ok.entry_date, ok.driver_id, ok.car_id ORDER BY ok.form_seq) > 1
+       THEN 'duplicate' END AS conflict
 FROM ev ok WHERE ok.reasons = ''"""
 ACCEPTED = """
 SELECT form_seq, posted_by, period_type, entry_date, driver_id, car_id, gross_income, app_expenses, cash_collected,
@@ -238,9 +258,10 @@ SELECT {ENTRY_COLS} FROM entries_unique UNION ALL SELECT {ENTRY_COLS} FROM accep
 EXC = f"""
 SELECT f.form_seq, f.posted_by, COALESCE(u.owner_user_id, u.id) AS owner_user_id,
   TRY_CAST({VALID('f.expense_date_text', DATE_RE, AS_OF_DAY)} AS DATE) AS expense_date,
-  {PARSE('f.amount_text')} AS amount, trim(f.observations_text) AS observations,
+  {PARSE('f.amount_text')} AS amount, {TRIM('f.observations_text')} AS observations,
   concat_ws(',', CASE WHEN u.role IS NULL THEN 'no_session' END, CASE WHEN u.role = 'driver' THEN 'not_admin' END,
-            CASE WHEN {PARSE('f.amount_text')} <= 0 THEN 'no_amount' END) AS reasons
+            CASE WHEN {PARSE('f.amount_text')} <= 0 THEN 'no_amount' END,
+            CASE WHEN {PARSE('f.amount_text')} IS NULL THEN 'bad_amount' END) AS reasons
 FROM expense_forms f LEFT JOIN users u ON u.id = f.posted_by"""
 oracle("append_expenses", """
 SELECT id, owner_user_id, expense_date, amount, observations, created_by FROM general_expenses
@@ -248,12 +269,12 @@ UNION ALL
 SELECT (SELECT COALESCE(MAX(id), 0) FROM general_expenses) + form_seq, owner_user_id, expense_date, amount,
        observations, posted_by FROM exc WHERE reasons = ''""", expense_forms=EXPENSE_FORMS, exc=EXC)
 
-DRC = """
-SELECT f.form_seq, f.posted_by, COALESCE(u.owner_user_id, u.id) AS owner_user_id, trim(f.full_name_text) AS full_name,
-  NULLIF(trim(f.dni_text), '') AS dni,
+DRC = f"""
+SELECT f.form_seq, f.posted_by, COALESCE(u.owner_user_id, u.id) AS owner_user_id, {TRIM('f.full_name_text')} AS full_name,
+  NULLIF({TRIM('f.dni_text')}, '') AS dni,
   CASE WHEN f.status_text IN ('active', 'inactive') THEN f.status_text ELSE 'active' END AS status,
   concat_ws(',', CASE WHEN u.role IS NULL THEN 'no_session' END, CASE WHEN u.role = 'driver' THEN 'not_admin' END,
-            CASE WHEN trim(f.full_name_text) = '' THEN 'no_name' END) AS reasons
+            CASE WHEN {TRIM('f.full_name_text')} = '' THEN 'no_name' END) AS reasons
 FROM driver_forms f LEFT JOIN users u ON u.id = f.posted_by"""
 oracle("append_dimension", """
 SELECT id, owner_user_id, full_name, dni, status FROM drivers
@@ -261,16 +282,17 @@ UNION ALL
 SELECT (SELECT COALESCE(MAX(id), 0) FROM drivers) + ok.form_seq, ok.owner_user_id, ok.full_name, ok.dni, ok.status
 FROM drc ok
 WHERE ok.reasons = '' AND (ok.dni IS NULL OR (
-  (SELECT COUNT(*) FROM drc o2 WHERE o2.reasons = '' AND o2.owner_user_id = ok.owner_user_id AND o2.dni = ok.dni) = 1
+  NOT EXISTS (SELECT 1 FROM drc o2 WHERE o2.reasons = '' AND o2.owner_user_id = ok.owner_user_id AND o2.dni = ok.dni
+              AND o2.form_seq < ok.form_seq)
   AND NOT EXISTS (SELECT 1 FROM drivers d WHERE d.owner_user_id = ok.owner_user_id AND d.dni = ok.dni)))""",
        driver_forms=DRIVER_FORMS, drc=DRC)
 oracle("clean_drivers", "SELECT form_seq, owner_user_id, full_name, dni, status, reasons FROM drc",
        driver_forms=DRIVER_FORMS, drc=DRC)
 oracle("clean_dimension", f"""
-SELECT form_seq, trim(brand_text) AS brand, trim(model_text) AS model, upper(trim(plate_text)) AS plate,
-  CASE WHEN trim(year_text) = '' THEN NULL ELSE CAST({PINT('year_text')} AS INT) END AS year,
+SELECT form_seq, {TRIM('brand_text')} AS brand, {TRIM('model_text')} AS model, upper({TRIM('plate_text')}) AS plate,
+  CASE WHEN {TRIM('year_text')} = '' THEN NULL ELSE CAST({PINT('year_text')} AS INT) END AS year,
   CASE WHEN status_text IN ('active', 'inactive') THEN status_text ELSE 'active' END AS status,
-  concat_ws(',', CASE WHEN trim(brand_text) = '' OR trim(model_text) = '' OR upper(trim(plate_text)) = ''
+  concat_ws(',', CASE WHEN {TRIM('brand_text')} = '' OR {TRIM('model_text')} = '' OR upper({TRIM('plate_text')}) = ''
                       THEN 'missing_fields' END) AS reasons
 FROM car_forms""", car_forms=CAR_FORMS)
 
@@ -614,11 +636,12 @@ oracle("backfill_expenses", "SELECT * FROM x1", **MIG)
 
 oracle("valid_tokens", """
 SELECT t.*, u.username, u.role FROM access_tokens t JOIN users u ON u.id = t.user_id
-WHERE u.is_active = 1 AND t.expires_at > TIMESTAMP '2024-02-15 00:00:00' AND t.used_at IS NULL""")
+WHERE u.is_active = 1 AND t.expires_at > TIMESTAMP '2024-02-15 00:00:00'
+  AND (t.kind = 'remember' OR t.used_at IS NULL)""")
 oracle("purge_tokens", """
 SELECT t.* FROM access_tokens t
-WHERE t.user_id NOT IN (SELECT user_id FROM token_resets)
-  AND NOT (t.used_at IS NULL AND t.user_id IN (SELECT user_id FROM token_requests))""",
+WHERE NOT (t.kind = 'remember' AND t.user_id IN (SELECT user_id FROM token_resets))
+  AND NOT (t.kind = 'reset' AND t.used_at IS NULL AND t.user_id IN (SELECT user_id FROM token_requests))""",
        token_requests=TOKEN_REQUESTS, token_resets=TOKEN_RESETS)
 oracle("last_access", """
 SELECT u.*, l.last_used AS last_login_at,
@@ -670,10 +693,10 @@ WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.owner_user_id = w.owner_user_id A
                 {WS(VALID('nd.week_text', WEEK_RE, AS_OF_WEEK))} AS week_start
                 FROM nd JOIN users u ON u.id = nd.posted_by WHERE u.role = 'admin'""")
 CC = f"""
-SELECT form_seq AS id, posted_by, trim(brand_text) AS brand, trim(model_text) AS model, upper(trim(plate_text)) AS plate,
-  CASE WHEN trim(year_text) = '' THEN NULL ELSE CAST({PINT('year_text')} AS INT) END AS year,
+SELECT form_seq AS id, posted_by, {TRIM('brand_text')} AS brand, {TRIM('model_text')} AS model, upper({TRIM('plate_text')}) AS plate,
+  CASE WHEN {TRIM('year_text')} = '' THEN NULL ELSE CAST({PINT('year_text')} AS INT) END AS year,
   CASE WHEN status_text IN ('active', 'inactive') THEN status_text ELSE 'active' END AS status,
-  concat_ws(',', CASE WHEN trim(brand_text) = '' OR trim(model_text) = '' OR upper(trim(plate_text)) = ''
+  concat_ws(',', CASE WHEN {TRIM('brand_text')} = '' OR {TRIM('model_text')} = '' OR upper({TRIM('plate_text')}) = ''
                       THEN 'missing_fields' END) AS reasons
 FROM car_forms"""
 CJ = """
@@ -735,12 +758,12 @@ WHERE reasons <> ''""", np=NOTE_POSTS)
 # --- appended cars and users ------------------------------------------------------------
 
 NCF = f"""
-SELECT f.form_seq, f.posted_by, COALESCE(u.owner_user_id, u.id) AS owner_user_id, trim(f.brand_text) AS brand,
-  trim(f.model_text) AS model, upper(trim(f.plate_text)) AS plate,
-  CASE WHEN trim(f.year_text) = '' THEN NULL ELSE CAST({PINT('f.year_text')} AS INT) END AS year,
+SELECT f.form_seq, f.posted_by, COALESCE(u.owner_user_id, u.id) AS owner_user_id, {TRIM('f.brand_text')} AS brand,
+  {TRIM('f.model_text')} AS model, upper({TRIM('f.plate_text')}) AS plate,
+  CASE WHEN {TRIM('f.year_text')} = '' THEN NULL ELSE CAST({PINT('f.year_text')} AS INT) END AS year,
   CASE WHEN f.status_text IN ('active', 'inactive') THEN f.status_text ELSE 'active' END AS status,
   concat_ws(',', CASE WHEN u.role IS NULL THEN 'no_session' END, CASE WHEN u.role = 'driver' THEN 'not_admin' END,
-            CASE WHEN trim(f.brand_text) = '' OR trim(f.model_text) = '' OR upper(trim(f.plate_text)) = ''
+            CASE WHEN {TRIM('f.brand_text')} = '' OR {TRIM('f.model_text')} = '' OR upper({TRIM('f.plate_text')}) = ''
                  THEN 'missing_fields' END) AS base_reasons
 FROM car_forms f LEFT JOIN users u ON u.id = f.posted_by"""
 NCJ = """
@@ -748,9 +771,9 @@ SELECT n.form_seq, n.posted_by, n.owner_user_id, n.brand, n.model, n.plate, n.ye
   concat_ws(',', CASE WHEN n.base_reasons <> '' THEN n.base_reasons END,
     CASE WHEN n.base_reasons = '' AND EXISTS (SELECT 1 FROM cars c WHERE c.owner_user_id = n.owner_user_id
                                               AND c.plate = n.plate) THEN 'duplicate'
-         WHEN n.base_reasons = '' AND (SELECT COUNT(*) FROM ncf o WHERE o.base_reasons = ''
-                                       AND o.owner_user_id = n.owner_user_id AND o.plate = n.plate) > 1
-         THEN 'duplicate_in_batch' END) AS reasons
+         WHEN n.base_reasons = '' AND EXISTS (SELECT 1 FROM ncf o WHERE o.base_reasons = '' AND o.form_seq < n.form_seq
+                                              AND o.owner_user_id = n.owner_user_id AND o.plate = n.plate)
+         THEN 'duplicate' END) AS reasons
 FROM ncf n"""
 NEW_CARS = dict(car_forms=CAR_FORMS, ncf=NCF, ncj=NCJ)
 oracle("append_cars", """
@@ -772,9 +795,9 @@ ROLE = ENUM('f.role_text', ('admin', 'driver'), 'driver')
 NUJ = f"""
 SELECT f.*, p.role AS p_role, COALESCE(p.owner_user_id, p.id) AS owner_user_id, p.username AS m_username,
   {ROLE} AS role,
-  CASE WHEN {ROLE} = 'admin' THEN NULL WHEN trim(f.driver_id_text) = '' THEN NULL
+  CASE WHEN {ROLE} = 'admin' THEN NULL WHEN {TRIM('f.driver_id_text')} = '' THEN NULL
        ELSE {PINT('f.driver_id_text')} END AS driver_id,
-  trim(f.full_name_text) AS full_name, trim(f.username_text) AS username
+  {TRIM('f.full_name_text')} AS full_name, {TRIM('f.username_text')} AS username
 FROM uf f LEFT JOIN users p ON p.id = f.posted_by"""
 NUB = """
 SELECT u.*, concat_ws(',',
@@ -788,7 +811,8 @@ NUR = """
 SELECT n.form_seq, n.posted_by, n.full_name, n.username, n.role, n.driver_id, n.owner_user_id, n.is_active,
   concat_ws(',', CASE WHEN n.base_reasons <> '' THEN n.base_reasons END,
     CASE WHEN n.base_reasons = '' AND (EXISTS (SELECT 1 FROM users x WHERE x.username = n.username)
-         OR (SELECT COUNT(*) FROM nub o WHERE o.base_reasons = '' AND o.username = n.username) > 1)
+         OR EXISTS (SELECT 1 FROM nub o WHERE o.base_reasons = '' AND o.username = n.username
+                    AND o.form_seq < n.form_seq))
          THEN 'duplicate_username' END) AS reasons
 FROM nub n"""
 NEW_USERS = dict(uf=USER_FORMS, nuj=NUJ, nub=NUB, nur=NUR)

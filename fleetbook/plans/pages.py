@@ -45,10 +45,10 @@ def _choice(v, allowed, default):
     return v if v in allowed else default
 
 
-def request_range(req: dict, as_of: dt.date, prefix: str = "") -> P.PeriodRange:
+def request_range(req: dict, as_of: dt.date, prefix: str = "", week_dates: bool = False) -> P.PeriodRange:
     period = _choice(req.get(prefix + "period"), PERIODS, "week")
     return P.period_range(period, req.get(prefix + "date"), req.get(prefix + "week"),
-                          req.get(prefix + "month"), as_of)
+                          req.get(prefix + "month"), as_of, week_dates)
 
 
 def request_scope(session: Scope, req: dict) -> Scope:
@@ -69,7 +69,7 @@ def _pick_lists(t, scope: Scope, for_form: bool = False) -> dict[str, DataFrame]
 def report_page(t, session: Scope, req: dict, as_of: dt.date) -> dict[str, DataFrame]:
     """Report screen: daily rollup, totals, fleet net, best / worst days, comparisons."""
     scope = request_scope(session, req)
-    rng = request_range(req, as_of)
+    rng = request_range(req, as_of, week_dates=True)
     daily = rollups.daily_rollup(t.daily_entries, scope, rng)
     return {
         **_pick_lists(t, scope),

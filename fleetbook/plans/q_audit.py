@@ -11,7 +11,7 @@ from fleetbook.operators import access as W
 from fleetbook.operators import audits as Q
 from fleetbook.operators import backfill as B
 from fleetbook.operators import entries as E
-from fleetbook.operators import rollups, rosters
+from fleetbook.operators import filters as FL
 from fleetbook.plans.catalog import query
 from fleetbook.plans.params import MONTH_RANGE, OWNER, TOKENS_AS_OF
 from fleetbook.scope import Scope
@@ -144,13 +144,16 @@ def token_expiry(t):
 @query("list_counts")
 def list_counts(t):
     """Row counts of the lists a tenant-1 admin sees for March 1997."""
+    period = F.col("entry_date").between(F.lit(MONTH_RANGE.start), F.lit(MONTH_RANGE.end))
+    mine = FL.entry_scope(t.daily_entries, ADMIN).where(period)
+    # joins on the unique ids of users, drivers and cars do not change the other lists' counts
     lists: dict[str, DataFrame] = {
         "entries": E.entry_list(t.daily_entries, t.drivers, t.cars, ADMIN, MONTH_RANGE),
-        "expenses": E.expense_list(t.general_expenses, t.users, OWNER, MONTH_RANGE),
-        "days": rollups.daily_rollup(t.daily_entries, ADMIN, MONTH_RANGE),
-        "drivers": rosters.driver_roster(t.drivers, t.cars, t.daily_entries, ADMIN, MONTH_RANGE),
-        "cars": rosters.car_roster(t.cars, t.drivers, t.daily_entries, ADMIN),
-        "users": rosters.user_roster(t.users, t.drivers, OWNER),
+        "expenses": FL.in_period(FL.owner_scope(t.general_expenses, OWNER), MONTH_RANGE, "expense_date"),
+        "days": mine.select("entry_date").distinct(),
+        "drivers": FL.roster_scope(t.drivers, ADMIN, "drivers"),
+        "cars": FL.roster_scope(t.cars, ADMIN, "cars"),
+        "users": FL.owner_scope(t.users, OWNER),
     }
     parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("list"), "rows")
              for name, df in lists.items()]

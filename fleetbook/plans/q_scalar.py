@@ -8,6 +8,7 @@ from fleetbook.functions import amounts as A
 from fleetbook.functions import display as D
 from fleetbook.functions import periods as P
 from fleetbook.operators import filters as FL
+from fleetbook.operators.audits import period_mismatches
 from fleetbook.operators.entries import entry_list
 from fleetbook.plans.catalog import query
 from fleetbook.plans.params import AS_OF, MONTH_RANGE, OWNER, first_driver_of_owner
@@ -157,10 +158,27 @@ def scope_entry(t):
     return FL.entry_scope(t.daily_entries, Scope.admin(OWNER, driver_id=drv, car_id=-5))
 
 
-@query("scope_empty")
-def scope_empty(t):
-    """An unlinked driver user sees no entries (folded to an empty relation)."""
-    return FL.entry_scope(t.daily_entries, Scope.driver_user(None, OWNER))
+@query("scope_cases")
+def scope_cases(t):
+    """Entries that each kind of session sees: admins with and without a tenant, a
+    driver asked for or a negative one, a driver user and an unlinked one."""
+    drv = first_driver_of_owner(t.drivers)
+    cases = {
+        "admin": Scope.admin(OWNER),
+        "admin without a tenant": Scope.admin(0),
+        "admin, negative driver": Scope.admin(OWNER, driver_id=-1),
+        "admin, one driver": Scope.admin(OWNER, driver_id=drv),
+        "driver user": Scope.driver_user(drv, OWNER),
+        "unlinked driver user": Scope.driver_user(None, OWNER),
+    }
+    counts = [F.count_if(FL.entry_predicate(scope)).alias(name) for name, scope in cases.items()]
+    return t.daily_entries.agg(*counts).unpivot([], list(cases), "scope", "entries")
+
+
+@query("period_column_mismatches")
+def period_column_mismatches(t):
+    """Entries whose stored week, month or year is not that of their date."""
+    return period_mismatches(t.daily_entries)
 
 
 @query("entries_by_status")

@@ -84,12 +84,16 @@ WEEKLY_MONEY_NOTES = T.StructType([
     _f("updated_at", T.TimestampType()),
 ])
 
-ACCESS_TOKENS = T.StructType([
+_TOKEN = [
     _f("id", T.LongType(), False), _f("user_id", T.LongType(), False),
     _f("selector", T.StringType()), _f("user_agent", T.StringType()),
     _f("ip_address", T.StringType()), _f("expires_at", T.TimestampNTZType(), False),
     _f("used_at", T.TimestampNTZType()), _f("created_at", T.TimestampNTZType()),
-])
+]
+REMEMBER_TOKENS = T.StructType(_TOKEN)
+PASSWORD_RESETS = T.StructType(_TOKEN)
+# Both kinds together, told apart by ``kind`` (remember, reset), as the token audits read them.
+ACCESS_TOKENS = T.StructType([*_TOKEN, _f("kind", T.StringType(), False)])
 
 TABLES = {
     "drivers": DRIVERS,
@@ -98,6 +102,8 @@ TABLES = {
     "daily_entries": DAILY_ENTRIES,
     "general_expenses": GENERAL_EXPENSES,
     "weekly_money_notes": WEEKLY_MONEY_NOTES,
+    "remember_tokens": REMEMBER_TOKENS,
+    "password_resets": PASSWORD_RESETS,
     "access_tokens": ACCESS_TOKENS,
 }
 

@@ -8,7 +8,6 @@ measured sizes), UTC session clock, ANSI arithmetic, and no web UI.
 from __future__ import annotations
 
 import tempfile
-import uuid
 
 from pyspark.sql import SparkSession
 
@@ -40,14 +39,13 @@ def sizing_conf(input_bytes: int, total_cores: int, split_bytes: int = 256 * 102
 
     Scan splits of ``split_bytes`` keep each task's input bounded. The
     initial shuffle partition count aims at ``shuffle_bytes`` per reduce task
-    for a shuffle as large as the input, between 3 and 20 waves of tasks (map
-    output bookkeeping grows with mappers x reducers, so it is capped; a
-    larger reducer spills). Adaptive execution coalesces small shuffles back
-    to the advisory size, so one setting serves a month report and a full
-    backfill.
+    for a shuffle as large as the input, and is 3 waves of tasks at least, so
+    a reducer's share does not grow with the data. Adaptive execution
+    coalesces small shuffles back to the advisory size, so one setting serves
+    a month report and a full backfill.
     """
     by_size = -(-input_bytes // shuffle_bytes)
-    partitions = max(3 * total_cores, min(by_size, 20 * total_cores))
+    partitions = max(3 * total_cores, by_size)
     return {
         "spark.sql.files.maxPartitionBytes": str(split_bytes),
         "spark.sql.shuffle.partitions": str(partitions),
@@ -92,63 +90,18 @@ def build_session(
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder of the session.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared, fault-tolerant
-    folder and is used as is. Only when it is unset (local tests) a fresh
-    scratch folder is created and registered.
+    ``spark.checkpoint.dir`` (or a folder set on the context) names a shared,
+    fault-tolerant folder and is used as is. Where neither is set, only a
+    single-JVM local session gets a scratch folder; any other must set one.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    folder = configured or tempfile.mkdtemp(prefix="fleetbook-ckpt-")
-    if not configured:
-        try:
-            spark.conf.set("spark.checkpoint.dir", folder)
-        except Exception:  # a session that refuses core settings at runtime
-            pass
-    try:
-        spark.sparkContext.setCheckpointDir(folder)
-    except Exception:  # Spark Connect: no context here, the server owns checkpoints
-        pass
-    return folder
-
-
-def spread(df, *row_keys: str):
-    """Spread rows evenly over the session's shuffle partitions.
-
-    Used before CPU-heavy per-row work on a batch whose input may come in
-    few splits. With ``row_keys`` (a per-row key such as a form's sequence
-    number, never a shared key like the poster) rows are hashed on it, which
-    is deterministic on retries and cannot be skewed; without, round robin
-    (which sorts each input partition first to stay deterministic). An
-    explicit partition count is kept as is by adaptive execution.
-    """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *row_keys) if row_keys else df.repartition(n)
-
-
-def as_table(df, name: str = "batch"):
-    """Write ``df`` once as parquet into the shared checkpoint folder and read it back.
-
-    This cuts the lineage (the files live in the shared folder, so a lost
-    executor costs no recomputation), and the planner then sees the batch's
-    real size from its files instead of an estimate compounded through joins
-    (a plain ``checkpoint()`` keeps the estimate), so a small batch is
-    broadcast from the start and the large table it is joined with is never
-    shuffled for it.
-    """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
-# Largest key list broadcast by ``broadcast_if_small`` (8-byte ids: ~16 MB).
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def broadcast_if_small(df, max_rows: int = BROADCAST_MAX_ROWS):
-    """``(broadcast(df), True)`` when ``df`` has at most ``max_rows`` rows,
-    else ``(df, False)``: a broadcast whose size is checked first, so the
-    caller can choose another plan beyond the bound."""
-    from pyspark.sql import functions as F
-
-    n = df.count()
-    return (F.broadcast(df), True) if n <= max_rows else (df, False)
+    if configured:
+        return configured
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="fleetbook-ckpt-"))
+    return context._jsc.sc().getCheckpointDir().get()

@@ -214,6 +214,7 @@ class TestdataTables:
             (F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("expires_at"),
             F.when(F.col("event_id") % 5 == 0, F.col("ts") + F.expr("INTERVAL 1 HOURS"))
             .alias("used_at"),
+            F.when(F.col("event_type").isin("click", "view"), "remember").otherwise("reset").alias("kind"),
         )
 
     @cached_property

@@ -4,11 +4,11 @@
   id range is split into ``num_partitions`` slices read by separate tasks
   (``partitionColumn``/``lowerBound``/``upperBound``), with filters and
   column pruning pushed into the generated SQL by Spark.
-* ``write_table`` writes a table as parquet; entries are partitioned by
-  (year_number, month_number), so a period report reads only the months it
-  covers (the period filter adds the implied month predicate, see
-  ``operators.filters.in_period``), and rows are sorted by tenant inside the
-  files, so tenant filters skip row groups.
+* ``write_table`` writes a table as parquet; entries lie in a folder per
+  month of ``entry_date`` (a column of the writer's own, not shown to readers),
+  so a file's date statistics span one month and a date filter skips the
+  row groups of other months; rows are sorted by tenant inside the files, so
+  tenant filters skip row groups.
 * ``StagedTables`` serves the stored tables to the same query bodies that
   run on the test-data derivations.
 """
@@ -24,11 +24,10 @@ from fleetbook.schemas import TABLES
 from fleetbook.session import checkpoint_dir
 from fleetbook.sources.fixtures import TestdataTables
 
-# Tables partitioned on write, and by which columns.
-PARTITIONING = {
-    "daily_entries": ("year_number", "month_number"),
-    "entries_unique": ("year_number", "month_number"),
-}
+# Tables stored in a folder per month, and by the month of which column.
+PARTITIONING = {"daily_entries": "entry_date", "entries_unique": "entry_date"}
+# The writer's own column that names the folder.
+FOLDER = "stored_month"
 # Row order inside each file: tenant first, so parquet row-group statistics
 # let a tenant filter skip other tenants' row groups, then driver / date.
 CLUSTERING = {
@@ -57,8 +56,11 @@ def read_jdbc(spark: SparkSession, url: str, table: str, props: dict[str, str],
 
 
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """Read a stored table; the declared schema is applied when known."""
-    return spark.read.parquet(f"{path}/{name}")
+    """Read a stored table; columns that the data model declares get their declared types."""
+    df = spark.read.parquet(f"{path}/{name}").drop(FOLDER)
+    declared = {f.name: f.dataType for f in TABLES[name].fields} if name in TABLES else {}
+    return df.select(*[F.col(c).cast(declared[c]).alias(c) if c in declared and declared[c] != kind else F.col(c)
+                       for c, kind in ((f.name, f.dataType) for f in df.schema.fields)])
 
 
 def write_table(df: DataFrame, path: str, name: str, mode: str = "overwrite") -> None:
@@ -70,7 +72,10 @@ def write_table(df: DataFrame, path: str, name: str, mode: str = "overwrite") ->
     the advisory size instead of one file per task per folder or one task
     per month. Within files, rows are sorted by ``CLUSTERING``.
     """
-    parts = [c for c in PARTITIONING.get(name, ()) if c in df.columns]
+    month_of = PARTITIONING.get(name)
+    parts = [FOLDER] if month_of in df.columns else []
+    if parts:
+        df = df.withColumn(FOLDER, F.date_format(month_of, "yyyy-MM"))
     order = [c for c in CLUSTERING.get(name, ()) if c in df.columns]
     out = df.hint("rebalance", *parts) if parts else df.hint("rebalance")
     if order:

@@ -27,8 +27,10 @@ from fleetbook.operators import loads as L
 def _read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     try:
         return spark.read.parquet(path)
-    except AnalysisException:  # nothing ingested yet
-        return spark.createDataFrame([], like.schema)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], like.schema)  # nothing ingested yet
 
 
 def ingest_entry_forms(spark: SparkSession, forms_path: str, forms_schema: T.StructType,

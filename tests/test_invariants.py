@@ -50,15 +50,3 @@ def test_delete_then_append_is_identity(tables_check):
     assert gone.count() > 0
     restored = L.append_rows(after, gone)
     assert restored.exceptAll(base).count() == 0 and base.exceptAll(restored).count() == 0
-
-
-def test_roster_same_beyond_broadcast_bound(tables_check, monkeypatch):
-    import fleetbook.session as S
-    from fleetbook.operators import rosters as R
-
-    t = tables_check
-    small = sorted(map(tuple, R.driver_roster(t.drivers, t.cars, t.daily_entries, ADMIN, MONTH_RANGE).collect()))
-    monkeypatch.setattr(S, "BROADCAST_MAX_ROWS", 0)
-    monkeypatch.setattr(R, "broadcast_if_small", lambda df: S.broadcast_if_small(df, 0))
-    big = sorted(map(tuple, R.driver_roster(t.drivers, t.cars, t.daily_entries, ADMIN, MONTH_RANGE).collect()))
-    assert small == big and len(small) > 0

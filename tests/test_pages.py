@@ -36,15 +36,3 @@ def test_every_page_runs(spark):
     assert {"entries", "rental_split", "expenses", "fleet", "weekly_note"} <= set(admin_panel)
     unlinked = pages.report_page(t, Scope.driver_user(None, 1), {"period": "month", "month": "1997-03"}, AS_OF)
     assert unlinked["daily"].count() == 0 and unlinked["pick_cars"].count() == 0
-
-
-def test_sql_statement_matches_dataframe_form(spark):
-    from fleetbook.operators import rollups
-    from fleetbook.plans import sql
-    from fleetbook.plans.params import MONTH_RANGE
-
-    t = TestdataTables(spark, SF_SMALL)
-    sql.register_views(spark, t)
-    got = sorted(map(tuple, sql.daily_rollup_sql(spark, 1, MONTH_RANGE.start, MONTH_RANGE.end).collect()))
-    want = sorted(map(tuple, rollups.daily_rollup(t.daily_entries, Scope.admin(1), MONTH_RANGE).collect()))
-    assert got == want and got

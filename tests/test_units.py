@@ -106,6 +106,16 @@ def test_period_range_resolver():
     assert P.period_range("day", date="junk", as_of=d(1997, 3, 5)).start == d(1997, 3, 5)
     assert P.period_range("year", week="1997-W10").label == "Semana 10, 1997"  # unknown period -> week
     assert P.valid_week_or_current("x", d(2024, 12, 30)) == "2025-W01"
+    assert P.period_range("week", week="1997-W10", week_dates=True).label == "03/03/1997 - 09/03/1997"
+
+
+@pytest.mark.parametrize("kind, text", [("day", "2026-02-31"), ("month", "2026-13"), ("month", "9999-12"), ("week", "0000-W01")])
+def test_impossible_dates_give_an_empty_range(spark, kind, text):
+    r = P.period_range(kind, **{"date" if kind == "day" else kind: text})
+    df = spark.createDataFrame([(d(1997, 3, 5),), (d(9999, 12, 31),)], "entry_date date")
+    from fleetbook.operators.filters import in_period
+
+    assert r.start > r.end and in_period(df, r).count() == 0
 
 
 # --- display -----------------------------------------------------------------------------
@@ -340,7 +350,7 @@ def test_sizing_conf():
     from fleetbook.session import sizing_conf
 
     big = sizing_conf(100 * 1024 ** 4, 4000)
-    assert int(big["spark.sql.shuffle.partitions"]) == 80_000          # capped at 20 waves
+    assert int(big["spark.sql.shuffle.partitions"]) == 819_200         # 128 MB a reducer, whatever the input
     assert int(big["spark.sql.files.maxPartitionBytes"]) == 256 * 1024 ** 2
     assert int(sizing_conf(60 * 1024 ** 2, 8)["spark.sql.shuffle.partitions"]) == 24   # 3 waves minimum
 
