@@ -178,8 +178,9 @@ class Lists:
     def shared(self, tokens: np.ndarray, size: int) -> np.ndarray:
         """How many of ``tokens`` each set has."""
         at = np.searchsorted(self.tokens, tokens)
-        at = at[(at < len(self.tokens))]
-        at = at[np.isin(self.tokens[at], tokens, assume_unique=True)] if len(at) else at
+        held = at < len(self.tokens)
+        at, tokens = at[held], tokens[held]
+        at = at[self.tokens[at] == tokens]
         if not len(at):
             return np.zeros(size, dtype=np.int64)
         begin, n = self.ends[at], self.ends[at + 1] - self.ends[at]
