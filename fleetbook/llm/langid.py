@@ -148,7 +148,7 @@ class Models:
             key, starts, has = symbols(texts, letters)
             n = np.diff(starts)
             sums = np.zeros((len(texts), len(self.models)))
-            if len(key):
+            if len(key) and self.models:
                 full = n > 0
                 sums[full] = np.add.reduceat(look(key), starts[:-1][full], axis=0)
             return -sums / np.maximum(n, 1)[:, None], n, has
