@@ -139,13 +139,21 @@ def backfill_cars(cars, entries, users) -> DataFrame:
     return backfill_dimension(cars, entries, users, "car_id", "plate", DEMO_PLATE)
 
 
+def _with_creator(rows: DataFrame, u: DataFrame) -> DataFrame:
+    """Rows with their creator's ``_u_owner``. Rows without a creator (many,
+    and all one key) are routed around the join."""
+    made = rows.where(F.col("created_by").isNotNull()).join(u, F.col("created_by") == u._u_id, "left").drop("_u_id")
+    none = rows.where(F.col("created_by").isNull()).withColumn("_u_owner", F.lit(None).cast("bigint"))
+    return made.unionByName(none)
+
+
 def backfill_entries(entries: DataFrame, users: DataFrame, drivers: DataFrame) -> DataFrame:
     """Entry owner: the creator's owner, else the driver's owner, else the admin."""
     u = users.select(F.col("id").alias("_u_id"), F.col("owner_user_id").alias("_u_owner"))
     d = drivers.select(F.col("id").alias("_d_id"), F.col("owner_user_id").alias("_d_owner"))
-    j = entries.join(u, entries.created_by == u._u_id, "left").join(d, entries.driver_id == d._d_id, "left")
+    j = _with_creator(entries, u).join(d, F.col("driver_id") == d._d_id, "left")
     owner = F.coalesce(F.col("_u_owner"), F.col("_d_owner"), admin_id(users)).cast("bigint")
-    return j.select(*[owner.alias(c) if c == "owner_user_id" else entries[c] for c in entries.columns])
+    return j.select(*[owner.alias(c) if c == "owner_user_id" else F.col(c) for c in entries.columns])
 
 
 def backfill_driver_users(users: DataFrame, drivers: DataFrame) -> DataFrame:
@@ -160,9 +168,9 @@ def backfill_driver_users(users: DataFrame, drivers: DataFrame) -> DataFrame:
 def backfill_expenses(expenses: DataFrame, users: DataFrame) -> DataFrame:
     """Expense owner: the creator's owner, else the admin."""
     u = users.select(F.col("id").alias("_u_id"), F.col("owner_user_id").alias("_u_owner"))
-    j = expenses.join(u, expenses.created_by == u._u_id, "left")
+    j = _with_creator(expenses, u)
     owner = F.coalesce(F.col("_u_owner"), admin_id(users)).cast("bigint")
-    return j.select(*[owner.alias(c) if c == "owner_user_id" else expenses[c] for c in expenses.columns])
+    return j.select(*[owner.alias(c) if c == "owner_user_id" else F.col(c) for c in expenses.columns])
 
 
 def workspace_migration(users, drivers, cars, entries, expenses) -> dict[str, DataFrame]:
