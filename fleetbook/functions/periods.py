@@ -207,4 +207,4 @@ def period_range(period: str, date: str | None = None, week: str | None = None,
         s, e = month_range(text, as_of)
         return PeriodRange(s, e, f"{MONTH_NAMES[s.month - 1]} {s.year}")
     except (ValueError, OverflowError):
-        return PeriodRange(dt.date.max, dt.date.min, text)
+        return PeriodRange(dt.date(1970, 1, 2), dt.date(1970, 1, 1), text)

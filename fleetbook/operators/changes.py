@@ -19,13 +19,13 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetbook.functions import periods as P
 from fleetbook.functions.amounts import clean_enum, trim
 from fleetbook.operators.entries import entry_math_columns
-from fleetbook.operators.loads import USER_MANAGERS, reasons_of, with_poster, within_batch_dates
+from fleetbook.operators.loads import USER_MANAGERS, is_user_manager, reasons_of, with_poster, within_batch_dates
 from fleetbook.schemas import ENTRY_AMOUNTS, UNIQUE_KEYS
 
 ENTRY_KEY = list(UNIQUE_KEYS["daily_entries"])
@@ -293,7 +293,7 @@ R_DUPLICATE_USERNAME = "duplicate_username"
 
 
 def judge_user_edits(edits: DataFrame, users: DataFrame, drivers: DataFrame,
-                     managers: tuple[str, ...] = USER_MANAGERS) -> DataFrame:
+                     managers: tuple[str, ...] | Column = USER_MANAGERS) -> DataFrame:
     """User edits with cleaned values and rejection reasons.
 
     The poster must be an admin whose username is a user manager. Name and
@@ -312,7 +312,7 @@ def judge_user_edits(edits: DataFrame, users: DataFrame, drivers: DataFrame,
     t = users.select(F.col("id").alias("_u_id"), F.col("owner_user_id").alias("_u_owner"))
     p = (p.join(d, (p.linked_driver == d._d_id) & (p._p_tenant == d._d_owner), "left")
           .join(t, (p.id == t._u_id) & (p._p_tenant == t._u_owner), "left"))
-    is_manager = (F.col("_p_role") == "admin") & F.col("_m_username").isin(*managers)
+    is_manager = is_user_manager(managers)
     # usernames are unique over all users: taken by another user, or repeated in the batch
     name = trim("username_text")
     holders = users.groupBy(F.col("username").alias("_h_name")).agg(
@@ -322,7 +322,7 @@ def judge_user_edits(edits: DataFrame, users: DataFrame, drivers: DataFrame,
           .join(repeats, name == repeats._r_name, "left"))
     taken = F.coalesce((F.col("_h_n") > 1) | (F.col("_h_min") != F.col("id")), F.lit(False)) | (F.col("_r_n") > 1)
     reasons = reasons_of(
-        (~F.coalesce(is_manager, F.lit(False)), R_NOT_MANAGER),
+        (~is_manager, R_NOT_MANAGER),
         ((trim("full_name_text") == "") | (trim("username_text") == ""), R_MISSING),
         (F.col("linked_driver").isNotNull() & F.col("_d_id").isNull(), R_DRIVER_NOT_IN_OWNER),
         ((F.col("id") == F.col("posted_by")) & ((F.col("role") != "admin") | (F.col("is_active") != 1)),
@@ -336,7 +336,7 @@ def judge_user_edits(edits: DataFrame, users: DataFrame, drivers: DataFrame,
 
 
 def apply_user_edits(users: DataFrame, edits: DataFrame, drivers: DataFrame,
-                     managers: tuple[str, ...] = USER_MANAGERS) -> DataFrame:
+                     managers: tuple[str, ...] | Column = USER_MANAGERS) -> DataFrame:
     """Users after the accepted edits; with several accepted edits of one user,
     the largest edit row wins (the batch carries no order)."""
     ok = judge_user_edits(edits, users, drivers, managers).where(F.col("reasons") == "")

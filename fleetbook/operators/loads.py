@@ -331,8 +331,14 @@ R_DRIVER_NOT_IN_TENANT = "driver_not_in_owner"
 R_DUPLICATE_USERNAME = "duplicate_username"
 
 
+def is_user_manager(managers: tuple[str, ...] | Column) -> Column:
+    """Whether the poster (role ``_p_role``, username ``_m_username``) manages users."""
+    named = F.col("_m_username") == managers if isinstance(managers, Column) else F.col("_m_username").isin(*managers)
+    return F.coalesce((F.col("_p_role") == "admin") & named, F.lit(False))
+
+
 def judge_user_forms(forms: DataFrame, users: DataFrame, drivers: DataFrame,
-                     managers: tuple[str, ...] = USER_MANAGERS) -> DataFrame:
+                     managers: tuple[str, ...] | Column = USER_MANAGERS) -> DataFrame:
     """New-user forms with reasons: the poster must be a user manager; name,
     username and password are required; the role is allow-listed (default
     driver) and an admin gets no driver; a linked driver must belong to the
@@ -348,7 +354,7 @@ def judge_user_forms(forms: DataFrame, users: DataFrame, drivers: DataFrame,
                   trim("full_name_text").alias("full_name"), trim("username_text").alias("username"),
                   F.col("_p_tenant").alias("owner_user_id"))
           .join(d, (F.col("driver_id") == d._d_id) & (F.col("_p_tenant") == d._d_owner), "left"))
-    is_manager = F.coalesce((F.col("_p_role") == "admin") & F.col("_m_username").isin(*managers), F.lit(False))
+    is_manager = is_user_manager(managers)
     p = p.withColumn("reasons", reasons_of(
         (~is_manager, R_NOT_MANAGER),
         ((F.col("full_name") == "") | (F.col("username") == ""), R_MISSING_FIELDS),
@@ -366,7 +372,7 @@ def judge_user_forms(forms: DataFrame, users: DataFrame, drivers: DataFrame,
 
 
 def append_users(users: DataFrame, forms: DataFrame, drivers: DataFrame,
-                 managers: tuple[str, ...] = USER_MANAGERS, id_base: int | Column | None = None) -> DataFrame:
+                 managers: tuple[str, ...] | Column = USER_MANAGERS, id_base: int | Column | None = None) -> DataFrame:
     """User table after appending the accepted new users."""
     ok = judge_user_forms(forms, users, drivers, managers).where(F.col("reasons") == "")
     new = ok.select(new_ids(ok, users, id_base=id_base).alias("id"), "*")

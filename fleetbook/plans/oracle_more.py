@@ -340,8 +340,10 @@ ASSIGNMENTS = f"""
 SELECT l_orderkey AS change_seq, l_orderkey % {NCUST} + 1 AS posted_by, l_suppkey + 1 AS driver_id,
   CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_partkey + 1 END AS car_id
 FROM lineitem WHERE l_linenumber = 1"""
+MANAGER_ID = """(SELECT id FROM users WHERE role = 'admin'
+  AND username = (SELECT MIN(username) FROM users WHERE role = 'admin'))"""
 USER_EDITS = f"""
-SELECT id, id + CASE WHEN id % 5 = 0 THEN 0 ELSE 1 END AS posted_by, upper(full_name) AS full_name_text,
+SELECT id, CASE WHEN id % 5 = 0 THEN id WHEN id % 3 = 0 THEN id + 1 ELSE {MANAGER_ID} END AS posted_by, upper(full_name) AS full_name_text,
   username AS username_text, CASE WHEN role = 'admin' THEN 'driver' ELSE 'admin' END AS role_text,
   CASE WHEN role = 'admin' THEN id % {NSUP} + 1 END AS driver_id,
   CASE WHEN id % 4 = 0 THEN 0 ELSE 1 END AS is_active
@@ -502,11 +504,10 @@ FROM drivers d LEFT JOIN newest n ON n.id = d.id""",
        newest="""SELECT * FROM (SELECT j.*, ROW_NUMBER() OVER (PARTITION BY id ORDER BY full_name DESC NULLS LAST,
                  dni DESC NULLS LAST, status DESC NULLS LAST) AS rn FROM judged j WHERE reasons = '') x WHERE rn = 1""")
 oracle("driver_edit_rejects", "SELECT * FROM judged WHERE reasons <> ''", de=DRIVER_EDITS, dej=DE_J, judged=DE_JUDGED)
-oracle("user_rejects", """
-SELECT * FROM (
+UE_JUDGED = """
 SELECT j.id, j.posted_by, trim(j.full_name_text) AS full_name, trim(j.username_text) AS username, j.role,
   j.linked_driver AS driver_id, j.is_active, concat_ws(',',
-  CASE WHEN NOT COALESCE(j.p_role = 'admin' AND j.m_username IN ('personal'), FALSE) THEN 'not_user_manager' END,
+  CASE WHEN NOT COALESCE(j.p_role = 'admin' AND j.m_username = (SELECT MIN(username) FROM users WHERE role = 'admin'), FALSE) THEN 'not_user_manager' END,
   CASE WHEN trim(j.full_name_text) = '' OR trim(j.username_text) = '' THEN 'missing_fields' END,
   CASE WHEN j.linked_driver IS NOT NULL AND NOT EXISTS (SELECT 1 FROM drivers d WHERE d.id = j.linked_driver
        AND d.owner_user_id = j.p_tenant) THEN 'driver_not_in_owner' END,
@@ -516,13 +517,20 @@ SELECT j.id, j.posted_by, trim(j.full_name_text) AS full_name, trim(j.username_t
   CASE WHEN EXISTS (SELECT 1 FROM users h WHERE h.username = trim(j.username_text) AND h.id <> j.id)
          OR (SELECT COUNT(DISTINCT e.id) FROM ue e WHERE trim(e.username_text) = trim(j.username_text)) > 1
        THEN 'duplicate_username' END) AS reasons
-FROM uj j) x WHERE reasons <> ''""",
-       ue=USER_EDITS,
-       uj=f"""SELECT e.*, p.role AS p_role, COALESCE(p.owner_user_id, p.id) AS p_tenant, p.username AS m_username,
+FROM uj j"""
+USER_EDIT_CTES = dict(ue=USER_EDITS, uj=f"""SELECT e.*, p.role AS p_role, COALESCE(p.owner_user_id, p.id) AS p_tenant, p.username AS m_username,
               {ENUM('e.role_text', ('admin', 'driver'), 'driver')} AS role,
               CASE WHEN {ENUM('e.role_text', ('admin', 'driver'), 'driver')} = 'admin' THEN NULL ELSE e.driver_id END
                 AS linked_driver
-              FROM ue e LEFT JOIN users p ON p.id = e.posted_by""")
+              FROM ue e LEFT JOIN users p ON p.id = e.posted_by""", uej=UE_JUDGED)
+oracle("user_rejects", "SELECT * FROM uej WHERE reasons <> ''", **USER_EDIT_CTES)
+oracle("apply_user_edits", """
+SELECT u.id, CASE WHEN e.id IS NULL THEN u.full_name ELSE e.full_name END AS full_name,
+  CASE WHEN e.id IS NULL THEN u.username ELSE e.username END AS username,
+  CASE WHEN e.id IS NULL THEN u.role ELSE e.role END AS role,
+  CASE WHEN e.id IS NULL THEN u.driver_id ELSE e.driver_id END AS driver_id, u.owner_user_id,
+  CASE WHEN e.id IS NULL THEN u.is_active ELSE e.is_active END AS is_active
+FROM users u LEFT JOIN (SELECT * FROM uej WHERE reasons = '') e ON e.id = u.id""", **USER_EDIT_CTES)
 
 # --- audits ----------------------------------------------------------------------
 
@@ -784,7 +792,8 @@ SELECT (SELECT COALESCE(MAX(id), 0) FROM cars) + form_seq, owner_user_id, brand,
 oracle("new_car_rejects", "SELECT * FROM ncj WHERE reasons <> ''", **NEW_CARS)
 
 USER_FORMS = f"""
-SELECT c_custkey + 1 AS form_seq, c_custkey + 1 AS posted_by, ' ' || c_name || ' Jr' AS full_name_text,
+SELECT c_custkey + 1 AS form_seq, CASE WHEN c_custkey % 4 = 0 THEN c_custkey + 1 ELSE {MANAGER_ID} END AS posted_by,
+  ' ' || c_name || ' Jr' AS full_name_text,
   CASE WHEN c_custkey % 2 = 0 THEN lower(c_name) || '.jr' ELSE lower(c_name) END AS username_text,
   CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'secret' END AS password_text,
   CASE WHEN c_mktsegment = 'MACHINERY' THEN 'admin' ELSE 'chofer' END AS role_text,
@@ -801,7 +810,7 @@ SELECT f.*, p.role AS p_role, COALESCE(p.owner_user_id, p.id) AS owner_user_id,
 FROM uf f LEFT JOIN users p ON p.id = f.posted_by"""
 NUB = """
 SELECT u.*, concat_ws(',',
-  CASE WHEN NOT COALESCE(u.p_role = 'admin' AND u.m_username IN ('personal'), FALSE) THEN 'not_user_manager' END,
+  CASE WHEN NOT COALESCE(u.p_role = 'admin' AND u.m_username = (SELECT MIN(username) FROM users WHERE role = 'admin'), FALSE) THEN 'not_user_manager' END,
   CASE WHEN u.full_name = '' OR u.username = '' THEN 'missing_fields' END,
   CASE WHEN COALESCE(u.password_text, '') = '' THEN 'no_password' END,
   CASE WHEN u.driver_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM drivers d WHERE d.id = u.driver_id

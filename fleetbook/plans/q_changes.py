@@ -6,7 +6,7 @@ from fleetbook.operators import changes as C
 from fleetbook.operators import loads as L
 from fleetbook.plans.catalog import query
 from fleetbook.plans.params import AS_OF
-from fleetbook.sources.standins import StandinBatches
+from fleetbook.sources.standins import StandinBatches, user_manager
 
 
 @query("apply_entry_updates")
@@ -86,10 +86,17 @@ def user_rejects(t):
     """User edits rejected, with every failed rule (manager, fields, driver,
     self-lock, tenant)."""
     s = StandinBatches(t)
-    j = C.judge_user_edits(s.user_edits, t.users, t.drivers)
+    j = C.judge_user_edits(s.user_edits, t.users, t.drivers, user_manager(t.users, "username"))
     return j.where(j.reasons != "")
 
 
+@query("apply_user_edits")
+def apply_user_edits(t):
+    """Users after the accepted user edits."""
+    s = StandinBatches(t)
+    return C.apply_user_edits(t.users, s.user_edits, t.drivers, user_manager(t.users, "username"))
+
+
 @query("apply_status_cars")
 def apply_status_cars(t):
     """Cars after activate / deactivate requests by admins of their tenant."""

@@ -13,7 +13,7 @@ from __future__ import annotations
 from decimal import Decimal
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetbook.sources.fixtures import TestdataTables
@@ -24,6 +24,12 @@ def _money_times(price, factor):
     return F.round(price.cast("decimal(12,2)") * factor, 2).cast("decimal(12,2)")
 
 
+def user_manager(users: DataFrame, col: str) -> Column:
+    """``col`` of the account that manages users in the batches: the admin with the
+    first username (a scalar subquery; the fixed account name is not in the test data)."""
+    return users.where(F.col("role") == "admin").select(F.min_by(col, "username")).scalar()
+
+
 class StandinBatches:
     def __init__(self, t: TestdataTables):
         self.t = t
@@ -207,11 +213,13 @@ class StandinBatches:
 
     @cached_property
     def user_edits(self) -> DataFrame:
-        """User edit posts: one per user, posted by the user itself (every fifth id) or by the next user id."""
+        """User edit posts: one per user, posted by the user itself (every fifth id), the next user id (every
+        third) or else the account that manages users."""
         u = self.t.users
         return u.select(
             F.col("id"),
-            (F.col("id") + F.when(F.col("id") % 5 == 0, F.lit(0)).otherwise(F.lit(1))).alias("posted_by"),
+            F.when(F.col("id") % 5 == 0, F.col("id")).when(F.col("id") % 3 == 0, F.col("id") + 1)
+            .otherwise(user_manager(u, "id")).alias("posted_by"),
             F.upper(F.col("full_name")).alias("full_name_text"),
             F.col("username").alias("username_text"),
             F.when(F.col("role") == "admin", F.lit("driver")).otherwise(F.lit("admin")).alias("role_text"),
@@ -284,12 +292,13 @@ class StandinBatches:
 
     @cached_property
     def user_forms(self) -> DataFrame:
-        """Posted new-user forms: one per customer, posted by the customer's own user."""
+        """Posted new-user forms: one per customer, posted by the customer's own user (every fourth) or
+        else by the account that manages users."""
         c = self.t.raw("customer")
         k = F.col("c_custkey")
         return c.select(
             (k + 1).alias("form_seq"),
-            (k + 1).alias("posted_by"),
+            F.when(k % 4 == 0, k + 1).otherwise(user_manager(self.t.users, "id")).alias("posted_by"),
             F.concat(F.lit(" "), F.col("c_name"), F.lit(" Jr")).alias("full_name_text"),
             F.when(k % 2 == 0, F.concat(F.lower("c_name"), F.lit(".jr"))).otherwise(F.lower("c_name"))
             .alias("username_text"),
