@@ -318,15 +318,15 @@ SELECT 'day' AS period_type, CAST(l_shipdate AS DATE) AS entry_date, l_suppkey +
   l_returnflag AS observations,
   l_orderkey * 10 + l_linenumber AS change_seq,
   l_orderkey % {NCUST} + 1 AS posted_by
-FROM lineitem WHERE l_returnflag = 'A' AND YEAR(l_shipdate) = 1997"""
+FROM lineitem"""
 BILLING_CHANGES = f"""
 SELECT period_type, entry_date, driver_id, car_id,
   CASE WHEN rental_billing_status = 'pending' THEN 'invoiced' ELSE 'facturado' END AS status_text,
   car_id % {NCUST} + 1 AS posted_by
-FROM entries_unique WHERE year_number = 1996"""
+FROM entries_unique"""
 ENTRY_DELETES = f"""
 SELECT period_type, entry_date, driver_id, car_id, driver_id * 7 % {NCUST} + 1 AS posted_by
-FROM entries_unique WHERE year_number = 1998 AND period_type = 'week'"""
+FROM entries_unique WHERE period_type = 'week'"""
 STATUS_CHANGES = f"""
 SELECT id, CASE WHEN status = 'active' THEN 'inactivo' ELSE 'active' END AS status_text,
   id * 3 % {NCUST} + 1 AS posted_by
@@ -337,9 +337,9 @@ SELECT o_orderkey + 1 AS change_seq, o_custkey + 1 AS posted_by,
   CASE WHEN o_orderstatus = 'F' THEN '  ' ELSE ' posted ' || CAST(o_orderkey AS VARCHAR) END AS notes_text
 FROM orders WHERE o_orderpriority = '2-HIGH'"""
 ASSIGNMENTS = f"""
-SELECT l_orderkey AS change_seq, l_orderkey % {NCUST} + 1 AS posted_by, l_suppkey + 1 AS driver_id,
+SELECT l_orderkey * 10 + l_linenumber AS change_seq, l_orderkey % {NCUST} + 1 AS posted_by, l_suppkey + 1 AS driver_id,
   CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_partkey + 1 END AS car_id
-FROM lineitem WHERE l_linenumber = 1"""
+FROM lineitem"""
 MANAGER_ID = """(SELECT id FROM users WHERE role = 'admin'
   AND username = (SELECT MIN(username) FROM users WHERE role = 'admin'))"""
 USER_EDITS = f"""

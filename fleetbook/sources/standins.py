@@ -133,8 +133,8 @@ class StandinBatches:
 
     @cached_property
     def billing_changes(self) -> DataFrame:
-        """Billing-status changes posted for entries of 1996, keyed by the entry key."""
-        e = self.t.entries_unique.where(F.col("year_number") == 1996)
+        """Billing-status changes posted for every entry, keyed by the entry key."""
+        e = self.t.entries_unique
         return e.select(
             "period_type", "entry_date", "driver_id", "car_id",
             F.when(F.col("rental_billing_status") == "pending", F.lit("invoiced"))
@@ -144,9 +144,8 @@ class StandinBatches:
 
     @cached_property
     def entry_updates(self) -> DataFrame:
-        """Edited entry amounts for daily line items returned as 'A' in 1997."""
-        li = self.t.raw("lineitem").where((F.col("l_returnflag") == "A")
-                                          & (F.year("l_shipdate") == 1997))
+        """Edited entry amounts, one post per line item."""
+        li = self.t.raw("lineitem")
         return li.select(
             F.lit("day").alias("period_type"),
             F.to_date("l_shipdate").alias("entry_date"),
@@ -166,9 +165,8 @@ class StandinBatches:
 
     @cached_property
     def entry_deletes(self) -> DataFrame:
-        """Delete requests: the weekly entries of 1998, posted by a user each."""
-        e = self.t.entries_unique.where((F.col("year_number") == 1998)
-                                        & (F.col("period_type") == "week"))
+        """Delete requests: every weekly entry, posted by a user each."""
+        e = self.t.entries_unique.where(F.col("period_type") == "week")
         return e.select("period_type", "entry_date", "driver_id", "car_id",
                         (F.col("driver_id") * 7 % self.t.customer_count + 1).alias("posted_by"))
 
@@ -200,11 +198,11 @@ class StandinBatches:
 
     @cached_property
     def assignments(self) -> DataFrame:
-        """Car assignment posts: one per order (its first line item): the supplier's driver gets
-        the part's car, or no car on lines returned as 'N'."""
-        li = self.t.raw("lineitem").where(F.col("l_linenumber") == 1)
+        """Car assignment posts, one per line item: the supplier's driver gets the part's car, or no
+        car on lines returned as 'N'."""
+        li = self.t.raw("lineitem")
         return li.select(
-            (F.col("l_orderkey")).alias("change_seq"),
+            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("change_seq"),
             (F.col("l_orderkey") % self.t.customer_count + 1).alias("posted_by"),
             (F.col("l_suppkey") + 1).alias("driver_id"),
             F.when(F.col("l_returnflag") == "N", F.lit(None).cast("bigint"))
