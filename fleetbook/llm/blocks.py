@@ -16,10 +16,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, staged, words_of
+from .common import WordIds, small_batches, staged, words_of
 
 #: Bytes of text in a block, unless one text is longer.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 _BLOCK = "block string, ids array<long>, flags array<boolean>, lengths binary, vocab binary, words binary"
 
@@ -76,7 +76,7 @@ def make_blocks(docs: DataFrame, flag: Column, block_bytes: int = BLOCK_BYTES) -
 
     schema = pa.schema([("block", pa.string()), ("ids", pa.list_(pa.int64())), ("flags", pa.list_(pa.bool_())), ("lengths", pa.binary()), ("vocab", pa.binary()), ("words", pa.binary())])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), flag.alias("flag"), "text")
-    return staged(rows.mapInArrow(build, _BLOCK), "blocks")
+    return staged(small_batches(rows).mapInArrow(build, _BLOCK), "blocks")
 
 
 def shard_bits(spark) -> int:

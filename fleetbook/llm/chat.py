@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_width, staged
+from .common import shuffle_width, small_batches, staged
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 _PLAIN, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
@@ -132,7 +132,7 @@ def pack(paths: DataFrame, pack_chars: int = 1 << 18) -> DataFrame:
             yield pa.RecordBatch.from_pylist([held.row()], schema=_PACK_ARROW)
 
     width = shuffle_width(paths.sparkSession)
-    return paths.select("path_id", "turns").repartitionByRange(width, "turns").sortWithinPartitions("turns").mapInArrow(emit, _PACK)
+    return small_batches(paths).select("path_id", "turns").repartitionByRange(width, "turns").sortWithinPartitions("turns").mapInArrow(emit, _PACK)
 
 
 def parse(stream: str, spans: list[tuple[int, int]], losses: list[tuple[int, int]]) -> tuple[list[tuple[str, str]], str, int]:

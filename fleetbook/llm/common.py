@@ -52,6 +52,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, for a function that gets texts: its session sends Arrow batches of
+    at most 2,000 rows and about 8 MB, unless they are set to be smaller, so a
+    worker's memory does not grow with the lengths of the texts."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2_000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        now = int(conf.get(key).rstrip("b"))
+        if now <= 0 or now > most:
+            conf.set(key, str(most))
+    return df
+
+
 def id_text(col: str | Column) -> Column:
     """An id as text; a missing id as empty text."""
     return F.coalesce((F.col(col) if isinstance(col, str) else col).cast("string"), F.lit(""))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import SPACES, shuffle_width, staged
+from .common import SPACES, shuffle_width, small_batches, staged
 
 _DROP = SPACES.encode()
 
@@ -158,7 +158,7 @@ def _measured(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
 
     rows = docs.select(F.struct("*").alias("row"))
     schema = StructType([*rows.schema.fields, StructField("fp", LongType()), StructField("sha", StringType()), StructField("cp", LongType())])
-    return rows.mapInArrow(measure, schema).withColumn("id", F.col("row")[id_col])
+    return small_batches(rows).mapInArrow(measure, schema).withColumn("id", F.col("row")[id_col])
 
 
 def _norm(text_col: str):

@@ -28,10 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .common import MULT, id_text, run_starts
+from .common import MULT, id_text, run_starts, small_batches
 
 ORDER, SPACE = 4, 32
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 
 
 def letter_table() -> np.ndarray:
@@ -120,7 +120,7 @@ class Models:
             m.base, m.orders = base, orders
         return cls(langs, made, limits)
 
-    def scorer(self, slots: int = 1 << 20):
+    def scorer(self, slots: int = 1 << 18):
         """A function from texts to (cross-entropies, lengths, has a letter).
 
         A direct-mapped table keeps the log probabilities of 4-grams met
@@ -183,7 +183,7 @@ def _chunks(batch: pa.RecordBatch, column: int):
 def train(docs: DataFrame, learn: Column, docs_per_lang: int = 2000, margin: float = 1.4) -> Models:
     """Fit the models on rows of (doc_id, text, lang) for which ``learn`` holds."""
     spark = docs.sparkSession
-    known = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    known = small_batches(docs).filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     per = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not per:
         return Models([], [])
@@ -240,7 +240,7 @@ def predict(docs: DataFrame, models: Models) -> DataFrame:
                 lang, sure, out = held.judge(*score(piece.column(1).to_pylist()))
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(lang, pa.string()), pa.array(sure, pa.float64()), pa.array(out, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 
-    rows = docs.select("doc_id", "text")
+    rows = small_batches(docs).select("doc_id", "text")
     schema = StructType([rows.schema["doc_id"], StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
     return rows.mapInArrow(run, schema)
 
@@ -258,4 +258,4 @@ def accepted_rows(docs: DataFrame, models: Models) -> DataFrame:
                 _, _, out = held.judge(*score(piece.column(at).to_pylist()))
                 yield piece.filter(pa.array(~out))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

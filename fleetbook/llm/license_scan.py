@@ -22,6 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 #: Phrases that give base labels.
 BASE = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
 
@@ -138,4 +140,4 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, notices: tuple = NOTICES)
             rows = [{"doc_id": i, **scan_text(t.as_py(), base, ready)} for i, t in zip(ids, texts, strict=True)]
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, _SCHEMA)
+    return small_batches(docs).selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, _SCHEMA)

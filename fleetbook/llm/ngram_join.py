@@ -257,16 +257,16 @@ def join_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     blocks = make_blocks(docs, F.lit(True))
     table = staged(_documents(blocks, _frequencies(blocks, width, bits), width, percent, bits), "ngram-docs")
     active = table.filter("sig is not null")
-    classes = staged(active.groupBy("sig").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("slots").alias("slots"), F.first("tokens").alias("tokens"), F.first("df").alias("df")), "ngram-classes")
-    postings = staged(_postings(classes), "ngram-postings")
+    classes = staged(active.groupBy("sig").agg(F.min("doc_id").alias("least"), (F.max(F.length("tokens")) / 8).alias("weight")), "ngram-classes")
+    postings = staged(_postings(active).distinct(), "ngram-postings")
     leaders = postings.groupBy("token").agg(F.min("sig").alias("leader"), F.count("*").alias("k")).filter("k > 1")
     members = postings.join(leaders, "token").select("leader", "sig").distinct()
-    weights = classes.select("sig", (F.length("tokens") / 8).alias("weight"))
-    members = staged(members.join(weights, "sig"), "ngram-members")
+    members = staged(members.join(classes.select("sig", "weight"), "sig"), "ngram-members")
     parts = members.groupBy("leader").agg(F.ceil(F.greatest(F.count("*") / SUB_MEMBERS, F.sum("weight") / SUB_TOKENS)).cast("int").alias("parts"))
     placed = members.join(parts, "leader").withColumn("part", F.pmod(F.xxhash64("sig", "leader"), F.col("parts")).cast("int"))
     tasks = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("leader", "sig", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    links = _verified(tasks.join(classes.select("sig", "n", "slots", "tokens", "df"), "sig"), percent)
+    sets = active.groupBy("sig").agg(*[F.first(src).alias(c) for c, src in (("n", "n_shingles"), ("slots", "slots"), ("tokens", "tokens"), ("df", "df"))])
+    links = _verified(tasks.join(sets, "sig"), percent)
     roots = components(links)
     named = classes.select(F.col("sig").alias("node"), "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))

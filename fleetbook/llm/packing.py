@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULT, U64, WordIds, id_text, mix, run_starts, staged, words_of
+from .common import MULT, U64, WordIds, id_text, mix, run_starts, small_batches, staged, words_of
 
 #: Words of a bin, documents of one source in a bin, rows of a shard.
 CAPACITY, PER_SOURCE, SHARD_ROWS = 2048, 2, 8192
@@ -60,7 +60,7 @@ def sizes_and_clusters(docs: DataFrame, width: int = 5) -> DataFrame:
                     cluster.append(int((h[a:b] * (np.arange(b - a, dtype=np.uint64) + U64(1))).sum().view(np.int64)) if b > a else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lengths), pa.array(cluster, pa.int64())], ["doc_id", "source", "size", "cluster"])
 
-    rows = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(source as string) as source", "text")
+    rows = small_batches(docs).selectExpr("cast(doc_id as long) as doc_id", "cast(source as string) as source", "text")
     return rows.mapInArrow(run, "doc_id long, source string, size long, cluster long")
 
 

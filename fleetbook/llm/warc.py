@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import new_path, small_batches
 
 #: Values fixed by the seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -163,7 +163,7 @@ def write_bundles(records: DataFrame, folder: str, frame_bytes: int = 1 << 20, b
             writer.finish()
             out.close()
 
-    records.mapInArrow(write, _INDEX).write.parquet(f"{folder}/index")
+    small_batches(records).mapInArrow(write, _INDEX).write.parquet(f"{folder}/index")
     return spark.read.schema(_INDEX).parquet(f"{folder}/index")
 
 
