@@ -31,7 +31,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 #: 2**31 and the odd integer nearest 2**31 divided by the golden ratio.
 UNIT, GOLDEN = 1 << 31, 1327217885
 #: Rows of a chunk, on average.
-CHUNK = 4096
+CHUNK = 1024
 
 
 def word_count(text: str | Column) -> Column:
