@@ -75,7 +75,7 @@ def main():
     bodies = query_bodies()
     print("# PLANS\n")
     print(f"Final adaptive plans of key queries on stored tables derived from `{sf_dir}` "
-          "(entries partitioned by year/month), `local[8]`, 16 shuffle partitions. "
+          "(entries in a folder per month of their date), `local[8]`, 16 shuffle partitions. "
           "Generated by `tools/plan_report.py`.\n")
     print("Per query: the joins Spark chose after adaptive re-planning, the number of shuffles and "
           "broadcasts, and for each scan the columns read, the partition filters (folders skipped; a "
