@@ -32,7 +32,8 @@ class Block:
         self.name, self.ids, self.flags = row["block"], row["ids"], np.array(row["flags"], dtype=bool)
         self.lengths = np.frombuffer(row["lengths"], dtype=np.int64)
         self.vocab = np.frombuffer(row["vocab"], dtype=np.uint64)
-        self.words = np.frombuffer(unzip(row["words"], max_output_size=max(1, 4 * int(self.lengths.sum()))), dtype=np.int32)
+        planes = np.frombuffer(unzip(row["words"], max_output_size=max(1, 4 * int(self.lengths.sum()))), dtype=np.uint8)
+        self.words = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.int32).ravel()
 
 
 def make_blocks(docs: DataFrame, flag: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -44,7 +45,7 @@ def make_blocks(docs: DataFrame, flag: Column, block_bytes: int = BLOCK_BYTES) -
     def build(batches):
         from uuid import uuid4
 
-        zstd = zstandard.ZstdCompressor(level=1)
+        zstd = zstandard.ZstdCompressor(level=3)
 
         def row(ids, flags, texts):
             index = WordIds()
@@ -57,7 +58,8 @@ def make_blocks(docs: DataFrame, flag: Column, block_bytes: int = BLOCK_BYTES) -
             words = np.concatenate(parts) if parts else np.zeros(0, np.int32)
             return {
                 "block": uuid4().hex, "ids": ids, "flags": flags, "lengths": np.array(lengths, dtype=np.int64).tobytes(),
-                "vocab": index.hashes().tobytes(), "words": zstd.compress(words.tobytes()),
+                # the numbers' bytes lie in four planes: the high ones are nearly all zero
+                "vocab": index.hashes().tobytes(), "words": zstd.compress(words.view(np.uint8).reshape(-1, 4).T.tobytes()),
             }
 
         ids, flags, texts, size = [], [], [], 0
