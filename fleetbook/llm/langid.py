@@ -5,17 +5,19 @@ characters being one space. Counts come from whole texts of labelled documents;
 the model keeps, for each order, a sorted array of n-gram keys (four 16-bit
 symbols in 64 bits) with discounted probabilities, and a sorted array of
 context keys with interpolation weights. A text goes to the language of the
-lowest cross-entropy per symbol; it is rejected when that exceeds both the highest
-of the language's held back training texts by a margin and twice their mean.
+lowest cross-entropy per symbol; it is rejected when that exceeds the language's
+limit for its length (``limits_of``), learned from all held back training texts.
 
 Sampling: the models are fitted on at most about ``docs_per_lang`` labelled
 documents of each language (a hash threshold on the id chosen from the
 language's count; expected size, whole texts); a further tenth as many calibrate
-rejection. Everything else covers all rows. The number of languages is assumed
-to be small (a model each); the model's size is bounded by the sample.
+rejection (one row each to the driver). Everything else covers all rows. The number
+of languages is assumed to be small (a model each); the model's size is bounded by
+the sample.
 
 Defined cases: null text, empty text and text without a letter give ``und``
-with score 0; without labelled documents every prediction is ``und``. Repeated
+with score 0; without labelled documents every prediction is ``und``; without a held
+back text in any language only texts without a letter are rejected. Repeated
 rows give repeated results. Only id, text and lang are read by
 ``train`` and id and text by ``predict``; other columns may have any name.
 """
@@ -33,6 +35,14 @@ from .common import MULT, id_text, run_starts, small_batches
 ORDER, SPACE = 4, 32
 _CHUNK = 1 << 18
 
+#: Symbols from which on a text can be rejected for its cross-entropy.
+LEAST = 32
+#: Rejection: share of held back texts below the margin, the margin at least, and
+#: standard deviations of a text's cross-entropy at its length.
+QUANTILE, MARGIN, DEVIATIONS = 0.99, 0.3, 4.0
+#: Held back texts from which on a language has a median of its own.
+FEW = 5
+
 
 def letter_table() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(1 << 16)), dtype=bool, count=1 << 16)
@@ -104,7 +114,7 @@ class CharModel:
 class Models:
     """The models of all languages and their rejection limits."""
 
-    def __init__(self, langs: list[str], models: list[CharModel], limits: dict[str, float] | None = None):
+    def __init__(self, langs: list[str], models: list[CharModel], limits: dict[str, tuple[float, float]] | None = None):
         self.langs, self.models, self.limits = langs, models, limits or {}
 
     def plain(self) -> tuple:
@@ -163,8 +173,28 @@ class Models:
         low = entropy[np.arange(len(n)), best]
         odds = np.exp2(-(entropy - low[:, None]) * np.minimum(n, 64)[:, None]).sum(axis=1)
         lang = [self.langs[b] if h else "und" for b, h in zip(best, has, strict=True)]
-        limit = np.array([self.limits.get(x, np.inf) for x in self.langs])[best]
-        return lang, np.where(has, 1 / odds, 0.0), ~has | ((low > limit) & (n >= 32))
+        level, spread = np.array([self.limits.get(x, (np.inf, 0.0)) for x in self.langs])[best].T
+        return lang, np.where(has, 1 / odds, 0.0), ~has | ((low > level + spread / np.sqrt(np.maximum(n, 1))) & (n >= LEAST))
+
+
+def limits_of(langs: list[str], nearest: np.ndarray, entropy: np.ndarray, size: np.ndarray) -> dict[str, tuple[float, float]]:
+    """Each language's (level, spread): a text of n symbols may have level + spread / sqrt(n).
+
+    From held back texts of all languages: the place of the language that is nearest
+    to each, the cross-entropy under it, and the length. Excesses are relative to the
+    median of the language and pooled, so a language with few texts has the others'
+    margin, and one without a median of its own the highest median. The spread is
+    robust (a median), and the level clears the quantile of what it leaves over.
+    """
+    if not len(entropy):
+        return {}
+    own = [float(np.median(entropy[nearest == k])) if (nearest == k).sum() >= FEW else None for k in range(len(langs))]
+    known = [x for x in own if x is not None] or [float(np.median(entropy))]
+    centre = np.maximum(np.array([max(known) if x is None else x for x in own]), 1e-9)
+    excess = entropy / centre[nearest] - 1
+    spread = DEVIATIONS * 1.4826 * float(np.median(np.abs(excess) * np.sqrt(size)))
+    margin = max(MARGIN, float(np.quantile(excess - spread / np.sqrt(size), QUANTILE)))
+    return {x: (float(c * (1 + margin)), float(c * spread)) for x, c in zip(langs, centre, strict=True)}
 
 
 def _chunks(batch: pa.RecordBatch, column: int):
@@ -180,7 +210,7 @@ def _chunks(batch: pa.RecordBatch, column: int):
         yield batch.slice(begin)
 
 
-def train(docs: DataFrame, learn: Column, docs_per_lang: int = 2000, margin: float = 1.4) -> Models:
+def train(docs: DataFrame, learn: Column, docs_per_lang: int = 2000) -> Models:
     """Fit the models on rows of (doc_id, text, lang) for which ``learn`` holds."""
     spark = docs.sparkSession
     known = small_batches(docs).filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
@@ -218,14 +248,14 @@ def train(docs: DataFrame, learn: Column, docs_per_lang: int = 2000, margin: flo
     def calibrate(batches):
         score = Models.of_plain(fitted.value).scorer()
         for batch in batches:
-            for piece in _chunks(batch, 1):
-                entropy, size, has = score(piece.column(1).to_pylist())
-                own = np.array([langs.index(x) for x in piece.column(0).to_pylist()], dtype=np.int64)
-                ok = has & (size >= 32)
-                yield pa.RecordBatch.from_arrays([pa.array([langs[o] for o in own[ok]], pa.string()), pa.array(entropy[np.arange(len(own)), own][ok])], ["lang", "entropy"])
-
-    high = sample.filter("part = 1").select("lang", "text").mapInArrow(calibrate, "lang string, entropy double").groupBy("lang").agg(F.max("entropy").alias("high"), F.avg("entropy").alias("mean")).collect()
-    return Models(langs, models, {r["lang"]: max(r["high"] * margin, 2 * r["mean"]) for r in high})
+            for piece in _chunks(batch, 0):
+                entropy, size, has = score(piece.column(0).to_pylist())
+                ok = has & (size >= LEAST)
+                yield pa.RecordBatch.from_arrays([pa.array(entropy.argmin(axis=1)[ok]), pa.array(entropy.min(axis=1)[ok]), pa.array(size[ok])], ["nearest", "entropy", "size"])
+
+    # a bounded sample; sorted, as float results depend on the order
+    held = sample.filter("part = 1").select("text").mapInArrow(calibrate, "nearest long, entropy double, size long").toArrow().sort_by([(c, "ascending") for c in ("nearest", "entropy", "size")])
+    return Models(langs, models, limits_of(langs, *(held[c].to_numpy() for c in ("nearest", "entropy", "size"))))
 
 
 def predict(docs: DataFrame, models: Models) -> DataFrame:

@@ -92,6 +92,32 @@ def test_language_id_edge_cases(spark):
     assert langid.predict(df.limit(0), models).count() == 0
 
 
+def test_rejection_on_both_sides(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    learn = id_crc("doc_id") % 4 != 2
+    for left_out in ("en", "es"):
+        models = langid.train(docs.filter(F.col("lang") != left_out), learn)
+        rows = docs.filter(~learn & (F.length("text") >= 100))
+        n = {(r.out, r.rejected): r["count"] for r in langid.predict(rows, models).join(rows.select("doc_id", (F.col("lang") == left_out).alias("out")), "doc_id")
+             .groupBy("out", "rejected").count().collect()}
+        assert n.get((True, False), 0) <= 0.03 * n[True, True]  # of the language that was not learned
+        assert n.get((False, True), 0) <= 0.003 * n[False, False]  # clean texts lost
+
+
+def test_limits_with_few_texts():
+    rnd = np.random.default_rng(3)
+    nearest = np.array([0] * 200 + [1] * 100 + [2] * 2)
+    size = np.full(len(nearest), 900)
+    entropy = np.where(nearest == 1, 3.0, 2.0) + rnd.normal(0, 0.05, len(nearest))
+    entropy[0] = 9.0  # one odd text does not set the limit
+    limits = langid.limits_of(["a", "b", "c", "d"], nearest, entropy, size)
+    at = {x: level + spread / 30 for x, (level, spread) in limits.items()}
+    assert 2.4 < at["a"] < 3.2 and 3.6 < at["b"] < 4.8
+    assert at["c"] == at["d"] == at["b"]  # too few texts, or none: bounded all the same
+    level, spread = limits["a"]
+    assert spread > 0 and langid.limits_of(["a"], nearest[:0], entropy[:0], size[:0]) == {}
+
+
 # --- LM scoring ----------------------------------------------------------------------------
 
 def brute_lm(rows):
