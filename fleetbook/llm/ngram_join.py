@@ -64,6 +64,11 @@ def shingle_sets(block: Block, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(sets) if sets else np.zeros(0, np.uint64), run_starts(np.array([len(s) for s in sets], dtype=np.int64))
 
 
+def signature(shingles: np.ndarray) -> int:
+    """The class of a set: a 64-bit hash of its sorted shingles."""
+    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
+
+
 def prefix_length(n: int, percent: int) -> int:
     """Tokens of a set of ``n`` among which a partner's prefix must be met."""
     return n + (-percent * n // 100) + 1
@@ -129,7 +134,7 @@ def _documents(blocks: DataFrame, answers: DataFrame, width: int, percent: int,
                     out.append(None)
                 continue
             shared = df[a:b] > 1
-            sig.append(xxhash.xxh3_64_intdigest(values[a:b].tobytes()) - (1 << 63))
+            sig.append(signature(values[a:b]))
             slots.append(left_over)
             tokens.append(values[a:b][shared].tobytes())
             dfs.append(df[a:b][shared].tobytes())
@@ -248,11 +253,9 @@ def _verified(tasks: DataFrame, percent: int) -> DataFrame:
     return tasks.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j").mapInArrow(run, "a long, b long")
 
 
-def join_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id.
-
-    Documents link when 100 * |intersection| >= percent * |union|.
-    """
+def _classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The documents, and (node, least, root) of each class that may have a partner:
+    its signature, its smallest id and the smallest signature linked with it."""
     bits = shard_bits(docs.sparkSession)
     blocks = make_blocks(docs, F.lit(True))
     table = staged(_documents(blocks, _frequencies(blocks, width, bits), width, percent, bits), "ngram-docs")
@@ -269,11 +272,28 @@ def join_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links = _verified(tasks.join(sets, "sig"), percent)
     roots = components(links)
     named = classes.select(F.col("sig").alias("node"), "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return table, named
+
+
+def join_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id.
+
+    Documents link when 100 * |intersection| >= percent * |union|.
+    """
+    table, named = _classes(docs, width, percent)
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     of_sig = named.join(least, "root").select(F.col("node").alias("sig"), "component")
     return table.select("doc_id", "n_shingles", "sig").join(of_sig, "sig", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def class_roots(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """(sig, root): for the signature of a document's shingles, that which names its component.
+
+    Documents whose signature has no row stand alone.
+    """
+    return _classes(docs, width, percent)[1].select(F.col("node").alias("sig"), "root")
+
+
 def kept_rows(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of one document, that of the smallest id, of each component.
 

@@ -13,8 +13,9 @@ Documents are dealt by a hash of the id and content into shards of about
 task; a shard leaves only its last bins part-filled. Bitmaps number the sources
 and clusters of a shard exactly: bits are never shared.
 
-A cluster is given by a column, or else by the least hash of a document's word
-5-grams (equal for copies, and for near copies as often as they are similar).
+A cluster is given by a column, or else it is a document's component in the n-gram
+Jaccard join (``ngram_join``), named by a 64-bit hash of a member's word 5-grams;
+a document that stands alone is a cluster of its own.
 Defined cases: null, empty and blank texts have no words, get no bin (bin_id
 null, pieces 0); a null cluster conflicts with nothing; a null source is a
 source of its own; repeated rows share a cluster, so they never share a bin;
@@ -24,20 +25,22 @@ rows keep apart from other columns, which may have any name.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULT, U64, WordIds, id_text, mix, run_starts, small_batches, staged, words_of
+from .common import WordIds, id_text, run_starts, small_batches, staged, words_of
+from .ngram_join import class_roots, shingle_sets, signature
 
 #: Words of a bin, documents of one source in a bin, rows of a shard.
 CAPACITY, PER_SOURCE, SHARD_ROWS = 2048, 2, 8192
 
 
-def sizes_and_clusters(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, source, size, cluster): words of each text, and its least shingle hash."""
+def sizes_and_signatures(docs: DataFrame, width: int = 5) -> DataFrame:
+    """(doc_id, source, size, sig): words of each text, and the signature of its shingles."""
 
     def run(batches):
         for batch in batches:
@@ -47,21 +50,22 @@ def sizes_and_clusters(docs: DataFrame, width: int = 5) -> DataFrame:
                 w = words_of(t.as_py())
                 parts.append(np.fromiter(map(number, w), dtype=np.int32, count=len(w)))
             lengths = np.array([len(p) for p in parts], dtype=np.int64)
-            starts = run_starts(lengths)
-            h = index.hashes()[np.concatenate(parts)] if len(index) else np.zeros(0, np.uint64)
-            rolled = np.zeros(max(0, len(h) - width + 1), dtype=np.uint64)
-            for k in range(width):
-                rolled = mix(rolled * MULT + h[k : k + len(rolled)])
-            cluster = []
-            for a, b in zip(starts, starts[1:], strict=False):
-                if b - a >= width:
-                    cluster.append(int(rolled[a : b - width + 1].min().view(np.int64)))
-                else:
-                    cluster.append(int((h[a:b] * (np.arange(b - a, dtype=np.uint64) + U64(1))).sum().view(np.int64)) if b > a else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lengths), pa.array(cluster, pa.int64())], ["doc_id", "source", "size", "cluster"])
+            words = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+            values, starts = shingle_sets(SimpleNamespace(vocab=index.hashes(), words=words, lengths=lengths), width)
+            sig = [signature(values[a:b]) if b > a else None for a, b in zip(starts, starts[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lengths), pa.array(sig, pa.int64())], ["doc_id", "source", "size", "sig"])
 
     rows = small_batches(docs).selectExpr("cast(doc_id as long) as doc_id", "cast(source as string) as source", "text")
-    return rows.mapInArrow(run, "doc_id long, source string, size long, cluster long")
+    return rows.mapInArrow(run, "doc_id long, source string, size long, sig long")
+
+
+def sizes_and_clusters(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, source, size, cluster): words of each text, and its component of near copies.
+
+    Rows are brought together with components by content, so ids may be missing or repeated.
+    """
+    rows = sizes_and_signatures(docs, width).join(class_roots(docs, width, percent), "sig", "left")
+    return rows.select("doc_id", "source", "size", F.coalesce("root", "sig").alias("cluster"))
 
 
 class Bins:

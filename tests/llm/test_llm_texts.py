@@ -195,6 +195,30 @@ def test_pack_documents(spark):
     assert packing.pack_documents(df.limit(0)).count() == 0
 
 
+def test_near_copies_never_share_a_bin(spark):
+    rnd = random.Random(8)
+    rows = []
+    for pair in range(60):
+        first = [f"p{pair}w{k}" for k in range(200)]
+        for k in (0, 1):
+            words = list(first)
+            if k:
+                at = rnd.randrange(10, 180)
+                words[at:at + 12] = [f"p{pair}x{j}" for j in range(12)]  # 16 of 196 shingles: J = 180 / 212
+            rows.append((None if pair % 10 == 0 else 2 * pair + k, " ".join(words), "abcdefgh"[rnd.randrange(8)]))
+    rows += [(5000 + k, f"alone{k} " * 3, "z") for k in range(10)] + [(7, "another text under a used id", "a")]
+    of_pair = {}
+    got = packing.pack_documents(docs_of(spark, rows), capacity=2048, per_source=50).collect()
+    assert sorted((r.doc_id or -1, r.size) for r in got) == sorted((i or -1, len(t.split())) for i, t, _ in rows)
+    for r in got:
+        if r.size == 200 and r.doc_id is not None:
+            of_pair.setdefault(r.doc_id // 2, []).append((r.cluster, r.bin_id))
+    assert len(of_pair) == 54 and all(len({c for c, _ in x}) == 1 and len({b for _, b in x}) == 2 for x in of_pair.values())
+    lone = [r.cluster for r in got if r.doc_id is None]
+    assert len(lone) == 12 and len(set(lone)) == 6  # near copies without an id
+    assert len({r.cluster for r in got}) == 60 + 10 + 1
+
+
 # --- licence scans -----------------------------------------------------------------------------
 
 def words(text):
