@@ -6,7 +6,8 @@ A notice of ``n`` characters is found within ``errors`` edits (insertions,
 deletions, substitutions): it is cut into ``errors + 1`` pieces, one of which
 must occur exactly (pigeonhole); every exact occurrence of a piece gives a
 window, and the regex library's bounded-error matching verifies the window and
-gives the span and the number of edits.
+gives the span and the number of edits. A span counts when the words that tell
+licences apart (``MARKS`` and version numbers) stand in it exactly.
 
 Each row is scanned whole and on its own, without a shuffle.
 
@@ -43,6 +44,9 @@ NOTICES = (
     ("reserved", "all rights reserved"),
 )
 
+#: Words of notices that stand exactly in a span, as another licence may be few edits away.
+MARKS = frozenset(("mit", "apache", "cc", "by", "nc", "nd", "sa", "gnu", "lesser", "mozilla"))
+
 _WORD = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 32 for c in range(256))
 
 
@@ -58,9 +62,22 @@ class Notice:
         self.label, self.text = label, text
         self.errors = allowed_errors(text) if errors is None else errors
         cuts = [round(k * len(text) / (self.errors + 1)) for k in range(self.errors + 2)]
+        self.marks = [w for w in text.split() if w in MARKS]
+        self.numbers = [w.encode() for w in text.split() if w.isdigit()]
         self.seeds = [(a, text[a:b].encode()) for a, b in zip(cuts, cuts[1:], strict=False)]
         self.pattern = regex.compile(f"(?b)(?:{regex.escape(text)}){{e<={self.errors}}}")
 
+    def marked(self, words: list[bytes]) -> bool:
+        """Whether a span's words hold the notice's marks in order, and its version number.
+
+        A version may be cut short (2 for 2.0), but has no other number in it.
+        """
+        rest = iter(words)
+        if not all(m.encode() in rest for m in self.marks):
+            return False
+        numbers = [w for w in words if w.isdigit()]
+        return not self.numbers or (bool(numbers) and numbers == self.numbers[: len(numbers)])
+
     def search(self, data: bytes) -> list[tuple[int, int, int]]:
         """(start, end, edits) of the matches in normalised bytes, in order."""
         size = len(self.text)
@@ -117,6 +134,11 @@ def scan_text(text: str | None, base: dict[str, str], notices: list[Notice]) ->
     spans, score = [], 1.0 if where else 0.0
     for notice in notices:
         for a, b, edits in notice.search(data):
+            # whole words, also where the span ends within one
+            low = data.rfind(b" ", 0, a + 1) + 1
+            high = data.find(b" ", max(a + 1, b - 1))
+            if not notice.marked(data[low : high if high >= 0 else len(data)].split()):
+                continue
             spans.append({"label": notice.label, "first_word": data.count(b" ", 1, a + 1), "last_word": data.count(b" ", 1, max(a + 1, b - 1)), "edits": edits})
             score = max(score, 1.0 - edits / len(notice.text))
     return {

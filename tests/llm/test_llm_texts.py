@@ -265,6 +265,18 @@ def test_fuzzy_notices_are_all_found():
         assert not notice.search(b" nothing of the kind stands here ")
 
 
+@pytest.mark.parametrize(("text", "labels"), [
+    ("Licensed under the GNU General Public License, version 2.", "gpl-2"), ("Licensed under the GNU General Public License, version 3.", "gpl-3"),
+    ("lisensed under the gnu genral public license version 3", "gpl-3"), ("licensed under cc by nd", ""), ("licensed under cc by nc", "cc-by-nc"),
+    ("apache license version 1 1", ""), ("licensed under the apache license version 1 1", ""), ("licensed undr the apache licence version 2 0 see", "apache-2"),
+    ("mozilla public license version 1 1", ""), ("mozila mozilla public licens version 2 0", "mpl-2"), ("released under the mpl license", ""), ("relesed under the mit licens", "mit"),
+])
+def test_licences_a_few_edits_apart(text, labels):
+    ready = [license_scan.Notice(a, b) for a, b in license_scan.NOTICES]
+    got = license_scan.scan_text(f"before {text} after", license_scan.BASE, ready)
+    assert got["labels"] == labels and bool(got["spans"]) == bool(labels) == (got["score"] > 0)
+
+
 def test_scan(spark):
     df = spark.createDataFrame([(k, t, 9) for k, t in enumerate(LICENCES)] + [(None, "all rigths reserved", 9), (0, LICENCES[0], 9)], "doc_id long, text string, labels int")
     rows = license_scan.scan(df).collect()
