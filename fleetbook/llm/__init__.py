@@ -1,4 +1,4 @@
-"""Training-data operators: ten numbered operators over documents, embeddings,
+"""Training-data operators: thirteen numbered operators over documents, embeddings,
 pages and conversations, and the queries that apply them.
 
 Nothing else in the library imports this subpackage. Python functions that run

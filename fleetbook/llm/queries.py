@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, hnsw, langid, license_scan, lm_score, mixing, ngram_join, packing, warc
+from . import chat, exact_dedup, hnsw, kd_shards, langid, license_scan, lm_score, merkle, mixing, ngram_join, packing, warc, whitening
 from .common import id_crc
 
 
@@ -61,6 +61,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(_table(spark, sf_dir, "pages"))
 
 
+def op11_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards.kd_shards(_table(spark, sf_dir, "documents"), shards=16)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -73,6 +85,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": op8_license_scan,
         "op9_hnsw_dedup": op9_hnsw_dedup,
         "op10_warc": op10_warc,
+        "op11_kd_shards": op11_kd_shards,
+        "op12_whitening": op12_whitening,
+        "op13_merkle": op13_merkle,
     }
 
 
@@ -138,5 +153,46 @@ FROM q
 """
 
 
+def _tree_sql(name: str, levels: int) -> list[str]:
+    """CTEs over ``{name}0`` (tree, r, n, h): the nodes of each level, and the runs of each."""
+    out = []
+    for k in range(levels):
+        out.append(f"{name}{k + 1} AS (SELECT tree, r // 16 AS r, (n + 15) // 16 AS n, CASE WHEN n > 1 THEN sha256(string_agg(h, '' ORDER BY r)) ELSE any_value(h) END AS h FROM {name}{k} GROUP BY tree, r // 16, n)")
+        out.append(f"{name}run{k} AS (SELECT tree, r // 16 AS p, n > 1 AS several, list(h ORDER BY r) AS run FROM {name}{k} GROUP BY tree, r // 16, n)")
+    return out
+
+
+def _proof_sql(name: str, levels: int, source: str) -> tuple[list[str], str]:
+    """CTEs that lead rows of ``source`` (tree, r, proof, folded, ...) through the levels' runs."""
+    left, right = "array_to_string(b.run[1:a.r % 16], '')", "array_to_string(b.run[a.r % 16 + 2:], '')"
+    out = []
+    for k in range(levels):
+        out.append(f"""{name}up{k} AS (SELECT a.* REPLACE (a.r // 16 AS r, CASE WHEN b.several THEN a.proof || {left} || {right} ELSE a.proof END AS proof,
+             CASE WHEN b.several THEN sha256({left} || a.folded || {right}) ELSE a.folded END AS folded)
+             FROM {source} a JOIN {name}run{k} b ON b.tree IS NOT DISTINCT FROM a.tree AND b.p = a.r // 16)""")
+        source = f"{name}up{k}"
+    return out, source
+
+
+def _merkle_sql(levels: int = 6) -> str:
+    """Sources and each source's documents in trees of at most 16 ** ``levels`` leaves."""
+    part = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0} END"
+    leaf = lambda text: "sha256(" + " || ".join(part.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    inner, at = _proof_sql("t", levels, "(SELECT tree, r, doc_id, h AS leaf, '' AS proof, coalesce(tampered, h) AS folded FROM t0)")
+    outer, top = _proof_sql("s", levels, f"(SELECT a.doc_id, a.leaf, s0.h AS subroot, a.proof, a.folded, 0 AS tree, s0.r FROM {at} a JOIN s0 ON s0.source IS NOT DISTINCT FROM a.tree)")
+    steps = [
+        "tab AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc)",
+        "coded AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) AS code FROM documents, tab)",
+        f"leaves AS (SELECT doc_id, source AS tree, {leaf('text')} AS h, CASE WHEN code % 5 = 0 THEN {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS tampered FROM coded)",
+        "t0 AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS r, count(*) OVER (PARTITION BY tree) AS n FROM leaves)",
+        *_tree_sql("t", levels),
+        f"s0 AS (SELECT tree AS source, 0 AS tree, h, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS r, count(*) OVER () AS n FROM t{levels})",
+        *_tree_sql("s", levels),
+        *inner,
+        *outer,
+    ]
+    return "WITH " + ",\n".join(steps) + f"\nSELECT a.doc_id, a.leaf, a.subroot, b.h AS root, sha256(a.proof) AS proof_sha256, a.folded AS folded_root, a.folded = b.h AS verified FROM {top} a, s{levels} b"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op5_mixing": OP5_SQL, "op6_chat_format": OP6_SQL, "op10_warc": OP10_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op5_mixing": OP5_SQL, "op6_chat_format": OP6_SQL, "op10_warc": OP10_SQL, "op13_merkle": _merkle_sql()}

@@ -11,7 +11,7 @@ from oracle_harness import compare
 
 
 def test_one_query_per_operator():
-    assert sorted(int(k[2:].split("_")[0]) for k in queries()) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries()) == list(range(1, 14))
     assert set(oracle_sql()) <= set(queries())
 
 
@@ -21,8 +21,9 @@ def test_matches_oracle(spark, duck_check, name):
     assert not problems, problems
 
 
-def test_mixing_is_native(spark):
-    plan = queries()["op5_mixing"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+@pytest.mark.parametrize("name", ["op5_mixing", "op11_kd_shards", "op13_merkle"])
+def test_native_operators_run_no_python(spark, name):
+    plan = queries()[name](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
 
 
