@@ -5,7 +5,10 @@ Every change is judged in the session of the user who posted it (joined
 from the users table): the tenant must own the target row, driver users may
 only touch their own driver's entries, and admin-only changes from other
 users are ignored. When a key receives several allowed changes, the newest
-(largest ``change_seq``) wins, as if they had been applied in order.
+(largest ``change_seq``) wins, as if they had been applied in order. Edits that
+claim a unique key (an entry's key, a dni, a plate, a username) are judged in
+posting order as well: a post is accepted when no other row holds the key at
+that time, counting what earlier posts took and freed (``claims.settle``).
 
 Scale: the change batch is the small side, and every function is one lazy
 plan. Targets are found by semi-joining the base with the
@@ -18,14 +21,18 @@ result. For a small batch the base is never shuffled or grouped.
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetbook.functions import periods as P
 from fleetbook.functions.amounts import clean_enum, trim
+from fleetbook.operators.claims import GUARDED, TAKEN, settle
 from fleetbook.operators.entries import entry_math_columns
-from fleetbook.operators.loads import USER_MANAGERS, is_user_manager, reasons_of, with_poster, within_batch_dates
+from fleetbook.operators.loads import (R_BAD_AMOUNT, R_BAD_DATE, R_BAD_YEAR, R_CAR_NOT_ASSIGNED, R_CAR_NOT_IN_OWNER,
+                                       R_DRIVER_NOT_IN_OWNER, R_DUPLICATE, R_MISSING_FIELDS, R_NO_CAR, R_NO_DRIVER,
+                                       USER_MANAGERS, is_user_manager, reasons_of, with_poster, within_batch_dates)
 from fleetbook.schemas import ENTRY_AMOUNTS, UNIQUE_KEYS
 
 ENTRY_KEY = list(UNIQUE_KEYS["daily_entries"])
@@ -38,9 +45,14 @@ R_OTHER_OWNER = "other_owner"
 R_OTHER_DRIVER = "other_driver"
 R_EMPTY_NOTE = "empty_note"
 R_CAR_UNAVAILABLE = "car_unavailable"
-R_DRIVER_NOT_IN_OWNER_EDIT = "driver_not_in_owner"
-R_CAR_NOT_IN_OWNER_EDIT = "car_not_in_owner"
-R_CAR_NOT_ASSIGNED_EDIT = "car_not_assigned"
+R_NO_NAME = "no_name"
+R_MISSING = "missing_fields"
+R_NOT_MANAGER = "not_user_manager"
+R_SELF_LOCK = "self_lock"
+R_USER_NOT_IN_OWNER = "user_not_in_owner"
+R_DUPLICATE_USERNAME = "duplicate_username"
+R_DUPLICATE_DNI = "duplicate_dni"
+R_DUPLICATE_PLATE = "duplicate_plate"
 
 
 def newest_per_key(changes: DataFrame, key: list[str], seq_col: str | None) -> DataFrame:
@@ -56,128 +68,163 @@ def newest_per_key(changes: DataFrame, key: list[str], seq_col: str | None) -> D
 
 
 def entry_change_targets(changes: DataFrame, entries: DataFrame, users: DataFrame,
-                         admin_only: bool = False, drivers: DataFrame | None = None,
-                         cars: DataFrame | None = None) -> DataFrame:
+                         admin_only: bool = False, key: list[str] | tuple[str, ...] = ("id",)) -> DataFrame:
     """Changes with their target entry's owner / driver and a rejection reason.
 
     Allowed: an admin of the entry's tenant; a driver user of the entry's
     tenant whose driver is the entry's driver (unless ``admin_only``).
-    With ``drivers`` and ``cars`` (edits), changes that pass those checks
-    are then held to the load form's rules, as an edit posts the whole form:
-    for admins the entry's driver and car must be active rows of the
-    tenant, for driver users the car must be active and assigned to them.
-    Targets are found by semi-joining the entries with the batch's keys (the
-    batch is the build side), so only matching entry keys leave their tasks.
+    Targets are named by id, or by another unique ``key``. They are found by
+    semi-joining the entries with the batch's keys (the batch is the build
+    side), so only matching entry keys leave their tasks.
     """
-    keys = changes.select(*ENTRY_KEY).distinct()
-    tgt = (within_batch_dates(entries, keys)
-           .select(*ENTRY_KEY, F.col("owner_user_id").alias("_t_owner"), F.col("driver_id").alias("_t_driver"))
-           .join(keys, ENTRY_KEY, "left_semi"))
-    c = with_poster(changes, users).join(tgt, ENTRY_KEY, "left")
+    key = list(key)
+    keys = changes.select(*key).distinct()
+    stored = within_batch_dates(entries, keys) if "entry_date" in key else entries
+    extra = [] if "driver_id" in key else [F.col("driver_id").alias("_t_driver")]
+    tgt = stored.select(*key, F.col("owner_user_id").alias("_t_owner"), *extra).join(keys, key, "left_semi")
+    c = with_poster(changes, users).join(tgt, key, "left")
+    if not extra:
+        c = c.withColumn("_t_driver", F.col("driver_id"))
     role = F.col("_p_role")
     found = F.col("_t_owner").isNotNull()
     other_owner = found & (F.col("_t_owner") != F.col("_p_tenant"))
     other_driver = found & (role == "driver") & (F.col("_t_driver") != F.coalesce(F.col("_p_driver"), F.lit(0)))
-    checks = [
+    return c.withColumn("reasons", reasons_of(
         (role.isNull(), R_NO_SESSION),
         (F.lit(admin_only) & (role == "driver"), R_NOT_ADMIN),
         (role.isNotNull() & ~found, R_NOT_FOUND),
         (other_owner, R_OTHER_OWNER),
         (other_driver, R_OTHER_DRIVER),
-    ]
-    if drivers is not None and cars is not None:
-        d = drivers.select(F.col("id").alias("_vd_id"), F.col("owner_user_id").alias("_vd_owner"),
-                           F.col("status").alias("_vd_status"))
-        v = cars.select(F.col("id").alias("_vc_id"), F.col("owner_user_id").alias("_vc_owner"),
-                        F.col("status").alias("_vc_status"), F.col("current_driver_id").alias("_vc_driver"))
-        c = c.join(d, c.driver_id == d._vd_id, "left").join(v, c.car_id == v._vc_id, "left")
-        passed = found & ~F.coalesce(other_owner, F.lit(False)) & ~F.coalesce(other_driver, F.lit(False))
-        admin_ok = passed & (role == "admin")
-        driver_ok = passed & (role == "driver")
-        tenant = F.col("_p_tenant")
-        checks += [
-            (admin_ok & ~F.coalesce((F.col("_vd_owner") == tenant) & (F.col("_vd_status") == "active"),
-                                    F.lit(False)), R_DRIVER_NOT_IN_OWNER_EDIT),
-            (admin_ok & ~F.coalesce((F.col("_vc_owner") == tenant) & (F.col("_vc_status") == "active"),
-                                    F.lit(False)), R_CAR_NOT_IN_OWNER_EDIT),
-            (driver_ok & ~F.coalesce((F.col("_vc_driver") == F.col("driver_id")) & (F.col("_vc_status") == "active"),
-                                     F.lit(False)), R_CAR_NOT_ASSIGNED_EDIT),
-        ]
-    return c.withColumn("reasons", reasons_of(*checks))
+    ))
 
 
 def _private(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c.startswith("_p_") or c.startswith("_t_")]
 
 
-def apply_entry_updates(entries: DataFrame, updates: DataFrame, users: DataFrame,
-                        seq_col: str = "change_seq", drivers: DataFrame | None = None,
-                        cars: DataFrame | None = None) -> DataFrame:
-    """Entries after applying posted amount edits (keyed by the entry key).
+def judge_entry_edits(edits: DataFrame, entries: DataFrame, users: DataFrame, drivers: DataFrame,
+                      cars: DataFrame) -> DataFrame:
+    """Entry edits (whole forms by entry id) with their cleaned values and a reason ('' : accepted).
 
-    Edited rows take the new amounts and observations, get their deductions
-    and net recomputed and ``updated_by`` set to the poster; other rows stay.
-    With ``drivers`` and ``cars`` an edit is also held to the load form's
-    driver / car rules (see ``entry_change_targets``).
+    In the order in which the form judges a post: session, entry there, of the
+    poster's tenant; a driver user's entry must *at that time* be its own
+    driver's; driver and car chosen; for admins both must be active rows of the
+    tenant, for driver users the car must be active and assigned to them; a
+    proper date and amounts; last, the new key (period type, date, driver, car)
+    must be free at that time. A driver user always saves for its own driver
+    and cannot change the billing status; a weekly entry is dated on its Monday.
+    """
+    e = with_poster(edits, users)
+    role, tenant, own = F.col("_p_role"), F.col("_p_tenant"), F.coalesce("_p_driver", F.lit(0).cast("bigint"))
+    date = F.when(F.col("period_type") == "week", F.trunc("entry_date", "week")).otherwise(F.col("entry_date"))
+    e = (e.withColumn("period_type", clean_enum("period_type", "period_type")).withColumn("entry_date", date)
+          .withColumn("driver_id", F.when(role == "driver", own).otherwise(F.col("driver_id"))))
+    ids = edits.select("id").distinct()
+    tgt = entries.select("id", F.col("owner_user_id").alias("_t_owner")).join(ids, "id", "left_semi")
+    d = drivers.select(F.col("id").alias("_d_id"), F.col("owner_user_id").alias("_d_owner"), F.col("status").alias("_d_status"))
+    v = cars.select(F.col("id").alias("_v_id"), F.col("owner_user_id").alias("_v_owner"),
+                    F.col("status").alias("_v_status"), F.col("current_driver_id").alias("_v_driver"))
+    e = e.join(tgt, "id", "left").join(d, e.driver_id == d._d_id, "left").join(v, e.car_id == v._v_id, "left")
+    found = F.col("_t_owner").isNotNull()
+    early = reasons_of((role.isNull(), R_NO_SESSION), (role.isNotNull() & ~found, R_NOT_FOUND),
+                       (found & (F.col("_t_owner") != tenant), R_OTHER_OWNER))
+    chosen = (F.col("driver_id") > 0) & (F.col("car_id") > 0)
+    holds = lambda c: F.coalesce(c, F.lit(False))
+    driver_ok = holds((F.col("_d_owner") == tenant) & (F.col("_d_status") == "active"))
+    car_ok = holds((F.col("_v_owner") == tenant) & (F.col("_v_status") == "active"))
+    assigned = holds((F.col("_v_driver") == F.col("driver_id")) & (F.col("_v_status") == "active"))
+    bad_amount = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in ENTRY_AMOUNTS])
+    form = reasons_of(
+        (~holds(F.col("driver_id") > 0), R_NO_DRIVER), (~holds(F.col("car_id") > 0), R_NO_CAR),
+        (holds(chosen) & (role == "admin") & ~driver_ok, R_DRIVER_NOT_IN_OWNER),
+        (holds(chosen) & (role == "admin") & ~car_ok, R_CAR_NOT_IN_OWNER),
+        (holds(chosen) & (role == "driver") & ~assigned, R_CAR_NOT_ASSIGNED),
+        (F.col("entry_date").isNull(), R_BAD_DATE), (bad_amount, R_BAD_AMOUNT))
+    e = e.withColumn("_early", early).withColumn("_form", form)
+    e = e.select("change_seq", "id", "posted_by", *ENTRY_KEY, *ENTRY_AMOUNTS, "observations", "_p_role", "_p_driver",
+                 F.when(role == "admin", clean_enum("status_text", "rental_billing_status")).alias("rental_billing_status"),
+                 "_early", "_form", ((F.col("_early") == "") & (F.col("_form") == "")).alias("may"))
+
+    def admissible(had: Column) -> Column:
+        return F.coalesce(F.col("_p_role") != "driver", F.lit(True)) | (had.getField("driver_id") == F.col("_p_driver"))
+
+    judged = settle(e, entries, ENTRY_KEY, guard=admissible, guard_columns=("_p_role", "_p_driver"))
+    reasons = (F.when(F.col("_early") != "", F.col("_early")).when(F.col("outcome") == GUARDED, R_OTHER_DRIVER)
+               .when(F.col("_form") != "", F.col("_form")).when(F.col("outcome") == TAKEN, R_DUPLICATE).otherwise(""))
+    return judged.withColumn("reasons", reasons).drop("_early", "_form", "_p_role", "_p_driver", "may", "outcome")
+
+
+def apply_entry_edits(entries: DataFrame, judged: DataFrame) -> DataFrame:
+    """Entries after the accepted edits of a judged batch.
+
+    An edited entry takes key, amounts and observations of its last accepted
+    edit and the billing status of the last one that carries a status (an
+    admin's); deductions, net and period columns are derived anew.
     """
-    judged = entry_change_targets(updates, entries, users, drivers=drivers, cars=cars)
-    ok = judged.where(F.col("reasons") == "").drop("reasons", *_private(judged))
-    newest = newest_per_key(ok, ENTRY_KEY, seq_col)
-    new_cols = [c for c in ENTRY_AMOUNTS + ("observations",) if c in newest.columns]
-    n = newest.select(*ENTRY_KEY, *[F.col(c).alias(f"_n_{c}") for c in new_cols],
-                      F.col("posted_by").alias("_n_by"), F.lit(True).alias("_n_hit"))
-    j = entries.join(n, ENTRY_KEY, "left")
-    hit = F.col("_n_hit").isNotNull()
-    out = j
-    for c in new_cols:
-        out = out.withColumn(c, F.when(hit, F.col(f"_n_{c}")).otherwise(F.col(c)) if c in entries.columns
-                             else F.when(hit, F.col(f"_n_{c}")))
+    given = [*ENTRY_KEY, *ENTRY_AMOUNTS, "observations"]
+    ok = judged.where(F.col("reasons") == "")
+    last = F.max(F.struct("change_seq", *given, "posted_by")).alias("_n")
+    status = F.max(F.when(F.col("rental_billing_status").isNotNull(), F.struct("change_seq", "rental_billing_status"))).alias("_s")
+    n = ok.groupBy(F.col("id").alias("_n_id")).agg(last, status)
+    j = entries.join(n, entries["id"] == n["_n_id"], "left")
+    hit = F.col("_n_id").isNotNull()
+    new = {c: F.when(hit, F.col(f"_n.{c}")).otherwise(F.col(c)).alias(c) for c in given}
+    new["updated_by"] = F.when(hit, F.col("_n.posted_by")).otherwise(F.col("updated_by")).alias("updated_by")
+    new["rental_billing_status"] = F.coalesce("_s.rental_billing_status", "rental_billing_status").alias("rental_billing_status")
+    out = j.select(*[new.get(c, F.col(c)) for c in entries.columns], hit.alias("_hit"))
     total, net = entry_math_columns()
-    out = (out.withColumn("_new_total", total).withColumn("_new_net", net)
-              .withColumn("total_expenses", F.when(hit, F.col("_new_total")).otherwise(F.col("total_expenses")))
-              .withColumn("net_total", F.when(hit, F.col("_new_net")).otherwise(F.col("net_total")))
-              .withColumn("updated_by", F.when(hit, F.col("_n_by")).otherwise(
-                  F.col("updated_by") if "updated_by" in entries.columns else F.lit(None).cast("bigint"))))
-    keep = list(entries.columns) + [c for c in new_cols + ["updated_by"] if c not in entries.columns]
-    return P.with_period_columns(out.select(*keep))
-
+    out = out.withColumn("_total", total).withColumn("_net", net)
+    for c, fresh in (("total_expenses", "_total"), ("net_total", "_net")):
+        out = out.withColumn(c, F.when(F.col("_hit"), F.col(fresh)).otherwise(F.col(c)))
+    stored = [c for c in ("week_number", "month_number", "year_number") if c in entries.columns]
+    kept = {c: F.col(c).alias(f"_was_{c}") for c in stored}
+    out = P.with_period_columns(out.select("*", *kept.values()).drop(*stored))
+    for c in stored:
+        out = out.withColumn(c, F.when(F.col("_hit"), F.col(c)).otherwise(F.col(f"_was_{c}")))
+    return out.select(*entries.columns)
+
+
+def judge_billing_changes(entries: DataFrame, changes: DataFrame, users: DataFrame) -> DataFrame:
+    """Billing-status posts with ``outcome``: ``applied``, ``superseded`` by a later allowed
+    post on the entry, or the reason why it is rejected. A status outside
+    (pending, invoiced) is stored as pending."""
+    judged = entry_change_targets(changes, entries, users, admin_only=True)
+    last = judged.where(F.col("reasons") == "").groupBy(F.col("id").alias("_l_id")).agg(F.max("change_seq").alias("_last"))
+    j = judged.join(last, judged["id"] == last["_l_id"], "left")
+    outcome = (F.when(F.col("reasons") != "", F.col("reasons"))
+               .when(F.col("change_seq") == F.col("_last"), "applied").otherwise("superseded"))
+    return j.select("change_seq", "id", "posted_by", clean_enum("status_text", "rental_billing_status").alias("rental_billing_status"),
+                    outcome.alias("outcome"))
 
-def apply_billing_status(entries: DataFrame, changes: DataFrame, users: DataFrame,
-                         seq_col: str | None = None) -> DataFrame:
-    """Entries after billing-status changes (admins of the entry's tenant only).
 
-    A status outside (pending, invoiced) is stored as pending.
-    """
+def apply_billing_status(entries: DataFrame, changes: DataFrame, users: DataFrame) -> DataFrame:
+    """Entries after billing-status posts (admins of the entry's tenant only), by
+    entry id; of several posts on one entry the last in sequence holds."""
     judged = entry_change_targets(changes, entries, users, admin_only=True)
-    ok = (judged.where(F.col("reasons") == "")
-                .select(*ENTRY_KEY, clean_enum("status_text", "rental_billing_status").alias("_n_status"),
-                        F.col("posted_by").alias("_n_by"), *([seq_col] if seq_col else [])))
-    newest = newest_per_key(ok, ENTRY_KEY, seq_col)
-    j = entries.join(newest.withColumn("_n_hit", F.lit(True)), ENTRY_KEY, "left")
-    hit = F.col("_n_hit").isNotNull()
-    prev_by = F.col("updated_by") if "updated_by" in entries.columns else F.lit(None).cast("bigint")
-    return (j.withColumn("rental_billing_status", F.when(hit, F.col("_n_status"))
-                         .otherwise(F.col("rental_billing_status")))
-             .withColumn("updated_by", F.when(hit, F.col("_n_by")).otherwise(prev_by))
-             .select(*entries.columns, *([] if "updated_by" in entries.columns else ["updated_by"])))
+    ok = judged.where(F.col("reasons") == "").select(
+        F.col("id").alias("_n_id"), clean_enum("status_text", "rental_billing_status").alias("_n_status"),
+        F.col("posted_by").alias("_n_by"), "change_seq")
+    newest = newest_per_key(ok, ["_n_id"], "change_seq").drop("change_seq")
+    j = entries.join(newest, entries["id"] == newest["_n_id"], "left")
+    hit = F.col("_n_id").isNotNull()
+    new = {"rental_billing_status": F.when(hit, F.col("_n_status")).otherwise(F.col("rental_billing_status")).alias("rental_billing_status"),
+           "updated_by": F.when(hit, F.col("_n_by")).otherwise(F.col("updated_by")).alias("updated_by")}
+    return j.select(*[new.get(c, F.col(c)) for c in entries.columns])
 
 
 def apply_deletes(entries: DataFrame, deletes: DataFrame, users: DataFrame) -> DataFrame:
-    """Entries after allowed delete requests (tenant's admins; driver users own entries)."""
+    """Entries after allowed delete requests by entry id (tenant's admins; driver users own entries)."""
     judged = entry_change_targets(deletes, entries, users)
-    gone = judged.where(F.col("reasons") == "").select(*ENTRY_KEY).distinct()
-    return entries.join(gone, ENTRY_KEY, "left_anti").select(*entries.columns)
+    gone = judged.where(F.col("reasons") == "").select("id").distinct()
+    return entries.join(gone, "id", "left_anti").select(*entries.columns)
 
 
-def entry_change_rejects(entries: DataFrame, users: DataFrame, updates: DataFrame,
-                         deletes: DataFrame, drivers: DataFrame | None = None,
-                         cars: DataFrame | None = None) -> DataFrame:
-    """Rejected entry edits and deletes with their reasons."""
-    u = entry_change_targets(updates, entries, users, drivers=drivers, cars=cars).where(F.col("reasons") != "")
-    d = entry_change_targets(deletes, entries, users).where(F.col("reasons") != "")
-    cols = [*ENTRY_KEY, "posted_by", "reasons"]
-    return (u.select(F.lit("update").alias("change"), *cols)
-             .unionByName(d.select(F.lit("delete").alias("change"), *cols)))
+def entry_change_rejects(judged_edits: DataFrame, entries: DataFrame, users: DataFrame, deletes: DataFrame) -> DataFrame:
+    """Rejected entry edits (of a judged batch) and deletes with their reasons."""
+    d = entry_change_targets(deletes, entries, users)
+    cols = ["id", "posted_by", "reasons"]
+    parts = [x.where(F.col("reasons") != "").select(F.lit(kind).alias("change"), *cols) for kind, x in (("update", judged_edits), ("delete", d))]
+    return parts[0].unionByName(parts[1])
 
 
 def apply_status(dim: DataFrame, changes: DataFrame, users: DataFrame,
@@ -284,12 +331,20 @@ def assignment_rejects(cars: DataFrame, assignments: DataFrame, users: DataFrame
 
 # --- users ---------------------------------------------------------------------
 
-R_NOT_MANAGER = "not_user_manager"
-R_MISSING = "missing_fields"
-R_DRIVER_NOT_IN_OWNER = "driver_not_in_owner"
-R_SELF_LOCK = "self_lock"
-R_USER_NOT_IN_OWNER = "user_not_in_owner"
-R_DUPLICATE_USERNAME = "duplicate_username"
+def _settled(judged: DataFrame, rows: DataFrame, key: list[str], code: str, **how) -> DataFrame:
+    """Judged posts (``reasons`` of all other rules), each held to the unique ``key`` in posting order."""
+    posts = judged.withColumn("may", F.col("reasons") == "")
+    out = settle(posts, rows, key, **how)
+    return out.withColumn("reasons", F.when(F.col("outcome") == TAKEN, F.lit(code)).otherwise(F.col("reasons"))).drop("may", "outcome")
+
+
+def _with_last(rows: DataFrame, accepted: DataFrame, given: list[str], seq: str = "change_seq") -> DataFrame:
+    """``rows`` with the ``given`` columns of each row's last accepted edit."""
+    n = newest_per_key(accepted.select("id", seq, *given), ["id"], seq).drop(seq)
+    n = n.select(F.col("id").alias("_n_id"), *[F.col(c).alias(f"_n_{c}") for c in given])
+    j = rows.join(n, rows["id"] == n["_n_id"], "left")
+    hit = F.col("_n_id").isNotNull()
+    return j.select(*[F.when(hit, F.col(f"_n_{c}")).otherwise(rows[c]).alias(c) if c in given else rows[c] for c in rows.columns])
 
 
 def judge_user_edits(edits: DataFrame, users: DataFrame, drivers: DataFrame,
@@ -300,8 +355,8 @@ def judge_user_edits(edits: DataFrame, users: DataFrame, drivers: DataFrame,
     username are required; the role is allow-listed (default driver) and an
     admin loses its driver link; a linked driver must belong to the tenant;
     a poster may not demote or deactivate itself; the edited user must belong
-    to the tenant; the new username must not belong to another user nor
-    repeat in the batch.
+    to the tenant; at that point of the batch no other user may hold the new
+    username.
     """
     mgr = users.select(F.col("id").alias("_m_id"), F.col("username").alias("_m_username"))
     p = with_poster(edits, users).join(mgr, F.col("posted_by") == F.col("_m_id"), "left")
@@ -312,96 +367,50 @@ def judge_user_edits(edits: DataFrame, users: DataFrame, drivers: DataFrame,
     t = users.select(F.col("id").alias("_u_id"), F.col("owner_user_id").alias("_u_owner"))
     p = (p.join(d, (p.linked_driver == d._d_id) & (p._p_tenant == d._d_owner), "left")
           .join(t, (p.id == t._u_id) & (p._p_tenant == t._u_owner), "left"))
-    is_manager = is_user_manager(managers)
-    # usernames are unique over all users: taken by another user, or repeated in the batch
-    name = trim("username_text")
-    holders = users.groupBy(F.col("username").alias("_h_name")).agg(
-        F.count(F.lit(1)).alias("_h_n"), F.min("id").alias("_h_min"))
-    repeats = edits.groupBy(trim("username_text").alias("_r_name")).agg(F.countDistinct("id").alias("_r_n"))
-    p = (p.join(holders, name == holders._h_name, "left")
-          .join(repeats, name == repeats._r_name, "left"))
-    taken = F.coalesce((F.col("_h_n") > 1) | (F.col("_h_min") != F.col("id")), F.lit(False)) | (F.col("_r_n") > 1)
     reasons = reasons_of(
-        (~is_manager, R_NOT_MANAGER),
+        (~is_user_manager(managers), R_NOT_MANAGER),
         ((trim("full_name_text") == "") | (trim("username_text") == ""), R_MISSING),
         (F.col("linked_driver").isNotNull() & F.col("_d_id").isNull(), R_DRIVER_NOT_IN_OWNER),
         ((F.col("id") == F.col("posted_by")) & ((F.col("role") != "admin") | (F.col("is_active") != 1)),
          R_SELF_LOCK),
         (F.col("_u_id").isNull(), R_USER_NOT_IN_OWNER),
-        (taken, R_DUPLICATE_USERNAME),
     )
-    return p.select("id", "posted_by", trim("full_name_text").alias("full_name"),
-                    trim("username_text").alias("username"), "role",
-                    F.col("linked_driver").alias("driver_id"), "is_active", reasons.alias("reasons"))
+    judged = p.select("change_seq", "id", "posted_by", trim("full_name_text").alias("full_name"),
+                      trim("username_text").alias("username"), "role",
+                      F.col("linked_driver").alias("driver_id"), "is_active", reasons.alias("reasons"))
+    return _settled(judged, users, ["username"], R_DUPLICATE_USERNAME)
 
 
-def apply_user_edits(users: DataFrame, edits: DataFrame, drivers: DataFrame,
-                     managers: tuple[str, ...] | Column = USER_MANAGERS) -> DataFrame:
-    """Users after the accepted edits; with several accepted edits of one user,
-    the largest edit row wins (the batch carries no order)."""
-    ok = judge_user_edits(edits, users, drivers, managers).where(F.col("reasons") == "")
-    ok = newest_per_key(ok.drop("posted_by", "reasons"), ["id"], None)
-    n = ok.select(F.col("id").alias("_n_id"), *[F.col(c).alias(f"_n_{c}") for c in
-                                                 ("full_name", "username", "role", "driver_id", "is_active")])
-    j = users.join(n, users.id == n._n_id, "left")
-    hit = F.col("_n_id").isNotNull()
-    changed = {"full_name", "username", "role", "driver_id", "is_active"}
-    return j.select(*[F.when(hit, F.col(f"_n_{x}")).otherwise(users[x]).alias(x) if x in changed else users[x]
-                      for x in users.columns])
+def apply_user_edits(users: DataFrame, judged: DataFrame) -> DataFrame:
+    """Users after the accepted edits of a judged batch."""
+    return _with_last(users, judged.where(F.col("reasons") == ""), ["full_name", "username", "role", "driver_id", "is_active"])
 
 
 # --- drivers ---------------------------------------------------------------------
 
-R_NO_NAME = "no_name"
-R_DUPLICATE_DNI = "duplicate_dni"
-
-
 def judge_driver_edits(edits: DataFrame, drivers: DataFrame, users: DataFrame) -> DataFrame:
     """Driver edits with cleaned values and reasons: admins of the driver's
-    tenant only, name required, empty dni to NULL, allow-listed status, and
-    the new dni must not belong to another driver of the tenant nor repeat
-    among the batch's edits."""
+    tenant only, name required, empty dni to NULL, allow-listed status, and at
+    that point of the batch no other driver of the tenant may hold the new dni."""
     p = with_poster(edits, users)
     tgt = drivers.select(F.col("id").alias("_t_id"), F.col("owner_user_id").alias("_t_owner"))
     p = p.join(tgt, (p.id == tgt._t_id) & (p._p_tenant == tgt._t_owner), "left")
     name = trim("full_name_text")
-    dni = F.nullif(trim("dni_text"), F.lit(""))
-    p = p.select("*", name.alias("full_name"), dni.alias("dni"),
-                 clean_enum("status_text", "status").alias("status"))
-    base_ok = (F.col("_p_role") == "admin") & F.col("_t_id").isNotNull() & (F.col("full_name") != "")
-    # holders of each (tenant, dni): the dni is taken by another driver when
-    # it has two holders, or one holder that is not the edited driver
-    held = (drivers.where(F.col("dni").isNotNull())
-                   .groupBy(F.col("owner_user_id").alias("_x_owner"), F.col("dni").alias("_x_dni"))
-                   .agg(F.count(F.lit(1)).alias("_x_n"), F.min("id").alias("_x_min")))
-    p = p.join(held, (p._p_tenant == held._x_owner) & (p.dni == held._x_dni), "left")
-    p = p.withColumn("_taken", F.coalesce((F.col("_x_n") > 1) | (F.col("_x_min") != F.col("id")),
-                                          F.lit(False)))
-    okd = p.where(base_ok & F.col("dni").isNotNull())
-    rep = okd.groupBy(F.col("_p_tenant").alias("_r_owner"), F.col("dni").alias("_r_dni")).agg(
-        F.countDistinct("id").alias("_r_n"))
-    p = p.join(rep, (p._p_tenant == rep._r_owner) & (p.dni == rep._r_dni), "left")
     reasons = reasons_of(
         (F.col("_p_role").isNull(), R_NO_SESSION),
         (F.col("_p_role") == "driver", R_NOT_ADMIN),
         (F.col("_p_role").isNotNull() & F.col("_t_id").isNull(), R_OTHER_OWNER),
-        (F.col("full_name") == "", R_NO_NAME),
-        (F.col("_taken") | (F.coalesce(F.col("_r_n"), F.lit(0)) > 1), R_DUPLICATE_DNI),
+        (name == "", R_NO_NAME),
     )
-    return p.select("id", "posted_by", "full_name", "dni", "status", reasons.alias("reasons"))
+    judged = p.select("change_seq", "id", "posted_by", F.col("_p_tenant").alias("owner_user_id"), name.alias("full_name"),
+                      F.nullif(trim("dni_text"), F.lit("")).alias("dni"), clean_enum("status_text", "status").alias("status"),
+                      reasons.alias("reasons"))
+    return _settled(judged, drivers, ["owner_user_id", "dni"], R_DUPLICATE_DNI).drop("owner_user_id")
 
 
-def apply_driver_edits(drivers: DataFrame, edits: DataFrame, users: DataFrame) -> DataFrame:
-    """Drivers after the accepted edits (name, dni, status); with several
-    accepted edits of one driver the largest edit row wins."""
-    ok = judge_driver_edits(edits, drivers, users).where(F.col("reasons") == "")
-    ok = newest_per_key(ok.drop("posted_by", "reasons"), ["id"], None)
-    n = ok.select(F.col("id").alias("_n_id"), *[F.col(c).alias(f"_n_{c}") for c in ("full_name", "dni", "status")])
-    j = drivers.join(n, drivers.id == n._n_id, "left")
-    hit = F.col("_n_id").isNotNull()
-    changed = {"full_name", "dni", "status"}
-    return j.select(*[F.when(hit, F.col(f"_n_{x}")).otherwise(drivers[x]).alias(x) if x in changed
-                      else drivers[x] for x in drivers.columns])
+def apply_driver_edits(drivers: DataFrame, judged: DataFrame) -> DataFrame:
+    """Drivers after the accepted edits (name, dni, status) of a judged batch."""
+    return _with_last(drivers, judged.where(F.col("reasons") == ""), ["full_name", "dni", "status"])
 
 
 # --- expenses, notes, cars ----------------------------------------------------------
@@ -423,63 +432,41 @@ def apply_note_deletes(notes: DataFrame, deletes: DataFrame, users: DataFrame, a
     return notes.join(gone, ["owner_user_id", "week_start"], "left_anti").select(*notes.columns)
 
 
-R_MISSING_FIELDS = "missing_fields"
-R_DUPLICATE_PLATE = "duplicate_plate"
-
-
 def judge_car_edits(cleaned_forms: DataFrame, cars: DataFrame, users: DataFrame) -> DataFrame:
-    """Cleaned car edit forms (``form_seq`` is the car id) with reasons: admins
-    of the car's tenant only, brand / model / plate required, and the plate
-    must not belong to another car of the tenant nor repeat in the batch."""
-    p = with_poster(cleaned_forms.withColumnRenamed("form_seq", "id"), users)
+    """Cleaned car edit forms (``form_seq`` is their order, ``id`` the car) with
+    reasons: admins of the car's tenant only, brand / model / plate required, and
+    at that point of the batch no other car of the tenant may hold the plate."""
+    p = with_poster(cleaned_forms, users)
     tgt = cars.select(F.col("id").alias("_t_id"), F.col("owner_user_id").alias("_t_owner"))
     p = p.join(tgt, (p.id == tgt._t_id) & (p._p_tenant == tgt._t_owner), "left")
-    held = (cars.groupBy(F.col("owner_user_id").alias("_x_owner"), F.col("plate").alias("_x_plate"))
-                .agg(F.count(F.lit(1)).alias("_x_n"), F.min("id").alias("_x_min")))
-    p = p.join(held, (p._p_tenant == held._x_owner) & (p.plate == held._x_plate), "left")
-    taken = F.coalesce((F.col("_x_n") > 1) | (F.col("_x_min") != F.col("id")), F.lit(False))
-    base_ok = (F.col("_p_role") == "admin") & F.col("_t_id").isNotNull() & (F.col("reasons") == "")
-    okp = p.where(base_ok)
-    rep = okp.groupBy(F.col("_p_tenant").alias("_r_owner"), F.col("plate").alias("_r_plate")).agg(
-        F.countDistinct("id").alias("_r_n"))
-    p = p.join(rep, (p._p_tenant == rep._r_owner) & (p.plate == rep._r_plate), "left")
     reasons = reasons_of(
         (F.col("_p_role").isNull(), R_NO_SESSION),
         (F.col("_p_role") == "driver", R_NOT_ADMIN),
         (F.col("_p_role").isNotNull() & F.col("_t_id").isNull(), R_OTHER_OWNER),
-        (F.col("reasons") != "", R_MISSING_FIELDS),
-        (taken | (F.coalesce(F.col("_r_n"), F.lit(0)) > 1), R_DUPLICATE_PLATE),
+        (F.col("reasons").contains(R_MISSING_FIELDS), R_MISSING_FIELDS),
+        (F.col("reasons").contains(R_BAD_YEAR), R_BAD_YEAR),
     )
-    return p.select("id", "posted_by", "brand", "model", "plate", "year", "status",
-                    reasons.alias("reasons"))
+    judged = p.select("form_seq", "id", "posted_by", F.col("_p_tenant").alias("owner_user_id"), "brand", "model", "plate",
+                      "year", "status", reasons.alias("reasons"))
+    return _settled(judged, cars, ["owner_user_id", "plate"], R_DUPLICATE_PLATE, seq="form_seq").drop("owner_user_id")
 
 
-def apply_car_edits(cars: DataFrame, cleaned_forms: DataFrame, users: DataFrame) -> DataFrame:
-    """Cars after the accepted edits (brand, model, plate, year, status)."""
-    ok = judge_car_edits(cleaned_forms, cars, users).where(F.col("reasons") == "")
-    ok = newest_per_key(ok.drop("posted_by", "reasons"), ["id"], None)
-    changed = ("brand", "model", "plate", "year", "status")
-    n = ok.select(F.col("id").alias("_n_id"), *[F.col(c).alias(f"_n_{c}") for c in changed])
-    j = cars.join(n, cars.id == n._n_id, "left")
-    hit = F.col("_n_id").isNotNull()
-    return j.select(*[F.when(hit, F.col(f"_n_{x}")).otherwise(cars[x]).alias(x) if x in changed
-                      else cars[x] for x in cars.columns])
+def apply_car_edits(cars: DataFrame, judged: DataFrame) -> DataFrame:
+    """Cars after the accepted edits (brand, model, plate, year, status) of a judged batch."""
+    given = [c for c in ("brand", "model", "plate", "year", "status") if c in cars.columns]
+    return _with_last(cars, judged.where(F.col("reasons") == ""), given, seq="form_seq")
 
 
 # --- the driver form: driver fields and car assignment in one save ------------------------
 
-R_NO_NAME_SAVE = "no_name"
-
-
 def judge_driver_saves(posts: DataFrame, drivers: DataFrame, cars: DataFrame, users: DataFrame) -> DataFrame:
     """Driver form posts with reasons; a post is one save that succeeds or fails whole.
 
     ``id`` 0 creates a driver, otherwise it edits driver ``id`` (an edit of a
     driver of another tenant changes no driver row, but its car assignment
     still runs, as in the original form). Rules in order: admins only; name
-    required; a chosen car must be an active car of the tenant; the dni must
-    stay unique in the tenant (not held by another driver, not repeated among
-    the batch's saves).
+    required; a chosen car must be an active car of the tenant; at that point
+    of the batch no other driver of the tenant may hold the dni.
     """
     p = with_poster(posts, users)
     name = trim("full_name_text")
@@ -493,38 +480,27 @@ def judge_driver_saves(posts: DataFrame, drivers: DataFrame, cars: DataFrame, us
     p = p.join(avail, (p.car_id == avail._a_id) & (p._p_tenant == avail._a_owner), "left")
     tgt = drivers.select(F.col("id").alias("_t_id"), F.col("owner_user_id").alias("_t_owner"))
     p = p.join(tgt, (p.id == tgt._t_id) & (p._p_tenant == tgt._t_owner), "left")
-    base_ok = ((F.col("_p_role") == "admin") & (F.col("full_name") != "")
-               & (F.col("car_id").isNull() | F.col("_a_id").isNotNull()))
     writes = (F.col("id") == 0) | F.col("_t_id").isNotNull()
-    held = (drivers.where(F.col("dni").isNotNull())
-                   .groupBy(F.col("owner_user_id").alias("_x_owner"), F.col("dni").alias("_x_dni"))
-                   .agg(F.count(F.lit(1)).alias("_x_n"), F.min("id").alias("_x_min")))
-    p = p.join(held, (p._p_tenant == held._x_owner) & (p.dni == held._x_dni), "left")
-    taken = F.coalesce((F.col("id") == 0) | (F.col("_x_n") > 1) | (F.col("_x_min") != F.col("id")),
-                       F.lit(False)) & F.col("_x_n").isNotNull()
-    identity = F.when(F.col("id") > 0, F.col("id")).otherwise(-F.col("change_seq"))
-    p = p.withColumn("_identity", identity).withColumn("_writes_dni", base_ok & writes & F.col("dni").isNotNull())
-    rep = (p.where(F.col("_writes_dni"))
-            .groupBy(F.col("_p_tenant").alias("_r_owner"), F.col("dni").alias("_r_dni"))
-            .agg(F.countDistinct("_identity").alias("_r_n")))
-    p = p.join(rep, (p._p_tenant == rep._r_owner) & (p.dni == rep._r_dni), "left")
     # checked in the form's order: each rule only when the earlier ones passed
     admin = F.col("_p_role") == "admin"
-    named = admin & (F.col("full_name") != "")
     reasons = reasons_of(
         (F.col("_p_role").isNull(), R_NO_SESSION),
         (F.col("_p_role") == "driver", R_NOT_ADMIN),
-        (admin & (F.col("full_name") == ""), R_NO_NAME_SAVE),
-        (named & F.col("car_id").isNotNull() & F.col("_a_id").isNull(), R_CAR_UNAVAILABLE),
-        (F.col("_writes_dni") & (taken | (F.coalesce(F.col("_r_n"), F.lit(0)) > 1)), R_DUPLICATE_DNI),
+        (admin & (F.col("full_name") == ""), R_NO_NAME),
+        (admin & (F.col("full_name") != "") & F.col("car_id").isNotNull() & F.col("_a_id").isNull(), R_CAR_UNAVAILABLE),
     )
-    return p.select("change_seq", "posted_by", "id", F.col("_p_tenant").alias("owner_user_id"), "full_name",
-                    "dni", "status", "car_id", writes.alias("writes_driver"), reasons.alias("reasons"))
+    # a new driver is a row of its own; ids below 0 name no stored driver
+    judged = p.select("change_seq", "posted_by", "id", F.col("_p_tenant").alias("owner_user_id"), "full_name", "dni", "status",
+                      "car_id", writes.alias("writes_driver"), F.when(F.col("id") > 0, F.col("id")).otherwise(-F.col("change_seq")).alias("_row"),
+                      reasons.alias("reasons"))
+    settled = _settled(judged, drivers.withColumnRenamed("id", "_row"), ["owner_user_id", "dni"], R_DUPLICATE_DNI,
+                       entity="_row", claims=F.col("writes_driver"))
+    return settled.drop("_row")
 
 
-def apply_driver_saves(drivers: DataFrame, cars: DataFrame, posts: DataFrame, users: DataFrame,
+def apply_driver_saves(drivers: DataFrame, cars: DataFrame, judged: DataFrame, users: DataFrame,
                        id_base: int | None = None) -> dict:
-    """Drivers and cars after the accepted driver form saves.
+    """Drivers and cars after the accepted saves of a judged batch.
 
     Edits of the tenant's drivers take the newest save per driver; creations
     get ids above the current maximum in posting order; then every accepted
@@ -532,18 +508,11 @@ def apply_driver_saves(drivers: DataFrame, cars: DataFrame, posts: DataFrame, us
     the chosen car), applied as in ``apply_assignments``. ``id_base`` (the
     largest id taken, when the deployment keeps it) saves a scan for it.
     """
-    ok = (judge_driver_saves(posts, drivers, cars, users).where(F.col("reasons") == ""))
+    ok = judged.where(F.col("reasons") == "")
     top = (drivers.select(F.coalesce(F.max("id"), F.lit(0))).scalar() if id_base is None
            else F.lit(id_base).cast("bigint"))
     saved_id = F.when(F.col("id") > 0, F.col("id")).otherwise(top + F.col("change_seq")).cast("bigint")
-    edits = newest_per_key(ok.where((F.col("id") > 0) & F.col("writes_driver"))
-                             .select("id", "change_seq", "full_name", "dni", "status"), ["id"], "change_seq")
-    n = edits.select(F.col("id").alias("_n_id"), *[F.col(c).alias(f"_n_{c}") for c in ("full_name", "dni", "status")])
-    j = drivers.join(n, drivers.id == n._n_id, "left")
-    hit = F.col("_n_id").isNotNull()
-    changed = {"full_name", "dni", "status"}
-    edited = j.select(*[F.when(hit, F.col(f"_n_{x}")).otherwise(drivers[x]).alias(x) if x in changed
-                        else drivers[x] for x in drivers.columns])
+    edited = _with_last(drivers, ok.where((F.col("id") > 0) & F.col("writes_driver")), ["full_name", "dni", "status"])
     created = ok.where(F.col("id") == 0).select(saved_id.alias("id"), "owner_user_id", "full_name", "dni", "status")
     new_drivers = edited.unionByName(created.select(*drivers.columns))
     assignments = ok.select("change_seq", "posted_by", saved_id.alias("driver_id"), "car_id")

@@ -285,7 +285,7 @@ def clean_car_forms(forms: DataFrame) -> DataFrame:
     brand, model, plate = trim("brand_text"), trim("model_text"), upper_trim("plate_text")
     year = F.when(trim("year_text") == "", F.lit(None).cast("bigint")).otherwise(parse_int("year_text"))
     bad_year = year.isNotNull() & year.try_cast("int").isNull()
-    poster = ["posted_by"] if "posted_by" in forms.columns else []
+    poster = [c for c in ("id", "posted_by") if c in forms.columns]
     return forms.select(
         "form_seq", *poster, brand.alias("brand"), model.alias("model"), plate.alias("plate"),
         year.try_cast("int").alias("year"),

@@ -307,26 +307,64 @@ def KEYMATCH(a: str, b: str) -> str:
     return " AND ".join(f"{a}.{k} = {b}.{k}" for k in KEY)
 
 
-ENTRY_UPDATES = f"""
-SELECT 'day' AS period_type, CAST(l_shipdate AS DATE) AS entry_date, l_suppkey + 1 AS driver_id, l_partkey + 1 AS car_id,
-  CAST(ROUND(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(1.1 AS DECIMAL(2,1)), 2) AS DECIMAL(12,2)) AS gross_income,
-  CAST(ROUND(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_discount AS DECIMAL(4,2)), 2) AS DECIMAL(12,2)) AS app_expenses,
-  CAST(0 AS DECIMAL(12,2)) AS cash_collected,
-  CAST(l_quantity * 900 AS DECIMAL(12,2)) AS rental_amount,
-  CAST(l_quantity * 12 AS DECIMAL(12,2)) AS fuel_cost,
-  CAST(l_quantity AS DECIMAL(10,2)) AS distance_km,
-  l_returnflag AS observations,
-  l_orderkey * 10 + l_linenumber AS change_seq,
-  l_orderkey % {NCUST} + 1 AS posted_by
-FROM lineitem"""
-BILLING_CHANGES = f"""
-SELECT period_type, entry_date, driver_id, car_id,
-  CASE WHEN rental_billing_status = 'pending' THEN 'invoiced' ELSE 'facturado' END AS status_text,
-  car_id % {NCUST} + 1 AS posted_by
-FROM entries_unique"""
-ENTRY_DELETES = f"""
-SELECT period_type, entry_date, driver_id, car_id, driver_id * 7 % {NCUST} + 1 AS posted_by
-FROM entries_unique WHERE period_type = 'week'"""
+NPART = "(SELECT COUNT(*) FROM part)"
+ADMIN_OF = "(SELECT owner_user_id AS o, MIN(id) AS tenant_admin FROM users WHERE role = 'admin' GROUP BY 1)"
+POSTED_ENTRIES = f"""
+SELECT e.* EXCLUDE (observations, updated_by), CASE WHEN e.id % 8 = 1 THEN e.driver_id + {NSUP} WHEN e.id % 8 = 2 THEN e.id % {NCUST} + 1
+       ELSE a.tenant_admin END AS posted_by
+FROM entries e LEFT JOIN {ADMIN_OF} a ON a.o = e.owner_user_id"""
+ENTRY_EDITS = f"""
+SELECT change_seq, entry_id AS id, posted_by, kind AS period_type, day AS entry_date, driver_id, car AS car_id,
+  CAST(ROUND(gross_income * rate, 2) AS DECIMAL(12,2)) AS gross_income, app_expenses, CAST(0 AS DECIMAL(12,2)) AS cash_collected,
+  rental_amount, fuel_cost, distance_km, status_text, 'edit ' || CAST(change_seq AS VARCHAR) AS observations
+FROM (
+  SELECT e.*, id * 2 AS change_seq, CASE WHEN id % 100 = 99 THEN id + 1 ELSE id END AS entry_id,
+    CASE WHEN id % 5 = 0 THEN 'week' ELSE 'day' END AS kind, CAST(date_trunc('month', entry_date) AS DATE) AS day,
+    CAST(1.1 AS DECIMAL(2,1)) AS rate, 'invoiced' AS status_text,
+    CASE WHEN id % 8 = 1 THEN driver_id + {NSUP} * (1 + id % 3) ELSE owner_user_id + 5 * (car_id % 9) END AS car
+  FROM posted_entries e
+  UNION ALL
+  SELECT e.*, (id + 20 * ({NSUP} + 1) * ({NPART} + 1)) * 2 + 1, id, 'day', CAST(date_trunc('month', entry_date) AS DATE) + 1,
+    CAST(1.2 AS DECIMAL(2,1)), 'facturado',
+    CASE WHEN id % 8 = 1 THEN driver_id + {NSUP} * (1 + id % 3) ELSE owner_user_id + 5 * (car_id % 9) END
+  FROM posted_entries e WHERE id % 3 = 0) x"""
+BILLING_CHANGES = """
+SELECT id * 2 AS change_seq, id, CASE WHEN rental_billing_status = 'pending' THEN 'invoiced' ELSE 'facturado' END AS status_text,
+  posted_by FROM posted_entries
+UNION ALL SELECT id * 2 + 1, id, 'pending', posted_by FROM posted_entries WHERE id % 3 = 0"""
+ENTRY_DELETES = "SELECT id, posted_by FROM posted_entries WHERE period_type = 'week'"
+
+
+def SETTLED(posts: str, stored: str, guard: str = "TRUE", rounds: int = 12) -> dict[str, str]:
+    """CTEs that judge posts (seq, row, may, writes, wants, ...) in the order of seq.
+
+    ``stored`` gives (row, key). Every round judges all posts from the decisions of
+    the round before; ``verdict`` (seq, why) is the last round's.
+    """
+    moves = "(ok AND writes AND had IS DISTINCT FROM wants)"
+    return {
+        "m_stored": stored,
+        "m_posts": f"""SELECT p.*, b.key AS base, COALESCE(h.n, 0) AS holders FROM ({posts}) p
+                       LEFT JOIN m_stored b ON b.row = p.row
+                       LEFT JOIN (SELECT key, COUNT(*) AS n FROM m_stored GROUP BY 1) h ON h.key = p.wants""",
+        "rounds": f"""
+SELECT 0 AS r, seq, may AS ok, CAST(NULL AS VARCHAR) AS why FROM m_posts
+UNION ALL
+SELECT r + 1, seq, may AND why IS NULL, why FROM (
+  SELECT r, seq, may, CASE WHEN NOT COALESCE({guard}, FALSE) THEN 'guarded' WHEN may AND writes AND wants IS NOT NULL
+         AND holders + moved - CASE WHEN had IS NOT DISTINCT FROM wants THEN 1 ELSE 0 END > 0 THEN 'taken' END AS why
+  FROM (SELECT *, COALESCE(SUM(ev.d) OVER (PARTITION BY ev.k ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS moved
+        FROM (SELECT *, unnest([{{'k': wants, 'd': CASE WHEN {moves} THEN 1 ELSE 0 END, 'asks': TRUE}},
+                                {{'k': CASE WHEN {moves} THEN had END, 'd': CASE WHEN {moves} THEN -1 ELSE 0 END, 'asks': FALSE}}]) AS ev
+              FROM (SELECT *, CASE WHEN set_to IS NULL THEN base ELSE set_to.k END AS had
+                    FROM (SELECT k.r, k.ok, p.*, last_value(CASE WHEN k.ok AND p.writes THEN {{'k': p.wants}} END IGNORE NULLS)
+                                 OVER (PARTITION BY p.row ORDER BY p.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS set_to
+                          FROM rounds k JOIN m_posts p ON p.seq = k.seq) a) b) c) d
+  WHERE ev.asks) x WHERE r < {rounds}""",
+        "verdict": f"SELECT seq, why FROM rounds WHERE r = {rounds}",
+    }
+
+
 STATUS_CHANGES = f"""
 SELECT id, CASE WHEN status = 'active' THEN 'inactivo' ELSE 'active' END AS status_text,
   id * 3 % {NCUST} + 1 AS posted_by
@@ -343,17 +381,30 @@ FROM lineitem"""
 MANAGER_ID = """(SELECT id FROM users WHERE role = 'admin'
   AND username = (SELECT MIN(username) FROM users WHERE role = 'admin'))"""
 USER_EDITS = f"""
-SELECT id, CASE WHEN id % 5 = 0 THEN id WHEN id % 3 = 0 THEN id + 1 ELSE {MANAGER_ID} END AS posted_by, upper(full_name) AS full_name_text,
-  username AS username_text, CASE WHEN role = 'admin' THEN 'driver' ELSE 'admin' END AS role_text,
+SELECT {NCUST} + 1 - id AS change_seq, id,
+  CASE WHEN id % 5 = 0 THEN id WHEN id % 3 = 0 THEN id + 1 ELSE {MANAGER_ID} END AS posted_by, upper(full_name) AS full_name_text,
+  CASE WHEN id % 7 = 1 THEN username || '.x' WHEN id % 7 = 0 THEN 'customer#' || lpad(CAST(id AS VARCHAR), 9, '0') ELSE username END
+    AS username_text,
+  CASE WHEN role = 'admin' THEN 'driver' ELSE 'admin' END AS role_text,
   CASE WHEN role = 'admin' THEN id % {NSUP} + 1 END AS driver_id,
   CASE WHEN id % 4 = 0 THEN 0 ELSE 1 END AS is_active
 FROM users"""
 DRIVER_EDITS = f"""
-SELECT s_suppkey + 1 AS id, s_suppkey * 11 % {NCUST} + 1 AS posted_by,
-  CASE WHEN s_suppkey % 9 = 0 THEN ' ' ELSE upper(s_name) END AS full_name_text,
-  CASE WHEN s_suppkey % 6 = 0 THEN '' ELSE CAST(30000000 + s_suppkey * 7 % 90 AS VARCHAR) END AS dni_text,
-  CASE WHEN s_acctbal > 5000 THEN 'inactive' ELSE 'active' END AS status_text
-FROM supplier"""
+SELECT c_custkey + 1 AS change_seq, c_custkey % {NSUP} + 1 AS id,
+  CASE WHEN c_custkey % 10 = 0 THEN c_custkey * 11 % {NCUST} + 1 ELSE a.tenant_admin END AS posted_by,
+  CASE WHEN c_custkey % 9 = 0 THEN ' ' ELSE upper(c_name) END AS full_name_text,
+  CASE WHEN c_custkey % 6 = 0 THEN '' ELSE CAST(30000000 + c_custkey * 7 % 90 AS VARCHAR) END AS dni_text,
+  CASE WHEN c_acctbal > 5000 THEN 'inactive' ELSE 'active' END AS status_text
+FROM customer LEFT JOIN drivers d ON d.id = c_custkey % {NSUP} + 1 LEFT JOIN {ADMIN_OF} a ON a.o = d.owner_user_id"""
+CAR_EDITS = f"""
+SELECT {NPART} - p_partkey AS form_seq, p_partkey + 1 AS id,
+  CASE WHEN p_partkey % 10 = 0 THEN p_partkey * 13 % {NCUST} + 1 ELSE a.tenant_admin END AS posted_by,
+  ' ' || p_brand AS brand_text, CASE WHEN p_size = 1 THEN ' ' ELSE p_type END AS model_text,
+  CASE p_partkey % 3 WHEN 1 THEN 'n' || CAST(p_partkey AS VARCHAR) WHEN 2 THEN ' p' || CAST(p_partkey + 5 AS VARCHAR)
+       ELSE 'P' || CAST(p_partkey + 10 AS VARCHAR) || ' ' END AS plate_text,
+  CASE WHEN p_size > 40 THEN '' ELSE CAST(1990 + p_size AS VARCHAR) END AS year_text,
+  CASE WHEN p_size % 3 = 0 THEN 'inactive' ELSE 'active' END AS status_text
+FROM part LEFT JOIN {ADMIN_OF} a ON a.o = p_partkey % 5 + 1"""
 LEGACY_USERS = """
 SELECT id, full_name, username, role, driver_id,
   CASE WHEN is_active = 0 THEN NULL ELSE owner_user_id END AS owner_user_id, is_active
@@ -362,73 +413,94 @@ TOKEN_REQUESTS = "SELECT user_id + 1 AS user_id FROM events WHERE event_type = '
 TOKEN_RESETS = "SELECT user_id + 1 AS user_id FROM events WHERE event_type = 'purchase' AND value > 250"
 
 
-def JUDGED(batch: str, admin_only: bool, form_rules: bool = False) -> str:
+def JUDGED(batch: str, admin_only: bool) -> str:
+    """Posts on entries by id, with session, target and reason."""
     not_admin = "CASE WHEN p.role = 'driver' THEN 'not_admin' END," if admin_only else ""
     tenant = "COALESCE(p.owner_user_id, p.id)"
-    passed = (f"(t.owner_user_id IS NOT NULL AND t.owner_user_id = {tenant} "
-              f"AND NOT (p.role = 'driver' AND t.driver_id <> COALESCE(p.driver_id, 0)))")
-    rules = f""",
-    CASE WHEN {passed} AND p.role = 'admin' AND NOT EXISTS (SELECT 1 FROM drivers x WHERE x.id = b.driver_id
-         AND x.owner_user_id = {tenant} AND x.status = 'active') THEN 'driver_not_in_owner' END,
-    CASE WHEN {passed} AND p.role = 'admin' AND NOT EXISTS (SELECT 1 FROM cars x WHERE x.id = b.car_id
-         AND x.owner_user_id = {tenant} AND x.status = 'active') THEN 'car_not_in_owner' END,
-    CASE WHEN {passed} AND p.role = 'driver' AND NOT EXISTS (SELECT 1 FROM cars x WHERE x.id = b.car_id
-         AND x.current_driver_id = b.driver_id AND x.status = 'active') THEN 'car_not_assigned' END""" \
-        if form_rules else ""
     return f"""
-SELECT b.*, p.role AS p_role, {tenant} AS p_tenant, p.driver_id AS p_driver,
-  t.owner_user_id AS t_owner, t.driver_id AS t_driver,
-  concat_ws(',', CASE WHEN p.role IS NULL THEN 'no_session' END, {not_admin}
+SELECT b.*, concat_ws(',', CASE WHEN p.role IS NULL THEN 'no_session' END, {not_admin}
     CASE WHEN p.role IS NOT NULL AND t.owner_user_id IS NULL THEN 'not_found' END,
     CASE WHEN t.owner_user_id IS NOT NULL AND t.owner_user_id <> {tenant} THEN 'other_owner' END,
     CASE WHEN t.owner_user_id IS NOT NULL AND p.role = 'driver' AND t.driver_id <> COALESCE(p.driver_id, 0)
-         THEN 'other_driver' END{rules}) AS reasons
-FROM {batch} b LEFT JOIN users p ON p.id = b.posted_by
-LEFT JOIN entries_unique t ON {KEYMATCH('t', 'b')}"""
+         THEN 'other_driver' END) AS reasons
+FROM {batch} b LEFT JOIN users p ON p.id = b.posted_by LEFT JOIN entries t ON t.id = b.id"""
 
 
 AMTS = ("gross_income", "app_expenses", "cash_collected", "rental_amount", "fuel_cost", "distance_km")
-ORDER_UPD = ", ".join(f"{c} DESC NULLS LAST" for c in AMTS + ("observations", "posted_by"))
+# the edited form as it would be saved: a driver user's own driver, a weekly entry's Monday, an admin's status
+EE_FORM = f"""
+SELECT b.change_seq, b.id, b.posted_by, p.role AS p_role, COALESCE(p.owner_user_id, p.id) AS p_tenant, p.driver_id AS p_driver,
+  t.owner_user_id AS t_owner, b.period_type,
+  CASE WHEN b.period_type = 'week' THEN CAST(date_trunc('week', b.entry_date) AS DATE) ELSE b.entry_date END AS entry_date,
+  CASE WHEN p.role = 'driver' THEN COALESCE(p.driver_id, 0) ELSE b.driver_id END AS driver_id, b.car_id,
+  {', '.join(f'b.{c}' for c in AMTS)}, b.observations,
+  CASE WHEN p.role = 'admin' THEN {ENUM('b.status_text', ('pending', 'invoiced'), 'pending')} END AS rental_billing_status
+FROM ee b LEFT JOIN users p ON p.id = b.posted_by LEFT JOIN entries t ON t.id = b.id"""
+EE_RULES = """
+SELECT f.*, concat_ws(',', CASE WHEN f.p_role IS NULL THEN 'no_session' END,
+    CASE WHEN f.p_role IS NOT NULL AND f.t_owner IS NULL THEN 'not_found' END,
+    CASE WHEN f.t_owner IS NOT NULL AND f.t_owner <> f.p_tenant THEN 'other_owner' END) AS early,
+  concat_ws(',', CASE WHEN NOT COALESCE(f.driver_id > 0, FALSE) THEN 'no_driver' END, CASE WHEN NOT COALESCE(f.car_id > 0, FALSE) THEN 'no_car' END,
+    CASE WHEN f.driver_id > 0 AND f.car_id > 0 AND f.p_role = 'admin' AND NOT EXISTS (SELECT 1 FROM drivers x WHERE x.id = f.driver_id
+         AND x.owner_user_id = f.p_tenant AND x.status = 'active') THEN 'driver_not_in_owner' END,
+    CASE WHEN f.driver_id > 0 AND f.car_id > 0 AND f.p_role = 'admin' AND NOT EXISTS (SELECT 1 FROM cars x WHERE x.id = f.car_id
+         AND x.owner_user_id = f.p_tenant AND x.status = 'active') THEN 'car_not_in_owner' END,
+    CASE WHEN f.driver_id > 0 AND f.car_id > 0 AND f.p_role = 'driver' AND NOT EXISTS (SELECT 1 FROM cars x WHERE x.id = f.car_id
+         AND x.current_driver_id = f.driver_id AND x.status = 'active') THEN 'car_not_assigned' END) AS form
+FROM ee_form f"""
+
+
+def KEY_TEXT(t: str) -> str:
+    return " || '|' || ".join(f"CAST({t}.{k} AS VARCHAR)" for k in KEY)
+
+
+EE = dict(
+    posted_entries=POSTED_ENTRIES, ee=ENTRY_EDITS, ee_form=EE_FORM, ee_rules=EE_RULES,
+    **SETTLED(f"""SELECT e.change_seq AS seq, e.id AS row, e.early = '' AND e.form = '' AS may, TRUE AS writes, {KEY_TEXT('e')} AS wants,
+                  e.p_role, e.p_driver FROM ee_rules e""",
+              f"SELECT e.id AS row, {KEY_TEXT('e')} AS key FROM entries e",
+              guard="(COALESCE(p_role, '') <> 'driver' OR split_part(had, '|', 3) = CAST(p_driver AS VARCHAR))"),
+    ee_judged="""
+SELECT e.*, CASE WHEN e.early <> '' THEN e.early WHEN v.why = 'guarded' THEN 'other_driver' WHEN e.form <> '' THEN e.form
+  WHEN v.why = 'taken' THEN 'duplicate' ELSE '' END AS reasons
+FROM ee_rules e JOIN verdict v ON v.seq = e.change_seq""")
+GIVEN = (*KEY, *AMTS, "observations")
 HIT = "n.change_seq IS NOT NULL"
 oracle("apply_entry_updates", f"""
-SELECT e.owner_user_id, e.period_type, e.entry_date, e.driver_id, e.car_id,
-  {', '.join(f'CASE WHEN {HIT} THEN n.{c} ELSE e.{c} END AS {c}' for c in AMTS[:4])},
-  e.rental_billing_status,
-  {', '.join(f'CASE WHEN {HIT} THEN n.{c} ELSE e.{c} END AS {c}' for c in AMTS[4:])},
-  e.created_by,
-  CASE WHEN {HIT} THEN CAST(ROUND(n.app_expenses + n.cash_collected + n.rental_amount, 2) AS DECIMAL(12,2))
-       ELSE e.total_expenses END AS total_expenses,
-  CASE WHEN {HIT} THEN CAST(ROUND(n.gross_income - (n.app_expenses + n.cash_collected + n.rental_amount), 2) AS DECIMAL(12,2))
-       ELSE e.net_total END AS net_total,
-  CAST(WEEKOFYEAR(e.entry_date) AS INT) AS week_number, CAST(MONTH(e.entry_date) AS INT) AS month_number,
-  CAST(YEAR(e.entry_date) AS INT) AS year_number,
-  CASE WHEN {HIT} THEN n.observations END AS observations,
-  CASE WHEN {HIT} THEN n.posted_by END AS updated_by
-FROM entries_unique e LEFT JOIN newest n ON {KEYMATCH('n', 'e')}""",
-       upd=ENTRY_UPDATES, judged=JUDGED("upd", False, form_rules=True),
-       newest=f"""SELECT * FROM (SELECT j.*, ROW_NUMBER() OVER (PARTITION BY {', '.join(KEY)}
-                  ORDER BY change_seq DESC, {ORDER_UPD}) AS rn FROM judged j WHERE reasons = '') x WHERE rn = 1""")
-oracle("apply_billing_status", f"""
-SELECT e.owner_user_id, e.period_type, e.entry_date, e.driver_id, e.car_id, e.gross_income, e.app_expenses,
-  e.cash_collected, e.rental_amount,
-  CASE WHEN n.n_by IS NOT NULL THEN n.n_status ELSE e.rental_billing_status END AS rental_billing_status,
-  e.fuel_cost, e.distance_km, e.created_by, e.total_expenses, e.net_total, e.week_number, e.month_number,
-  e.year_number, n.n_by AS updated_by
-FROM entries_unique e LEFT JOIN newest n ON {KEYMATCH('n', 'e')}""",
-       bc=BILLING_CHANGES, judged=JUDGED("bc", True),
-       newest=f"""SELECT * FROM (SELECT {', '.join(KEY)}, {ENUM('status_text', ('pending', 'invoiced'), 'pending')} AS n_status,
-                  posted_by AS n_by, ROW_NUMBER() OVER (PARTITION BY {', '.join(KEY)} ORDER BY
-                  {ENUM('status_text', ('pending', 'invoiced'), 'pending')} DESC, posted_by DESC) AS rn
-                  FROM judged WHERE reasons = '') x WHERE rn = 1""")
-oracle("apply_deletes", f"""
-SELECT e.* FROM entries_unique e
-WHERE NOT EXISTS (SELECT 1 FROM judged j WHERE j.reasons = '' AND {KEYMATCH('j', 'e')})""",
-       ed=ENTRY_DELETES, judged=JUDGED("ed", False))
-oracle("change_rejects", f"""
-SELECT 'update' AS change, {', '.join(KEY)}, posted_by, reasons FROM ju WHERE reasons <> ''
+SELECT e.id, e.owner_user_id, {', '.join(f'CASE WHEN {HIT} THEN n.{c} ELSE e.{c} END AS {c}' for c in GIVEN)},
+  COALESCE(s.rental_billing_status, e.rental_billing_status) AS rental_billing_status, e.created_by,
+  CASE WHEN {HIT} THEN n.posted_by ELSE e.updated_by END AS updated_by,
+  CASE WHEN {HIT} THEN CAST(n.app_expenses + n.cash_collected + n.rental_amount AS DECIMAL(12,2)) ELSE e.total_expenses END AS total_expenses,
+  CASE WHEN {HIT} THEN CAST(n.gross_income - (n.app_expenses + n.cash_collected + n.rental_amount) AS DECIMAL(12,2)) ELSE e.net_total END AS net_total,
+  CASE WHEN {HIT} THEN CAST(strftime(n.entry_date, '%V') AS INT) ELSE e.week_number END AS week_number,
+  CASE WHEN {HIT} THEN CAST(MONTH(n.entry_date) AS INT) ELSE e.month_number END AS month_number,
+  CASE WHEN {HIT} THEN CAST(YEAR(n.entry_date) AS INT) ELSE e.year_number END AS year_number
+FROM entries e LEFT JOIN newest n ON n.id = e.id LEFT JOIN newest_status s ON s.id = e.id""", **EE,
+       newest="""SELECT j.* FROM ee_judged j WHERE reasons = '' AND change_seq =
+                 (SELECT MAX(change_seq) FROM ee_judged k WHERE k.id = j.id AND k.reasons = '')""",
+       newest_status="""SELECT id, arg_max(rental_billing_status, change_seq) AS rental_billing_status FROM ee_judged
+                        WHERE reasons = '' AND rental_billing_status IS NOT NULL GROUP BY id""")
+BILLING = dict(posted_entries=POSTED_ENTRIES, bc=BILLING_CHANGES, judged=JUDGED("bc", True))
+BILLING_STATUS = ENUM('status_text', ('pending', 'invoiced'), 'pending')
+oracle("apply_billing_status", """
+SELECT e.* REPLACE (COALESCE(n.n_status, e.rental_billing_status) AS rental_billing_status, COALESCE(n.n_by, e.updated_by) AS updated_by)
+FROM entries e LEFT JOIN newest n ON n.id = e.id""", **BILLING,
+       newest=f"""SELECT id, arg_max({BILLING_STATUS}, change_seq) AS n_status, arg_max(posted_by, change_seq) AS n_by
+                  FROM judged WHERE reasons = '' GROUP BY id""")
+oracle("billing_change_audit", f"""
+SELECT j.change_seq, j.id, j.posted_by, {BILLING_STATUS} AS rental_billing_status,
+  CASE WHEN j.reasons <> '' THEN j.reasons
+       WHEN EXISTS (SELECT 1 FROM judged k WHERE k.id = j.id AND k.reasons = '' AND k.change_seq > j.change_seq) THEN 'superseded'
+       ELSE 'applied' END AS outcome
+FROM judged j""", **BILLING)
+oracle("apply_deletes", """
+SELECT e.* FROM entries e WHERE e.id NOT IN (SELECT j.id FROM judged j WHERE j.reasons = '')""",
+       posted_entries=POSTED_ENTRIES, ed=ENTRY_DELETES, judged=JUDGED("ed", False))
+oracle("change_rejects", """
+SELECT 'update' AS change, id, posted_by, reasons FROM ee_judged WHERE reasons <> ''
 UNION ALL
-SELECT 'delete' AS change, {', '.join(KEY)}, posted_by, reasons FROM jd WHERE reasons <> ''""",
-       upd=ENTRY_UPDATES, ed=ENTRY_DELETES, ju=JUDGED("upd", False, form_rules=True), jd=JUDGED("ed", False))
+SELECT 'delete' AS change, id, posted_by, reasons FROM jd WHERE reasons <> ''""",
+       **EE, ed=ENTRY_DELETES, jd=JUDGED("ed", False))
 oracle("apply_status", """
 SELECT d.id, d.owner_user_id, d.full_name, d.dni,
   CASE WHEN ok.id IS NOT NULL THEN ok.n_status ELSE d.status END AS status
@@ -476,36 +548,32 @@ SELECT change_seq, posted_by, driver_id, car_id, reasons FROM (
                               CASE WHEN p_role = 'driver' THEN 'not_admin' END,
                               CASE WHEN NOT car_ok THEN 'car_unavailable' END) AS reasons FROM ap) x
 WHERE reasons <> ''""", asg=ASSIGNMENTS, ap=ASG_P)
-DE_J = f"""
-SELECT e.id, e.posted_by, u.role AS p_role, COALESCE(u.owner_user_id, u.id) AS p_tenant, t.id AS t_id,
-  trim(e.full_name_text) AS full_name, NULLIF(trim(e.dni_text), '') AS dni,
-  {ENUM('e.status_text', ('active', 'inactive'), 'active')} AS status,
-  COALESCE(h.n > 1 OR h.mn <> e.id, FALSE) AS taken
-FROM de e LEFT JOIN users u ON u.id = e.posted_by
-LEFT JOIN drivers t ON t.id = e.id AND t.owner_user_id = COALESCE(u.owner_user_id, u.id)
-LEFT JOIN (SELECT owner_user_id, dni, COUNT(*) AS n, MIN(id) AS mn FROM drivers WHERE dni IS NOT NULL GROUP BY 1, 2) h
-  ON h.owner_user_id = COALESCE(u.owner_user_id, u.id) AND h.dni = NULLIF(trim(e.dni_text), '')"""
-DE_JUDGED = """
-SELECT j.id, j.posted_by, j.full_name, j.dni, j.status, concat_ws(',',
-  CASE WHEN j.p_role IS NULL THEN 'no_session' END, CASE WHEN j.p_role = 'driver' THEN 'not_admin' END,
-  CASE WHEN j.p_role IS NOT NULL AND j.t_id IS NULL THEN 'other_owner' END,
-  CASE WHEN j.full_name = '' THEN 'no_name' END,
-  CASE WHEN j.taken OR COALESCE(r.n, 0) > 1 THEN 'duplicate_dni' END) AS reasons
-FROM dej j LEFT JOIN (SELECT p_tenant, dni, COUNT(DISTINCT id) AS n FROM dej
-                      WHERE p_role = 'admin' AND t_id IS NOT NULL AND full_name <> '' AND dni IS NOT NULL
-                      GROUP BY 1, 2) r ON r.p_tenant = j.p_tenant AND r.dni = j.dni"""
+DE_RULES = f"""
+SELECT e.change_seq, e.id, e.posted_by, COALESCE(u.owner_user_id, u.id) AS p_tenant, {TRIM('e.full_name_text')} AS full_name,
+  NULLIF({TRIM('e.dni_text')}, '') AS dni, {ENUM('e.status_text', ('active', 'inactive'), 'active')} AS status,
+  concat_ws(',', CASE WHEN u.role IS NULL THEN 'no_session' END, CASE WHEN u.role = 'driver' THEN 'not_admin' END,
+    CASE WHEN u.role IS NOT NULL AND NOT EXISTS (SELECT 1 FROM drivers t WHERE t.id = e.id
+         AND t.owner_user_id = COALESCE(u.owner_user_id, u.id)) THEN 'other_owner' END,
+    CASE WHEN {TRIM('e.full_name_text')} = '' THEN 'no_name' END) AS rules
+FROM de e LEFT JOIN users u ON u.id = e.posted_by"""
+STORED_DNI = "SELECT id AS row, CAST(owner_user_id AS VARCHAR) || '|' || dni AS key FROM drivers"
+DE = dict(de=DRIVER_EDITS, de_rules=DE_RULES,
+          **SETTLED("""SELECT change_seq AS seq, id AS row, rules = '' AS may, TRUE AS writes,
+                       CAST(p_tenant AS VARCHAR) || '|' || dni AS wants FROM de_rules""", STORED_DNI),
+          judged="""SELECT e.change_seq, e.id, e.posted_by, e.full_name, e.dni, e.status,
+                    CASE WHEN v.why = 'taken' THEN 'duplicate_dni' ELSE e.rules END AS reasons
+                    FROM de_rules e JOIN verdict v ON v.seq = e.change_seq""")
 oracle("apply_dimension_updates", """
 SELECT d.id, d.owner_user_id,
   CASE WHEN n.id IS NOT NULL THEN n.full_name ELSE d.full_name END AS full_name,
   CASE WHEN n.id IS NOT NULL THEN n.dni ELSE d.dni END AS dni,
   CASE WHEN n.id IS NOT NULL THEN n.status ELSE d.status END AS status
-FROM drivers d LEFT JOIN newest n ON n.id = d.id""",
-       de=DRIVER_EDITS, dej=DE_J, judged=DE_JUDGED,
-       newest="""SELECT * FROM (SELECT j.*, ROW_NUMBER() OVER (PARTITION BY id ORDER BY full_name DESC NULLS LAST,
-                 dni DESC NULLS LAST, status DESC NULLS LAST) AS rn FROM judged j WHERE reasons = '') x WHERE rn = 1""")
-oracle("driver_edit_rejects", "SELECT * FROM judged WHERE reasons <> ''", de=DRIVER_EDITS, dej=DE_J, judged=DE_JUDGED)
-UE_JUDGED = """
-SELECT j.id, j.posted_by, trim(j.full_name_text) AS full_name, trim(j.username_text) AS username, j.role,
+FROM drivers d LEFT JOIN newest n ON n.id = d.id""", **DE,
+       newest="""SELECT * FROM judged j WHERE reasons = '' AND NOT EXISTS
+                 (SELECT 1 FROM judged k WHERE k.id = j.id AND k.reasons = '' AND k.change_seq > j.change_seq)""")
+oracle("driver_edit_rejects", "SELECT * FROM judged WHERE reasons <> ''", **DE)
+UE_RULES = """
+SELECT j.change_seq, j.id, j.posted_by, trim(j.full_name_text) AS full_name, trim(j.username_text) AS username, j.role,
   j.linked_driver AS driver_id, j.is_active, concat_ws(',',
   CASE WHEN NOT COALESCE(j.p_role = 'admin' AND j.m_username = (SELECT MIN(username) FROM users WHERE role = 'admin'), FALSE) THEN 'not_user_manager' END,
   CASE WHEN trim(j.full_name_text) = '' OR trim(j.username_text) = '' THEN 'missing_fields' END,
@@ -513,16 +581,17 @@ SELECT j.id, j.posted_by, trim(j.full_name_text) AS full_name, trim(j.username_t
        AND d.owner_user_id = j.p_tenant) THEN 'driver_not_in_owner' END,
   CASE WHEN j.id = j.posted_by AND (j.role <> 'admin' OR j.is_active <> 1) THEN 'self_lock' END,
   CASE WHEN NOT EXISTS (SELECT 1 FROM users t WHERE t.id = j.id AND t.owner_user_id = j.p_tenant)
-       THEN 'user_not_in_owner' END,
-  CASE WHEN EXISTS (SELECT 1 FROM users h WHERE h.username = trim(j.username_text) AND h.id <> j.id)
-         OR (SELECT COUNT(DISTINCT e.id) FROM ue e WHERE trim(e.username_text) = trim(j.username_text)) > 1
-       THEN 'duplicate_username' END) AS reasons
+       THEN 'user_not_in_owner' END) AS rules
 FROM uj j"""
 USER_EDIT_CTES = dict(ue=USER_EDITS, uj=f"""SELECT e.*, p.role AS p_role, COALESCE(p.owner_user_id, p.id) AS p_tenant, p.username AS m_username,
               {ENUM('e.role_text', ('admin', 'driver'), 'driver')} AS role,
               CASE WHEN {ENUM('e.role_text', ('admin', 'driver'), 'driver')} = 'admin' THEN NULL ELSE e.driver_id END
                 AS linked_driver
-              FROM ue e LEFT JOIN users p ON p.id = e.posted_by""", uej=UE_JUDGED)
+              FROM ue e LEFT JOIN users p ON p.id = e.posted_by""", ue_rules=UE_RULES,
+              **SETTLED("SELECT change_seq AS seq, id AS row, rules = '' AS may, TRUE AS writes, username AS wants FROM ue_rules",
+                        "SELECT id AS row, username AS key FROM users"),
+              uej="""SELECT e.* EXCLUDE (rules), CASE WHEN v.why = 'taken' THEN 'duplicate_username' ELSE e.rules END AS reasons
+                     FROM ue_rules e JOIN verdict v ON v.seq = e.change_seq""")
 oracle("user_rejects", "SELECT * FROM uej WHERE reasons <> ''", **USER_EDIT_CTES)
 oracle("apply_user_edits", """
 SELECT u.id, CASE WHEN e.id IS NULL THEN u.full_name ELSE e.full_name END AS full_name,
@@ -700,30 +769,23 @@ WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.owner_user_id = w.owner_user_id A
        gone=f"""SELECT DISTINCT COALESCE(u.owner_user_id, u.id) AS owner_user_id,
                 {WS(VALID('nd.week_text', WEEK_RE, AS_OF_WEEK))} AS week_start
                 FROM nd JOIN users u ON u.id = nd.posted_by WHERE u.role = 'admin'""")
-CC = f"""
-SELECT form_seq AS id, posted_by, {TRIM('brand_text')} AS brand, {TRIM('model_text')} AS model, upper({TRIM('plate_text')}) AS plate,
+CE_RULES = f"""
+SELECT f.form_seq, f.id, f.posted_by, COALESCE(u.owner_user_id, u.id) AS p_tenant, {TRIM('brand_text')} AS brand,
+  {TRIM('model_text')} AS model, upper({TRIM('plate_text')}) AS plate,
   CASE WHEN {TRIM('year_text')} = '' THEN NULL ELSE CAST({PINT('year_text')} AS INT) END AS year,
-  CASE WHEN status_text IN ('active', 'inactive') THEN status_text ELSE 'active' END AS status,
-  concat_ws(',', CASE WHEN {TRIM('brand_text')} = '' OR {TRIM('model_text')} = '' OR upper({TRIM('plate_text')}) = ''
-                      THEN 'missing_fields' END) AS reasons
-FROM car_forms"""
-CJ = """
-SELECT c.*, u.role AS p_role, COALESCE(u.owner_user_id, u.id) AS p_tenant, t.id AS t_id,
-  COALESCE(h.n > 1 OR h.mn <> c.id, FALSE) AS taken
-FROM cc c LEFT JOIN users u ON u.id = c.posted_by
-LEFT JOIN cars t ON t.id = c.id AND t.owner_user_id = COALESCE(u.owner_user_id, u.id)
-LEFT JOIN (SELECT owner_user_id, plate, COUNT(*) AS n, MIN(id) AS mn FROM cars GROUP BY 1, 2) h
-  ON h.owner_user_id = COALESCE(u.owner_user_id, u.id) AND h.plate = c.plate"""
-CJUDGED = """
-SELECT j.id, j.posted_by, j.brand, j.model, j.plate, j.year, j.status, concat_ws(',',
-  CASE WHEN j.p_role IS NULL THEN 'no_session' END, CASE WHEN j.p_role = 'driver' THEN 'not_admin' END,
-  CASE WHEN j.p_role IS NOT NULL AND j.t_id IS NULL THEN 'other_owner' END,
-  CASE WHEN j.reasons <> '' THEN 'missing_fields' END,
-  CASE WHEN j.taken OR COALESCE(r.n, 0) > 1 THEN 'duplicate_plate' END) AS reasons
-FROM cj j LEFT JOIN (SELECT p_tenant, plate, COUNT(DISTINCT id) AS n FROM cj
-                     WHERE p_role = 'admin' AND t_id IS NOT NULL AND reasons = '' GROUP BY 1, 2) r
-  ON r.p_tenant = j.p_tenant AND r.plate = j.plate"""
-CARS_EDIT = dict(car_forms=CAR_FORMS, cc=CC, cj=CJ, cjudged=CJUDGED)
+  CASE WHEN f.status_text IN ('active', 'inactive') THEN f.status_text ELSE 'active' END AS status,
+  concat_ws(',', CASE WHEN u.role IS NULL THEN 'no_session' END, CASE WHEN u.role = 'driver' THEN 'not_admin' END,
+    CASE WHEN u.role IS NOT NULL AND NOT EXISTS (SELECT 1 FROM cars t WHERE t.id = f.id
+         AND t.owner_user_id = COALESCE(u.owner_user_id, u.id)) THEN 'other_owner' END,
+    CASE WHEN {TRIM('brand_text')} = '' OR {TRIM('model_text')} = '' OR upper({TRIM('plate_text')}) = ''
+         THEN 'missing_fields' END) AS rules
+FROM ce f LEFT JOIN users u ON u.id = f.posted_by"""
+CARS_EDIT = dict(ce=CAR_EDITS, ce_rules=CE_RULES,
+                 **SETTLED("""SELECT form_seq AS seq, id AS row, rules = '' AS may, TRUE AS writes,
+                              CAST(p_tenant AS VARCHAR) || '|' || plate AS wants FROM ce_rules""",
+                           "SELECT id AS row, CAST(owner_user_id AS VARCHAR) || '|' || plate AS key FROM cars"),
+                 cjudged="""SELECT e.* EXCLUDE (rules, p_tenant), CASE WHEN v.why = 'taken' THEN 'duplicate_plate' ELSE e.rules END AS reasons
+                            FROM ce_rules e JOIN verdict v ON v.seq = e.form_seq""")
 oracle("apply_car_edits", """
 SELECT c.id, c.owner_user_id,
   CASE WHEN n.id IS NOT NULL THEN n.brand ELSE c.brand END AS brand,
@@ -834,15 +896,16 @@ oracle("new_user_rejects", "SELECT * FROM nur WHERE reasons <> ''", **NEW_USERS)
 
 # --- driver form saves --------------------------------------------------------------------
 
-NPART = "(SELECT COUNT(*) FROM part)"
 DRIVER_SAVES = f"""
-SELECT s_suppkey + 1 AS change_seq, s_suppkey * 11 % {NCUST} + 1 AS posted_by,
-  CASE WHEN s_suppkey % 4 = 0 THEN CAST(0 AS BIGINT) ELSE s_suppkey + 1 END AS id,
-  CASE WHEN s_suppkey % 9 = 0 THEN ' ' ELSE s_name || ' ' END AS full_name_text,
-  CASE WHEN s_suppkey % 6 = 0 THEN '' ELSE CAST(30000000 + s_suppkey * 7 % 90 AS VARCHAR) END AS dni_text,
-  CASE WHEN s_acctbal > 5000 THEN 'inactive' ELSE 'active' END AS status_text,
-  CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE CAST(s_suppkey * 17 % {NPART} + 1 AS VARCHAR) END AS assigned_car_text
-FROM supplier"""
+SELECT c_custkey + 1 AS change_seq,
+  CASE WHEN c_custkey % 10 = 0 THEN c_custkey * 11 % {NCUST} + 1 ELSE a.tenant_admin END AS posted_by,
+  CASE WHEN c_custkey % 4 = 0 THEN CAST(0 AS BIGINT) ELSE c_custkey % {NSUP} + 1 END AS id,
+  CASE WHEN c_custkey % 9 = 0 THEN ' ' ELSE c_name || ' ' END AS full_name_text,
+  CASE WHEN c_custkey % 6 = 0 THEN '' ELSE CAST(30000000 + c_custkey * 7 % 90 AS VARCHAR) END AS dni_text,
+  CASE WHEN c_acctbal > 5000 THEN 'inactive' ELSE 'active' END AS status_text,
+  CASE WHEN c_custkey % 5 = 0 THEN '' WHEN c_custkey % 7 = 0 THEN CAST(c_custkey * 17 % {NPART} + 1 AS VARCHAR)
+       ELSE CAST(d.owner_user_id + 5 * (c_custkey % 30) AS VARCHAR) END AS assigned_car_text
+FROM customer LEFT JOIN drivers d ON d.id = c_custkey % {NSUP} + 1 LEFT JOIN {ADMIN_OF} a ON a.o = d.owner_user_id"""
 DSP = f"""
 SELECT s.*, u.role AS p_role, COALESCE(u.owner_user_id, u.id) AS p_tenant,
   trim(s.full_name_text) AS full_name, NULLIF(trim(s.dni_text), '') AS dni,
@@ -856,25 +919,21 @@ SELECT d.*,
   (d.id = 0 OR EXISTS (SELECT 1 FROM drivers x WHERE x.id = d.id AND x.owner_user_id = d.p_tenant)) AS writes_driver
 FROM dsp d"""
 DSW = """
-SELECT d.*, COALESCE(d.p_role = 'admin' AND d.full_name <> '' AND d.car_ok AND d.writes_driver
-                     AND d.dni IS NOT NULL, FALSE) AS writes_dni,
-  CASE WHEN d.id > 0 THEN d.id ELSE -d.change_seq END AS identity
-FROM dsq d"""
-DSJ = """
-SELECT d.change_seq, d.posted_by, d.id, d.p_tenant AS owner_user_id, d.full_name, d.dni, d.status, d.car_id,
-  d.writes_driver, concat_ws(',',
+SELECT d.*, concat_ws(',',
     CASE WHEN d.p_role IS NULL THEN 'no_session' END,
     CASE WHEN d.p_role = 'driver' THEN 'not_admin' END,
     CASE WHEN d.p_role = 'admin' AND d.full_name = '' THEN 'no_name' END,
-    CASE WHEN d.p_role = 'admin' AND d.full_name <> '' AND NOT d.car_ok THEN 'car_unavailable' END,
-    CASE WHEN d.writes_dni AND (
-        EXISTS (SELECT 1 FROM drivers x WHERE x.owner_user_id = d.p_tenant AND x.dni = d.dni
-                AND (d.id = 0 OR x.id <> d.id))
-        OR (SELECT COUNT(DISTINCT o.identity) FROM dsw o
-            WHERE o.writes_dni AND o.p_tenant = d.p_tenant AND o.dni = d.dni) > 1)
-      THEN 'duplicate_dni' END) AS reasons
-FROM dsw d"""
-SAVES = dict(ds=DRIVER_SAVES, dsp=DSP, dsq=DSQ, dsw=DSW, dsj=DSJ,
+    CASE WHEN d.p_role = 'admin' AND d.full_name <> '' AND NOT d.car_ok THEN 'car_unavailable' END) AS rules
+FROM dsq d"""
+DSJ = """
+SELECT d.change_seq, d.posted_by, d.id, d.p_tenant AS owner_user_id, d.full_name, d.dni, d.status, d.car_id,
+  d.writes_driver, CASE WHEN v.why = 'taken' THEN 'duplicate_dni' ELSE d.rules END AS reasons
+FROM dsw d JOIN verdict v ON v.seq = d.change_seq"""
+SAVES = dict(ds=DRIVER_SAVES, dsp=DSP, dsq=DSQ, dsw=DSW,
+             **SETTLED("""SELECT change_seq AS seq, CASE WHEN id > 0 THEN id ELSE -change_seq END AS row, rules = '' AS may,
+                          writes_driver AS writes, CASE WHEN writes_driver THEN CAST(p_tenant AS VARCHAR) || '|' || dni END AS wants
+                          FROM dsw""", STORED_DNI),
+             dsj=DSJ,
              ok="SELECT * FROM dsj WHERE reasons = ''",
              top="SELECT COALESCE(MAX(id), 0) AS top FROM drivers")
 oracle("driver_save_rejects", """

@@ -9,18 +9,26 @@ from fleetbook.plans.params import AS_OF
 from fleetbook.sources.standins import StandinBatches, user_manager
 
 
+def _entry_edits(t):
+    return C.judge_entry_edits(StandinBatches(t).entry_edits, t.entries, t.users, t.drivers, t.cars)
+
+
 @query("apply_entry_updates")
 def apply_entry_updates(t):
-    """Entries after the posted amount edits (tenant / own-driver checks, form rules, newest wins)."""
-    s = StandinBatches(t)
-    return C.apply_entry_updates(t.entries_unique, s.entry_updates, t.users, drivers=t.drivers, cars=t.cars)
+    """Entries after the posted edits (whole forms by id; keys may move), as if applied in posting order."""
+    return C.apply_entry_edits(t.entries, _entry_edits(t))
 
 
 @query("apply_billing_status")
 def apply_billing_status(t):
-    """Entries after billing-status changes by admins of the entry's tenant."""
-    s = StandinBatches(t)
-    return C.apply_billing_status(t.entries_unique, s.billing_changes, t.users)
+    """Entries after billing-status posts by admins of the entry's tenant; the last post on an entry holds."""
+    return C.apply_billing_status(t.entries, StandinBatches(t).billing_changes, t.users)
+
+
+@query("billing_change_audit")
+def billing_change_audit(t):
+    """Every billing-status post: applied, superseded by a later one, or why it is rejected."""
+    return C.judge_billing_changes(t.entries, StandinBatches(t).billing_changes, t.users)
 
 
 @query("apply_status")
@@ -33,8 +41,7 @@ def apply_status(t):
 @query("apply_deletes")
 def apply_deletes(t):
     """Entries after the allowed delete requests."""
-    s = StandinBatches(t)
-    return C.apply_deletes(t.entries_unique, s.entry_deletes, t.users)
+    return C.apply_deletes(t.entries, StandinBatches(t).entry_deletes, t.users)
 
 
 @query("upsert_notes")
@@ -61,8 +68,7 @@ def assignment_rejects(t):
 @query("apply_dimension_updates")
 def apply_dimension_updates(t):
     """Drivers after the accepted driver edits (name, dni, status)."""
-    s = StandinBatches(t)
-    return C.apply_driver_edits(t.drivers, s.driver_edits, t.users)
+    return C.apply_driver_edits(t.drivers, C.judge_driver_edits(StandinBatches(t).driver_edits, t.drivers, t.users))
 
 
 @query("driver_edit_rejects")
@@ -75,26 +81,25 @@ def driver_edit_rejects(t):
 
 @query("change_rejects")
 def change_rejects(t):
-    """Entry edits and deletes rejected for session, ownership, driver or form-rule reasons."""
-    s = StandinBatches(t)
-    return C.entry_change_rejects(t.entries_unique, t.users, s.entry_updates, s.entry_deletes,
-                                  drivers=t.drivers, cars=t.cars)
+    """Entry edits and deletes that are rejected, with reasons (session, ownership, driver, form rules, key taken)."""
+    return C.entry_change_rejects(_entry_edits(t), t.entries, t.users, StandinBatches(t).entry_deletes)
+
+
+def _user_edits(t):
+    return C.judge_user_edits(StandinBatches(t).user_edits, t.users, t.drivers, user_manager(t.users, "username"))
 
 
 @query("user_rejects")
 def user_rejects(t):
-    """User edits rejected, with every failed rule (manager, fields, driver,
-    self-lock, tenant)."""
-    s = StandinBatches(t)
-    j = C.judge_user_edits(s.user_edits, t.users, t.drivers, user_manager(t.users, "username"))
+    """User edits rejected, with every failed rule (manager, fields, driver, self-lock, tenant, username)."""
+    j = _user_edits(t)
     return j.where(j.reasons != "")
 
 
 @query("apply_user_edits")
 def apply_user_edits(t):
     """Users after the accepted user edits."""
-    s = StandinBatches(t)
-    return C.apply_user_edits(t.users, s.user_edits, t.drivers, user_manager(t.users, "username"))
+    return C.apply_user_edits(t.users, _user_edits(t))
 
 
 @query("apply_status_cars")
@@ -118,18 +123,20 @@ def apply_note_deletes(t):
     return C.apply_note_deletes(t.weekly_money_notes, s.note_deletes, t.users, AS_OF)
 
 
+def _car_edits(t):
+    return C.judge_car_edits(L.clean_car_forms(StandinBatches(t).car_edits), t.cars, t.users)
+
+
 @query("apply_car_edits")
 def apply_car_edits(t):
-    """Cars after the accepted car edit forms (cleaned, tenant-checked, plate unique)."""
-    s = StandinBatches(t)
-    return C.apply_car_edits(t.cars, L.clean_car_forms(s.car_forms), t.users)
+    """Cars after the accepted car edit forms (cleaned, tenant-checked, plate free at that time)."""
+    return C.apply_car_edits(t.cars, _car_edits(t))
 
 
 @query("car_edit_rejects")
 def car_edit_rejects(t):
     """Car edit forms that are rejected, with reasons."""
-    s = StandinBatches(t)
-    j = C.judge_car_edits(L.clean_car_forms(s.car_forms), t.cars, t.users)
+    j = _car_edits(t)
     return j.where(j.reasons != "")
 
 
@@ -140,23 +147,24 @@ def note_rejects(t):
     return C.note_post_rejects(s.note_posts, t.users)
 
 
+def _driver_saves(t):
+    return C.judge_driver_saves(StandinBatches(t).driver_saves, t.drivers, t.cars, t.users)
+
+
 @query("driver_saves")
 def driver_saves(t):
     """Drivers after the driver form saves (edits and creations, whole-save rules)."""
-    s = StandinBatches(t)
-    return C.apply_driver_saves(t.drivers, t.cars, s.driver_saves, t.users)["drivers"]
+    return C.apply_driver_saves(t.drivers, t.cars, _driver_saves(t), t.users)["drivers"]
 
 
 @query("driver_save_cars")
 def driver_save_cars(t):
     """Cars after the car assignments of the accepted driver form saves."""
-    s = StandinBatches(t)
-    return C.apply_driver_saves(t.drivers, t.cars, s.driver_saves, t.users)["cars"]
+    return C.apply_driver_saves(t.drivers, t.cars, _driver_saves(t), t.users)["cars"]
 
 
 @query("driver_save_rejects")
 def driver_save_rejects(t):
     """Driver form saves that fail as a whole, with reasons."""
-    s = StandinBatches(t)
-    j = C.judge_driver_saves(s.driver_saves, t.drivers, t.cars, t.users)
+    j = _driver_saves(t)
     return j.where(j.reasons != "").drop("writes_driver")

@@ -8,8 +8,9 @@ measured sizes), UTC session clock, ANSI arithmetic, and no web UI.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings applied to every session built here. Broadcast joins are only
 # chosen by Spark itself, from plan statistics (autoBroadcastJoinThreshold)
@@ -105,3 +106,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="fleetbook-ckpt-"))
     return context._jsc.sc().getCheckpointDir().get()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as parquet in the shared checkpoint folder and read back.
+
+    Cuts the lineage of iterative jobs: what a lost executor held is read again.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

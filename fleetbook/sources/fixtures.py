@@ -173,6 +173,19 @@ class TestdataTables:
                 .select(*key, *[F.col(f"m.{c}").alias(c) for c in order + rest])
                 .select(*self.daily_entries.columns))
 
+    @cached_property
+    def entries(self) -> DataFrame:
+        """Stored entries with their id, observations and last editor.
+
+        The id is the unique key as a number: day and kind of period, driver, car.
+        """
+        e = self.entries_unique
+        day = F.datediff("entry_date", F.lit("1990-01-01").cast("date")).cast("bigint")
+        kind = day * 2 + F.when(F.col("period_type") == "week", 1).otherwise(0)
+        number = (kind * (self.supplier_count + 1) + F.col("driver_id")) * (self.part_count + 1) + F.col("car_id")
+        return e.select(number.cast("bigint").alias("id"), *e.columns, F.lit(None).cast("string").alias("observations"),
+                        F.lit(None).cast("bigint").alias("updated_by"))
+
     @cached_property
     def general_expenses(self) -> DataFrame:
         o = self.raw("orders")

@@ -34,6 +34,12 @@ class StandinBatches:
     def __init__(self, t: TestdataTables):
         self.t = t
 
+    def _with_tenant_admin(self, df: DataFrame, owner: str) -> DataFrame:
+        """``df`` with ``tenant_admin``: the first admin of the row's tenant."""
+        u = self.t.users.where(F.col("role") == "admin")
+        first = u.groupBy(F.col("owner_user_id").alias("_ta_owner")).agg(F.min("id").alias("tenant_admin"))
+        return df.join(first, df[owner] == first["_ta_owner"], "left").drop("_ta_owner")
+
     @cached_property
     def entry_forms(self) -> DataFrame:
         """Posted entry load forms, one per line item, all fields as text."""
@@ -131,44 +137,58 @@ class StandinBatches:
             F.repeat(F.col("props"), 5).alias("ip_address"),
         )
 
+    def _posted_entries(self) -> DataFrame:
+        """Stored entries with the account that posts their changes: their tenant's first admin, for
+        every eighth the user linked to their driver, for another eighth any user."""
+        k = F.col("id")
+        poster = (F.when(k % 8 == 1, F.col("driver_id") + self.t.supplier_count)
+                  .when(k % 8 == 2, k % self.t.customer_count + 1).otherwise(F.col("tenant_admin")))
+        return self._with_tenant_admin(self.t.entries, "owner_user_id").withColumn("posted_by", poster)
+
     @cached_property
     def billing_changes(self) -> DataFrame:
-        """Billing-status changes posted for every entry, keyed by the entry key."""
-        e = self.t.entries_unique
-        return e.select(
-            "period_type", "entry_date", "driver_id", "car_id",
-            F.when(F.col("rental_billing_status") == "pending", F.lit("invoiced"))
-            .otherwise(F.lit("facturado")).alias("status_text"),
-            (F.col("car_id") % self.t.customer_count + 1).alias("posted_by"),
-        )
+        """Billing-status posts by entry id: one for every entry, and a later one for every third."""
+        e = self._posted_entries()
+        k = F.col("id")
+        status = F.when(F.col("rental_billing_status") == "pending", F.lit("invoiced")).otherwise(F.lit("facturado"))
+        posts = F.array(F.struct((k * 2).alias("change_seq"), status.alias("status_text")),
+                        F.when(k % 3 == 0, F.struct((k * 2 + 1).alias("change_seq"), F.lit("pending").alias("status_text"))))
+        return e.select("id", "posted_by", F.explode(posts).alias("p")).where("p is not null").select(
+            "p.change_seq", "id", "p.status_text", "posted_by")
 
     @cached_property
-    def entry_updates(self) -> DataFrame:
-        """Edited entry amounts, one post per line item."""
-        li = self.t.raw("lineitem")
-        return li.select(
-            F.lit("day").alias("period_type"),
-            F.to_date("l_shipdate").alias("entry_date"),
-            (F.col("l_suppkey") + 1).alias("driver_id"),
-            (F.col("l_partkey") + 1).alias("car_id"),
-            _money_times(F.col("l_extendedprice"), F.lit(Decimal("1.1"))).alias("gross_income"),
-            _money_times(F.col("l_extendedprice"), F.col("l_discount").cast("decimal(4,2)"))
-            .alias("app_expenses"),
-            F.lit(0).cast("decimal(12,2)").alias("cash_collected"),
-            (F.col("l_quantity") * 900).cast("decimal(12,2)").alias("rental_amount"),
-            (F.col("l_quantity") * 12).cast("decimal(12,2)").alias("fuel_cost"),
-            F.col("l_quantity").cast("decimal(10,2)").alias("distance_km"),
-            F.col("l_returnflag").alias("observations"),
-            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("change_seq"),
-            (F.col("l_orderkey") % self.t.customer_count + 1).alias("posted_by"),
+    def entry_edits(self) -> DataFrame:
+        """Edited entries, posted as whole forms by entry id.
+
+        Every entry is moved to its month's first day (every fifth one as a weekly entry) and to one of its
+        tenant's first cars, so several want one key; some ten days of posts later, every third one moves
+        on to the next day and frees the key. Every hundredth names an entry that is not there.
+        """
+        e = self._posted_entries()
+        k = F.col("id")
+        ten_days = F.lit(20).cast("bigint") * (self.t.supplier_count + 1) * (self.t.part_count + 1)
+        own_car = F.col("driver_id") + self.t.supplier_count * (1 + k % 3)
+        car = F.when(k % 8 == 1, own_car).otherwise(F.col("owner_user_id") + 5 * (F.col("car_id") % 9))
+        month = F.trunc("entry_date", "month")
+        first = F.struct((k * 2).alias("change_seq"), F.when(k % 100 == 99, k + 1).otherwise(k).alias("id"),
+                         F.when(k % 5 == 0, F.lit("week")).otherwise(F.lit("day")).alias("period_type"), month.alias("entry_date"),
+                         F.lit(Decimal("1.1")).alias("rate"), F.lit("invoiced").alias("status_text"))
+        later = F.struct(((k + ten_days) * 2 + 1).alias("change_seq"), k.alias("id"), F.lit("day").alias("period_type"),
+                         F.date_add(month, 1).alias("entry_date"), F.lit(Decimal("1.2")).alias("rate"), F.lit("facturado").alias("status_text"))
+        posts = F.array(first, F.when(k % 3 == 0, later))
+        x = e.withColumn("car", car).withColumn("p", F.explode(posts)).where("p is not null")
+        return x.select(
+            "p.change_seq", "p.id", "posted_by", "p.period_type", "p.entry_date", "driver_id", F.col("car").alias("car_id"),
+            _money_times(F.col("gross_income"), F.col("p.rate")).alias("gross_income"), "app_expenses",
+            F.lit(0).cast("decimal(12,2)").alias("cash_collected"), "rental_amount", "fuel_cost", "distance_km", "p.status_text",
+            F.concat(F.lit("edit "), F.col("p.change_seq").cast("string")).alias("observations"),
         )
 
     @cached_property
     def entry_deletes(self) -> DataFrame:
-        """Delete requests: every weekly entry, posted by a user each."""
-        e = self.t.entries_unique.where(F.col("period_type") == "week")
-        return e.select("period_type", "entry_date", "driver_id", "car_id",
-                        (F.col("driver_id") * 7 % self.t.customer_count + 1).alias("posted_by"))
+        """Delete requests by entry id: every weekly entry."""
+        e = self._posted_entries().where(F.col("period_type") == "week")
+        return e.select("id", "posted_by")
 
     @cached_property
     def status_changes(self) -> DataFrame:
@@ -211,34 +231,54 @@ class StandinBatches:
 
     @cached_property
     def user_edits(self) -> DataFrame:
-        """User edit posts: one per user, posted by the user itself (every fifth id), the next user id (every
-        third) or else the account that manages users."""
+        """User edit posts, the last user first: one per user, posted by the user itself (every fifth id), the
+        next user id (every third) or else the account that manages users. Of seven users one wants the next
+        one's username, which that one may have given up."""
         u = self.t.users
+        k = F.col("id")
         return u.select(
-            F.col("id"),
-            F.when(F.col("id") % 5 == 0, F.col("id")).when(F.col("id") % 3 == 0, F.col("id") + 1)
-            .otherwise(user_manager(u, "id")).alias("posted_by"),
+            (self.t.customer_count + 1 - k).alias("change_seq"), "id",
+            F.when(k % 5 == 0, k).when(k % 3 == 0, k + 1).otherwise(user_manager(u, "id")).alias("posted_by"),
             F.upper(F.col("full_name")).alias("full_name_text"),
-            F.col("username").alias("username_text"),
+            F.when(k % 7 == 1, F.concat("username", F.lit(".x")))
+            .when(k % 7 == 0, F.format_string("customer#%09d", k)).otherwise(F.col("username")).alias("username_text"),
             F.when(F.col("role") == "admin", F.lit("driver")).otherwise(F.lit("admin")).alias("role_text"),
-            F.when(F.col("role") == "admin", F.col("id") % self.t.supplier_count + 1)
-            .alias("driver_id"),
-            F.when(F.col("id") % 4 == 0, F.lit(0)).otherwise(F.lit(1)).alias("is_active"),
+            F.when(F.col("role") == "admin", k % self.t.supplier_count + 1).alias("driver_id"),
+            F.when(k % 4 == 0, F.lit(0)).otherwise(F.lit(1)).alias("is_active"),
         )
 
     @cached_property
     def driver_edits(self) -> DataFrame:
-        """Driver edit posts: one per supplier, posted by a user each."""
-        s = self.t.raw("supplier")
-        k = F.col("s_suppkey")
-        return s.select(
-            (k + 1).alias("id"),
-            (k * 11 % self.t.customer_count + 1).alias("posted_by"),
-            F.when(k % 9 == 0, F.lit(" ")).otherwise(F.upper("s_name")).alias("full_name_text"),
-            F.when(k % 6 == 0, F.lit("")).otherwise((F.lit(30000000) + k * 7 % 90).cast("string"))
-            .alias("dni_text"),
-            F.when(F.col("s_acctbal") > 5000, F.lit("inactive")).otherwise(F.lit("active"))
-            .alias("status_text"),
+        """Driver edit posts, one per customer row, most by the tenant's first admin; drivers of a tenant
+        want each other's dni."""
+        c = self.t.raw("customer").withColumn("id", F.col("c_custkey") % self.t.supplier_count + 1)
+        k = F.col("c_custkey")
+        d = self._with_tenant_admin(self.t.drivers.select("id", "owner_user_id"), "owner_user_id")
+        return c.join(d, "id", "left").select(
+            (k + 1).alias("change_seq"), "id",
+            F.when(k % 10 == 0, k * 11 % self.t.customer_count + 1).otherwise(F.col("tenant_admin")).alias("posted_by"),
+            F.when(k % 9 == 0, F.lit(" ")).otherwise(F.upper("c_name")).alias("full_name_text"),
+            F.when(k % 6 == 0, F.lit("")).otherwise((F.lit(30000000) + k * 7 % 90).cast("string")).alias("dni_text"),
+            F.when(F.col("c_acctbal") > 5000, F.lit("inactive")).otherwise(F.lit("active")).alias("status_text"),
+        )
+
+    @cached_property
+    def car_edits(self) -> DataFrame:
+        """Car edit forms, the last car first, most by the tenant's first admin: of three cars one takes a new
+        plate and two want plates that others may have given up."""
+        p = self.t.raw("part").withColumn("owner", (F.col("p_partkey") % 5 + 1).cast("bigint"))
+        k = F.col("p_partkey")
+        plate = (F.when(k % 3 == 1, F.concat(F.lit("n"), k.cast("string")))
+                 .when(k % 3 == 2, F.concat(F.lit(" p"), (k + 5).cast("string")))
+                 .otherwise(F.concat(F.lit("P"), (k + 10).cast("string"), F.lit(" "))))
+        return self._with_tenant_admin(p, "owner").select(
+            (self.t.part_count - k).alias("form_seq"), (k + 1).cast("bigint").alias("id"),
+            F.when(k % 10 == 0, k * 13 % self.t.customer_count + 1).otherwise(F.col("tenant_admin")).alias("posted_by"),
+            F.concat(F.lit(" "), F.col("p_brand")).alias("brand_text"),
+            F.when(F.col("p_size") == 1, F.lit(" ")).otherwise(F.col("p_type")).alias("model_text"),
+            plate.alias("plate_text"),
+            F.when(F.col("p_size") > 40, F.lit("")).otherwise((F.lit(1990) + F.col("p_size")).cast("string")).alias("year_text"),
+            F.when(F.col("p_size") % 3 == 0, F.lit("inactive")).otherwise(F.lit("active")).alias("status_text"),
         )
 
     @cached_property
@@ -310,18 +350,19 @@ class StandinBatches:
 
     @cached_property
     def driver_saves(self) -> DataFrame:
-        """Driver form saves, one per supplier: every fourth creates a driver, the
-        others edit the supplier's driver; most choose a car."""
-        s = self.t.raw("supplier")
-        k = F.col("s_suppkey")
-        return s.select(
+        """Driver form saves, one per customer row, most by the tenant's first admin: every fourth creates a
+        driver, the others edit one; most choose a car, of their tenant or any."""
+        c = self.t.raw("customer").withColumn("driver", F.col("c_custkey") % self.t.supplier_count + 1)
+        k = F.col("c_custkey")
+        d = self._with_tenant_admin(self.t.drivers.select(F.col("id").alias("driver"), "owner_user_id"), "owner_user_id")
+        car = F.when(k % 5 == 0, F.lit("")).when(k % 7 == 0, (k * 17 % self.t.part_count + 1).cast("string")).otherwise(
+            (F.col("owner_user_id") + 5 * (k % 30)).cast("string"))
+        return c.join(d, "driver", "left").select(
             (k + 1).alias("change_seq"),
-            (k * 11 % self.t.customer_count + 1).alias("posted_by"),
-            F.when(k % 4 == 0, F.lit(0).cast("bigint")).otherwise(k + 1).alias("id"),
-            F.when(k % 9 == 0, F.lit(" ")).otherwise(F.concat(F.col("s_name"), F.lit(" "))).alias("full_name_text"),
-            F.when(k % 6 == 0, F.lit("")).otherwise((F.lit(30000000) + k * 7 % 90).cast("string"))
-            .alias("dni_text"),
-            F.when(F.col("s_acctbal") > 5000, F.lit("inactive")).otherwise(F.lit("active")).alias("status_text"),
-            F.when(k % 5 == 0, F.lit("")).otherwise((k * 17 % self.t.part_count + 1).cast("string"))
-            .alias("assigned_car_text"),
+            F.when(k % 10 == 0, k * 11 % self.t.customer_count + 1).otherwise(F.col("tenant_admin")).alias("posted_by"),
+            F.when(k % 4 == 0, F.lit(0).cast("bigint")).otherwise(F.col("driver")).alias("id"),
+            F.when(k % 9 == 0, F.lit(" ")).otherwise(F.concat(F.col("c_name"), F.lit(" "))).alias("full_name_text"),
+            F.when(k % 6 == 0, F.lit("")).otherwise((F.lit(30000000) + k * 7 % 90).cast("string")).alias("dni_text"),
+            F.when(F.col("c_acctbal") > 5000, F.lit("inactive")).otherwise(F.lit("active")).alias("status_text"),
+            car.alias("assigned_car_text"),
         )

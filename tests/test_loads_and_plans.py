@@ -119,5 +119,5 @@ def test_change_targets_on_stored_entries(spark):
     users = spark.createDataFrame([(1, "admin", 1, None)], "id long, role string, owner_user_id long, driver_id long")
     ch = spark.createDataFrame([("day", d(1997, 3, 3), 10, 100, 1), ("day", d(1997, 4, 3), 10, 100, 1)],
                                "period_type string, entry_date date, driver_id long, car_id long, posted_by long")
-    tgt = C.entry_change_targets(ch, stored, users)
+    tgt = C.entry_change_targets(ch, stored, users, key=C.ENTRY_KEY)
     assert sorted(r.reasons for r in tgt.collect()) == ["", ""]

@@ -263,21 +263,31 @@ def test_upsert_notes_is_idempotent(spark):
 
 
 def test_billing_status_admin_only_and_allow_list(spark):
-    e = spark.createDataFrame([("day", d(1997, 3, 3), 10, 100, 1, "pending")],
-                              "period_type string, entry_date date, driver_id long, car_id long, "
-                              "owner_user_id long, rental_billing_status string")
+    e = spark.createDataFrame([(7, 10, 1, "invoiced", None)],
+                              "id long, driver_id long, owner_user_id long, rental_billing_status string, updated_by long")
     users = spark.createDataFrame([(1, "admin", 1, None), (2, "admin", 2, None), (3, "driver", 1, 10)],
                                   "id long, role string, owner_user_id long, driver_id long")
-    ch = spark.createDataFrame([("day", d(1997, 3, 3), 10, 100, "bogus", 1)],
-                               "period_type string, entry_date date, driver_id long, car_id long, "
-                               "status_text string, posted_by long")
-    r = one(C.apply_billing_status(e.withColumn("rental_billing_status", F.lit("invoiced")), ch, users))
+    ch = spark.createDataFrame([(1, 7, "bogus", 1)], "change_seq long, id long, status_text string, posted_by long")
+    r = one(C.apply_billing_status(e, ch, users))
     assert r.rental_billing_status == "pending" and r.updated_by == 1
     for poster in (2, 3):   # other tenant's admin; driver user
         r = one(C.apply_billing_status(e, ch.withColumn("posted_by", F.lit(poster).cast("long")), users))
         assert r.updated_by is None
 
 
+def test_billing_status_last_post_holds(spark):
+    e = spark.createDataFrame([(7, 10, 1, "pending", None)],
+                              "id long, driver_id long, owner_user_id long, rental_billing_status string, updated_by long")
+    users = spark.createDataFrame([(1, "admin", 1, None), (2, "admin", 1, None), (3, "driver", 1, 10)],
+                                  "id long, role string, owner_user_id long, driver_id long")
+    ch = spark.createDataFrame([(5, 7, "invoiced", 1), (9, 7, "pending", 2), (8, 7, "invoiced", 1), (10, 7, "invoiced", 3), (11, 8, "pending", 1)],
+                               "change_seq long, id long, status_text string, posted_by long")
+    r = one(C.apply_billing_status(e, ch, users))
+    assert (r.rental_billing_status, r.updated_by) == ("pending", 2)
+    assert {x.change_seq: x.outcome for x in C.judge_billing_changes(e, ch, users).collect()} == {
+        5: "superseded", 8: "superseded", 9: "applied", 10: "not_admin", 11: "not_found"}
+
+
 # --- backfills ---------------------------------------------------------------------------------
 
 def test_clean_entries_reads_new_total(spark):
@@ -363,21 +373,24 @@ def test_user_edit_rules(spark):
         "is_active int")
     drivers = spark.createDataFrame([(10, 1), (11, 2)], "id long, owner_user_id long")
     edits = spark.createDataFrame([
-        (3, 1, "Bob", "ana", "driver", None, 1),     # username of another user
-        (2, 1, "Ana", "ann", "admin", 10, 1),        # admin: driver link dropped; fine
-        (1, 1, "Per", "personal", "driver", None, 1),  # demotes itself
-        (4, 1, "Eve", "eve", "driver", 11, 1),       # user and driver of another tenant
-        (3, 2, "Bob", "bobby", "driver", None, 1),   # posted by a non-manager
-    ], "id long, posted_by long, full_name_text string, username_text string, role_text string, "
+        (1, 3, 1, "Bob", "ana", "driver", None, 1),     # username of another user
+        (2, 2, 1, "Ana", "ann", "admin", 10, 1),        # admin: driver link dropped; fine
+        (3, 1, 1, "Per", "personal", "driver", None, 1),  # demotes itself
+        (4, 4, 1, "Eve", "eve", "driver", 11, 1),       # user and driver of another tenant
+        (5, 3, 2, "Bob", "bobby", "driver", None, 1),   # posted by a non-manager
+        (6, 3, 1, "Bob", "ana", "driver", None, 1),     # by now the username is free
+    ], "change_seq long, id long, posted_by long, full_name_text string, username_text string, role_text string, "
        "driver_id long, is_active int")
-    got = {(r.id, r.posted_by): r for r in C.judge_user_edits(edits, users, drivers).collect()}
-    assert got[(3, 1)].reasons == "duplicate_username"
-    assert got[(2, 1)].reasons == "" and got[(2, 1)].driver_id is None and got[(2, 1)].role == "admin"
-    assert got[(1, 1)].reasons == "self_lock"
-    assert got[(4, 1)].reasons == "driver_not_in_owner,user_not_in_owner"
-    assert got[(3, 2)].reasons == "not_user_manager"
-    applied = {r.id: r for r in C.apply_user_edits(users, edits, drivers).collect()}
-    assert applied[2].username == "ann" and applied[2].role == "admin" and applied[3].username == "bob"
+    judged = C.judge_user_edits(edits, users, drivers)
+    got = {r.change_seq: r for r in judged.collect()}
+    assert got[1].reasons == "duplicate_username"
+    assert got[2].reasons == "" and got[2].driver_id is None and got[2].role == "admin"
+    assert got[3].reasons == "self_lock"
+    assert got[4].reasons == "driver_not_in_owner,user_not_in_owner"
+    assert got[5].reasons == "not_user_manager"
+    assert got[6].reasons == ""
+    applied = {r.id: r for r in C.apply_user_edits(users, judged).collect()}
+    assert applied[2].username == "ann" and applied[2].role == "admin" and applied[3].username == "ana"
 
 
 def test_driver_form_saves_are_whole(spark):
@@ -395,9 +408,10 @@ def test_driver_form_saves_are_whole(spark):
         (4, 100, 0, "Dan", "", "activo", "10"),       # new driver gets car 10
     ], "change_seq long, posted_by long, id long, full_name_text string, dni_text string, status_text string, "
        "assigned_car_text string")
-    j = {r.change_seq: r.reasons for r in C.judge_driver_saves(posts, drivers, cars, users).collect()}
+    judged = C.judge_driver_saves(posts, drivers, cars, users)
+    j = {r.change_seq: r.reasons for r in judged.collect()}
     assert j == {1: "car_unavailable", 2: "", 3: "duplicate_dni", 4: ""}
-    out = C.apply_driver_saves(drivers, cars, posts, users)
+    out = C.apply_driver_saves(drivers, cars, judged, users)
     d = {r.id: r for r in out["drivers"].collect()}
     assert d[1].full_name == "Ana" and d[2].full_name == "Bob"          # unchanged
     assert sorted(d) == [1, 2, 6]                                         # Cid rejected
@@ -406,27 +420,6 @@ def test_driver_form_saves_are_whole(spark):
     assert c == {10: 6, 11: None, 12: 2}
 
 
-def test_entry_edits_follow_form_rules(spark):
-    key = "period_type string, entry_date date, driver_id long, car_id long"
-    entries = spark.createDataFrame(
-        [("day", d(1997, 3, 3), 10, 100, 1, Decimal("5.00")), ("day", d(1997, 3, 3), 11, 100, 1, Decimal("5.00")),
-         ("day", d(1997, 3, 4), 10, 101, 1, Decimal("5.00"))],
-        key + ", owner_user_id long, gross_income decimal(12,2)")
-    drivers = spark.createDataFrame([(10, 1, "active"), (11, 1, "inactive")], "id long, owner_user_id long, status string")
-    cars = spark.createDataFrame([(100, 1, "active", 10), (101, 1, "active", 12)],
-                                 "id long, owner_user_id long, status string, current_driver_id long")
-    users = spark.createDataFrame([(1, "admin", 1, None), (2, "driver", 1, 10)],
-                                  "id long, role string, owner_user_id long, driver_id long")
-    edits = spark.createDataFrame(
-        [("day", d(1997, 3, 3), 10, 100, 1), ("day", d(1997, 3, 3), 11, 100, 1),   # admin: ok; inactive driver
-         ("day", d(1997, 3, 3), 10, 100, 2), ("day", d(1997, 3, 4), 10, 101, 2)],  # driver: assigned car; not assigned
-        key + ", posted_by long")
-    got = {(r.driver_id, r.car_id, r.posted_by): r.reasons
-           for r in C.entry_change_targets(edits, entries, users, drivers=drivers, cars=cars).collect()}
-    assert got == {(10, 100, 1): "", (11, 100, 1): "driver_not_in_owner",
-                   (10, 100, 2): "", (10, 101, 2): "car_not_assigned"}
-
-
 def test_new_ids_from_given_base(spark):
     from fleetbook.operators import loads as L
 
