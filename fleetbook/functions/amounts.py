@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from fleetbook.schemas import ENUMS, MONEY
 
-# The numeric prefix PHP's float cast accepts (sign, digits,
-# optional fraction, optional exponent) and the token / legacy-hash formats.
-NUMERIC_PREFIX_RE = r"^([+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?)"
+# The number that PHP's float cast reads at a text's beginning (sign, digits,
+# optional fraction, optional exponent) and the token / legacy-hash formats. The replacement writes
+# the sign, a zero and the number, so that a text without a number reads 0.
+NUMBER_RE = r"(?s)^([+-]?)((?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)?.*$"
+NUMBER_OUT = "$10$2"
+LONG_EXPONENT_RE = r"[eE][+-]?[0-9]{3,}"
 # Token formats ignore letter case.
 TOKEN_RE = r"(?i)^[a-f0-9]{24}$"
 LEGACY_HASH_RE = r"(?i)^[a-f0-9]{64}$"
@@ -44,12 +47,13 @@ def parse_amount(text) -> Column:
     that fails (``bad_amount``), not the job.
     """
     t = trim(_c(text).cast("string"))
-    swapped = F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    x = F.when(F.contains(t, F.lit(",")), swapped).otherwise(t)
-    prefix = F.nullif(F.regexp_extract(x, NUMERIC_PREFIX_RE, 1), F.lit(""))
-    number = prefix.try_cast("double")
-    exact = F.when(F.abs(number) < 1e12, prefix.try_cast("decimal(38,18)"))
-    return F.when(prefix.isNull(), F.lit(0).cast(MONEY)).otherwise(F.round(exact, 2).try_cast(MONEY))
+    # one pass takes the dots out and makes the comma a dot
+    plain = F.when(F.contains(t, F.lit(",")), F.translate(t, ",.", ".")).otherwise(t)
+    number = F.regexp_replace(plain, NUMBER_RE, NUMBER_OUT)
+    # an exponent of three digits or more would make a decimal of as many: such a number is huge or nothing
+    by_exponent = F.when(number.rlike(LONG_EXPONENT_RE), number.try_cast("double").try_cast("decimal(38,18)")).otherwise(number.try_cast("decimal(38,18)"))
+    exact = F.when(F.contains(t, F.lit("e")) | F.contains(t, F.lit("E")), by_exponent).otherwise(number.try_cast("decimal(38,18)"))
+    return F.when(t.isNull(), F.lit(0).cast(MONEY)).otherwise(F.round(exact, 2).try_cast(MONEY))
 
 
 def clean_enum(value, enum: str) -> Column:

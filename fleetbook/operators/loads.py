@@ -8,7 +8,7 @@ dimension tables; there is no per-row Python.
 Duplicate checks against the (large) existing table are written as
 ``existing left_semi batch_keys`` first: the batch keys are the small side,
 so Spark can broadcast them (when AQE measures them small) and only the
-matching existing keys travel on; the batch is then anti-joined with those.
+matching existing keys travel on to meet the batch.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 import datetime as dt
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetbook.functions import periods as P
@@ -72,35 +72,39 @@ def clean_entry_forms(forms: DataFrame, users: DataFrame, as_of: dt.date) -> Dat
     of its week, a daily load gets the ISO week of its date. A driver user
     always loads for its own driver and its status is always pending.
     Amounts are es-AR texts; one out of range is NULL (``bad_amount``). A job
-    whose source has few splits may rebalance the forms first.
+    whose source has few splits should repartition the forms first.
     """
     f = with_poster(forms, users)
     is_driver = F.col("_p_role") == "driver"
     is_admin = F.col("_p_role") == "admin"
-    weekly = clean_enum("period_type_text", "period_type") == "week"
-    date_txt = P.valid_or_default("entry_date_text", P.DATE_RE, P.valid_date_or_today(None, as_of))
-    week_txt = P.valid_or_default("entry_week_text", P.WEEK_RE, P.valid_week_or_current(None, as_of))
-    date_val = F.try_to_date(date_txt, "yyyy-MM-dd")
-    week_start, _ = P.week_bounds_of_text(week_txt)
-    entry_date = F.when(weekly, week_start).otherwise(date_val)
-    return f.select(
+    # texts are cleaned in a projection of their own: what follows uses them several times
+    f = f.select(
         "form_seq", "posted_by", "_p_role", "_p_tenant", "_p_driver",
         clean_enum("period_type_text", "period_type").alias("period_type"),
-        entry_date.alias("entry_date"),
-        F.when(weekly, week_txt).otherwise(P.iso_week_text(date_val)).alias("entry_week"),
-        F.when(is_driver, F.coalesce(F.col("_p_driver"), F.lit(0)))
-        .otherwise(parse_int("driver_id_text")).alias("driver_id"),
+        P.valid_or_default("entry_date_text", P.DATE_RE, P.valid_date_or_today(None, as_of)).alias("_date"),
+        P.valid_or_default("entry_week_text", P.WEEK_RE, P.valid_week_or_current(None, as_of)).alias("_week"),
+        F.when(is_driver, F.coalesce(F.col("_p_driver"), F.lit(0))).otherwise(parse_int("driver_id_text")).alias("driver_id"),
         parse_int("car_id_text").alias("car_id"),
-        parse_amount("gross_text").alias("gross_income"),
-        parse_amount("app_text").alias("app_expenses"),
-        parse_amount("cash_text").alias("cash_collected"),
-        parse_amount("rental_text").alias("rental_amount"),
-        F.when(is_admin, clean_enum("status_text", "rental_billing_status"))
-        .otherwise(F.lit("pending")).alias("rental_billing_status"),
-        parse_amount("fuel_text").alias("fuel_cost"),
-        parse_amount("km_text").try_cast("decimal(10,2)").alias("distance_km"),
+        F.transform(F.array("gross_text", "app_text", "cash_text", "rental_text", "fuel_text", "km_text"), parse_amount).alias("_amounts"),
+        F.when(is_admin, clean_enum("status_text", "rental_billing_status")).otherwise(F.lit("pending")).alias("rental_billing_status"),
         trim("observations_text").alias("observations"),
     )
+    weekly = F.col("period_type") == "week"
+    day = F.try_to_date("_date", "yyyy-MM-dd")
+    f = f.withColumn("_day", F.when(weekly, P.week_bounds_of_text(F.col("_week"))[0]).otherwise(day))
+    amount = dict(zip(("gross_income", "app_expenses", "cash_collected", "rental_amount", "fuel_cost", "distance_km"),
+                      (F.col("_amounts")[i] for i in range(6)), strict=True))
+    amount["distance_km"] = amount["distance_km"].try_cast("decimal(10,2)")
+    return f.select(
+        "form_seq", "posted_by", "_p_role", "_p_tenant", "_p_driver", "period_type",
+        F.col("_day").alias("entry_date"),
+        F.when(weekly, F.col("_week")).otherwise(P.iso_week_text(F.col("_day"))).alias("entry_week"),
+        "driver_id", "car_id",
+        *[amount[c].alias(c) for c in ("gross_income", "app_expenses", "cash_collected", "rental_amount")],
+        "rental_billing_status",
+        *[amount[c].alias(c) for c in ("fuel_cost", "distance_km")],
+        "observations",
+    )
 
 
 def validate_entry_loads(cleaned: DataFrame, drivers: DataFrame, cars: DataFrame) -> DataFrame:
@@ -161,40 +165,50 @@ def within_batch_dates(existing: DataFrame, keys: DataFrame) -> DataFrame:
     """
     if "entry_date" not in keys.columns:
         return existing
-    # the other column is kept in the aggregate, so the subquery shares the keys' shuffle
-    rest = [F.count(c).alias(c) for c in keys.columns if c.startswith("_")]
-    bounds = keys.select(F.struct(F.min("entry_date").alias("lo"), F.max("entry_date").alias("hi"), *rest)).scalar()
+    bounds = keys.select(F.struct(F.min("entry_date").alias("lo"), F.max("entry_date").alias("hi"))).scalar()
     return existing.where(F.col("entry_date").between(bounds.getField("lo"), bounds.getField("hi")))
 
 
+#: Parts in which a key's rows are looked at before they meet.
+SPREAD = 32
+
+
 def batch_key_conflicts(batch: DataFrame, existing: DataFrame, key: list[str],
                         seq_col: str = "form_seq", eligible: Column | None = None) -> DataFrame:
     """The batch with ``_conflict`` set where a row's key is taken: by a stored
     row or by an earlier row of the batch (the first row of a key stays).
 
-    Only ``eligible`` rows take keys. One grouped minimum per key, aggregated
-    partially, so a hot key is combined inside each task; stored keys are
-    matched with these minima, and the batch is joined once with the result.
-    Rows that are not eligible or have a NULL key part never collide; in the
-    join they are spread by their sequence instead of meeting under one key.
+    Only ``eligible`` rows with a whole key take keys. The rows go through one
+    plan once. A key's rows are first compared inside ``SPREAD`` parts, then the
+    first ones of the parts (``SPREAD`` rows of a key at most) with one another and
+    with the stored key. All other rows are spread by their sequence in that
+    second step, so neither a hot key nor NULL keys meet in one task. Stored
+    keys are cut to the batch's dates and keys; reading the batch for that takes
+    its key columns only.
     """
-    counts = F.lit(True) if eligible is None else eligible
+    counts = F.lit(True) if eligible is None else F.coalesce(eligible, F.lit(False))
     for c in key:
         counts = counts & F.col(c).isNotNull()
-    first = batch.where(counts).groupBy(*key).agg(F.min(seq_col).alias("_first"))
-    taken = (within_batch_dates(existing.select(*key), first).join(first, key).select(*key, "_first").distinct()
-             .withColumn("_taken", F.lit(True)))
-    slot = F.when(counts, F.lit(0).cast("bigint")).otherwise(F.col(seq_col).cast("bigint") + 1)
-    marked = first.join(taken, [*key, "_first"], "left").withColumn("_slot", F.lit(0).cast("bigint"))
-    taken_or_later = F.col("_taken").isNotNull() | (F.col(seq_col) > F.col("_first"))
-    return (batch.withColumn("_slot", slot).join(marked, [*key, "_slot"], "left")
-            .select(*batch.columns, F.when(taken_or_later, F.lit(R_DUPLICATE)).alias("_conflict")))
+    # compared as one value: bounds of a key's part would be inferred for the batch as well, and read it again
+    keys = batch.select(F.struct(*key).alias("_key"))
+    stored = within_batch_dates(existing.select(*key), batch.select(*key)).withColumn("_stored", F.struct(*key))
+    stored = stored.join(keys, F.col("_stored") == F.col("_key"), "left_semi").select(*key).distinct()
+    part = F.pmod(F.xxhash64(seq_col), F.lit(SPREAD))
+    alone = -1 - F.pmod(F.xxhash64(seq_col), F.lit(1 << 40))
+    group = Window.partitionBy(*key, "_slot").orderBy(seq_col)
+    first = F.first(seq_col).over(group)
+    b = batch.withColumn("_counts", counts).withColumn("_slot", F.when(F.col("_counts"), part).otherwise(alone))
+    b = b.withColumn("_later", F.col("_counts") & (F.col(seq_col) > first))
+    b = b.withColumn("_slot", F.when(F.col("_counts") & ~F.col("_later"), F.lit(0).cast("bigint")).otherwise(alone))
+    b = b.withColumn("_later", F.col("_later") | ((F.col("_slot") == 0) & (F.col(seq_col) > first)))
+    b = b.join(stored.withColumn("_slot", F.lit(0).cast("bigint")).withColumn("_taken", F.lit(True)), [*key, "_slot"], "left")
+    return b.select(*batch.columns, F.when(F.col("_later") | F.col("_taken").isNotNull(), F.lit(R_DUPLICATE)).alias("_conflict"))
 
 
 def split_loads(validated: DataFrame, existing: DataFrame, key: list[str] = ENTRY_KEY):
     """(accepted, rejected) of a validated entry batch, duplicates included.
 
-    Both are filters of one lazy plan over the batch.
+    Both are filters of one lazy plan that judges every row once.
     """
     judged = batch_key_conflicts(validated, existing, key, eligible=F.col("reasons") == "")
     judged = judged.withColumn("reasons", F.coalesce("_conflict", "reasons")).drop("_conflict")

@@ -62,13 +62,15 @@ def NUM(x: str, decimals: int) -> str:
 
 ENTRY_FORMS = """
 SELECT l_orderkey * 10 + l_linenumber AS form_seq,
-  CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE CAST(l_orderkey % (SELECT COUNT(*) FROM customer) + 1 AS BIGINT) END AS posted_by,
+  CASE WHEN l_orderkey % 7 = 0 THEN NULL WHEN l_linenumber <= 3 THEN ta.id
+       ELSE CAST(l_orderkey % (SELECT COUNT(*) FROM customer) + 1 AS BIGINT) END AS posted_by,
   CASE WHEN l_returnflag = 'R' THEN 'week' WHEN l_returnflag = 'A' THEN 'day' ELSE 'daily' END AS period_type_text,
   CASE WHEN l_linenumber = 7 THEN substr(CAST(CAST(l_shipdate AS DATE) AS VARCHAR), 1, 8) || '31'
        WHEN l_linenumber = 6 THEN 'ayer' ELSE CAST(CAST(l_shipdate AS DATE) AS VARCHAR) END AS entry_date_text,
   CAST(YEAR(l_shipdate) AS VARCHAR) || '-W' || lpad(CAST(l_linenumber * 8 AS VARCHAR), 2, '0') AS entry_week_text,
   CAST(l_suppkey + 1 AS VARCHAR) AS driver_id_text,
-  CASE WHEN l_linenumber = 5 THEN '' ELSE CAST(l_partkey + 2 AS VARCHAR) END AS car_id_text,
+  CASE WHEN l_linenumber = 5 THEN '' WHEN l_linenumber <= 3 THEN CAST(d.owner_user_id + l_partkey // 5 * 5 AS VARCHAR)
+       ELSE CAST(l_partkey + 2 AS VARCHAR) END AS car_id_text,
   ' ' || CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS VARCHAR) AS gross_text,
   replace(CAST(CAST(ROUND(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_discount AS DECIMAL(4,2)), 2) AS DECIMAL(12,2)) AS VARCHAR), '.', ',') AS app_text,
   '' AS cash_text,
@@ -77,7 +79,8 @@ SELECT l_orderkey * 10 + l_linenumber AS form_seq,
   CAST(l_quantity AS VARCHAR) AS km_text,
   CASE WHEN l_linestatus = 'F' THEN 'invoiced' ELSE 'facturado' END AS status_text,
   '  ' || l_returnflag || ' ' AS observations_text
-FROM lineitem"""
+FROM lineitem LEFT JOIN drivers d ON d.id = l_suppkey + 1
+LEFT JOIN (SELECT owner_user_id, MIN(id) AS id FROM users WHERE role = 'admin' GROUP BY 1) ta ON ta.owner_user_id = d.owner_user_id"""
 
 EXPENSE_FORMS = """
 SELECT o_orderkey + 1 AS form_seq, o_custkey + 1 AS posted_by,

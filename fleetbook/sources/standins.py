@@ -42,13 +42,16 @@ class StandinBatches:
 
     @cached_property
     def entry_forms(self) -> DataFrame:
-        """Posted entry load forms, one per line item, all fields as text."""
-        li = self.t.raw("lineitem")
+        """Posted entry load forms, one per line item, all fields as text: the first three lines of an
+        order by the first admin of the driver's tenant, for cars of that tenant."""
+        d = self._with_tenant_admin(self.t.drivers.select((F.col("id") - 1).alias("l_suppkey"), "owner_user_id"), "owner_user_id")
+        li = self.t.raw("lineitem").join(d, "l_suppkey", "left")
         ship = F.to_date("l_shipdate").cast("string")
         ln = F.col("l_linenumber")
         return li.select(
             (F.col("l_orderkey") * 10 + ln).alias("form_seq"),
             F.when(F.col("l_orderkey") % 7 == 0, F.lit(None).cast("bigint"))
+            .when(ln <= 3, F.col("tenant_admin"))
             .otherwise((F.col("l_orderkey") % self.t.customer_count + 1).cast("bigint"))
             .alias("posted_by"),
             F.when(F.col("l_returnflag") == "R", "week").when(F.col("l_returnflag") == "A", "day")
@@ -58,8 +61,8 @@ class StandinBatches:
             F.concat(F.year("l_shipdate").cast("string"), F.lit("-W"),
                      F.lpad((ln * 8).cast("string"), 2, "0")).alias("entry_week_text"),
             (F.col("l_suppkey") + 1).cast("string").alias("driver_id_text"),
-            F.when(ln == 5, F.lit("")).otherwise((F.col("l_partkey") + 2).cast("string"))
-            .alias("car_id_text"),
+            F.when(ln == 5, F.lit("")).when(ln <= 3, (F.col("owner_user_id") + F.floor(F.col("l_partkey") / 5) * 5).cast("string"))
+            .otherwise((F.col("l_partkey") + 2).cast("string")).alias("car_id_text"),
             F.concat(F.lit(" "), F.col("l_extendedprice").cast("decimal(12,2)").cast("string"))
             .alias("gross_text"),
             F.replace(_money_times(F.col("l_extendedprice"), F.col("l_discount").cast("decimal(4,2)"))
