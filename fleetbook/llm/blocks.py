@@ -12,32 +12,53 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, small_batches, staged, words_of
+from .common import small_batches, staged
 
 #: Bytes of text in a block, unless one text is longer.
 BLOCK_BYTES = 4 << 20
 
-_BLOCK = "block string, ids array<long>, flags array<boolean>, lengths binary, vocab binary, words binary"
+_BLOCK = "block string, ids array<long>, flags array<boolean>, carried array<string>, lengths binary, vocab binary, words binary"
 
 
 class Block:
-    """Documents of a block: ids, flags, words per document, word hashes, word numbers."""
+    """Documents of a block: ids, flags, carried values, words per document, word hashes, word numbers."""
 
     def __init__(self, row: dict):
         unzip = zstandard.ZstdDecompressor().decompress
         self.name, self.ids, self.flags = row["block"], row["ids"], np.array(row["flags"], dtype=bool)
+        self.carried = row["carried"]
         self.lengths = np.frombuffer(row["lengths"], dtype=np.int64)
         self.vocab = np.frombuffer(row["vocab"], dtype=np.uint64)
         planes = np.frombuffer(unzip(row["words"], max_output_size=max(1, 4 * int(self.lengths.sum()))), dtype=np.uint8)
         self.words = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.int32).ravel()
 
 
-def make_blocks(docs: DataFrame, flag: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of the rows' (doc_id, text), with a flag per row; stored.
+def word_numbers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each text, the hashes of the distinct words, and all words as numbers of distinct ones.
+
+    Words are ``words_of`` a text; Arrow splits and numbers them.
+    """
+    plain = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    parts = pc.ascii_split_whitespace(plain)
+    # an empty text is split into one empty word
+    some = np.asarray(pc.binary_length(plain)) > 0
+    lengths = np.where(some, np.asarray(pc.list_value_length(parts)), 0).astype(np.int64)
+    flat = parts.flatten()
+    if not some.all():
+        flat = flat.filter(pc.greater(pc.binary_length(flat), 0))
+    coded = flat.dictionary_encode()
+    distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+    return lengths, np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), dtype=np.uint64, count=len(distinct)), np.asarray(coded.indices).astype(np.int32)
+
+
+def make_blocks(docs: DataFrame, flag: Column, block_bytes: int = BLOCK_BYTES, carry: Column | None = None) -> DataFrame:
+    """Blocks of the rows' (doc_id, text), with a flag and a carried text per row; stored.
 
     A null text counts as empty.
     """
@@ -47,37 +68,32 @@ def make_blocks(docs: DataFrame, flag: Column, block_bytes: int = BLOCK_BYTES) -
 
         zstd = zstandard.ZstdCompressor(level=3)
 
-        def row(ids, flags, texts):
-            index = WordIds()
-            number, lengths = index.__getitem__, []
-            parts = []
-            for t in texts:
-                w = words_of(t)
-                lengths.append(len(w))
-                parts.append(np.fromiter(map(number, w), dtype=np.int32, count=len(w)))
-            words = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-            return {
-                "block": uuid4().hex, "ids": ids, "flags": flags, "lengths": np.array(lengths, dtype=np.int64).tobytes(),
+        def row(held):
+            rows = pa.Table.from_batches(held).combine_chunks()
+            cols = [rows.column(i).combine_chunks() for i in range(4)]
+            lengths, vocab, words = word_numbers(cols[3])
+            return pa.RecordBatch.from_pylist([{
+                "block": uuid4().hex, "ids": cols[0].to_pylist(), "flags": cols[1].to_pylist(), "carried": cols[2].to_pylist(), "lengths": lengths.tobytes(),
                 # the numbers' bytes lie in four planes: the high ones are nearly all zero
-                "vocab": index.hashes().tobytes(), "words": zstd.compress(words.view(np.uint8).reshape(-1, 4).T.tobytes()),
-            }
+                "vocab": vocab.tobytes(), "words": zstd.compress(words.view(np.uint8).reshape(-1, 4).T.tobytes()),
+            }], schema=schema)
 
-        ids, flags, texts, size = [], [], [], 0
+        held, size = [], 0
         for batch in batches:
-            for i, f, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                t = t.as_py()
-                ids.append(i)
-                flags.append(f)
-                texts.append(t)
-                size += len(t or "")
+            begin = 0
+            for i, n in enumerate(np.asarray(pc.fill_null(pc.binary_length(batch.column(3)), 0)).tolist()):
+                size += n
                 if size >= block_bytes:
-                    yield pa.RecordBatch.from_pylist([row(ids, flags, texts)], schema=schema)
-                    ids, flags, texts, size = [], [], [], 0
-        if ids:
-            yield pa.RecordBatch.from_pylist([row(ids, flags, texts)], schema=schema)
-
-    schema = pa.schema([("block", pa.string()), ("ids", pa.list_(pa.int64())), ("flags", pa.list_(pa.bool_())), ("lengths", pa.binary()), ("vocab", pa.binary()), ("words", pa.binary())])
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), flag.alias("flag"), "text")
+                    held.append(batch.slice(begin, i + 1 - begin))
+                    yield row(held)
+                    held, size, begin = [], 0, i + 1
+            if begin < batch.num_rows:
+                held.append(batch.slice(begin))
+        if held:
+            yield row(held)
+
+    schema = pa.schema([("block", pa.string()), ("ids", pa.list_(pa.int64())), ("flags", pa.list_(pa.bool_())), ("carried", pa.list_(pa.string())), ("lengths", pa.binary()), ("vocab", pa.binary()), ("words", pa.binary())])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), flag.alias("flag"), (F.lit(None) if carry is None else carry).cast("string").alias("carried"), "text")
     return staged(small_batches(rows).mapInArrow(build, _BLOCK), "blocks")
 
 

@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,17 +84,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-class WordIds(dict):
-    """Numbers words in the order in which they first appear."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-    def hashes(self) -> np.ndarray:
-        return np.fromiter(map(xxhash.xxh3_64_intdigest, self), dtype=np.uint64, count=len(self))
-
-
 def words_of(text: str | None) -> list[bytes]:
     """Lower-cased (A-Z only) runs of ``[^\\x20\\x09-\\x0D]`` as UTF-8."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -108,6 +96,12 @@ def run_starts(lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+def distinct_sorted(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order (by sorting: much faster than ``np.unique`` on whole numbers)."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def segment_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sum of each run of ``values`` (0 for an empty run), each added up
     on its own, so that a run's sum doesn't depend on its neighbours."""

@@ -21,7 +21,8 @@ Shingles are told apart by 64-bit hashes; frequencies by the hash's high bits,
 which only affects the order. Defined cases: a null, empty or blank text has an empty
 set and links with nothing; fewer words than a shingle make one shingle of all
 words; a null doc_id takes part in links but is never a component's id unless
-all ids are null; repeated rows link with each other. Only id and text are
+all ids are null; repeated rows link with each other; texts are read whole,
+whatever their length; an empty table gives no rows. Only id and text are
 read, so other columns may have any name.
 """
 
@@ -30,11 +31,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Block, cut, make_blocks, shard_bits
-from .common import MULT, U64, mix, run_starts, staged
+from .common import MULT, U64, distinct_sorted, mix, run_starts, staged
 from .components import components, forest
 
 #: Members and tokens of a sub-block.
@@ -53,7 +54,7 @@ def shingle_sets(block: Block, width: int) -> tuple[np.ndarray, np.ndarray]:
     sets = []
     for a, b in zip(starts, starts[1:], strict=False):
         if b - a >= width:
-            sets.append(np.unique(rolled[a : b - width + 1]))
+            sets.append(distinct_sorted(rolled[a : b - width + 1]))
         elif b > a:
             z = np.array([b - a], dtype=np.uint64)
             for x in h[a:b]:
@@ -86,7 +87,7 @@ def prefix(tokens: np.ndarray, df: np.ndarray, slots: int, order: int) -> np.nda
 
 
 _SENT = "shard int, block string, a binary, n binary"
-_DOCS = "doc_id long, n_shingles long, sig long, slots int, tokens binary, df binary"
+_DOCS = "doc_id long, carried string, words long, n_shingles long, own long, sig long, slots int, tokens binary, df binary"
 
 
 def _frequencies(blocks: DataFrame, width: int, bits: int) -> DataFrame:
@@ -115,30 +116,32 @@ def _frequencies(blocks: DataFrame, width: int, bits: int) -> DataFrame:
 
 
 def _documents(blocks: DataFrame, answers: DataFrame, width: int, percent: int, bits: int) -> DataFrame:
-    """One row per document; those that may have a partner with the tokens they share."""
+    """One row per document: its id, carried value, words, set size and ``own`` signature;
+    for those that may have a partner also ``sig`` (the same) and the tokens they share."""
 
     def run(left, right):
         block = Block(left.to_pylist()[0])
         values, starts = shingle_sets(block, width)
         short = values >> U64(32 - bits)
-        keys = np.unique(short)
+        keys = distinct_sorted(short)
         by_shard = sorted(zip(right["shard"].to_pylist(), right["df"].to_pylist(), strict=True))
         df_of = np.concatenate([np.frombuffer(x, dtype=np.uint8) for _, x in by_shard]) if by_shard else np.zeros(0, np.uint8)
         df = df_of[np.searchsorted(keys, short)]
-        sizes, sig, slots, tokens, dfs = np.diff(starts), [], [], [], []
+        sizes, own, sig, slots, tokens, dfs = np.diff(starts), [], [], [], [], []
         alone = np.diff(run_starts((df == 1).astype(np.int64))[starts])
         for k, (a, b) in enumerate(zip(starts, starts[1:], strict=False)):
+            own.append(signature(values[a:b]) if sizes[k] else None)
             left_over = prefix_length(int(sizes[k]), percent) - int(alone[k])
             if sizes[k] == 0 or left_over <= 0:
                 for out in (sig, slots, tokens, dfs):
                     out.append(None)
                 continue
             shared = df[a:b] > 1
-            sig.append(signature(values[a:b]))
+            sig.append(own[-1])
             slots.append(left_over)
             tokens.append(values[a:b][shared].tobytes())
             dfs.append(df[a:b][shared].tobytes())
-        return pa.table({"doc_id": pa.array(block.ids, pa.int64()), "n_shingles": pa.array(sizes), "sig": pa.array(sig, pa.int64()), "slots": pa.array(slots, pa.int32()), "tokens": pa.array(tokens, pa.binary()), "df": pa.array(dfs, pa.binary())})
+        return pa.table({"doc_id": pa.array(block.ids, pa.int64()), "carried": pa.array(block.carried, pa.string()), "words": pa.array(block.lengths), "n_shingles": pa.array(sizes), "own": pa.array(own, pa.int64()), "sig": pa.array(sig, pa.int64()), "slots": pa.array(slots, pa.int32()), "tokens": pa.array(tokens, pa.binary()), "df": pa.array(dfs, pa.binary())})
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, _DOCS)
 
@@ -253,11 +256,11 @@ def _verified(tasks: DataFrame, percent: int) -> DataFrame:
     return tasks.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j").mapInArrow(run, "a long, b long")
 
 
-def _classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The documents, and (node, least, root) of each class that may have a partner:
+def _classes(docs: DataFrame, width: int, percent: int, carry: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The documents (with the value of ``carry``), and (node, least, root) of each class that may have a partner:
     its signature, its smallest id and the smallest signature linked with it."""
     bits = shard_bits(docs.sparkSession)
-    blocks = make_blocks(docs, F.lit(True))
+    blocks = make_blocks(docs, F.lit(True), carry=carry)
     table = staged(_documents(blocks, _frequencies(blocks, width, bits), width, percent, bits), "ngram-docs")
     active = table.filter("sig is not null")
     classes = staged(active.groupBy("sig").agg(F.min("doc_id").alias("least"), (F.max(F.length("tokens")) / 8).alias("weight")), "ngram-classes")
@@ -286,18 +289,30 @@ def join_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return table.select("doc_id", "n_shingles", "sig").join(of_sig, "sig", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def class_roots(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """(sig, root): for the signature of a document's shingles, that which names its component.
+def clustered(docs: DataFrame, carry: Column, width: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: doc_id, carried (the value of ``carry``), words, cluster.
 
-    Documents whose signature has no row stand alone.
+    The cluster is named by the signature of a member of the document's
+    component; null for a document without words.
     """
-    return _classes(docs, width, percent)[1].select(F.col("node").alias("sig"), "root")
+    table, named = _classes(docs, width, percent, carry)
+    roots = named.select(F.col("node").alias("sig"), "root")
+    return table.join(roots, "sig", "left").select("doc_id", "carried", "words", F.coalesce("root", "own").alias("cluster"))
 
 
 def kept_rows(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of one document, that of the smallest id, of each component.
+    """The rows of one document of each component: that of the smallest id (rows
+    without an id come last), of rows with one id that of the smallest hash of the text.
 
-    Rows without an id are never dropped, as no other row could stand for them by id.
+    Rows are told apart by id and text, so a row goes only if its own text has
+    a partner that stays; rows that repeat both id and text stay or go together.
     """
-    dropped = join_components(docs, width, percent).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    content = F.concat_ws("-", F.xxhash64(F.coalesce("text", F.lit(""))).cast("string"), F.octet_length("text").cast("string"))
+    table, named = _classes(docs, width, percent, content)
+    members = table.join(named.select(F.col("node").alias("sig"), "root"), "sig")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "carried")
+    best = members.groupBy("root").agg(F.min(row).alias("best"))
+    gone = members.join(best, "root").filter(row != F.col("best")).select(F.col("doc_id").alias("gone_id"), F.col("carried").alias("gone_text")).distinct()
+    rows = docs.select(F.struct("*").alias("kept_row"), F.col("doc_id").cast("long").alias("row_id"), content.alias("row_text"))
+    left = rows.join(gone, F.col("row_id").eqNullSafe(F.col("gone_id")) & (F.col("row_text") == F.col("gone_text")), "left_anti")
+    return left.select("kept_row.*")

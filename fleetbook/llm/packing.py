@@ -19,53 +19,32 @@ a document that stands alone is a cluster of its own.
 Defined cases: null, empty and blank texts have no words, get no bin (bin_id
 null, pieces 0); a null cluster conflicts with nothing; a null source is a
 source of its own; repeated rows share a cluster, so they never share a bin;
-rows keep apart from other columns, which may have any name.
+very long texts are cut like all others; an empty table gives no rows; other
+columns may have any name.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from types import SimpleNamespace
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, id_text, run_starts, small_batches, staged, words_of
-from .ngram_join import class_roots, shingle_sets, signature
+from .common import id_text, staged
+from .ngram_join import clustered
 
 #: Words of a bin, documents of one source in a bin, rows of a shard.
 CAPACITY, PER_SOURCE, SHARD_ROWS = 2048, 2, 8192
 
 
-def sizes_and_signatures(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, source, size, sig): words of each text, and the signature of its shingles."""
-
-    def run(batches):
-        for batch in batches:
-            index, parts = WordIds(), []
-            number = index.__getitem__
-            for t in batch.column(2):
-                w = words_of(t.as_py())
-                parts.append(np.fromiter(map(number, w), dtype=np.int32, count=len(w)))
-            lengths = np.array([len(p) for p in parts], dtype=np.int64)
-            words = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-            values, starts = shingle_sets(SimpleNamespace(vocab=index.hashes(), words=words, lengths=lengths), width)
-            sig = [signature(values[a:b]) if b > a else None for a, b in zip(starts, starts[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lengths), pa.array(sig, pa.int64())], ["doc_id", "source", "size", "sig"])
-
-    rows = small_batches(docs).selectExpr("cast(doc_id as long) as doc_id", "cast(source as string) as source", "text")
-    return rows.mapInArrow(run, "doc_id long, source string, size long, sig long")
-
-
 def sizes_and_clusters(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, source, size, cluster): words of each text, and its component of near copies.
 
-    Rows are brought together with components by content, so ids may be missing or repeated.
+    The n-gram join, which has read every text, hands over words, source and cluster of
+    each row, so ids may be missing or repeated.
     """
-    rows = sizes_and_signatures(docs, width).join(class_roots(docs, width, percent), "sig", "left")
-    return rows.select("doc_id", "source", "size", F.coalesce("root", "sig").alias("cluster"))
+    return clustered(docs, F.col("source"), width, percent).select("doc_id", F.col("carried").alias("source"), F.col("words").alias("size"), "cluster")
 
 
 class Bins:

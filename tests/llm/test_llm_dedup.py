@@ -10,6 +10,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from fleetbook.llm import exact_dedup, hnsw, ngram_join
 from fleetbook.llm.common import SPACES
 from fleetbook.llm.components import components, forest
@@ -223,3 +225,35 @@ def test_graph_finds_whole_dense_clusters():
     found = graph.search(x, 24, 0.9)
     assert all(true[i][h].all() for i, h in enumerate(found))
     assert sum(len(h) for h in found) >= 0.99 * true.sum()
+
+
+# --- rows that stay ---------------------------------------------------------------------
+
+SENTENCE = " ".join(f"word{i}" for i in range(60))
+
+
+def test_kept_rows_go_by_row(spark):
+    """Of rows with one id only those go whose own text has a partner that stays."""
+    near = SENTENCE.replace("word59", "changed")
+    rows = [(1, SENTENCE), (2, SENTENCE), (2, "a quite different text of its own"), (3, near), (None, near + " more"), (None, "no id, no partner at all"),
+            (4, None), (4, ""), (5, "short"), (5, "short"), (6, "short"), (7, "x " * 40_000 + "end"), (8, "x " * 40_000 + "end")]
+    docs = docs_of(spark, rows)
+    for c in ("row_id", "gone_id", "kept_row", "carried", "root"):
+        docs = docs.selectExpr("*", f"1 as `{c}`")
+    got = ngram_join.kept_rows(docs)
+    assert got.columns == docs.columns
+    left = sorted(((r.doc_id, r.text) for r in got.collect()), key=repr)
+    want = [(1, SENTENCE), (2, "a quite different text of its own"), (None, "no id, no partner at all"), (4, None), (4, ""), (5, "short"), (5, "short"), (7, "x " * 40_000 + "end")]
+    assert left == sorted(want, key=repr)
+    nulls = docs_of(spark, [(None, SENTENCE), (None, near)])
+    assert ngram_join.kept_rows(nulls).count() == 1
+    assert ngram_join.kept_rows(docs_of(spark, [])).collect() == []
+
+
+def test_clusters_handed_over_by_the_join(spark):
+    near = SENTENCE.replace("word59", "changed")
+    rows = [(1, SENTENCE), (1, near), (None, SENTENCE), (2, "alone with a few words"), (3, None), (4, " ")]
+    got = ngram_join.clustered(docs_of(spark, rows).withColumn("source", F.concat(F.lit("s"), F.col("doc_id"))), F.col("source")).collect()
+    assert sorted(r.words for r in got) == [0, 0, 5, 60, 60, 60]
+    assert len({r.cluster for r in got if r.words == 60}) == 1 and {r.cluster for r in got if r.words == 0} == {None}
+    assert {(r.doc_id, r.carried) for r in got} == {(1, "s1"), (None, None), (2, "s2"), (3, "s3"), (4, "s4")}

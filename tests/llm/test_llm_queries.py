@@ -90,3 +90,28 @@ def test_pipeline_stages(spark):
 def test_pipeline_runs_whole(spark):
     rows = corpus_pipeline.run(spark, SF_SMALL).collect()
     assert rows and corpus_pipeline.ORACLE_SQL is None
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_pipeline_keeps_rows_with_clashing_ids_and_nulls(spark, tmp_path):
+    """Clashing and missing ids, nulls in every column, empty texts and columns with the stages' own names."""
+    base = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").limit(120).collect()]
+    first = base[0][1]
+    odd = [(base[0][0], "Another text that shares an id with the first one, in plain English words", "en", "src0", 5), (None, first + " and more of it here", "en", None, None),
+           (None, None, None, None, None), (7_000_001, "", "en", "src1", 0), (7_000_002, None, None, "src1", 0)]
+    docs = spark.createDataFrame(base + odd, DOCS)
+    for c in ("size", "root", "cluster", "row_id", "mix_row", "lang_pred"):
+        docs = docs.selectExpr("*", f"'x' as `{c}`")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    rows = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert stages["n-gram Jaccard join"](spark, rows, "").where(f"doc_id = {base[0][0]} and text like 'Another%'").count() == 1
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert got and all(r.size for r in got)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
