@@ -22,7 +22,7 @@ TOKEN_RE = r"(?i)^[a-f0-9]{24}$"
 LEGACY_HASH_RE = r"(?i)^[a-f0-9]{64}$"
 # Fixed value: the characters that trimming removes.
 TRIM_CHARS = " \t\n\r\0\x0b"
-# Text clip lengths for user agent and ip address columns.
+# Clip lengths, in bytes, of user agent and ip address columns.
 USER_AGENT_LEN = 255
 IP_ADDRESS_LEN = 45
 
@@ -73,8 +73,14 @@ def upper_trim(value) -> Column:
 
 
 def clip(value, length: int) -> Column:
-    """Keep the first ``length`` characters (characters, not bytes)."""
-    return F.substring(_c(value), 1, length)
+    """The longest beginning of at most ``length`` UTF-8 bytes that cuts no character in two."""
+    raw = F.encode(_c(value), "UTF-8")
+    # the hex digits of the byte at a place; bytes 80 to BF continue a character
+    goes_on = lambda place: F.substring(F.hex(F.substring(raw, place, 1)), 1, 1).isin("8", "9", "A", "B")
+    end = F.lit(max(0, length - 3))
+    for short in (2, 1, 0):
+        end = F.when(~F.coalesce(goes_on(length - short + 1), F.lit(False)), F.lit(length - short)).otherwise(end)
+    return F.when(F.octet_length(_c(value)) <= length, _c(value)).otherwise(F.decode(F.substring(raw, F.lit(1), end), "UTF-8"))
 
 
 def is_token_format(value) -> Column:

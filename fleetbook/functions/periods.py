@@ -125,6 +125,20 @@ def normalize_entry_date(df: DataFrame, week_text_col: str = "entry_week") -> Da
                           .otherwise(iso_week_text("entry_date"))))
 
 
+def request_bounds(kind, date_text, week_text, month_text, as_of: dt.date) -> tuple[Column, Column, Column]:
+    """(kind, first day, last day) of requested periods, row by row.
+
+    An unknown kind is a week; a text that is no date, week or month means the
+    period of ``as_of``; a date that does not exist gives NULL bounds (no days).
+    """
+    asked = F.when(_c(kind).isin("day", "week", "month"), _c(kind)).otherwise(F.lit("week"))
+    day = F.try_to_date(valid_or_default(date_text, DATE_RE, valid_date_or_today(None, as_of)), "yyyy-MM-dd")
+    week = week_bounds_of_text(valid_or_default(week_text, WEEK_RE, valid_week_or_current(None, as_of)))
+    month = month_bounds_of_text(valid_or_default(month_text, MONTH_RE, valid_month_or_current(None, as_of)))
+    pick = lambda i: F.when(asked == "day", day).when(asked == "week", week[i]).otherwise(month[i])
+    return asked, pick(0), pick(1)
+
+
 # --- request parameter resolution (driver side, scalars only) ---------------
 
 @dataclass(frozen=True)

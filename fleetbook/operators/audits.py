@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetbook.schemas import UNIQUE_KEYS
+from fleetbook.schemas import FOREIGN_KEYS, UNIQUE_KEYS
+from fleetbook.session import written
 
 
 # The source database compares text case-, accent- and trailing-space-
@@ -37,33 +38,29 @@ def duplicate_dni(drivers: DataFrame) -> DataFrame:
 
 def orphans(child: DataFrame, fk: str, parent: DataFrame, child_name: str,
             parent_name: str, parent_key: str = "id") -> DataFrame:
-    """Distinct non-NULL foreign-key values with no parent row, and how many
-    child rows carry each.
-
-    The child is first reduced to its distinct values (partial aggregation),
-    then matched with the parent keys by a left join and a NULL test. Unlike
-    an anti-join, the optimizer does not push this below the aggregation, so
-    for a parent too large to broadcast only distinct values are shuffled,
-    never every child row.
+    """Distinct non-NULL foreign-key values with no parent row, how many child rows
+    carry each and how many tenants these belong to (NULL: the child has no tenant).
+
+    The child is first reduced to its distinct values per tenant (partial
+    aggregation), then matched with the parent keys by a left join and a NULL
+    test. Unlike an anti-join, the optimizer does not push this below the
+    aggregation, so for a parent too large to broadcast only distinct values
+    are shuffled, never every child row.
     """
-    vals = child.where(F.col(fk).isNotNull()).groupBy(F.col(fk).alias("value")).agg(
-        F.count(F.lit(1)).alias("rows"))
+    owner = F.col("owner_user_id") if "owner_user_id" in child.columns else F.lit(None).cast("bigint")
+    vals = child.where(F.col(fk).isNotNull()).groupBy(F.col(fk).alias("value"), owner.alias("owner")).agg(
+        F.count(F.lit(1)).alias("n"))
+    vals = vals.groupBy("value").agg(F.sum("n").alias("rows"), F.nullif(F.count("owner"), F.lit(0).cast("bigint")).alias("owners"))
     keys = parent.select(F.col(parent_key).alias("_pk")).distinct()
     missing = vals.join(keys, vals.value == keys._pk, "left").where(F.col("_pk").isNull())
     return missing.select(F.lit(child_name).alias("child_table"), F.lit(fk).alias("fk_column"),
-                          F.lit(parent_name).alias("parent_table"), "value", "rows")
+                          F.lit(parent_name).alias("parent_table"), "value", "rows", "owners")
 
 
 def orphan_report(tables: dict[str, DataFrame]) -> DataFrame:
-    """Every foreign key of the data model, checked for missing parents."""
-    t = tables
-    checks = [
-        ("daily_entries", "driver_id", "drivers"), ("daily_entries", "car_id", "cars"),
-        ("daily_entries", "created_by", "users"), ("cars", "current_driver_id", "drivers"),
-        ("users", "driver_id", "drivers"), ("general_expenses", "created_by", "users"),
-        ("weekly_money_notes", "updated_by", "users"), ("access_tokens", "user_id", "users"),
-    ]
-    parts = [orphans(t[c], fk, t[p], c, p) for c, fk, p in checks]
+    """Every foreign key of the data model that the tables hold, checked for missing parents."""
+    parts = [orphans(tables[k.child], k.column, tables[k.parent], k.child, k.parent) for k in FOREIGN_KEYS
+             if k.child in tables and k.parent in tables and k.column in tables[k.child].columns]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -78,13 +75,6 @@ def driver_delete_effects(drivers: DataFrame, requests: DataFrame, entries: Data
     ])
 
 
-def apply_driver_deletes(drivers: DataFrame, requests: DataFrame, entries: DataFrame) -> DataFrame:
-    """Drivers after the deletes that no entry restricts."""
-    used = entries.select(F.col("driver_id").alias("id")).join(requests.select("id"), "id", "left_semi")
-    gone = requests.select("id").join(used, "id", "left_anti")
-    return drivers.join(gone, "id", "left_anti").select(*drivers.columns)
-
-
 def unique_violations(tables: dict[str, DataFrame], collation: str | None = None) -> DataFrame:
     """Every unique key of the data model with its violating groups, the key
     values joined into one text (``|``-separated)."""
@@ -147,3 +137,20 @@ def period_mismatches(entries: DataFrame) -> DataFrame:
     same = (F.col("year_number").eqNullSafe(F.year(d)) & F.col("month_number").eqNullSafe(F.month(d))
             & F.col("week_number").eqNullSafe(F.weekofyear(d)))
     return entries.where(~same)
+
+
+def places(rows: DataFrame, col: str, collation: str = SOURCE_COLLATION) -> DataFrame:
+    """(id, ``col``, place): the rank of each text among the distinct ones under a collation.
+
+    Distinct texts are ranked by counting: they are ordered in a range sort, a text's
+    place is its position in its sorted part plus the sizes of the parts before.
+    """
+    name = F.collate(col, collation)
+    distinct = rows.select(name.alias("name")).distinct().repartitionByRange("name").sortWithinPartitions("name")
+    laid = written(distinct.withColumn("at", F.monotonically_increasing_id()).withColumn("name", F.col("name").cast("string")), "places")
+    part = F.shiftright("at", 33)
+    sizes = laid.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    placed = laid.join(sizes, part == F.col("part")).select(F.collate("name", collation).alias("_name"), (F.col("before") + F.col("at") % (1 << 33) + 1).alias("place"))
+    return rows.join(placed, name == F.col("_name")).select("id", col, "place")

@@ -7,9 +7,12 @@ shuffle carries at most one row per group per task.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetbook.functions import periods as P
 from fleetbook.functions.periods import PeriodRange
 from fleetbook.operators.entries import entry_list
 from fleetbook.operators.filters import entry_scope, in_period, owner_scope
@@ -118,3 +121,25 @@ def fleet_net_panel(entries: DataFrame, drivers: DataFrame, cars: DataFrame,
     return (out.withColumn("fleet_net", F.when(show_col, F.col("fleet_net"))
                            .otherwise(F.lit(0)).cast(MONEY_SUM))
                .withColumn("show_fleet", show_col))
+
+
+def requested_totals(requests: DataFrame, entries: DataFrame, as_of: dt.date) -> DataFrame:
+    """Totals of every requested period: a table of requests (request_id, owner_user_id,
+    driver_id or NULL for all, period_text, date_text, week_text, month_text) answered at once.
+
+    A period is at most a month, so a request is laid out in its days; entries are
+    summed by tenant, driver and day first (partial sums, whatever the number
+    of entries), and both meet on (tenant, day).
+    """
+    kind, start, end = P.request_bounds("period_text", "date_text", "week_text", "month_text", as_of)
+    r = requests.select("request_id", "owner_user_id", F.col("driver_id").alias("_driver"), kind.alias("period"), start.alias("start_date"), end.alias("end_date"))
+    days = r.select("request_id", "owner_user_id", "_driver", F.explode(F.sequence("start_date", "end_date")).alias("entry_date"))
+    sums = entries.groupBy("owner_user_id", "driver_id", "entry_date").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("gross_income").alias("gross"), F.sum("net_total").alias("net"))
+    hits = days.join(sums, ["owner_user_id", "entry_date"]).where(F.col("_driver").isNull() | (F.col("_driver") == F.col("driver_id")))
+    totals = hits.groupBy("request_id").agg(F.sum("n").alias("entries"), F.count_distinct("entry_date").alias("days"),
+                                            F.sum("gross").cast(MONEY_SUM).alias("gross"), F.sum("net").cast(MONEY_SUM).alias("net"))
+    z = F.lit(0).cast("bigint")
+    return r.join(totals, "request_id", "left").select(
+        "request_id", "period", "start_date", "end_date", F.coalesce("entries", z).alias("entries"), F.coalesce("days", z).alias("days"),
+        *[F.coalesce(F.col(c), F.lit(0).cast(MONEY_SUM)).alias(c) for c in ("gross", "net")])

@@ -111,10 +111,20 @@ SELECT event_id AS id,
   CASE WHEN event_type = 'error' THEN upper(substr(sha256(CAST(event_id AS VARCHAR)), 1, 24))
        ELSE substr(sha256(CAST(event_id AS VARCHAR)), 1, 24) END AS selector,
   CASE WHEN event_type = 'view' THEN props ELSE sha256(CAST(event_id AS VARCHAR)) END AS token_hash,
-  repeat(event_type || ' ', 40) AS user_agent,
+  repeat(event_type || CASE WHEN event_id % 3 = 0 THEN ' ñ€😀 ' ELSE ' ' END, 40) AS user_agent,
   repeat(props, 5) AS ip_address
 FROM events"""
 
+SPOILT = "(car_id * 7 + driver_id + dayofyear(entry_date))"
+IMPORTED = f"""
+SELECT * REPLACE (
+  CASE WHEN {SPOILT} % 50 = 0 THEN 1000000 + driver_id ELSE driver_id END AS driver_id,
+  CASE WHEN {SPOILT} % 70 = 1 THEN 1000000 + car_id % 97 ELSE car_id END AS car_id,
+  CASE WHEN {SPOILT} % 90 = 2 THEN 1000000 + created_by % 89 ELSE created_by END AS created_by,
+  CAST(CASE WHEN {SPOILT} % 40 = 3 THEN week_number % 52 + 1 ELSE week_number END AS INT) AS week_number,
+  CAST(CASE WHEN {SPOILT} % 60 = 4 THEN year_number + 1 ELSE year_number END AS INT) AS year_number)
+FROM daily_entries"""
+
 # --- scalar functions, filters, display ---------------------------------------
 
 DATES = "SELECT DISTINCT entry_date FROM daily_entries"
@@ -160,11 +170,15 @@ SELECT id, COALESCE(regexp_matches(selector, '^[0-9A-Fa-f]{{24}}$'), FALSE) AS s
        COALESCE(regexp_matches(token_hash, '^[0-9A-Fa-f]{{64}}$'), FALSE) AS hash_is_legacy
 FROM token_details""", token_details=TOKEN_DETAILS)
 oracle("hash_column", "SELECT id, username, sha256(username) AS username_sha256 FROM users")
+def CLIP(t: str, most: int) -> str:
+    """The longest beginning of whole characters that has at most so many bytes."""
+    return f"left({t}, list_max(list_filter(range(0, {most} + 1), lambda n: strlen(left({t}, n)) <= {most})))"
+
+
 oracle("access_audit", """
-SELECT id, substr(user_agent, 1, 255) AS user_agent, substr(ip_address, 1, 45) AS ip_address,
-       CAST(length(substr(user_agent, 1, 255)) AS INTEGER) AS user_agent_len,
-       CAST(length(substr(ip_address, 1, 45)) AS INTEGER) AS ip_address_len
-FROM token_details""", token_details=TOKEN_DETAILS)
+SELECT id, user_agent, ip_address, CAST(strlen(user_agent) AS INTEGER) AS user_agent_len, CAST(strlen(ip_address) AS INTEGER) AS ip_address_len
+FROM clipped""", token_details=TOKEN_DETAILS,
+       clipped=f"SELECT id, {CLIP('user_agent', 255)} AS user_agent, {CLIP('ip_address', 45)} AS ip_address FROM token_details")
 oracle("scope_owner", f"SELECT * FROM cars WHERE owner_user_id = {OWNER}")
 oracle("scope_driver", f"SELECT * FROM daily_entries WHERE driver_id = {SQL_DRIVER}")
 oracle("scope_entry", f"SELECT * FROM daily_entries WHERE owner_user_id = {OWNER} AND driver_id = {SQL_DRIVER}")
@@ -176,9 +190,9 @@ UNION ALL SELECT 'admin, one driver', COUNT(*) FROM daily_entries WHERE owner_us
 UNION ALL SELECT 'driver user', COUNT(*) FROM daily_entries WHERE driver_id = {SQL_DRIVER}
 UNION ALL SELECT 'unlinked driver user', 0""")
 oracle("period_column_mismatches", """
-SELECT * FROM daily_entries WHERE year_number IS DISTINCT FROM CAST(strftime(entry_date, '%Y') AS INT)
+SELECT * FROM imported WHERE year_number IS DISTINCT FROM CAST(strftime(entry_date, '%Y') AS INT)
   OR month_number IS DISTINCT FROM CAST(strftime(entry_date, '%m') AS INT)
-  OR week_number IS DISTINCT FROM CAST(strftime(entry_date, '%V') AS INT)""")
+  OR week_number IS DISTINCT FROM CAST(strftime(entry_date, '%V') AS INT)""", imported=IMPORTED)
 oracle("entries_by_status", f"""
 SELECT * FROM daily_entries WHERE owner_user_id = {OWNER} AND entry_date BETWEEN {SQL_MONTH}
   AND rental_billing_status = 'invoiced'""")
@@ -408,8 +422,10 @@ SELECT {NPART} - p_partkey AS form_seq, p_partkey + 1 AS id,
   CASE WHEN p_size > 40 THEN '' ELSE CAST(1990 + p_size AS VARCHAR) END AS year_text,
   CASE WHEN p_size % 3 = 0 THEN 'inactive' ELSE 'active' END AS status_text
 FROM part LEFT JOIN {ADMIN_OF} a ON a.o = p_partkey % 5 + 1"""
+LEGACY_DRIVERS = "SELECT * REPLACE (CASE WHEN id = 2 THEN 'Chofer Demo' ELSE full_name END AS full_name) FROM drivers"
+LEGACY_CARS = "SELECT * REPLACE (CASE WHEN id = 2 THEN 'AA000AA' ELSE plate END AS plate) FROM cars"
 LEGACY_USERS = """
-SELECT id, full_name, username, role, driver_id,
+SELECT id, full_name, CASE id WHEN 2 THEN 'admin' WHEN 3 THEN 'chofer' WHEN 5 THEN 'personal' ELSE username END AS username, role, driver_id,
   CASE WHEN is_active = 0 THEN NULL ELSE owner_user_id END AS owner_user_id, is_active
 FROM users"""
 TOKEN_REQUESTS = "SELECT user_id + 1 AS user_id FROM events WHERE event_type = 'signup' AND value > 200"
@@ -618,9 +634,10 @@ FKS = [("daily_entries", "driver_id", "drivers"), ("daily_entries", "car_id", "c
        ("users", "driver_id", "drivers"), ("general_expenses", "created_by", "users"),
        ("weekly_money_notes", "updated_by", "users"), ("access_tokens", "user_id", "users")]
 oracle("orphan_entries", "\nUNION ALL\n".join(
-    f"""SELECT '{c}' AS child_table, '{fk}' AS fk_column, '{p}' AS parent_table, x.{fk} AS value, COUNT(*) AS rows
-        FROM {c} x WHERE x.{fk} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {p} q WHERE q.id = x.{fk})
-        GROUP BY x.{fk}""" for c, fk, p in FKS))
+    f"""SELECT '{c}' AS child_table, '{fk}' AS fk_column, '{p}' AS parent_table, x.{fk} AS value, COUNT(*) AS rows,
+        {'CAST(NULL AS BIGINT)' if c == 'access_tokens' else 'COUNT(DISTINCT x.owner_user_id)'} AS owners
+        FROM {'imported' if c == 'daily_entries' else c} x WHERE x.{fk} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {p} q WHERE q.id = x.{fk})
+        GROUP BY x.{fk}""" for c, fk, p in FKS), imported=IMPORTED)
 oracle("delete_effects", """
 SELECT r.id, COALESCE(e.n, 0) AS entries_count, COALESCE(c.n, 0) AS cars_unlinked, COALESCE(u.n, 0) AS users_unlinked,
   COALESCE(e.n, 0) > 0 AS blocked
@@ -686,11 +703,11 @@ def OWNERS(key: str) -> str:
 D1 = f"""
 SELECT d.id, CAST(CASE WHEN d.full_name = 'Chofer Demo' THEN {ADM('u1')} ELSE COALESCE(o.o, {ADM('u1')}) END AS BIGINT)
   AS owner_user_id, d.full_name, d.dni, d.status
-FROM drivers d LEFT JOIN ({OWNERS('driver_id')}) o ON o.k = d.id"""
+FROM legacy_drivers d LEFT JOIN ({OWNERS('driver_id')}) o ON o.k = d.id"""
 C1 = f"""
 SELECT c.id, CAST(CASE WHEN c.plate = 'AA000AA' THEN {ADM('u1')} ELSE COALESCE(o.o, {ADM('u1')}) END AS BIGINT)
   AS owner_user_id, c.brand, c.model, c.plate, c.status, c.current_driver_id
-FROM cars c LEFT JOIN ({OWNERS('car_id')}) o ON o.k = c.id"""
+FROM legacy_cars c LEFT JOIN ({OWNERS('car_id')}) o ON o.k = c.id"""
 E1 = f"""
 SELECT CAST(COALESCE(u.owner_user_id, d.owner_user_id, {ADM('u1')}) AS BIGINT) AS owner_user_id,
   e.* EXCLUDE (owner_user_id)
@@ -704,7 +721,7 @@ X1 = f"""
 SELECT ge.id, CAST(COALESCE(u.owner_user_id, {ADM('u2')}) AS BIGINT) AS owner_user_id, ge.expense_date, ge.amount,
   ge.observations, ge.created_by
 FROM general_expenses ge LEFT JOIN u2 u ON u.id = ge.created_by"""
-MIG = dict(legacy_users=LEGACY_USERS, u1=U1, d1=D1, c1=C1, e1=E1, u2=U2, x1=X1)
+MIG = dict(legacy_users=LEGACY_USERS, legacy_drivers=LEGACY_DRIVERS, legacy_cars=LEGACY_CARS, u1=U1, d1=D1, c1=C1, e1=E1, u2=U2, x1=X1)
 oracle("backfill_users", "SELECT * FROM u1", legacy_users=LEGACY_USERS, u1=U1)
 oracle("backfill_drivers", "SELECT * FROM d1", **MIG)
 oracle("backfill_cars", "SELECT * FROM c1", **MIG)
@@ -942,24 +959,24 @@ SAVES = dict(ds=DRIVER_SAVES, dsp=DSP, dsq=DSQ, dsw=DSW,
 oracle("driver_save_rejects", """
 SELECT change_seq, posted_by, id, owner_user_id, full_name, dni, status, car_id, reasons FROM dsj
 WHERE reasons <> ''""", **SAVES)
-oracle("driver_saves", """
+DRIVERS_SAVED = """
 SELECT d.id, d.owner_user_id,
   CASE WHEN e.id IS NOT NULL THEN e.full_name ELSE d.full_name END AS full_name,
   CASE WHEN e.id IS NOT NULL THEN e.dni ELSE d.dni END AS dni,
   CASE WHEN e.id IS NOT NULL THEN e.status ELSE d.status END AS status
 FROM drivers d LEFT JOIN edits e ON e.id = d.id
 UNION ALL
-SELECT (SELECT top FROM top) + change_seq, owner_user_id, full_name, dni, status FROM ok WHERE id = 0""",
-       **SAVES,
-       edits="""SELECT * FROM (SELECT o.*, ROW_NUMBER() OVER (PARTITION BY id ORDER BY change_seq DESC,
+SELECT (SELECT top FROM top) + change_seq, owner_user_id, full_name, dni, status FROM ok WHERE id = 0"""
+SAVED_EDITS = """SELECT * FROM (SELECT o.*, ROW_NUMBER() OVER (PARTITION BY id ORDER BY change_seq DESC,
                 full_name DESC NULLS LAST, dni DESC NULLS LAST, status DESC NULLS LAST) AS rn
-                FROM ok o WHERE o.id > 0 AND o.writes_driver) x WHERE rn = 1""")
-oracle("driver_save_cars", """
+                FROM ok o WHERE o.id > 0 AND o.writes_driver) x WHERE rn = 1"""
+oracle("driver_saves", DRIVERS_SAVED, **SAVES, edits=SAVED_EDITS)
+CARS_SAVED = """
 SELECT c1.id, c1.owner_user_id, c1.brand, c1.model, c1.plate, c1.status,
   CASE WHEN lp.lp_seq IS NOT NULL AND (c1.since IS NULL OR lp.lp_seq > c1.since) THEN NULL ELSE c1.holder END
     AS current_driver_id
-FROM c1 LEFT JOIN last_post lp ON lp.lp_owner = c1.owner_user_id AND lp.lp_driver = c1.holder""",
-       **SAVES,
+FROM c1 LEFT JOIN last_post lp ON lp.lp_owner = c1.owner_user_id AND lp.lp_driver = c1.holder"""
+SAVED_ASSIGNMENTS = dict(
        asg="""SELECT change_seq, posted_by, CASE WHEN id > 0 THEN id ELSE (SELECT top FROM top) + change_seq END
               AS driver_id, car_id FROM ok""",
        ap=ASG_P,
@@ -970,3 +987,68 @@ FROM c1 LEFT JOIN last_post lp ON lp.lp_owner = c1.owner_user_id AND lp.lp_drive
                    FROM valid v WHERE car_id IS NOT NULL) x WHERE rn = 1""",
        c1="""SELECT c.*, CASE WHEN ls.ls_car IS NOT NULL THEN ls.ls_driver ELSE c.current_driver_id END AS holder,
              ls.ls_seq AS since FROM cars c LEFT JOIN last_set ls ON ls.ls_car = c.id""")
+oracle("driver_save_cars", CARS_SAVED, **SAVES, **SAVED_ASSIGNMENTS)
+
+# --- deletes with their referential actions -------------------------------------------------
+
+DELETES = dict(
+    **SAVES, edits=SAVED_EDITS, **SAVED_ASSIGNMENTS, saved_drivers=DRIVERS_SAVED, saved_cars=CARS_SAVED,
+    out_users="SELECT id FROM users WHERE is_active = 0",
+    out_cars="SELECT id FROM saved_cars WHERE status = 'inactive' AND id NOT IN (SELECT car_id FROM daily_entries)",
+    out_drivers="SELECT id FROM saved_drivers WHERE status = 'inactive' AND id NOT IN (SELECT driver_id FROM daily_entries)")
+oracle("delete_outcomes", """
+SELECT 'drivers' AS table_name, id, CASE WHEN id IN (SELECT id FROM out_drivers) THEN 'deleted' ELSE 'restricted' END AS outcome
+FROM saved_drivers WHERE status = 'inactive'
+UNION ALL SELECT 'cars', id, CASE WHEN id IN (SELECT id FROM out_cars) THEN 'deleted' ELSE 'restricted' END FROM saved_cars WHERE status = 'inactive'
+UNION ALL SELECT 'users', id, 'deleted' FROM out_users""", **DELETES)
+
+
+def CLEARED(col: str, out: str) -> str:
+    return f"CASE WHEN {col} NOT IN (SELECT id FROM {out}) THEN {col} END AS {col}"
+
+
+oracle("deleted_drivers", "SELECT * FROM saved_drivers WHERE id NOT IN (SELECT id FROM out_drivers)", **DELETES)
+oracle("deleted_cars", f"""
+SELECT * REPLACE ({CLEARED('current_driver_id', 'out_drivers')}) FROM saved_cars WHERE id NOT IN (SELECT id FROM out_cars)""", **DELETES)
+oracle("deleted_users", f"""
+SELECT * REPLACE ({CLEARED('driver_id', 'out_drivers')}) FROM users WHERE id NOT IN (SELECT id FROM out_users)""", **DELETES)
+oracle("deleted_tokens", "SELECT * FROM access_tokens WHERE user_id NOT IN (SELECT id FROM out_users)", **DELETES)
+oracle("deleted_entries", f"SELECT * REPLACE ({CLEARED('created_by', 'out_users')}) FROM daily_entries", **DELETES)
+oracle("deleted_expenses", f"SELECT * REPLACE ({CLEARED('created_by', 'out_users')}) FROM general_expenses", **DELETES)
+oracle("deleted_notes", f"SELECT * REPLACE ({CLEARED('updated_by', 'out_users')}) FROM weekly_money_notes", **DELETES)
+
+# --- names as the source database compares them ----------------------------------------------
+
+ACCOUNT_NAMES = """
+SELECT c_custkey + 1 AS id, CASE c_custkey % 4
+  WHEN 0 THEN upper('josé pérez ' || CAST(c_custkey % 400 AS VARCHAR))
+  WHEN 1 THEN 'jose perez ' || CAST(c_custkey % 400 AS VARCHAR) || '  '
+  WHEN 2 THEN 'José Pérez ' || CAST(c_custkey % 400 AS VARCHAR)
+  ELSE 'ñandú ' || CAST(c_custkey % 300 AS VARCHAR) END AS username
+FROM customer"""
+PLAIN = "lower(strip_accents(rtrim(username)))"
+oracle("unique_names", f"SELECT MIN(id) AS first_id, COUNT(*) AS rows FROM names GROUP BY {PLAIN} HAVING COUNT(*) > 1", names=ACCOUNT_NAMES)
+oracle("names_in_order", f"SELECT id, username, DENSE_RANK() OVER (ORDER BY {PLAIN}) AS place FROM names", names=ACCOUNT_NAMES)
+
+# --- requested periods ------------------------------------------------------------------------
+
+REQUESTS = f"""
+SELECT c_custkey + 1 AS request_id, c_custkey % 5 + 1 AS owner_user_id,
+  CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE c_custkey % {NSUP} + 1 END AS driver_id,
+  CASE WHEN c_custkey % 7 = 0 THEN 'year' WHEN c_custkey % 3 = 0 THEN 'day' WHEN c_custkey % 3 = 1 THEN 'week' ELSE 'month' END AS period_text,
+  CASE WHEN c_custkey % 11 = 0 THEN '1997-02-31' WHEN c_custkey % 13 = 0 THEN 'hoy' ELSE strftime(d, '%Y-%m-%d') END AS date_text,
+  strftime(d, '%G-W%V') AS week_text, CASE WHEN c_custkey % 17 = 0 THEN '1997-13' ELSE strftime(d, '%Y-%m') END AS month_text
+FROM (SELECT c_custkey, DATE '1996-12-20' + CAST(c_custkey % 800 AS INT) AS d FROM customer) x"""
+RANGES = f"""
+SELECT request_id, owner_user_id, driver_id, period,
+  CASE period WHEN 'day' THEN TRY_CAST(d AS DATE) WHEN 'week' THEN {WS('w')} ELSE TRY_CAST(m || '-01' AS DATE) END AS start_date,
+  CASE period WHEN 'day' THEN TRY_CAST(d AS DATE) WHEN 'week' THEN {WS('w')} + 6 ELSE last_day(TRY_CAST(m || '-01' AS DATE)) END AS end_date
+FROM (SELECT *, CASE WHEN period_text IN ('day', 'month') THEN period_text ELSE 'week' END AS period,
+             {VALID('date_text', DATE_RE, AS_OF_DAY)} AS d, {VALID('week_text', WEEK_RE, AS_OF_WEEK)} AS w, {VALID('month_text', MONTH_RE, AS_OF_MONTH)} AS m
+      FROM requests) x"""
+oracle("requested_totals", f"""
+SELECT r.request_id, r.period, r.start_date, r.end_date, COUNT(e.entry_date) AS entries, COUNT(DISTINCT e.entry_date) AS days,
+  {Z('SUM(e.gross_income)', 'gross')}, {Z('SUM(e.net_total)', 'net')}
+FROM ranges r LEFT JOIN daily_entries e ON e.owner_user_id = r.owner_user_id AND e.entry_date BETWEEN r.start_date AND r.end_date
+  AND (r.driver_id IS NULL OR e.driver_id = r.driver_id)
+GROUP BY r.request_id, r.period, r.start_date, r.end_date""", requests=REQUESTS, ranges=RANGES)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from fleetbook.operators import access as W
 from fleetbook.operators import audits as Q
 from fleetbook.operators import backfill as B
+from fleetbook.operators import changes as C
+from fleetbook.operators import deletes as D
 from fleetbook.operators import entries as E
 from fleetbook.operators import filters as FL
 from fleetbook.plans.catalog import query
@@ -34,9 +36,10 @@ def duplicate_dni(t):
 
 @query("orphan_entries")
 def orphan_entries(t):
-    """Foreign-key values without a parent row, over every foreign key."""
+    """Foreign-key values without a parent row, over every foreign key, of an import without constraints:
+    how many rows carry each and how many tenants they belong to."""
     return Q.orphan_report({
-        "daily_entries": t.daily_entries, "drivers": t.drivers, "cars": t.cars, "users": t.users,
+        "daily_entries": StandinBatches(t).imported_entries, "drivers": t.drivers, "cars": t.cars, "users": t.users,
         "general_expenses": t.general_expenses, "weekly_money_notes": t.weekly_money_notes,
         "access_tokens": t.access_tokens})
 
@@ -48,6 +51,80 @@ def delete_effects(t):
     return Q.driver_delete_effects(t.drivers, req, t.daily_entries, t.cars, t.users)
 
 
+def _delete_batch(t):
+    """Inactive drivers, cars and users asked to go, after the driver form saves (new drivers have no entries yet)."""
+    s = StandinBatches(t)
+    saved = C.apply_driver_saves(t.drivers, t.cars, C.judge_driver_saves(s.driver_saves, t.drivers, t.cars, t.users), t.users)
+    tables = {"drivers": saved["drivers"], "cars": saved["cars"], "users": t.users, "daily_entries": t.daily_entries,
+              "general_expenses": t.general_expenses, "weekly_money_notes": t.weekly_money_notes, "access_tokens": t.access_tokens}
+    inactive = {n: tables[n].where(F.col("status") == "inactive").select("id") for n in ("drivers", "cars")}
+    return D.apply_delete_batch(tables, inactive | {"users": t.users.where(F.col("is_active") == 0).select("id")})
+
+
+@query("delete_outcomes")
+def delete_outcomes(t):
+    """Every delete request: deleted, or restricted by rows that refer to it."""
+    return _delete_batch(t)[1]
+
+
+@query("deleted_drivers")
+def deleted_drivers(t):
+    """Drivers after the delete batch (entries restrict the delete)."""
+    return _delete_batch(t)[0]["drivers"]
+
+
+@query("deleted_cars")
+def deleted_cars(t):
+    """Cars after the delete batch: links to deleted drivers are cleared."""
+    return _delete_batch(t)[0]["cars"]
+
+
+@query("deleted_users")
+def deleted_users(t):
+    """Users after the delete batch."""
+    return _delete_batch(t)[0]["users"]
+
+
+@query("deleted_tokens")
+def deleted_tokens(t):
+    """Access tokens after the delete batch: those of deleted users went with them."""
+    return _delete_batch(t)[0]["access_tokens"]
+
+
+@query("deleted_entries")
+def deleted_entries(t):
+    """Entries after the delete batch: creators that were deleted are cleared."""
+    return _delete_batch(t)[0]["daily_entries"]
+
+
+@query("deleted_expenses")
+def deleted_expenses(t):
+    """Fleet expenses after the delete batch: creators that were deleted are cleared."""
+    return _delete_batch(t)[0]["general_expenses"]
+
+
+@query("deleted_notes")
+def deleted_notes(t):
+    """Week notes after the delete batch: editors that were deleted are cleared."""
+    return _delete_batch(t)[0]["weekly_money_notes"]
+
+
+@query("unique_names")
+def unique_names(t):
+    """Usernames that the source database holds for equal (case, accents and blanks behind do not count)."""
+    names = StandinBatches(t).account_names
+    first = names.groupBy(F.collate("username", Q.SOURCE_COLLATION).alias("name")).agg(
+        F.count(F.lit(1)).alias("rows"), F.min("id").alias("first_id"))
+    return first.where(F.col("rows") > 1).select("first_id", "rows")
+
+
+@query("names_in_order")
+def names_in_order(t):
+    """Usernames with their place in the source database's order (equal names share a place)."""
+    names = StandinBatches(t).account_names
+    return Q.places(names, "username", Q.SOURCE_COLLATION)
+
+
 # --- backfills -------------------------------------------------------------------
 
 LEGACY_COLS = list(B.LEGACY_COSTS)
@@ -73,7 +150,7 @@ def clean_entries(t):
 
 def _migration(t):
     s = StandinBatches(t)
-    return B.workspace_migration(s.legacy_users, t.drivers, t.cars, t.daily_entries, t.general_expenses)
+    return B.workspace_migration(s.legacy_users, s.legacy_drivers, s.legacy_cars, t.daily_entries, t.general_expenses)
 
 
 @query("backfill_users")

@@ -6,8 +6,9 @@ from fleetbook.functions import display as D
 from fleetbook.operators import rollups, ranking
 from fleetbook.operators.filters import entry_scope, in_period
 from fleetbook.plans.catalog import query
-from fleetbook.plans.params import MONTH_RANGE, OWNER, first_driver_of_owner
+from fleetbook.plans.params import AS_OF, MONTH_RANGE, OWNER, first_driver_of_owner
 from fleetbook.scope import Scope
+from fleetbook.sources.standins import StandinBatches
 
 ADMIN = Scope.admin(OWNER)
 
@@ -35,6 +36,12 @@ def daily_rollup_signed(t):
                             D.money("net").alias("net_text"))
 
 
+@query("requested_totals")
+def requested_totals(t):
+    """Every posted report request (day, week or month of a tenant, all drivers or one) with its totals."""
+    return rollups.requested_totals(StandinBatches(t).period_requests, t.daily_entries, AS_OF)
+
+
 @query("period_totals")
 def period_totals(t):
     """Totals of the daily rollup and average net per active day."""

@@ -131,11 +131,11 @@ def hash_column(t):
 
 @query("access_audit")
 def access_audit(t):
-    """Stored user agent / address clipped to their column lengths."""
+    """Stored user agent / address clipped to their columns' bytes, never inside a character."""
     d = StandinBatches(t).token_details
     ua, ip = A.clip("user_agent", A.USER_AGENT_LEN), A.clip("ip_address", A.IP_ADDRESS_LEN)
     return d.select("id", ua.alias("user_agent"), ip.alias("ip_address"),
-                    F.length(ua).alias("user_agent_len"), F.length(ip).alias("ip_address_len"))
+                    F.octet_length(ua).alias("user_agent_len"), F.octet_length(ip).alias("ip_address_len"))
 
 
 @query("scope_owner")
@@ -177,8 +177,8 @@ def scope_cases(t):
 
 @query("period_column_mismatches")
 def period_column_mismatches(t):
-    """Entries whose stored week, month or year is not that of their date."""
-    return period_mismatches(t.daily_entries)
+    """Imported entries whose stored week, month or year is not that of their date."""
+    return period_mismatches(StandinBatches(t).imported_entries)
 
 
 @query("entries_by_status")

@@ -6,6 +6,8 @@ an allowed-value list (see ``ENUMS``); money is ``decimal(12,2)``.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import types as T
 
 MONEY = T.DecimalType(12, 2)
@@ -119,3 +121,26 @@ UNIQUE_KEYS = {
 # Entry amounts that a load carries; the rest of an entry row is derived.
 ENTRY_AMOUNTS = ("gross_income", "app_expenses", "cash_collected", "rental_amount",
                  "fuel_cost", "distance_km")
+
+
+class ForeignKey(NamedTuple):
+    child: str
+    column: str
+    parent: str
+    action: str  # on delete of the parent row: restrict, set_null or cascade
+
+
+# The foreign keys of the data model and what they do when the parent row is deleted.
+FOREIGN_KEYS = (
+    ForeignKey("cars", "current_driver_id", "drivers", "set_null"),
+    ForeignKey("users", "driver_id", "drivers", "set_null"),
+    ForeignKey("access_tokens", "user_id", "users", "cascade"),
+    ForeignKey("daily_entries", "driver_id", "drivers", "restrict"),
+    ForeignKey("daily_entries", "car_id", "cars", "restrict"),
+    ForeignKey("daily_entries", "created_by", "users", "set_null"),
+    ForeignKey("daily_entries", "updated_by", "users", "set_null"),
+    ForeignKey("general_expenses", "created_by", "users", "set_null"),
+    ForeignKey("general_expenses", "updated_by", "users", "set_null"),
+    ForeignKey("weekly_money_notes", "created_by", "users", "set_null"),
+    ForeignKey("weekly_money_notes", "updated_by", "users", "set_null"),
+)

@@ -136,7 +136,7 @@ class StandinBatches:
             F.when(F.col("event_type") == "error", F.upper(F.substring(sha, 1, 24)))
             .otherwise(F.substring(sha, 1, 24)).alias("selector"),
             F.when(F.col("event_type") == "view", F.col("props")).otherwise(sha).alias("token_hash"),
-            F.repeat(F.concat(F.col("event_type"), F.lit(" ")), 40).alias("user_agent"),
+            F.repeat(F.concat(F.col("event_type"), F.when(F.col("event_id") % 3 == 0, F.lit(" ñ€\U0001f600 ")).otherwise(F.lit(" "))), 40).alias("user_agent"),
             F.repeat(F.col("props"), 5).alias("ip_address"),
         )
 
@@ -286,10 +286,63 @@ class StandinBatches:
 
     @cached_property
     def legacy_users(self) -> DataFrame:
-        """Users as before the workspace migration: inactive ones have no owner yet."""
+        """Users as before the workspace migration: inactive ones have no owner yet, and the accounts of the
+        first installation are there under their names."""
         u = self.t.users
-        return u.withColumn("owner_user_id", F.when(F.col("is_active") == 0, F.lit(None).cast("bigint"))
-                            .otherwise(F.col("owner_user_id")))
+        k = F.col("id")
+        named = F.when(k == 2, F.lit("admin")).when(k == 3, F.lit("chofer")).when(k == 5, F.lit("personal")).otherwise(F.col("username"))
+        return (u.withColumn("owner_user_id", F.when(F.col("is_active") == 0, F.lit(None).cast("bigint")).otherwise(F.col("owner_user_id")))
+                 .withColumn("username", named))
+
+    @cached_property
+    def legacy_drivers(self) -> DataFrame:
+        """Drivers with the demo driver of the first installation."""
+        return self.t.drivers.withColumn("full_name", F.when(F.col("id") == 2, F.lit("Chofer Demo")).otherwise(F.col("full_name")))
+
+    @cached_property
+    def legacy_cars(self) -> DataFrame:
+        """Cars with the demo car of the first installation."""
+        return self.t.cars.withColumn("plate", F.when(F.col("id") == 2, F.lit("AA000AA")).otherwise(F.col("plate")))
+
+    @cached_property
+    def imported_entries(self) -> DataFrame:
+        """Entries as an import without constraints would bring them: some name drivers, cars or creators
+        that are not there, and some have stored periods of another date."""
+        k = F.col("car_id") * 7 + F.col("driver_id") + F.dayofyear("entry_date")
+        far = F.lit(1_000_000).cast("bigint")
+        shifted = {"driver_id": F.when(k % 50 == 0, far + F.col("driver_id")).otherwise(F.col("driver_id")),
+                   "car_id": F.when(k % 70 == 1, far + F.col("car_id") % 97).otherwise(F.col("car_id")),
+                   "created_by": F.when(k % 90 == 2, far + F.col("created_by") % 89).otherwise(F.col("created_by")),
+                   "week_number": F.when(k % 40 == 3, F.col("week_number") % 52 + 1).otherwise(F.col("week_number")).cast("int"),
+                   "year_number": F.when(k % 60 == 4, F.col("year_number") + 1).otherwise(F.col("year_number")).cast("int")}
+        e = self.t.daily_entries
+        return e.select(*[shifted[c].alias(c) if c in shifted else F.col(c) for c in e.columns])
+
+    @cached_property
+    def period_requests(self) -> DataFrame:
+        """Report requests as posted, one per customer: day, week, month or an unknown kind, of a
+        tenant, every other one for one driver, some with texts that are no dates."""
+        c = self.t.raw("customer")
+        k = F.col("c_custkey")
+        day = F.date_add(F.lit("1996-12-20").cast("date"), (k % 800).cast("int"))
+        return c.select(
+            (k + 1).alias("request_id"), (k % 5 + 1).cast("bigint").alias("owner_user_id"),
+            F.when(k % 2 == 0, F.lit(None).cast("bigint")).otherwise(k % self.t.supplier_count + 1).alias("driver_id"),
+            F.when(k % 7 == 0, F.lit("year")).when(k % 3 == 0, F.lit("day")).when(k % 3 == 1, F.lit("week")).otherwise(F.lit("month")).alias("period_text"),
+            F.when(k % 11 == 0, F.lit("1997-02-31")).when(k % 13 == 0, F.lit("hoy")).otherwise(day.cast("string")).alias("date_text"),
+            F.concat(F.extract(F.lit("YEAROFWEEK"), day).cast("string"), F.lit("-W"), F.lpad(F.weekofyear(day).cast("string"), 2, "0")).alias("week_text"),
+            F.when(k % 17 == 0, F.lit("1997-13")).otherwise(F.date_format(day, "yyyy-MM")).alias("month_text"),
+        )
+
+    @cached_property
+    def account_names(self) -> DataFrame:
+        """Usernames as typed: in capitals, with accents or blanks behind, several for one name."""
+        c = self.t.raw("customer")
+        k = F.col("c_custkey")
+        name = F.concat(F.lit("josé pérez "), (k % 400).cast("string"))
+        typed = (F.when(k % 4 == 0, F.upper(name)).when(k % 4 == 1, F.concat(F.translate(name, "éáí", "eai"), F.lit("  ")))
+                 .when(k % 4 == 2, F.initcap(name)).otherwise(F.concat(F.lit("ñandú "), (k % 300).cast("string"))))
+        return c.select((k + 1).alias("id"), typed.alias("username"))
 
     @cached_property
     def token_requests(self) -> DataFrame:
