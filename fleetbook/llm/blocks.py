@@ -5,7 +5,8 @@ one word number per token. Operators that need a corpus-wide count for every
 n-gram of every document send each block's distinct keys, packed and cut by key
 range, to shards; a shard adds up the counts of its keys over all blocks and
 answers each block in the order of its keys. A hot key is one entry per block,
-whatever the number of its occurrences.
+whatever the number of its occurrences. Blocks are stored in buckets by their
+name, so that only the answers travel when they meet.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged
+from .common import bucketed, small_batches
 
 #: Bytes of text in a block, unless one text is longer.
 BLOCK_BYTES = 4 << 20
@@ -94,7 +95,7 @@ def make_blocks(docs: DataFrame, flag: Column, block_bytes: int = BLOCK_BYTES, c
 
     schema = pa.schema([("block", pa.string()), ("ids", pa.list_(pa.int64())), ("flags", pa.list_(pa.bool_())), ("carried", pa.list_(pa.string())), ("lengths", pa.binary()), ("vocab", pa.binary()), ("words", pa.binary())])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), flag.alias("flag"), (F.lit(None) if carry is None else carry).cast("string").alias("carried"), "text")
-    return staged(small_batches(rows).mapInArrow(build, _BLOCK), "blocks")
+    return bucketed(small_batches(rows).mapInArrow(build, _BLOCK), "block", "blocks")
 
 
 def shard_bits(spark) -> int:

@@ -51,6 +51,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder, in buckets by a hash of ``key``, and read back.
+
+    A grouping by ``key`` with another table then shuffles the other table only. The
+    table is known to this session's catalog and lies in the shared folder.
+    """
+    path = new_path(df.sparkSession, name)
+    table = f"{name}_{path.rsplit('-', 1)[1]}"
+    df.write.format("parquet").option("path", path).bucketBy(shuffle_width(df.sparkSession), key).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``, for a function that gets texts: its session sends Arrow batches of
     at most 2,000 rows and about 8 MB, unless they are set to be smaller, so a
