@@ -140,17 +140,18 @@ def period_mismatches(entries: DataFrame) -> DataFrame:
 
 
 def places(rows: DataFrame, col: str, collation: str = SOURCE_COLLATION) -> DataFrame:
-    """(id, ``col``, place): the rank of each text among the distinct ones under a collation.
+    """(id, ``col``, place): the rank of each text among the distinct ones under a collation
+    (NULL has no place).
 
     Distinct texts are ranked by counting: they are ordered in a range sort, a text's
     place is its position in its sorted part plus the sizes of the parts before.
     """
     name = F.collate(col, collation)
-    distinct = rows.select(name.alias("name")).distinct().repartitionByRange("name").sortWithinPartitions("name")
+    distinct = rows.where(F.col(col).isNotNull()).select(name.alias("name")).distinct().repartitionByRange("name").sortWithinPartitions("name")
     laid = written(distinct.withColumn("at", F.monotonically_increasing_id()).withColumn("name", F.col("name").cast("string")), "places")
     part = F.shiftright("at", 33)
     sizes = laid.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     placed = laid.join(sizes, part == F.col("part")).select(F.collate("name", collation).alias("_name"), (F.col("before") + F.col("at") % (1 << 33) + 1).alias("place"))
-    return rows.join(placed, name == F.col("_name")).select("id", col, "place")
+    return rows.join(placed, name == F.col("_name"), "left").select("id", col, "place")

@@ -9,12 +9,15 @@
   so a file's date statistics span one month and a date filter skips the
   row groups of other months; rows are sorted by tenant inside the files, so
   tenant filters skip row groups.
+* ``rewrite_months`` applies a batch of changes to a stored table by rewriting
+  only the month folders that it touches, once, however often the job is retried.
 * ``StagedTables`` serves the stored tables to the same query bodies that
   run on the test-data derivations.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,7 +28,7 @@ from fleetbook.session import checkpoint_dir
 from fleetbook.sources.fixtures import TestdataTables
 
 # Tables stored in a folder per month, and by the month of which column.
-PARTITIONING = {"daily_entries": "entry_date", "entries_unique": "entry_date"}
+PARTITIONING = {"daily_entries": "entry_date", "entries_unique": "entry_date", "entries": "entry_date"}
 # The writer's own column that names the folder.
 FOLDER = "stored_month"
 # Row order inside each file: tenant first, so parquet row-group statistics
@@ -33,6 +36,7 @@ FOLDER = "stored_month"
 CLUSTERING = {
     "daily_entries": ("owner_user_id", "driver_id", "entry_date"),
     "entries_unique": ("owner_user_id", "driver_id", "entry_date"),
+    "entries": ("owner_user_id", "driver_id", "entry_date"),
     "general_expenses": ("owner_user_id", "expense_date"),
     "drivers": ("owner_user_id", "id"),
     "cars": ("owner_user_id", "id"),
@@ -63,7 +67,7 @@ def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
                        for c, kind in ((f.name, f.dataType) for f in df.schema.fields)])
 
 
-def write_table(df: DataFrame, path: str, name: str, mode: str = "overwrite") -> None:
+def write_table(df: DataFrame, path: str, name: str, mode: str = "overwrite", options: dict[str, str] | None = None) -> None:
     """Write a table as parquet, partitioned where the data model says so.
 
     A ``REBALANCE`` on the partition columns groups each folder's rows into
@@ -80,12 +84,63 @@ def write_table(df: DataFrame, path: str, name: str, mode: str = "overwrite") ->
     out = df.hint("rebalance", *parts) if parts else df.hint("rebalance")
     if order:
         out = out.sortWithinPartitions(*order)
-    writer = out.write.mode(mode)
+    writer = out.write.mode(mode).options(**(options or {}))
     if parts:
         writer = writer.partitionBy(*parts)
     writer.parquet(f"{path}/{name}")
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def touched_months(judged: DataFrame, entries: DataFrame) -> DataFrame:
+    """Months (``yyyy-MM``) of a judged batch of entry edits: those that its accepted edits
+    move entries from and to. ``entries`` are the stored ones before the batch."""
+    ok = judged.where(F.col("reasons") == "")
+    left = entries.select("id", "entry_date").join(ok.select("id").distinct(), "id", "left_semi")
+    both = ok.select("entry_date").unionByName(left.select("entry_date"))
+    return both.select(F.date_format("entry_date", "yyyy-MM").alias(FOLDER)).distinct()
+
+
+def rewrite_months(spark: SparkSession, path: str, name: str, batch_id: str, months: DataFrame,
+                   change: Callable[[DataFrame], DataFrame]) -> bool:
+    """Apply ``change`` to the stored rows of ``months`` and rewrite these month folders only.
+
+    Two steps, each safe to repeat. The new rows of the months are first written
+    beside the table, under the batch's id; this step is complete when Spark has
+    committed it, and a retry does not compute it again, so a change that depends on
+    the stored rows sees each of them once. Then they replace the months'
+    folders (dynamic partition overwrite; a month that has no rows left is
+    removed), which a retry does with the same rows. A marker ends the batch:
+    applying its id again changes nothing. False: it had been applied before.
+
+    ``months`` is one row per month, collected for partition pruning; the
+    table's other folders are neither read nor written.
+    """
+    spot = f"{path}/_batches/{name}/{batch_id}"
+    if _there(spark, f"{spot}/applied/_SUCCESS"):
+        return False
+    if not _there(spark, f"{spot}/rows/_SUCCESS"):
+        months.coalesce(1).write.mode("overwrite").parquet(f"{spot}/months")
+        wanted = [r[0] for r in spark.read.parquet(f"{spot}/months").collect()]
+        stored = spark.read.parquet(f"{path}/{name}")
+        part = stored.where(F.col(FOLDER).cast("string").isin(wanted)) if wanted else stored.where(F.lit(False))
+        change(part.drop(FOLDER)).write.mode("overwrite").parquet(f"{spot}/rows")
+    wanted = {r[0] for r in spark.read.parquet(f"{spot}/months").collect()}
+    rows = spark.read.parquet(f"{spot}/rows")
+    full = {r[0] for r in rows.select(F.date_format(PARTITIONING[name], "yyyy-MM")).distinct().collect()}
+    if not full <= wanted:
+        raise ValueError(f"batch {batch_id} writes months it does not name: {sorted(full - wanted)}")
+    write_table(rows, path, name, options={"partitionOverwriteMode": "dynamic"})
+    for month in wanted - full:
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/{FOLDER}={month}")
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    spark.range(1).write.mode("overwrite").parquet(f"{spot}/applied")
+    return True
+
+
 def stage_fleet_tables(tables: TestdataTables, path: str | None = None,
                        names=FLEET_TABLES) -> str:
     """Write the derived fleet tables once (under the shared checkpoint folder
