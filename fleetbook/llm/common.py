@@ -36,6 +36,16 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def store_uri(spark: SparkSession, folder: str) -> str:
+    """``folder`` as a URI that ``pyarrow.fs.FileSystem.from_uri`` opens in tasks: a path without a
+    scheme lies where Spark itself would put it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    scheme, _, rest = uri.partition(":")
+    rest = rest if rest.startswith("//") else "//" + rest
+    return {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + rest
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

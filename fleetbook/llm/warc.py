@@ -16,12 +16,15 @@ lost attempts are never read.
 Defined cases: a null payload counts as empty, a null url is written as an empty
 target; a null page_id takes part like any other but sorts last when the
 smallest id is chosen; repeated rows that have the smallest id of their
-payload are all responses. Only id, url and payload are read, so other
-columns may have any name.
+payload are all responses; a very long payload is one frame of its own length; an
+empty table gives no rows. Records are named by their page's id in a field of
+their own, so repeated rows have distinct record ids. Only id, url and payload
+are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 import struct
 import uuid
@@ -31,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, small_batches
+from .common import new_path, small_batches, store_uri
 
 #: Values fixed by the seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -48,20 +51,24 @@ def revisits(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
     return rows.join(first, "digest", "left").select("page_id", "url", "digest", "bytes", refers.alias("refers_to"), F.when(refers.isNull(), F.col("body")).alias("body"))
 
 
-def _record(page_id, url: str, digest: str, size: int, refers_to, body: bytes | None) -> bytes:
+def _record(page_id, url: str, digest: str, size: int, refers_to, body: bytes | None, date: str) -> bytes:
     kind = "revisit" if refers_to is not None else "response"
     name = "" if page_id is None else str(page_id)
     block = body if body is not None else b""
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{name}>",
+        # a record's own name: rows may repeat an id
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>",
+        f"WARC-Date: {date}",
+        f"WARC-Page-ID: {name}",
         f"WARC-Target-URI: {' '.join(url.split())}",
         f"WARC-Payload-Digest: sha256:{digest}",
         f"WARC-Payload-Length: {size}",
+        "Content-Type: text/html; charset=utf-8",
     ]
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To-Page-ID: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -131,17 +138,19 @@ class BundleReader:
         return data
 
 
-def write_bundles(records: DataFrame, folder: str, frame_bytes: int = 1 << 20, bundle_bytes: int = 1 << 28) -> DataFrame:
-    """Write records (the columns of ``revisits``) as bundles; returns their stored index.
+def write_bundles(records: DataFrame, folder: str, frame_bytes: int = 1 << 20, bundle_bytes: int = 1 << 28, when: dt.datetime | None = None) -> DataFrame:
+    """Write records (the columns of ``revisits``) as bundles, dated ``when`` (now); returns their stored index.
 
     A task holds one frame at a time and begins a new bundle after ``bundle_bytes``.
     """
     spark = records.sparkSession
+    bundles = store_uri(spark, f"{folder}/bundles")
+    date = (when or dt.datetime.now(dt.timezone.utc)).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def write(batches):
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(f"{folder}/bundles" if "://" in folder or folder.startswith("file:") else f"file://{folder}/bundles")
+        store, root = fs.FileSystem.from_uri(bundles)
         store.create_dir(root, recursive=True)
         out = writer = name = None
         for batch in batches:
@@ -151,7 +160,7 @@ def write_bundles(records: DataFrame, folder: str, frame_bytes: int = 1 << 20, b
                     name = f"{root}/{uuid.uuid4().hex}.warc.zst"
                     out = store.open_output_stream(name, compression=None)
                     writer = BundleWriter(out, frame_bytes)
-                rows.append((x["page_id"], name, *writer.add(_record(x["page_id"], x["url"], x["digest"], x["bytes"], x["refers_to"], x["body"]))))
+                rows.append((x["page_id"], name, *writer.add(_record(x["page_id"], x["url"], x["digest"], x["bytes"], x["refers_to"], x["body"], date))))
                 if writer.written >= bundle_bytes:
                     writer.finish()
                     out.close()
@@ -167,18 +176,21 @@ def write_bundles(records: DataFrame, folder: str, frame_bytes: int = 1 << 20, b
     return spark.read.schema(_INDEX).parquet(f"{folder}/index")
 
 
-def read_records(index: DataFrame, folder: str) -> DataFrame:
+def read_records(index: DataFrame, folder: str, task_bytes: int = 32 << 20) -> DataFrame:
     """Read every indexed record back: page_id, record_type, payload_digest,
     payload_bytes, refers_to, target_uri, body_digest (null for revisits).
 
-    Index rows are sorted by bundle and frame, so a task opens a bundle once
-    and decompresses each frame once, holding one frame.
+    Index rows are sorted by bundle and frame, so a task opens a bundle once and
+    decompresses each frame once, holding one frame. Index rows are small beside
+    what they point to, so the tasks are as many as ``task_bytes`` of records ask for.
     """
+    bundles = store_uri(index.sparkSession, f"{folder}/bundles")
+    parts = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // task_bytes))
 
     def read(batches):
         from pyarrow import fs
 
-        store, _ = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        store, _ = fs.FileSystem.from_uri(bundles)
         name = reader = number = data = None
         for batch in batches:
             rows = []
@@ -190,17 +202,16 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                     number = x["frame"]
                     data = reader.frame(number)
                 head, body = parse_record(data[x["offset"] : x["offset"] + x["length"]])
-                own = head["WARC-Record-ID"][len("<urn:page:") : -1]
-                back = head.get("WARC-Refers-To")
+                own, back = head["WARC-Page-ID"], head.get("WARC-Refers-To-Page-ID")
                 kind = head["WARC-Type"]
                 rows.append({
                     "page_id": int(own) if own else None, "record_type": kind, "payload_digest": head["WARC-Payload-Digest"].removeprefix("sha256:"), "payload_bytes": int(head["WARC-Payload-Length"]),
-                    "refers_to": int(back[len("<urn:page:") : -1]) if back else None, "target_uri": head["WARC-Target-URI"], "body_digest": hashlib.sha256(body).hexdigest() if kind == "response" else None,
+                    "refers_to": int(back) if back else None, "target_uri": head["WARC-Target-URI"], "body_digest": hashlib.sha256(body).hexdigest() if kind == "response" else None,
                 })
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     schema = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("target_uri", pa.string()), ("body_digest", pa.string())])
-    ordered = index.repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "offset")
+    ordered = index.repartition(parts, "bundle", "frame").sortWithinPartitions("bundle", "frame", "offset")
     return ordered.mapInArrow(read, "page_id long, record_type string, payload_digest string, payload_bytes long, refers_to long, target_uri string, body_digest string")
 
 
