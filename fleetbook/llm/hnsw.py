@@ -3,34 +3,42 @@
 Vectors are brought to unit length in double precision; equal ones become one,
 with a weight. Every vector goes to a shard by a hash; a shard's task builds a
 layered graph, inserting vectors in batches whose searches advance together.
-Blocks of queries meet every shard. A query's beam is widened while the
+Graphs lie as files in the shared
+folder; tasks that hold blocks of queries read every shard's, one after the other. A query's beam is widened while the
 beam's last vector is still within the threshold, so a query in a dense cluster
 gets all of it; and all beams are doubled until an audit, brute force for a bounded
-sample of queries against all vectors, finds the wanted recall. What the search
-finds is verified by cosine in double precision. Each task returns a count
-per query and a spanning forest of its links, never all pairs; components of the
-forests are united.
-
-``n_links`` of a vector counts what its own query found. Defined cases: null or
+sample of queries against all vectors, finds the wanted recall (of all links,
+and as a mean over queries); if the widest beams do not reach it, the job fails.
+What the search finds is verified by cosine in double precision. Each task returns
+a count per query and a spanning forest of its links, never all pairs; components
+of the forests are united. All links of a vector lie in its component, where they
+are counted exactly, part against part.
+
+Defined cases: null or
 empty vectors, zero vectors and those with null or non-finite components link with
 nothing and are kept; vectors of other lengths never meet; a null vec_id takes
 part but is a component's id only if all its ids are null; repeated rows are equal
-vectors. Only id and vector are read, so other columns may have any name.
+vectors; an empty table gives no rows. Only id and vector are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
+import io
+from uuid import uuid4
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULT, U64, mix, staged
+from .common import MULT, U64, mix, new_path, staged, store_uri
 from .components import components, forest
 
 #: Vectors of a shard at most, shards at least, vectors of a query block, blocks of a task.
 SHARD, SHARDS, BLOCK, BLOCKS = 50_000, 8, 512, 32
+#: Vectors of a part of a component.
+PART = 1024
 #: Queries of the audit, and the recall it asks for.
 AUDIT, RECALL = 1024, 0.98
 
@@ -247,22 +255,42 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.selectExpr("cast(vec_id as long) as vec_id", "embedding").mapInArrow(run, "vec_id long, key long, dim int, unit binary")
 
 
-def build_graphs(reps: DataFrame, shards: int) -> DataFrame:
-    """A stored row per shard: its vectors and the layers of its graph."""
+def build_graphs(reps: DataFrame, shards: int, folder: str) -> list[tuple[int, int, str]]:
+    """Writes a file per shard, its vectors and the layers of its graph; returns (dim, shard, file).
+
+    Every attempt of a task writes a file of its own name, and the committed row of an
+    attempt names it, so files of lost attempts are never read.
+    """
+    uri = store_uri(reps.sparkSession, folder)
 
     def run(table):
+        from pyarrow import fs
+
         keys = table["key"].to_numpy()
         level = levels_of(keys)
         order = np.argsort(-level, kind="stable")
         units = np.stack([np.frombuffer(x, dtype=np.float64) for x in table["unit"].to_pylist()])[order]
         graph = Graph.build(units.astype(np.float32), level[order])
-        return pa.table({
-            "dim": table["dim"][:1], "shard": table["shard"][:1], "keys": pa.array([keys[order].tobytes()], pa.binary()), "weights": pa.array([table["weight"].to_numpy()[order].astype(np.int64).tobytes()], pa.binary()),
-            "units": pa.array([units.tobytes()], pa.binary()), "layers": pa.array([[x.tobytes() for x in graph.layers]], pa.list_(pa.binary())), "sizes": pa.array([[len(x) for x in graph.layers]], pa.list_(pa.int32())),
-        })
+        store, root = fs.FileSystem.from_uri(uri)
+        store.create_dir(root, recursive=True)
+        name = f"{root}/{uuid4().hex}.npz"
+        held = io.BytesIO()
+        np.savez(held, keys=keys[order], weights=table["weight"].to_numpy()[order].astype(np.int64), units=units, **{f"layer{i}": x for i, x in enumerate(graph.layers)})
+        with store.open_output_stream(name, compression=None) as out:
+            out.write(held.getvalue())
+        return pa.table({"dim": table["dim"][:1], "shard": table["shard"][:1], "file": pa.array([name])})
 
     placed = reps.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
-    return staged(placed.select("dim", "shard", "key", "weight", "unit").groupBy("dim", "shard").applyInArrow(run, "dim int, shard int, keys binary, weights binary, units binary, layers array<binary>, sizes array<int>"), "hnsw-graphs")
+    files = staged(placed.select("dim", "shard", "key", "weight", "unit").groupBy("dim", "shard").applyInArrow(run, "dim int, shard int, file string"), "hnsw-files")
+    return sorted(tuple(r) for r in files.collect())
+
+
+def load_graph(store, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, Graph]:
+    """(keys, weights, unit vectors, graph) of a shard's file."""
+    with store.open_input_file(name) as f:
+        data = np.load(io.BytesIO(f.read()))
+    layers = [data[f"layer{i}"] for i in range(sum(k.startswith("layer") for k in data.files))]
+    return data["keys"], data["weights"], data["units"], Graph(data["units"].astype(np.float32), layers)
 
 
 def query_blocks(reps: DataFrame) -> DataFrame:
@@ -288,44 +316,104 @@ def query_blocks(reps: DataFrame) -> DataFrame:
     return staged(reps.select("dim", "key", "unit").mapInArrow(run, "dim int, block long, keys binary, units binary"), "hnsw-queries")
 
 
-def _searched(graphs: DataFrame, blocks: DataFrame, shards: int, groups: int, ef: int, cosine: float) -> DataFrame:
-    """(a, b, n): for b null, a's query found n vectors in a shard; else a link of a forest."""
-
-    def run(left, right):
-        rows = left.to_pylist()
-        if not rows or not right.num_rows:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-        g = rows[0]
-        keys, weights = np.frombuffer(g["keys"], dtype=np.int64), np.frombuffer(g["weights"], dtype=np.int64)
-        units = np.frombuffer(g["units"], dtype=np.float64).reshape(len(keys), -1)
-        graph = Graph(units.astype(np.float32), [np.frombuffer(x, dtype=np.int32).reshape(n, -1) for x, n in zip(g["layers"], g["sizes"], strict=True)])
-        a, n, ends = [], [], (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        for b in right.to_pylist():
-            own = np.frombuffer(b["keys"], dtype=np.int64)
-            q = np.frombuffer(b["units"], dtype=np.float64).reshape(len(own), -1)
-            u, v = [ends[0]], [ends[1]]
-            for i, hits in enumerate(graph.search(q.astype(np.float32), ef, cosine - 1e-4)):
-                hits = hits[(keys[hits] != own[i])]
-                hits = hits[units[hits] @ q[i] >= cosine]
-                if len(hits):
-                    a.append(own[i])
-                    n.append(int(weights[hits].sum()))
-                    u.append(np.full(len(hits), own[i]))
-                    v.append(keys[hits])
-            ends = forest(np.concatenate(u), np.concatenate(v)) if sum(map(len, u)) else ends
-        count, links = len(a), len(ends[0])
-        return pa.table({
-            "a": pa.array(np.concatenate([np.array(a, dtype=np.int64), ends[0]])), "b": pa.array([None] * count + ends[1].tolist(), pa.int64()), "n": pa.array(n + [0] * links, pa.int64()),
-        })
-
-    group = F.pmod(F.col("block"), F.lit(groups)).cast("int")
-    sent = blocks.withColumn("part", group).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    spread = graphs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    return spread.groupBy("dim", "shard", "part").cogroup(sent.groupBy("dim", "shard", "part")).applyInArrow(run, "a long, b long, n long")
+def _searched(files: list[tuple[int, int, str]], blocks: DataFrame, folder: str, ef: int, cosine: float) -> DataFrame:
+    """(a, b, n): for b null, a's query found n vectors in a shard; else a link of a forest.
+
+    A task holds ``BLOCKS`` blocks of queries at a time and reads the shards' graphs
+    one after the other, so neither graphs nor queries are shuffled.
+    """
+    uri = store_uri(blocks.sparkSession, folder)
+
+    def search(store, held):
+        for dim, _, name in files:
+            mine = [b for b in held if b["dim"] == dim]
+            if not mine:
+                continue
+            keys, weights, units, graph = load_graph(store, name)
+            a, n, ends = [], [], (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            for b in mine:
+                own = np.frombuffer(b["keys"], dtype=np.int64)
+                q = np.frombuffer(b["units"], dtype=np.float64).reshape(len(own), -1)
+                u, v = [ends[0]], [ends[1]]
+                for i, hits in enumerate(graph.search(q.astype(np.float32), ef, cosine - 1e-4)):
+                    hits = hits[(keys[hits] != own[i])]
+                    hits = hits[units[hits] @ q[i] >= cosine]
+                    if len(hits):
+                        a.append(own[i])
+                        n.append(int(weights[hits].sum()))
+                        u.append(np.full(len(hits), own[i]))
+                        v.append(keys[hits])
+                ends = forest(np.concatenate(u), np.concatenate(v)) if sum(map(len, u)) else ends
+            count, links = len(a), len(ends[0])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate([np.array(a, dtype=np.int64), ends[0]])), pa.array([None] * count + ends[1].tolist(), pa.int64()), pa.array(n + [0] * links, pa.int64()),
+            ], ["a", "b", "n"])
+
+    def run(batches):
+        from pyarrow import fs
+
+        store, _ = fs.FileSystem.from_uri(uri)
+        held = []
+        for batch in batches:
+            for b in batch.to_pylist():
+                held.append(b)
+                if len(held) >= BLOCKS:
+                    yield from search(store, held)
+                    held = []
+        if held:
+            yield from search(store, held)
+
+    return blocks.mapInArrow(run, "a long, b long, n long")
+
+
+def _within(groups: DataFrame, cosine: float) -> DataFrame:
+    """(key, n): of rows (root, key, unit, weight), the weight of each vector's links within its root.
+
+    A root's vectors are cut into parts; every pair of parts is a task's product of two small
+    matrices, of which only counts leave it.
+    """
+    sizes = groups.groupBy("root").agg(F.count("*").alias("size")).filter("size > 1").withColumn("parts", F.ceil(F.col("size") / PART).cast("int")).drop("size")
+    placed = groups.join(sizes, "root").withColumn("part", F.pmod(F.xxhash64("key", "root"), F.col("parts")).cast("int"))
+    sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("root", "key", "unit", "weight", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+
+    def judge(rows):
+        key, part = np.array([x["key"] for x in rows]), np.array([x["part"] for x in rows])
+        units, weight = np.stack([np.frombuffer(x["unit"], dtype=np.float64) for x in rows]), np.array([x["weight"] for x in rows])
+        left, right = part == rows[0]["i"], part == rows[0]["j"]
+        near = units[left] @ units[right].T >= cosine
+        same = rows[0]["i"] == rows[0]["j"]
+        if same:
+            np.fill_diagonal(near, False)
+        yield key[left], near @ weight[right]
+        if not same:
+            yield key[right], weight[left] @ near
+
+    def run(batches):
+        held, now, out = [], None, []
+        for batch in batches:
+            for x in batch.to_pylist():
+                at = x["root"], x["i"], x["j"]
+                if at != now and held:
+                    out += judge(held)
+                    held = []
+                now = at
+                held.append(x)
+            yield from packed(out)
+            out = []
+        if held:
+            yield from packed(list(judge(held)))
+
+    def packed(out):
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for k, _ in out]), pa.int64()), pa.array(np.concatenate([n for _, n in out]), pa.int64())], ["key", "n"])
+
+    tasks = sent.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    return tasks.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def audit(reps: DataFrame, found: DataFrame, cosine: float, rows: int) -> float:
-    """Share of the links of a bounded sample of queries that their searches found."""
+    """Recall of a bounded sample of queries: the lesser of the share of all their links that the searches
+    found and of the mean of each query's share, so a dense group does not hide the others."""
     every = max(1, rows // AUDIT)
     sample = reps.filter(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(every)) == 0).select("key", "dim", "unit").limit(2 * AUDIT).collect()
     if not sample:
@@ -350,8 +438,9 @@ def audit(reps: DataFrame, found: DataFrame, cosine: float, rows: int) -> float:
 
     true = reps.select("key", "dim", "unit", "weight").mapInArrow(run, "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).filter("n > 0")
     got = found.filter("b is null").groupBy("a").agg(F.sum("n").alias("got"))
-    all_, had = true.join(got, "a", "left").agg(F.sum("n"), F.sum(F.least("n", F.coalesce("got", F.lit(0))))).first()
-    return 1.0 if not all_ else had / all_
+    had = F.least("n", F.coalesce("got", F.lit(0)))
+    whole, mean = true.join(got, "a", "left").agg(F.sum(had) / F.sum("n"), F.avg(had / F.col("n"))).first()
+    return 1.0 if whole is None else min(whole, mean)
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9, ef: int = 24) -> DataFrame:
@@ -360,18 +449,21 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, ef: int = 24) -> Da
     reps = staged(table.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.first("dim").alias("dim"), F.first("unit").alias("unit")), "hnsw-reps")
     rows = reps.count()
     shards = max(SHARDS, -(-rows // SHARD))
-    graphs, blocks = build_graphs(reps, shards), query_blocks(reps)
-    groups = max(1, -(-blocks.count() // BLOCKS))
+    folder = new_path(vectors.sparkSession, "hnsw-graphs")
+    files, blocks = build_graphs(reps, shards, folder), query_blocks(reps)
     while True:
-        found = staged(_searched(graphs, blocks, shards, groups, ef, cosine), "hnsw-found")
-        if ef >= SHARD or audit(reps, found, cosine, rows) >= RECALL:
+        found = staged(_searched(files, blocks, folder, ef, cosine), "hnsw-found")
+        recall = audit(reps, found, cosine, rows)
+        if recall >= RECALL:
             break
+        if ef >= SHARD:
+            raise ValueError(f"the widest beams reach a recall of {recall:.3f} only; {RECALL} is asked for")
         ef *= 2
-    counts = found.filter("b is null").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "key")
     roots = components(found.filter("b is not null").select("a", "b")).withColumnRenamed("node", "key")
-    named = reps.select("key", "least", "weight").join(counts, "key", "left").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    named = staged(reps.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "hnsw-named")
+    counts = _within(named.select("root", "key", "unit", "weight"), cosine)
     least = named.groupBy("root").agg(F.min("least").alias("component"))
-    of_key = named.join(least, "root").select("key", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"), "component")
+    of_key = named.join(least, "root").join(counts, "key", "left").select("key", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"), "component")
     out = table.select("vec_id", "key").join(of_key, "key", "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
