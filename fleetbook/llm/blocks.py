@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import bucketed, small_batches
 
 #: Bytes of text in a block, unless one text is longer.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 _BLOCK = "block string, ids array<long>, flags array<boolean>, carried array<string>, lengths binary, vocab binary, words binary"
 
