@@ -75,10 +75,10 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
 
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``, for a function that gets texts: its session sends Arrow batches of
-    at most 2,000 rows and about 8 MB, unless they are set to be smaller, so a
+    at most 2,000 rows and about 2 MB, unless they are set to be smaller, so a
     worker's memory does not grow with the lengths of the texts."""
     conf = df.sparkSession.conf
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2_000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2_000), ("spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20)):
         now = int(conf.get(key).rstrip("b"))
         if now <= 0 or now > most:
             conf.set(key, str(most))
