@@ -278,6 +278,18 @@ def _classes(docs: DataFrame, width: int, percent: int, carry: Column | None = N
     return table, named
 
 
+def _with_classes(table: DataFrame, classes: DataFrame) -> DataFrame:
+    """``table`` with what ``classes`` say of its rows' ``sig`` (their ``node``).
+
+    Rows without a partner have no class: they are spread by their own signature, or
+    else by a hash, instead of meeting under one missing key.
+    """
+    spread = F.coalesce("sig", "own", F.xxhash64("doc_id", "carried"))
+    said = [c for c in classes.columns if c != "node"]
+    joined = table.withColumn("at", spread).join(classes.withColumnRenamed("node", "at"), "at", "left")
+    return joined.select(*table.columns, *[F.when(F.col("sig").isNotNull(), F.col(c)).alias(c) for c in said])
+
+
 def join_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
@@ -285,8 +297,7 @@ def join_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """
     table, named = _classes(docs, width, percent)
     least = named.groupBy("root").agg(F.min("least").alias("component"))
-    of_sig = named.join(least, "root").select(F.col("node").alias("sig"), "component")
-    return table.select("doc_id", "n_shingles", "sig").join(of_sig, "sig", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return _with_classes(table, named.join(least, "root").select("node", "component")).select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def clustered(docs: DataFrame, carry: Column, width: int = 5, percent: int = 80) -> DataFrame:
@@ -296,8 +307,7 @@ def clustered(docs: DataFrame, carry: Column, width: int = 5, percent: int = 80)
     component; null for a document without words.
     """
     table, named = _classes(docs, width, percent, carry)
-    roots = named.select(F.col("node").alias("sig"), "root")
-    return table.join(roots, "sig", "left").select("doc_id", "carried", "words", F.coalesce("root", "own").alias("cluster"))
+    return _with_classes(table, named.select("node", "root")).select("doc_id", "carried", "words", F.coalesce("root", "own").alias("cluster"))
 
 
 def kept_rows(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

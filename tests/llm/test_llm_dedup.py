@@ -257,3 +257,29 @@ def test_clusters_handed_over_by_the_join(spark):
     assert sorted(r.words for r in got) == [0, 0, 5, 60, 60, 60]
     assert len({r.cluster for r in got if r.words == 60}) == 1 and {r.cluster for r in got if r.words == 0} == {None}
     assert {(r.doc_id, r.carried) for r in got} == {(1, "s1"), (None, None), (2, "s2"), (3, "s3"), (4, "s4")}
+
+
+def test_every_member_of_a_component_has_links(spark):
+    """n_links counts links found from either end, exactly, also beside a dense group."""
+    rng = np.random.default_rng(11)
+    centre = rng.standard_normal(16)
+    rows = [centre + 0.05 * rng.standard_normal(16) for _ in range(400)]
+    for _ in range(150):
+        x = rng.standard_normal(16)
+        rows += [x, x + 0.08 * rng.standard_normal(16), x + 0.11 * rng.standard_normal(16)]
+    rows += [rng.standard_normal(16) for _ in range(200)]
+    vectors = np.array(rows)
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    near = unit @ unit.T >= 0.9
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in hnsw.near_duplicates(df).collect()}
+    size = {}
+    for r in got.values():
+        size[r.component_id] = size.get(r.component_id, 0) + 1
+    assert all((r.n_links > 0) == (size[r.component_id] > 1) for r in got.values())
+    assert np.mean([got[i].n_links == near[i].sum() for i in got]) >= 0.99
+
+
+def test_exact_groups_of_an_empty_table(spark):
+    assert exact_dedup.exact_groups(docs_of(spark, [])).collect() == [] and exact_dedup.kept_rows(docs_of(spark, [])).collect() == []
