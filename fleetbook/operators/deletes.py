@@ -67,8 +67,11 @@ def apply_deletes_of(tables: dict[str, DataFrame], table: str, requests: DataFra
     for k in keys:
         if k.action != "set_null" or k.parent not in free or k.child not in tables or k.column not in tables[k.child].columns:
             continue
-        hit = free[k.parent].select(F.col("id").alias("_gone_id"))
-        rows = after[k.child].join(hit, F.col(k.column) == F.col("_gone_id"), "left")
+        hit = free[k.parent].select(F.col("id").alias("_gone_id"), F.lit(0).cast("bigint").alias("_gone_slot"))
+        # rows without a reference (often many) match nothing: spread, or one task would hold them all
+        slot = F.when(F.col(k.column).isNull(), F.xxhash64(*[F.col(c) for c in tables[k.child].columns])).otherwise(F.lit(0))
+        rows = after[k.child].withColumn("_slot", slot)
+        rows = rows.join(hit, (F.col(k.column) == F.col("_gone_id")) & (F.col("_slot") == F.col("_gone_slot")), "left")
         cleared = F.when(F.col("_gone_id").isNull(), F.col(k.column)).alias(k.column)
         after[k.child] = rows.select(*[cleared if c == k.column else F.col(c) for c in tables[k.child].columns])
     f, b = found.withColumn("_found", F.lit(True)), blocked.select(F.col("root").alias("id"), F.lit(True).alias("_blocked"))
