@@ -52,7 +52,8 @@ def _before(rows: DataFrame, group: str, seq: str, out: str, inside, total, carr
 
     ``inside`` is the window aggregate, ``total`` a range's aggregate, ``carry``
     the aggregate of earlier totals, ``merge`` joins carried and inside values.
-    A batch of one range carries nothing.
+    A batch of one range carries nothing. ``group`` is a struct, so never NULL: rows
+    stay where the window has put them when they meet what is carried.
     """
     up_to = Window.partitionBy(group, "_range").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
     if ranges == 1:
@@ -60,7 +61,7 @@ def _before(rows: DataFrame, group: str, seq: str, out: str, inside, total, carr
     earlier = Window.partitionBy("_g").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(F.col(group).alias("_g"), F.col("_range").alias("_r")).agg(total.alias("_total"))
     carried = totals.select("_g", "_r", carry(F.col("_total")).over(earlier).alias("_carried"))
-    rows = rows.withColumn("_inside", inside.over(up_to)).join(carried, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")), "left")
+    rows = rows.withColumn("_inside", inside.over(up_to)).join(carried, (F.col(group) == F.col("_g")) & (F.col("_range") == F.col("_r")), "left")
     return rows.withColumn(out, merge(F.col("_carried"), F.col("_inside"))).drop("_g", "_r", "_inside", "_carried")
 
 
@@ -115,7 +116,7 @@ def _round(now: DataFrame, guard, guard_columns: tuple[str, ...], ranges: int) -
     """All decisions, judged from those of the round before."""
     # a post that writes no key leaves the row's key as it is
     set_key = F.when(F.col("_ok") & F.col("_writes"), F.struct(F.col("_wants").alias("k")))
-    rows = _last_before(now, "_entity", "_seq", set_key, "_last", ranges)
+    rows = _last_before(now.withColumn("_who", F.struct("_entity")), "_who", "_seq", set_key, "_last", ranges)
     rows = rows.withColumn("_had", F.when(F.col("_last").isNotNull(), F.col("_last.k")).otherwise(F.col("_stored"))).drop("_last")
     moves = F.col("_ok") & F.col("_writes") & ~F.col("_had").eqNullSafe(F.col("_wants"))
     # a post asks for its key where it may move in; where it moves out of another one it only counts there
