@@ -130,18 +130,22 @@ def requested_totals(requests: DataFrame, entries: DataFrame, as_of: dt.date) ->
     A period is at most a month, so a request is laid out in its days; entries are
     summed by tenant and day first, for each driver and for all (partial sums,
     whatever the number of entries), and a request's day meets one sum, whatever
-    the number of drivers.
+    the number of drivers. The planner takes the days for as many rows as there are
+    requests, so it is told not to broadcast them; the sums lie where they were grouped.
     """
     kind, start, end = P.request_bounds("period_text", "date_text", "week_text", "month_text", as_of)
     r = requests.select("request_id", "owner_user_id", F.col("driver_id").alias("_driver"), kind.alias("period"), start.alias("start_date"), end.alias("end_date"))
-    days = r.select("request_id", "owner_user_id", "_driver", F.explode(F.sequence("start_date", "end_date")).alias("entry_date"))
-    # every entry counts for its driver and for all of its tenant
-    whose = F.explode(F.array(F.struct(F.lit(False).alias("all"), F.col("driver_id").alias("driver")), F.struct(F.lit(True).alias("all"), F.lit(None).alias("driver"))))
-    sums = entries.select("owner_user_id", "entry_date", "gross_income", "net_total", whose.alias("_w")).groupBy(
+    zero = F.lit(0).cast("bigint")
+    days = r.select("request_id", "owner_user_id", F.col("_driver").isNull().alias("_all"), F.coalesce("_driver", zero).alias("_driver"),
+                    F.explode(F.sequence("start_date", "end_date")).alias("entry_date"))
+    # every entry counts for its driver, where it has one, and for all of its tenant
+    own = F.when(F.col("driver_id").isNotNull(), F.struct(F.lit(False).alias("all"), F.col("driver_id").cast("bigint").alias("driver")))
+    whose = F.explode(F.array(own, F.struct(F.lit(True).alias("all"), zero.alias("driver"))))
+    sums = entries.select("owner_user_id", "entry_date", "gross_income", "net_total", whose.alias("_w")).where(F.col("_w").isNotNull()).groupBy(
         F.col("owner_user_id").alias("_s_owner"), F.col("entry_date").alias("_s_date"), F.col("_w.all").alias("_s_all"), F.col("_w.driver").alias("_s_driver")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("gross_income").alias("gross"), F.sum("net_total").alias("net"))
-    hits = days.join(sums, (F.col("owner_user_id") == F.col("_s_owner")) & (F.col("entry_date") == F.col("_s_date"))
-                     & (F.col("_driver").isNull() == F.col("_s_all")) & F.col("_driver").eqNullSafe(F.col("_s_driver")))
+    hits = days.hint("merge").join(sums, (F.col("owner_user_id") == F.col("_s_owner")) & (F.col("entry_date") == F.col("_s_date"))
+                                   & (F.col("_all") == F.col("_s_all")) & (F.col("_driver") == F.col("_s_driver")))
     totals = hits.groupBy("request_id").agg(F.sum("n").alias("entries"), F.count_distinct("entry_date").alias("days"),
                                             F.sum("gross").cast(MONEY_SUM).alias("gross"), F.sum("net").cast(MONEY_SUM).alias("net"))
     z = F.lit(0).cast("bigint")

@@ -105,3 +105,19 @@ def test_a_requested_day_meets_one_sum(spark):
     assert got == {(1, 303, 1, 606, 303), (2, 3, 1, 6, 3), (3, 0, 0, 0, 0), (4, 0, 0, 0, 0), (5, 0, 0, 0, 0), (None, 0, 0, 0, 0)}
     joins = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
     assert len(joins) == 1 and "_driver" in joins[0]
+
+
+def test_requested_days_are_not_broadcast(spark):
+    # as many rows as requests, the planner thinks; a month request has thirty
+    requests = spark.range(50).select(F.col("id").alias("request_id"), (F.col("id") % 1 + 1).alias("owner_user_id"), F.when(F.col("id") % 2 == 0, F.col("id") % 5).alias("driver_id"),
+                                      F.lit("month").alias("period_text"), F.lit("").alias("date_text"), F.lit("").alias("week_text"), F.lit("1997-03").alias("month_text"))
+    entries = spark.range(400).select(F.lit(1).cast("long").alias("owner_user_id"), F.when(F.col("id") % 10 > 0, F.col("id") % 5).alias("driver_id"),
+                                      F.date_add(F.lit(dt.date(1997, 3, 1)), (F.col("id") % 31).cast("int")).alias("entry_date"),
+                                      F.lit(2).cast("decimal(12,2)").alias("gross_income"), F.lit(1).cast("decimal(12,2)").alias("net_total"))
+    df = rollups.requested_totals(requests, entries, AS_OF)
+    got = {r.request_id: (r.entries, r.days) for r in df.collect()}
+    per = {d: sum(1 for i in range(400) if i % 10 and i % 5 == d) for d in range(5)}
+    days = {d: len({i % 31 for i in range(400) if i % 10 and i % 5 == d}) for d in range(5)}
+    assert got == {i: (400, 31) if i % 2 else (per[i % 5], days[i % 5]) for i in range(50)}
+    met = [x for x in df._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in x and "_s_driver" in x]
+    assert len(met) == 1 and "SortMergeJoin" in met[0], met
