@@ -121,3 +121,36 @@ def test_requested_days_are_not_broadcast(spark):
     assert got == {i: (400, 31) if i % 2 else (per[i % 5], days[i % 5]) for i in range(50)}
     met = [x for x in df._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in x and "_s_driver" in x]
     assert len(met) == 1 and "SortMergeJoin" in met[0], met
+
+
+def test_a_taken_key_is_no_single_task(shuffled):
+    # all rows want one stored key: in the step that looks at the stored keys they stay where they are
+    batch = shuffled.range(2000).select(F.col("id").alias("form_seq"), F.lit(1).cast("long").alias("k"))
+    df = L.batch_key_conflicts(batch, shuffled.range(1, 3).select(F.col("id").alias("k")), ["k"])
+    assert most_in_a_task(df) < 0.5
+    assert df.groupBy("_conflict").count().collect() == [("duplicate", 2000)]
+
+
+def test_a_batch_is_not_judged_again_for_its_keys(spark):
+    batch = spark.range(20).select(F.col("id").alias("form_seq"), F.when(F.col("id") > 2, F.col("id") % 7).alias("k"))
+    stored = spark.createDataFrame([(3,), (3,), (None,)], "k long")
+    df = L.batch_key_conflicts(batch, stored, ["k"])
+    got = {r.form_seq: r._conflict for r in df.collect()}
+    assert got == {i: "duplicate" if i > 9 or i == 3 else None for i in range(20)}
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 20") == 1
+
+
+def test_accepted_loads_drop_unsound_ones_before_the_sessions(spark):
+    cars = spark.createDataFrame([(1, 1, "active", 1)], "id long, owner_user_id long, status string, current_driver_id long")
+    drivers = spark.createDataFrame([(1, 1, "active")], "id long, owner_user_id long, status string")
+    f = forms(spark, 40, lambda i: None if i % 5 == 0 else 1, lambda i: "" if i % 4 == 0 else "1")
+    f = f.withColumn("gross_text", F.when(F.col("form_seq") == 3, F.lit("9" * 30)).otherwise("1")).withColumn("driver_id_text", F.when(F.col("form_seq") == 7, "2").otherwise("1"))
+    v = L.validate_entry_loads(L.clean_entry_forms(f, users(spark).where("role = 'admin'"), AS_OF), drivers, cars)
+    assert "_bad_amount" not in v.columns
+    accepted, rejected = L.split_loads(v, spark.createDataFrame([], v.schema))
+    assert [r.form_seq for r in accepted.collect()] == [1]
+    reasons = {r.form_seq: r.reasons for r in rejected.collect()}
+    assert len(reasons) == 39 and (reasons[3], reasons[4], reasons[5], reasons[7]) == ("bad_amount", "no_car", "no_session", "driver_not_in_owner")
+    assert reasons[0] == "no_session,no_car" and reasons[2] == "duplicate"
+    plan = accepted._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [x for x in plan if "Join LeftOuter" in x and "posted_by" in x and "_at" in x]
