@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from fleetbook.functions import periods as P
 from fleetbook.functions.amounts import clean_enum, trim
-from fleetbook.operators.claims import GUARDED, TAKEN, settle
+from fleetbook.operators.claims import GUARDED, TAKEN, settle, whole_key
 from fleetbook.operators.entries import entry_math_columns
 from fleetbook.operators.loads import (R_BAD_AMOUNT, R_BAD_DATE, R_BAD_YEAR, R_CAR_NOT_ASSIGNED, R_CAR_NOT_IN_OWNER,
                                        R_DRIVER_NOT_IN_OWNER, R_DUPLICATE, R_MISSING_FIELDS, R_NO_CAR, R_NO_DRIVER,
@@ -103,9 +103,11 @@ def _private(df: DataFrame) -> list[str]:
 
 
 def judge_entry_edits(edits: DataFrame, entries: DataFrame, users: DataFrame, drivers: DataFrame,
-                      cars: DataFrame) -> DataFrame:
+                      cars: DataFrame, amounts: bool = True) -> DataFrame:
     """Entry edits (whole forms by entry id) with their cleaned values and a reason ('' : accepted).
 
+    Without ``amounts`` the edits are judged alike, but do not take their amounts and observations along.
+
     In the order in which the form judges a post: session, entry there, of the
     poster's tenant; a driver user's entry must *at that time* be its own
     driver's; driver and car chosen; for admins both must be active rows of the
@@ -114,13 +116,16 @@ def judge_entry_edits(edits: DataFrame, entries: DataFrame, users: DataFrame, dr
     must be free at that time. A driver user always saves for its own driver
     and cannot change the billing status; a weekly entry is dated on its Monday.
     """
-    e = with_poster(edits, users)
+    carried = [*ENTRY_AMOUNTS, "observations"] if amounts else []
+    bad_amount = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in ENTRY_AMOUNTS])
+    slim = edits.select("change_seq", "id", "posted_by", *ENTRY_KEY, "status_text", *carried, bad_amount.alias("_bad_amount"))
+    e = with_poster(slim, users)
     role, tenant, own = F.col("_p_role"), F.col("_p_tenant"), F.coalesce("_p_driver", F.lit(0).cast("bigint"))
     date = F.when(F.col("period_type") == "week", F.trunc("entry_date", "week")).otherwise(F.col("entry_date"))
     e = (e.withColumn("period_type", clean_enum("period_type", "period_type")).withColumn("entry_date", date)
           .withColumn("driver_id", F.when(role == "driver", own).otherwise(F.col("driver_id"))))
     ids = edits.select("id").distinct()
-    tgt = entries.select("id", F.col("owner_user_id").alias("_t_owner")).join(ids, "id", "left_semi")
+    tgt = entries.select("id", F.col("owner_user_id").alias("_t_owner"), whole_key(ENTRY_KEY).alias("_t_key")).join(ids, "id", "left_semi")
     d = drivers.select(F.col("id").alias("_d_id"), F.col("owner_user_id").alias("_d_owner"), F.col("status").alias("_d_status"))
     v = cars.select(F.col("id").alias("_v_id"), F.col("owner_user_id").alias("_v_owner"),
                     F.col("status").alias("_v_status"), F.col("current_driver_id").alias("_v_driver"))
@@ -133,25 +138,26 @@ def judge_entry_edits(edits: DataFrame, entries: DataFrame, users: DataFrame, dr
     driver_ok = holds((F.col("_d_owner") == tenant) & (F.col("_d_status") == "active"))
     car_ok = holds((F.col("_v_owner") == tenant) & (F.col("_v_status") == "active"))
     assigned = holds((F.col("_v_driver") == F.col("driver_id")) & (F.col("_v_status") == "active"))
-    bad_amount = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in ENTRY_AMOUNTS])
     form = reasons_of(
         (~holds(F.col("driver_id") > 0), R_NO_DRIVER), (~holds(F.col("car_id") > 0), R_NO_CAR),
         (holds(chosen) & (role == "admin") & ~driver_ok, R_DRIVER_NOT_IN_OWNER),
         (holds(chosen) & (role == "admin") & ~car_ok, R_CAR_NOT_IN_OWNER),
         (holds(chosen) & (role == "driver") & ~assigned, R_CAR_NOT_ASSIGNED),
-        (F.col("entry_date").isNull(), R_BAD_DATE), (bad_amount, R_BAD_AMOUNT))
+        (F.col("entry_date").isNull(), R_BAD_DATE), (F.col("_bad_amount"), R_BAD_AMOUNT))
     e = e.withColumn("_early", early).withColumn("_form", form)
-    e = e.select("change_seq", "id", "posted_by", *ENTRY_KEY, *ENTRY_AMOUNTS, "observations", "_p_role", "_p_driver",
+    e = e.select("change_seq", "id", "posted_by", *ENTRY_KEY, *carried, "_p_role", "_p_driver",
                  F.when(role == "admin", clean_enum("status_text", "rental_billing_status")).alias("rental_billing_status"),
-                 "_early", "_form", ((F.col("_early") == "") & (F.col("_form") == "")).alias("may"))
+                 "_early", "_form", ((F.col("_early") == "") & (F.col("_form") == "")).alias("may"), "_t_key")
+    # only a driver user's post hangs on whose entry it is, and only one that would be told so
+    free = F.coalesce(F.col("_p_role") != "driver", F.lit(True)) | (F.col("_early") != "")
 
     def admissible(had: Column) -> Column:
         return F.coalesce(F.col("_p_role") != "driver", F.lit(True)) | (had.getField("driver_id") == F.col("_p_driver"))
 
-    judged = settle(e, entries, ENTRY_KEY, guard=admissible, guard_columns=("_p_role", "_p_driver"))
+    judged = settle(e, entries, ENTRY_KEY, guard=admissible, guard_columns=("_p_role", "_p_driver"), free=free, stored="_t_key")
     reasons = (F.when(F.col("_early") != "", F.col("_early")).when(F.col("outcome") == GUARDED, R_OTHER_DRIVER)
                .when(F.col("_form") != "", F.col("_form")).when(F.col("outcome") == TAKEN, R_DUPLICATE).otherwise(""))
-    return judged.withColumn("reasons", reasons).drop("_early", "_form", "_p_role", "_p_driver", "may", "outcome")
+    return judged.withColumn("reasons", reasons).drop("_early", "_form", "_p_role", "_p_driver", "_t_key")
 
 
 def apply_entry_edits(entries: DataFrame, judged: DataFrame) -> DataFrame:
@@ -162,7 +168,7 @@ def apply_entry_edits(entries: DataFrame, judged: DataFrame) -> DataFrame:
     admin's); deductions, net and period columns are derived anew.
     """
     given = [*ENTRY_KEY, *ENTRY_AMOUNTS, "observations"]
-    ok = judged.where(F.col("reasons") == "")
+    ok = judged.where((F.col("reasons") == "") & F.col("may") & F.col("outcome").isNull())
     last = F.max(F.struct("change_seq", *given, "posted_by")).alias("_n")
     status = F.max(F.when(F.col("rental_billing_status").isNotNull(), F.struct("change_seq", "rental_billing_status"))).alias("_s")
     n = ok.groupBy(F.col("id").alias("_n_id")).agg(last, status)

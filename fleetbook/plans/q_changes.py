@@ -9,8 +9,8 @@ from fleetbook.plans.params import AS_OF
 from fleetbook.sources.standins import StandinBatches, user_manager
 
 
-def _entry_edits(t):
-    return C.judge_entry_edits(StandinBatches(t).entry_edits, t.entries, t.users, t.drivers, t.cars)
+def _entry_edits(t, amounts=True):
+    return C.judge_entry_edits(StandinBatches(t).entry_edits, t.entries, t.users, t.drivers, t.cars, amounts)
 
 
 @query("apply_entry_updates")
@@ -82,7 +82,7 @@ def driver_edit_rejects(t):
 @query("change_rejects")
 def change_rejects(t):
     """Entry edits and deletes that are rejected, with reasons (session, ownership, driver, form rules, key taken)."""
-    return C.entry_change_rejects(_entry_edits(t), t.entries, t.users, StandinBatches(t).entry_deletes)
+    return C.entry_change_rejects(_entry_edits(t, amounts=False), t.entries, t.users, StandinBatches(t).entry_deletes)
 
 
 def _user_edits(t):

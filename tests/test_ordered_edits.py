@@ -174,3 +174,46 @@ def test_edits_of_dimensions_equal_one_by_one(spark):
     after = {r.id: r for r in C.apply_driver_edits(drivers, judged).collect()}
     assert {i: (r.owner_user_id, r.dni) for i, r in after.items()} == now
     assert all(after[i].full_name == n for i, n in names.items())
+
+
+def test_only_contested_posts_are_judged_in_rounds(spark, monkeypatch):
+    """Posts that alone want a free key are settled without rounds; two that want one key, and rows whose key is wanted, are not."""
+    seen, keep = [], claims.written
+
+    def counted(df, name):
+        out = keep(df, name)
+        seen.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(claims, "written", counted)
+    rows = spark.range(100).select("id", F.col("id").alias("k"))
+    posts = spark.range(50).select(F.col("id").alias("change_seq"), "id", F.when(F.col("id") == 1, 1002).when(F.col("id") == 3, 4).otherwise(F.col("id") + 1000).alias("k"), (F.col("id") != 9).alias("may"))
+    got = {r.change_seq: r.outcome for r in claims.settle(posts, rows, ["k"]).collect()}
+    # 1 takes what 2 wants; 3 wants what 4 leaves only later
+    assert got == {i: "taken" if i in (2, 3) else None for i in range(50)}
+    assert {n for name, n in seen if name == "claims-round"} == {4}
+
+
+@pytest.mark.parametrize("seed,range_posts", [(3, 1000), (4, 5)])
+def test_free_posts_and_stored_keys(spark, seed, range_posts):
+    """As one by one, when the caller says which posts no guard stops and brings the stored keys."""
+    rnd = random.Random(seed)
+    stored = {i: rnd.choice([*range(30), None]) for i in range(1, 31)}
+    posts = [(q, rnd.randint(1, 35), rnd.choice([*range(30), None]), rnd.random() < .7, rnd.choice([None, None, *range(10)]))
+             for q in rnd.sample(range(1000), 80)]
+    rows = spark.createDataFrame(list(stored.items()), "id long, k long")
+    df = spark.createDataFrame(posts, "change_seq long, id long, k long, may boolean, must long")
+    df = df.join(rows.select("id", claims.whole_key(["k"]).alias("was")), "id", "left")
+    got = {r.change_seq: r.outcome for r in claims.settle(
+        df, rows, ["k"], guard=lambda had: F.col("must").isNull() | had.getField("k").eqNullSafe(F.col("must")), guard_columns=("must",),
+        range_posts=range_posts, free=F.col("must").isNull(), stored="was").collect()}
+    want, now = {}, dict(stored)
+    for q, i, k, may, must in sorted(posts, key=lambda p: p[0]):
+        want[q] = None
+        if must is not None and now.get(i) != must:
+            want[q] = "guarded"
+        elif may and k is not None and any(v == k for j, v in now.items() if j != i):
+            want[q] = "taken"
+        elif may:
+            now[i] = k
+    assert got == want and {"taken", "guarded"} < set(want.values())
